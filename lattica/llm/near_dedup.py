@@ -5,12 +5,16 @@ Plan
    128-bit digest of that set and the band keys of its SuperMinHash signature.
 2. Documents with the same set are one class (copies never meet as pairs).
 3. Band keys held by two classes or more are candidates.  In each such bucket
-   classes are tested against a pivot: the member that shares most buckets,
-   which in a group of near copies is its centre.  Pivots leave the bucket,
-   and the next rounds take 1, 2, 4, ... of those left, until all that remain
-   in a bucket are in one group.  A bucket of one true group thus costs a star,
-   not all its pairs, yet every link between different groups is found.
-4. Every tested pair is confirmed on the full shingle sets; confirmed links are
+   all are tested against a pivot: the member that shares most buckets, which
+   in a group of near copies is its centre.  A bucket of one true group thus
+   costs a star, not all its pairs.
+4. Classes left in buckets with several groups meet once more by the rarest
+   shingles of their sets: two sets that reach the threshold share one of the
+   first n - ceil(threshold * n) + 1 in any common order.  Stragglers of a large
+   group, full of shingles of their own, drop out here.  In what is left 1, 2,
+   4, ... members outside of a bucket's main group are tested against all
+   others, until every bucket is one group: no link between groups is lost.
+5. Every tested pair is confirmed on the full shingle sets; confirmed links are
    contracted to components in Spark.
 
 The number of bands is chosen so that a pair right at the threshold shares no
@@ -165,7 +169,7 @@ def _filter_of(digests: DataFrame) -> np.ndarray:
 
 
 def _full_sets(k: int, kept):
-    schema = pa.schema([("digest", pa.binary()), ("shingles", pa.binary())])
+    schema = pa.schema([("digest", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
         bits = kept.value
@@ -178,9 +182,9 @@ def _full_sets(k: int, kept):
                 a, b = _bits(np.frombuffer(b"".join(digests), U).reshape(-1, 2))
                 hit = ((bits[a >> U(6)] >> (a & U(63))) & (bits[b >> U(6)] >> (b & U(63))) & U(1)).astype(bool)
                 if hit.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([d for d, h in zip(digests, hit) if h], pa.binary()), pa.array([s.tobytes() for s, h in zip(sets, hit) if h], pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([d for d, h in zip(digests, hit) if h], pa.binary()), pa.array([s.view(np.int64) for s, h in zip(sets, hit) if h], pa.list_(pa.int64()))], schema=schema)
 
-    return run, "digest binary, shingles binary"
+    return run, "digest binary, shingles array<long>"
 
 
 def _confirm(percent: int):
@@ -190,8 +194,8 @@ def _confirm(percent: int):
     def run(batches):
         for batch in batches:
             yes = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = np.sort(np.concatenate([x, y]))
                 common = int((both[1:] == both[:-1]).sum())
                 yes.append(100 * common >= percent * (len(x) + len(y) - common))
@@ -200,6 +204,51 @@ def _confirm(percent: int):
     return run, "a binary, b binary, ra binary, rb binary"
 
 
+def _heaviest(left: DataFrame, *by) -> DataFrame:
+    """Of each bucket (or part of one) the member with most weight, with columns p_digest, p_n, p_root."""
+    heads = left.groupBy(*by).agg(F.max(F.struct("weight", "digest", "n", "root")).alias("p"))
+    return heads.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("digest", "n", "root")])
+
+
+def _test(left: DataFrame, heads: DataFrame, sets: DataFrame, percent: int, tested: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs tested, pairs confirmed): all members of a bucket against its heads, if they aren't in one group and can reach the threshold by size."""
+    near = f"root <> p_root and 100 * n >= {percent} * p_n and 100 * p_n >= {percent} * n"
+    low, high = F.least("digest", "p_digest").alias("a"), F.greatest("digest", "p_digest").alias("b")
+    pairs = left.join(heads, "key").where(near).select(low, high, F.least("root", "p_root").alias("ra"), F.greatest("root", "p_root").alias("rb")).distinct()
+    if tested is not None:
+        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = stored(pairs, "pairs")
+    x, y = (sets.select(F.col("digest").alias(c), F.col("shingles").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    run, schema = _confirm(percent)
+    return pairs, stored(pairs.join(x, "a").join(y, "b").select("a", "b", "ra", "rb", "x", "y").mapInArrow(run, schema), "links")
+
+
+def _unsettled(left: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one group."""
+    some = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return left.join(some, "key", "left_semi")
+
+
+def _renamed(left: DataFrame, found: DataFrame) -> DataFrame:
+    """``left`` with roots of groups joined by the links found."""
+    if left.isEmpty() or found.isEmpty():
+        return left
+    roots = star_contract(found.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).withColumnRenamed("root", "to")
+    return left.join(roots, left["root"] == roots["node"], "left").select("key", "digest", "n", "weight", F.coalesce("to", "root").alias("root"))
+
+
+def _rare_shingles(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members of ``left`` in buckets of the rarest shingles of their sets."""
+    members = stored(left.groupBy("digest").agg(F.max("n").alias("n"), F.max("weight").alias("weight"), F.max("root").alias("root")), "members")
+    each = members.join(sets, "digest").select("digest", F.explode("shingles").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = each.join(often, "key", "left").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "key"))).alias("all"))
+    size = F.size("all")
+    first = F.slice("all", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1)
+    keys = ranked.select("digest", F.explode(F.filter(first, lambda s: s["c"] > 1)).alias("s")).select("digest", "s.key")
+    return keys.join(members, "digest").select("key", "digest", "n", "weight", "root")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 6, miss: float = 1e-9) -> DataFrame:
     """Group near-duplicate documents.
 
@@ -230,34 +279,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     run, schema = _full_sets(words, docs.sparkSession.sparkContext.broadcast(_filter_of(central.select("digest"))))
     sets = stored(source.mapInArrow(run, schema).groupBy("digest").agg(F.first("shingles").alias("shingles")).join(central, "digest", "left_semi"), "sets")
     discard(buckets)
-    tested = None
-    links = None
+    heads = _heaviest(left, "key")
+    pairs, found = _test(left, heads, sets, percent)
+    rest = left.join(heads.select("key", F.col("p_digest").alias("digest")), ["key", "digest"], "left_anti")
+    rest = _unsettled(_renamed(stored(rest, "buckets"), found))
+    left, tested, links = stored(_rare_shingles(rest, sets, percent), "buckets"), pairs, found
     for turn in range(64):
-        some = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        left = left.join(some, "key", "left_semi")
-        part = F.pmod(F.xxhash64("digest", "key"), F.lit(1 << max(0, turn - 1)))
-        heads = left.groupBy("key", part.alias("part")).agg(F.max(F.struct("weight", "digest", "n", "root")).alias("p"))
-        heads = heads.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("digest", "n", "root")])
-        near = f"root <> p_root and 100 * n >= {percent} * p_n and 100 * p_n >= {percent} * n"
-        pairs = left.join(heads, "key").where(near).select(F.least("digest", "p_digest").alias("a"), F.greatest("digest", "p_digest").alias("b"), F.least("root", "p_root").alias("ra"), F.greatest("root", "p_root").alias("rb")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y")), "b")
-        run, schema = _confirm(percent)
-        found = stored(both.select("a", "b", "ra", "rb", "x", "y").mapInArrow(run, schema), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        rest = left.join(heads.select("key", F.col("p_digest").alias("digest")), ["key", "digest"], "left_anti")
-        rest = stored(rest, "buckets")
-        if not rest.isEmpty() and not found.isEmpty():
-            roots = star_contract(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-            renamed = rest.join(roots.withColumnRenamed("root", "to"), rest["root"] == roots["node"], "left")
-            rest = stored(renamed.select("key", "digest", "n", "weight", F.coalesce("to", "root").alias("root")), "buckets")
-        discard(left)
-        left = rest
+        left = stored(_unsettled(left), "buckets")
         if left.isEmpty():
             break
+        main = _heaviest(left, "key").select("key", F.col("p_root").alias("main"))
+        part = F.pmod(F.xxhash64("digest", "key"), F.lit(1 << turn))
+        heads = _heaviest(left.join(main, "key").where("root <> main"), "key", part.alias("part"))
+        pairs, found = _test(left, heads, sets, percent, tested)
+        rest = left.join(heads.select("key", F.col("p_digest").alias("digest")), ["key", "digest"], "left_anti")
+        left, tested, links = _renamed(stored(rest, "buckets"), found), tested.union(pairs), links.union(found)
     else:
         raise RuntimeError("buckets left over")
     roots = star_contract(links.select("a", "b"))

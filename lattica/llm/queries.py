@@ -2,20 +2,69 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import near_dedup
+from lattica.llm import decontaminate, fingerprints, language, near_dedup, secrets, substring_dedup, token_counts, token_records, warc, word_table
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(_table(spark, sf_dir, "documents"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_held_out(_table(spark, sf_dir, "documents"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_documents(spark, sf_dir), words=3, percent=85)
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(_table(spark, sf_dir, "documents"))
+
+
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_table.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), window=35)
 
 
-QUERIES = {f.__name__: f for f in (op7_near_dedup,)}
+_ALL = (op1_secret_scan, op2_decontaminate, op3_warc, op4_token_records, op5_token_counts, op6_language, op7_near_dedup, op8_fingerprints, op9_bpe_round_trip, op10_substring_dedup)
+QUERIES = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+        ), t AS (SELECT body, max(page_id) AS top, count(*) AS c FROM p WHERE n >= 1000 GROUP BY body)
+        SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.body) AS payload_digest,
+            CASE WHEN top IS NOT NULL AND top IS DISTINCT FROM p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN top IS NOT NULL AND top IS DISTINCT FROM p.page_id THEN top END AS refers_to,
+            CAST(NULL AS VARCHAR) AS problem
+        FROM p LEFT JOIN t ON p.body = t.body
+    """,
+}
