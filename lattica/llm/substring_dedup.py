@@ -23,6 +23,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
@@ -147,7 +148,7 @@ def _gather(k: int, parts: int):
 
 def _keys_only(batches):
     for batch in batches:
-        yield batch.filter(pa.compute.greater_equal(batch.column("part"), 0)).select([0, 1, 2, 3, 4])
+        yield batch.filter(pc.greater_equal(batch.column("part"), 0)).select([0, 1, 2, 3, 4])
 
 
 def _merge(step: int):
@@ -185,7 +186,7 @@ def _repeated(replies: dict[int, bytes], parts: int, key: np.ndarray) -> np.ndar
 
 class _Block:
     def __init__(self, left: pa.Table, right: pa.Table, k: int, parts: int):
-        own = left.filter(pa.compute.less(left["part"], 0))
+        own = left.filter(pc.less(left["part"], 0))
         if not own.num_rows:
             raise ValueError("an answer for a block that isn't there: the input isn't the same when read again")
         self.name, self.times = own["block"][0].as_py(), own.num_rows
@@ -196,7 +197,7 @@ class _Block:
         self.parts, self.replies = parts, ({}, {})
         for step, part, bits in zip(*(right[c].to_pylist() for c in ("step", "part", "repeated"))):
             self.replies[step][part] = bits
-        dealt = left.filter(pa.compute.greater_equal(left["part"], 0))
+        dealt = left.filter(pc.greater_equal(left["part"], 0))
         key = np.sort(np.concatenate([np.empty(0, U), *map(unpack_sorted, {p: x for p, x in zip(dealt["part"].to_pylist(), dealt["keys"].to_pylist())}.values())]))
         cells = key[_repeated(self.replies[0], parts, key)]
         self.hot, self.chunks, first = [], [], 0

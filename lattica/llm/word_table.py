@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
@@ -86,7 +87,7 @@ def _split(path: str, parts: int):
 
 def _dictionaries(batches):
     for batch in batches:
-        yield batch.filter(pa.compute.greater_equal(batch.column("part"), 0)).select(["block", "part", "words"])
+        yield batch.filter(pc.greater_equal(batch.column("part"), 0)).select(["block", "part", "words"])
 
 
 class _Encoded(dict):
@@ -118,7 +119,7 @@ def _rebuild(path: str, whole: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if whole else [])])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.filter(pa.compute.less(left["part"], 0))
+        left = left.filter(pc.less(left["part"], 0))
         if not left.num_rows:
             raise ValueError("ids for a block that isn't there: the input isn't the same when read again")
         tokenizer = WordBpe.of(path).tokenizer
