@@ -1,0 +1 @@
+"""Traversals and algorithms over a :class:`lattica.graph.Graph`."""

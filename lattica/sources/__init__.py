@@ -1,0 +1 @@
+"""Bulk import and export: CSV, newline-delimited JSON and GraphML."""

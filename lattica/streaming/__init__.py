@@ -1,0 +1 @@
+"""Asynchronous surfaces of a session, and streaming ingest."""
