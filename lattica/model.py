@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 from enum import Enum
 from typing import Any
 
@@ -100,13 +101,22 @@ class TraversalVisit:
     parent_id: str | None
 
 
+def _plain(value: Any) -> Any:
+    """Decimals of a VARIANT as floats: JSON's numbers are doubles here."""
+    if isinstance(value, Decimal):
+        return float(value)
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return [_plain(v) for v in value] if isinstance(value, list) else value
+
+
 def properties_of(row: Row) -> dict[str, Any]:
     """Of an element row: its variant, or its own columns beyond the element's; nulls are absent."""
     fixed = {"id", "label", "src", "dst", "properties"}
     out = {k: v for k, v in row.asDict().items() if k not in fixed and v is not None}
     packed = row.asDict().get("properties")
     if packed is not None:
-        out |= {k: v for k, v in packed.toPython().items() if v is not None}
+        out |= {k: _plain(v) for k, v in packed.toPython().items() if v is not None}
     return out
 
 
