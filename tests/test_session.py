@@ -194,3 +194,18 @@ def test_option_defaults():
             GraphImportOptions(**bad)
     with pytest.raises(ValueError):
         GraphExportOptions(frozenset({""}))
+
+
+def test_age_text():
+    from lattica.functions import age_text as t
+    from lattica.model import Direction
+
+    assert t.create_graph("g") == "SELECT ag_catalog.create_graph('g')" and "'o''g', true" in t.drop_graph("o'g") and "ag_graph" in t.graph_exists("g")
+    assert t.create_vertex("g", "P", {"n": "O'x"}) == "SELECT * FROM ag_catalog.cypher('g', $$ CREATE (v:P {n: 'O\\'x'}) RETURN v $$) AS (v agtype)"
+    assert "(v:P)" in t.match_vertices("g", "P") and "id(v) = 7" in t.match_vertex_by_id("g", "P", "7") and "SET v.a = 1, v.b = null" in t.update_vertex("g", "P", "7", {"a": 1, "b": None})
+    assert "DETACH DELETE" in t.delete_vertex("g", "P", "1") and "count(v)" in t.count_vertices("g", "P") and "[e:K {s: 1}]" in t.create_edge("g", "1", "2", "K", {"s": 1})
+    assert "-[e]->" in t.match_edges("g") and "DELETE e" in t.delete_edge("g", "K", "3") and "<-[:K*1..2]-" in t.neighbors("g", "1", "K", Direction.INCOMING, 2)
+    assert "ORDER BY length(p) LIMIT 1" in t.paths("g", "1", "2", None, 4, shortest=True) and "OPTIONAL MATCH" in t.degree("g", "1", "K")
+    for bad in (lambda: t.match_vertices("g", "P) DETACH DELETE (x"), lambda: t.match_vertex_by_id("g", "P", "1 OR 1"), lambda: t.cypher("g", "$$"), lambda: t.update_vertex("g", "P", "1", {})):
+        with pytest.raises(ValueError):
+            bad()
