@@ -4,16 +4,43 @@ Each round replaces the neighbours of a vertex by its smallest neighbour, first
 over larger neighbours, then over smaller ones, until every component is a
 star around its smallest vertex (O(log^2 n) rounds).  The only grouped
 quantity is a minimum, which Spark combines before the shuffle, so a hub with
-very many neighbours is never gathered into one task.
+very many neighbours is never gathered into one task.  A set of edges that is
+counted to be small is left to one task with union-find instead: there the
+rounds would only be waiting.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lattica.plans.storage import discard, stored_with_checksum
 
 
+#: Edges that one task may contract: some megabytes.
+SMALL = 50_000
+
+
+def _union_find(batches):
+    root: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.column("a").type
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            root.setdefault(a, a), root.setdefault(b, b)
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    if root:
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], names=["node", "root"])
+
+
 def star_contract(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, root) for every vertex of ``edges(a, b)``; root is the smallest id of the component.
 
@@ -23,6 +50,9 @@ def star_contract(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     ).distinct()
     edges, before = stored_with_checksum(edges, "cc")
+    if before[0] <= SMALL:
+        kind = edges.schema["a"].dataType.simpleString()
+        return edges.coalesce(1).mapInArrow(_union_find, f"node {kind}, root {kind}")
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"))

@@ -249,7 +249,9 @@ def groups(df):
     return {k: sorted(v) for k, v in out.items()}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [50_000, 0])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr("lattica.plans.components.SMALL", small)
     rng = random.Random(1)
     names = [str(i) for i in range(60)]
     pairs = [(rng.choice(names), rng.choice(names)) for _ in range(45)]
