@@ -8,12 +8,14 @@ Plan
    all are tested against a pivot: the member that shares most buckets, which
    in a group of near copies is its centre.  A bucket of one true group thus
    costs a star, not all its pairs.
-4. Classes left in buckets with several groups meet once more by the rarest
-   shingles of their sets: two sets that reach the threshold share one of the
-   first n - ceil(threshold * n) + 1 in any common order.  Stragglers of a large
-   group, full of shingles of their own, drop out here.  In what is left 1, 2,
-   4, ... members outside of a bucket's main group are tested against all
-   others, until every bucket is one group: no link between groups is lost.
+4. Small buckets with several groups left are tested pair by pair.  Larger
+   ones are gathered into clusters.  A cluster of bounded size goes to one
+   task, which counts the intersections of every set outside of the largest group
+   with all sets.  A larger one meets by the rarest shingles of its sets: two
+   sets that reach the threshold share one of the first n - ceil(threshold * n)
+   + 1 in any common order.  There 64, 4096, ... members outside of a bucket's
+   main group are tested against all others, until every bucket is one group.
+   No way loses a link between groups.
 5. Every tested pair is confirmed on the full shingle sets; confirmed links are
    contracted to components in Spark.
 
@@ -39,6 +41,8 @@ from lattica.plans.storage import discard, stored
 _GOLDEN = 0x9E3779B97F4A7C15
 #: Bits of the filter that spares most documents the second shingling (fixed: 8 MB; a full filter only costs time).
 FILTER_BITS = 1 << 26
+#: Members of a bucket that are tested pair by pair; shingles and members of a cluster that one task settles (24 MB).
+FEW, CLUSTER_SHINGLES, CLUSTER_MEMBERS = 8, 3_000_000, 20_000
 #: Elements whose whole permutations are held at once.
 _HELD = 40_000
 
@@ -212,7 +216,7 @@ def _heaviest(left: DataFrame, *by) -> DataFrame:
 
 def _test(left: DataFrame, heads: DataFrame, sets: DataFrame, percent: int, tested: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs tested, pairs confirmed): all members of a bucket against its heads, if they aren't in one group and can reach the threshold by size."""
-    near = f"root <> p_root and 100 * n >= {percent} * p_n and 100 * p_n >= {percent} * n"
+    near = f"digest <> p_digest and root <> p_root and 100 * n >= {percent} * p_n and 100 * p_n >= {percent} * n"
     low, high = F.least("digest", "p_digest").alias("a"), F.greatest("digest", "p_digest").alias("b")
     pairs = left.join(heads, "key").where(near).select(low, high, F.least("root", "p_root").alias("ra"), F.greatest("root", "p_root").alias("rb")).distinct()
     if tested is not None:
@@ -237,6 +241,60 @@ def _renamed(left: DataFrame, found: DataFrame) -> DataFrame:
     return left.join(roots, left["root"] == roots["node"], "left").select("key", "digest", "n", "weight", F.coalesce("to", "root").alias("root"))
 
 
+def _settle(percent: int):
+    """Links that join the groups of one cluster, from its full sets: each set outside of the largest group against all others at once.
+
+    The postings of a set's shingles, counted by document, are its
+    intersections with all sets.  A set whose rarest shingles are all its own can't be linked
+    (see _rare_shingles) and is passed over.
+    """
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        digests, roots = table["digest"].to_pylist(), table["root"].to_pylist()
+        sets = table["shingles"].combine_chunks()
+        sizes = np.diff(sets.offsets.to_numpy())
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        _, token, often = np.unique(sets.values.to_numpy()[sets.offsets[0].as_py() : sets.offsets[-1].as_py()], return_inverse=True, return_counts=True)
+        posted, at, ends = of[np.argsort(token, kind="stable")], np.concatenate([[0], np.cumsum(often)]), np.cumsum(sizes)
+        names, group = np.unique(np.array(roots, object), return_inverse=True)
+        main, top, links = np.bincount(group).argmax(), np.arange(len(names)), []
+
+        def find(x):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for x in np.flatnonzero(group != main):
+            own = token[ends[x] - sizes[x] : ends[x]]
+            first = sizes[x] - -(-sizes[x] * percent // 100) + 1
+            if np.partition(often[own], first - 1)[first - 1] == 1:
+                continue
+            common = np.bincount(np.concatenate([posted[at[t] : at[t + 1]] for t in own]), minlength=len(sizes))
+            for y in np.flatnonzero(100 * common >= percent * (sizes[x] + sizes - common)):
+                a, b = find(group[x]), find(group[y])
+                if a != b:
+                    top[a] = b
+                    links.append((min(digests[x], digests[y]), max(digests[x], digests[y])))
+        return pa.Table.from_arrays([pa.array(c, pa.binary()) for c in (zip(*links) if links else ([], []))], schema=schema)
+
+    return run, "a binary, b binary"
+
+
+def _clusters(left: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(members of clusters too large for one task, links within the others); a cluster is what buckets connect."""
+    least = left.groupBy("key").agg(F.min("root").alias("b"))
+    roots = star_contract(left.join(least, "key").select(F.col("root").alias("a"), "b").distinct())
+    cluster = stored(left.join(roots.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root"), "clusters")
+    members = cluster.groupBy("cluster", "digest").agg(F.max("n").alias("n"), F.max("root").alias("root"))
+    weights = members.groupBy("cluster").agg(F.sum("n").alias("shingles"), F.count("*").alias("c"))
+    light = (F.col("shingles") <= CLUSTER_SHINGLES) & (F.col("c") <= CLUSTER_MEMBERS)
+    own = members.join(weights.where(light).select("cluster"), "cluster", "left_semi").join(sets, "digest")
+    run, schema = _settle(percent)
+    within = stored(own.select("cluster", "digest", "root", "shingles").groupBy("cluster").applyInArrow(run, schema), "links")
+    return cluster.join(weights.where(~light).select("cluster"), "cluster", "left_semi").select("key", "digest", "n", "weight", "root"), within
+
+
 def _rare_shingles(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The members of ``left`` in buckets of the rarest shingles of their sets."""
     members = stored(left.groupBy("digest").agg(F.max("n").alias("n"), F.max("weight").alias("weight"), F.max("root").alias("root")), "members")
@@ -282,18 +340,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     heads = _heaviest(left, "key")
     pairs, found = _test(left, heads, sets, percent)
     rest = left.join(heads.select("key", F.col("p_digest").alias("digest")), ["key", "digest"], "left_anti")
-    rest = _unsettled(_renamed(stored(rest, "buckets"), found))
-    left, tested, links = stored(_rare_shingles(rest, sets, percent), "buckets"), pairs, found
-    for turn in range(64):
+    rest = stored(_unsettled(_renamed(stored(rest, "buckets"), found)), "buckets")
+    sizes = rest.groupBy("key").agg(F.count("*").alias("c"))
+    few = rest.join(sizes.where(F.col("c") <= FEW).select("key"), "key", "left_semi")
+    more_pairs, more = _test(few, few.select("key", *[F.col(c).alias(f"p_{c}") for c in ("digest", "n", "root")]), sets, percent, pairs)
+    tested, links = pairs.union(more_pairs), found.union(more).select("a", "b")
+    rest = rest.join(sizes.where(F.col("c") > FEW).select("key"), "key", "left_semi")
+    rest = stored(_unsettled(_renamed(stored(rest, "buckets"), more)), "buckets")
+    left, within = _clusters(rest, sets, percent)
+    links = links.union(within)
+    left = stored(_rare_shingles(left, sets, percent), "buckets")
+    for turn in range(9):
         left = stored(_unsettled(left), "buckets")
         if left.isEmpty():
             break
         main = _heaviest(left, "key").select("key", F.col("p_root").alias("main"))
-        part = F.pmod(F.xxhash64("digest", "key"), F.lit(1 << turn))
+        part = F.pmod(F.xxhash64("digest", "key"), F.lit(1 << 6 * (turn + 1)))
         heads = _heaviest(left.join(main, "key").where("root <> main"), "key", part.alias("part"))
         pairs, found = _test(left, heads, sets, percent, tested)
         rest = left.join(heads.select("key", F.col("p_digest").alias("digest")), ["key", "digest"], "left_anti")
-        left, tested, links = _renamed(stored(rest, "buckets"), found), tested.union(pairs), links.union(found)
+        left, tested, links = _renamed(stored(rest, "buckets"), found), tested.union(pairs), links.union(found.select("a", "b"))
     else:
         raise RuntimeError("buckets left over")
     roots = star_contract(links.select("a", "b"))

@@ -103,11 +103,17 @@ def shingle(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def shingle_set(hashes: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct k-word shingle hashes of one text; the whole sequence as one if it has fewer words."""
     if len(hashes) == 0:
         return np.empty(0, U)
-    return np.unique(shingle(hashes, min(k, len(hashes))))
+    return distinct(shingle(hashes, min(k, len(hashes))))
 
 
 def windows(hashes: np.ndarray, k: int, base: int) -> np.ndarray:
