@@ -3,9 +3,8 @@
 Scores are BM25 contributions divided by the score an item gives itself, so
 one threshold holds for items of every length.  Postings are cut into blocks
 of neighbouring items that keep only their greatest contribution (block-max).
-As in WAND, a passage is scored against an item only if upper bounds allow it
-to reach the threshold: terms of many blocks add one bound for all items, other
-terms one for each block they occur in.  Here the pivot test runs for all
+As in WAND, a passage is scored only if upper bounds allow it to reach the threshold
+in some block.  Here the pivot test runs for all
 passages of a batch at once, and since all above the threshold are wanted the
 threshold never moves.  Passages are pairs of neighbouring tiles, and the
 bound of a pair is at most the sum of its tiles' bounds.
@@ -25,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lattica.llm.words import U, blocks, hash_words, shingle
+from lattica.llm.words import U, blocks, distinct, hash_words, shingle
 from lattica.plans.storage import stored
 
 K1, B = 1.2, 0.75
@@ -33,6 +32,8 @@ K1, B = 1.2, 0.75
 BLOCK, TILE = 4, 64
 SHARD_ITEMS, SHARD_BYTES = 4096, 8 << 20
 _RUN = 3
+#: Passages scored at once.
+_TOGETHER = 2_000
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 
 
@@ -92,10 +93,11 @@ class BlockMaxIndex:
         term, block = key[first] // max(1, self.n_blocks), key[first] % max(1, self.n_blocks)
         width = np.bincount(term, minlength=len(self.terms))
         common = width > max(8, self.n_blocks // 4)
-        upper = np.zeros(len(self.terms))
-        np.maximum.at(upper, term, top)
-        #: What a term of many blocks adds to every block's bound.
-        self.shared = np.where(common, upper, 0)
+        #: Rows of the few terms that are in many blocks: what they add to each block's bound.
+        self.row = np.full(len(self.terms), -1)
+        self.row[common] = np.arange(common.sum())
+        self.shared = np.zeros((int(common.sum()), self.n_blocks), np.float32)
+        self.shared[self.row[term[common[term]]], block[common[term]]] = top[common[term]]
         keep = ~common[term]
         self.block, self.top = block[keep], top[keep]
         self.block_at = np.searchsorted(term[keep], np.arange(len(self.terms) + 1))
@@ -110,22 +112,28 @@ class BlockMaxIndex:
 
     def bounds(self, tile: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
         """Upper bounds (tiles x blocks) from the distinct terms of each tile."""
-        width = (self.block_at[1:] - self.block_at[:-1])[term]
-        at = np.repeat(self.block_at[term] - np.cumsum(width) + width, width) + np.arange(width.sum())
-        out = np.bincount(np.repeat(tile, width) * self.n_blocks + self.block[at], self.top[at], n * self.n_blocks).reshape(n, self.n_blocks)
-        return out + np.bincount(tile, self.shared[term], n)[:, None]
+        at, of = _spread(self.block_at, term)
+        out = np.bincount(tile[of] * self.n_blocks + self.block[at], self.top[at], n * self.n_blocks).reshape(n, self.n_blocks)
+        common = self.row[term] >= 0
+        there = np.zeros((n, len(self.shared)), np.float32)
+        there[tile[common], self.row[term[common]]] = 1
+        return out + there @ self.shared
 
-    def scores(self, terms: np.ndarray) -> np.ndarray:
-        """Exact scores of all items for one passage's distinct terms."""
-        spans = [slice(self.post_at[t], self.post_at[t + 1]) for t in terms]
-        if not spans:
-            return np.zeros(len(self.ids))
-        return np.bincount(np.concatenate([self.post_item[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), len(self.ids))
+    def scores(self, passage: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """Exact scores (passages x items) from the distinct terms of each passage."""
+        at, of = _spread(self.post_at, term)
+        return np.bincount(passage[of] * len(self.ids) + self.post_item[at], self.post_weight[at], n * len(self.ids)).reshape(n, len(self.ids))
 
 
-def _query(index, threshold: float, question: float, answer: float):
-    columns = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())]
-    schema = pa.schema(columns)
+def _spread(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all entries of the given rows of a compressed table, and which of the given rows each belongs to."""
+    width = starts[rows + 1] - starts[rows]
+    of = np.repeat(np.arange(len(rows)), width)
+    return np.arange(len(of)) + (starts[rows] - np.cumsum(width) + width)[of], of
+
+
+def _searcher(threshold: float, question: float, answer: float):
+    """block_hits(ids, texts, index): (id, item_id, score, question overlap, answer overlap, first word) of each hit."""
 
     def block_hits(ids, texts, ix):
         hashes, counts, *_ = hash_words(texts, "bare")
@@ -137,7 +145,7 @@ def _query(index, threshold: float, question: float, answer: float):
         tile = first_tile[doc] + (np.arange(len(hashes)) - first_word[doc]) // tile_words
         term = ix.lookup(hashes)
         known = term >= 0
-        pairs = np.unique(tile[known] * len(ix.terms) + term[known])
+        pairs = distinct(tile[known] * len(ix.terms) + term[known])
         if not len(pairs):
             return
         n = int(tiles_of.sum())
@@ -146,46 +154,48 @@ def _query(index, threshold: float, question: float, answer: float):
         last = np.zeros(n, bool)
         last[first_tile + tiles_of - 1] = True
         upper[:-1] += np.where(last[:-1, None], 0, upper[1:])
-        hits = (upper >= threshold).any(axis=1)
-        at = np.searchsorted(p_tile, np.arange(n + 1))
         tile_doc = np.repeat(np.arange(len(ids)), tiles_of)
+        hits = np.flatnonzero((upper >= threshold - 1e-4).any(axis=1))
         best: dict[tuple[int, int], tuple] = {}
-        for t in np.flatnonzero(hits):
-            d = tile_doc[t]
-            terms = p_term[at[t] : at[t + 1 if last[t] else t + 2]]
-            scores = ix.scores(terms if last[t] else np.unique(terms))
-            for k in np.flatnonzero(scores >= threshold):
-                start = (t - first_tile[d]) * tile_words
+        for some in np.split(hits, range(_TOGETHER, len(hits), _TOGETHER)):
+            number = np.full(n + 1, -1)
+            number[some] = np.arange(len(some))
+            # a tile's terms count for its own passage and for that of the tile before, if it is of the same text
+            before = np.where(np.concatenate([[True], last[:-1]]), n, np.arange(n) - 1)
+            p, t = np.concatenate([number[p_tile], number[before[p_tile]]]), np.concatenate([p_term, p_term])
+            own = distinct(p[p >= 0] * len(ix.terms) + t[p >= 0])
+            scores = ix.scores(own // len(ix.terms), own % len(ix.terms), len(some))
+            for m, k in zip(*np.nonzero(scores >= threshold)):
+                d = tile_doc[some[m]]
+                start = (some[m] - first_tile[d]) * tile_words
                 own = hashes[first_word[d] : first_word[d] + counts[d]][start : start + 2 * tile_words]
                 q, a = (np.isin(part, shingle(own, run)).mean() if len(part) else 1.0 for part, run in zip(ix.parts[k], ix.runs[k]))
                 if q >= question and a >= answer:
-                    row = (float(scores[k]), float(q), float(a), int(start))
+                    row = (float(scores[m, k]), float(q), float(a), int(start))
                     best[d, k] = max(best.get((d, k), row), row, key=lambda r: (r[0], -r[3]))
         for (d, k), row in sorted(best.items()):
             yield (ids[d], ix.ids[k], *row)
 
+    return block_hits
+
+
+def _query(index, search):
+    columns = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())]
+    schema = pa.schema(columns)
+
     def run(batches):
         for batch in batches:
             for block in blocks(zip(batch.column("doc_id").to_pylist(), (t or b"" for t in batch.column("text").to_pylist()))):
-                rows = list(block_hits([i for i, _ in block], [t for _, t in block], index.value))
+                rows = list(search([i for i, _ in block], [t for _, t in block], index.value))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), columns)], schema=schema)
 
     return run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5, min_words: int = 5) -> DataFrame:
-    """Pairs (doc_id, item_id) of training documents with a passage that holds a test item.
-
-    Further columns: score (share of the item's own BM25 score), the shares of
-    question and answer found, and the passage's first word; the best passage
-    of each pair counts.  Words are runs of ASCII letters and digits and of all
-    characters beyond ASCII, A-Z lower-cased.  Items without ``min_words`` such words
-    (null and empty ones too) are no evidence and are left out.  Null and empty
-    documents match nothing.  Repeated rows of either table give a pair each
-    time; other columns are ignored; if a table is empty so is the result.
-    """
-    spark = docs.sparkSession
+def _shards(benchmark: DataFrame, min_words: int):
+    """The index in broadcast shards of bounded size."""
+    spark = benchmark.sparkSession
     parts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = parts.mapInArrow(_item_words, "item_id long, question array<long>, answer array<long>").withColumn("n", F.size("question") + F.size("answer")).where(f"n >= {min_words}")
     items = stored(items, "items")
@@ -194,14 +204,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(shards)))
     words = items.select("shard", F.explode(F.array_distinct(F.concat("question", "answer"))).alias("word"))
     df = words.groupBy("word").agg(F.count("*").alias("df"))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    out = None
     for shard in range(shards):  # each is bounded by SHARD_ITEMS and SHARD_BYTES: items are dealt evenly by a hash
         own = items.where(F.col("shard") == shard).orderBy("item_id", "question").collect()
         seen = {r["word"]: r["df"] for r in df.join(words.where(F.col("shard") == shard).select("word").distinct(), "word", "left_semi").toLocalIterator()}
         as_hashes = lambda xs: np.array(xs, np.int64).view(U)
         index = BlockMaxIndex([(r["item_id"], as_hashes(r["question"]), as_hashes(r["answer"])) for r in own], seen, total["items"], total["mean"] or 1.0)
-        run, schema = _query(spark.sparkContext.broadcast(index), threshold, question, answer)
+        yield spark.sparkContext.broadcast(index)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5, min_words: int = 5) -> DataFrame:
+    """Pairs (doc_id, item_id) of training documents with a passage that holds a test item.
+
+    Further columns: score (share of the item's own BM25 score), the shares of
+    question and answer found, and the passage's first word; the best passage
+    of each pair counts.  Words are runs of ASCII letters and digits and of all
+    characters beyond ASCII, A-Z lower-cased.  Items without ``min_words`` such words
+    (null and empty ones too) are no evidence and are left out.  Null and empty
+    documents match nothing.  Repeated rows of either table give a pair each
+    time; other columns are ignored; if a table is empty so is the result.
+    """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    out = None
+    for index in _shards(benchmark, min_words):
+        run, schema = _query(index, _searcher(threshold, question, answer))
         hits = source.mapInArrow(run, schema)
         out = hits if out is None else out.union(hits)
     return out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5, min_words: int = 5) -> DataFrame:
+    """Rows of ``docs`` that :func:`contaminated` finds nothing in, as they are; nothing is shuffled."""
+    search = _searcher(threshold, question, answer)
+
+    def without(index):
+        def run(batches):
+            for batch in batches:
+                texts = ((i, (t or "").encode()) for i, t in enumerate(batch.column("text").to_pylist()))
+                hit = {row[0] for block in blocks(texts) for row in search([i for i, _ in block], [t for _, t in block], index.value)}
+                yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
+
+        return run
+
+    for index in _shards(benchmark, min_words):
+        docs = docs.mapInArrow(without(index), docs.schema)
+    return docs
