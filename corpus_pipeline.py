@@ -17,28 +17,20 @@ from lattica.plans.storage import stored
 MIN_SHARE = 0.5
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id isn't among ``ids``; rows without an id stay."""
-    return docs.join(ids.where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or without a language that has half of their letters."""
-    found = language.identify_held_out(docs)
-    rejected = found.where((F.col("lang_pred") == "und") | (F.col("score") < MIN_SHARE)).select("doc_id")
-    return _without(docs, rejected)
+    return language.keep_identified(docs, language.learn(docs.where(~language.held_out() & F.col("doc_id").isNotNull())), MIN_SHARE)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of five-word-shingle similarity 0.8 or more: that with the smallest id."""
-    groups = near_dedup.near_duplicates(docs)
-    return _without(docs, groups.where("not kept").select("doc_id"))
+    again = near_dedup.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(again, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    hits = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, hits.select("doc_id"))
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

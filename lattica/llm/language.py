@@ -181,40 +181,56 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH) ->
     return labels
 
 
+def _predict(m: Model, texts: list[str]) -> list[tuple[str, float, str]]:
+    """(language, share, spans) of each text of a block."""
+    texts = [t if _LETTER.search(t) else "" for t in texts]
+    size = len(m.languages)
+    # lower-casing can change a text's length: the bounds are those of what it becomes
+    bounds = np.cumsum([len(t.lower().encode()) + 1 for t in texts]) + 1
+    data = _clean(texts)
+    starts, ends = _words(data)
+    counts = np.diff(np.searchsorted(starts, bounds), prepend=0)
+    labels = viterbi(word_scores(m, data, starts, ends), counts) if size and len(starts) else np.zeros(len(starts), np.int32)
+    lengths, out = ends - starts, []
+    for end, n in zip(np.cumsum(counts), counts):
+        if not n or not size:
+            out.append(("und", 0.0, ""))
+            continue
+        own = labels[end - n : end]
+        share = np.bincount(own, lengths[end - n : end], size)
+        top = int(share.argmax())
+        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), int(n)]
+        spans = ",".join(f"{m.languages[own[a]]}:{a}:{b}" for a, b in zip(cuts, cuts[1:]))
+        out.append((m.languages[top], float(share[top] / share.sum()), spans))
+    return out
+
+
 def _label(model):
     columns = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.string())]
     schema = pa.schema(columns)
 
     def run(batches):
-        m = model.value
-        size = len(m.languages)
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")))
-            for block in blocks(((i, h, t if t and _LETTER.search(t) else "") for i, h, t in rows), _BLOCK):
-                texts = [t for *_, t in block]
-                # lower-casing can change a text's length: the bounds are those of what it becomes
-                bounds = np.cumsum([len(t.lower().encode()) + 1 for t in texts]) + 1
-                data = _clean(texts)
-                starts, ends = _words(data)
-                counts = np.diff(np.searchsorted(starts, bounds), prepend=0)
-                out = []
-                labels = viterbi(word_scores(m, data, starts, ends), counts) if size and len(starts) else np.zeros(len(starts), np.int32)
-                lengths = ends - starts
-                for (doc_id, held, _), end, n in zip(block, np.cumsum(counts), counts):
-                    if not n or not size:
-                        out.append((doc_id, held, "und", 0.0, ""))
-                        continue
-                    own = labels[end - n : end]
-                    share = np.bincount(own, lengths[end - n : end], size)
-                    top = int(share.argmax())
-                    cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), int(n)]
-                    spans = ",".join(f"{m.languages[own[a]]}:{a}:{b}" for a, b in zip(cuts, cuts[1:]))
-                    out.append((doc_id, held, m.languages[top], float(share[top] / share.sum()), spans))
+            for block in blocks(((i, h, t or "") for i, h, t in rows), _BLOCK):
+                out = [(i, h, *p) for (i, h, _), p in zip(block, _predict(model.value, [t for *_, t in block]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), columns)], schema=schema)
 
     return run, "doc_id long, held_out boolean, lang_pred string, score double, spans string"
 
 
+def keep_identified(docs: DataFrame, model: Model, share: float) -> DataFrame:
+    """Rows of ``docs`` whose text has a language with at least that share of its letters, as they are; nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            found = [p for block in blocks(((t or "",) for t in batch.column("text").to_pylist()), _BLOCK) for p in _predict(sent.value, [t for t, in block])]
+            yield batch.filter(pa.array([lang != "und" and score >= share for lang, score, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Label every text: doc_id, held_out (passed through, false if docs has none), lang_pred, score, spans.
 
