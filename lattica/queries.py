@@ -237,24 +237,25 @@ def _rank_sql(view: str, v: str, e: str, rounds: int, end: str) -> str:
     return ", ".join(parts) + " " + end.format(r=f"r{rounds}")
 
 
-_ROUNDED = F.round("score", 6).alias("score")
+def _rounded():
+    return F.round("score", 6).alias("score")
 
 
 @_query(_rank_sql(HANDOFF, "hv", "he", 20, "SELECT id AS vertex_id, round(r, 6) AS score FROM {r}"))
 def pagerank(spark, sf_dir):
-    return page_rank(views.handoff(spark, sf_dir), PageRankOptions(tolerance=0.0)).select("vertex_id", _ROUNDED)
+    return page_rank(views.handoff(spark, sf_dir), PageRankOptions(tolerance=0.0)).select("vertex_id", _rounded())
 
 
 @_query(_rank_sql(TRADE, "tv", "te", 5, "SELECT id AS vertex_id, round(r, 6) AS score, row_number() OVER (ORDER BY r DESC, id) AS rank FROM {r} ORDER BY r DESC, id LIMIT 5"))
 def pagerank_topk(spark, sf_dir):
-    return page_rank(views.trade(spark, sf_dir), PageRankOptions(iterations=5, tolerance=0.0, top_k=5)).select("vertex_id", _ROUNDED, "rank")
+    return page_rank(views.trade(spark, sf_dir), PageRankOptions(iterations=5, tolerance=0.0, top_k=5)).select("vertex_id", _rounded(), "rank")
 
 
 @_query(_rank_sql(GEO + ", fv AS (SELECT id FROM gv WHERE label IN ('Nation', 'Supplier')), fe AS (SELECT src, dst FROM ge WHERE label = 'BASED_IN')", "fv", "fe", 8, "SELECT id AS vertex_id, round(r, 6) AS score FROM {r}"))
 def pagerank_label_filtered(spark, sf_dir):
     graph = views.geo(spark, sf_dir)
     own = Graph(graph.vertices.where("label in ('Nation', 'Supplier')"), graph.edges)
-    return page_rank(own, PageRankOptions(edge_label="BASED_IN", iterations=8, tolerance=0.0)).select("vertex_id", _ROUNDED)
+    return page_rank(own, PageRankOptions(edge_label="BASED_IN", iterations=8, tolerance=0.0)).select("vertex_id", _rounded())
 
 
 def _degree_query(name: str, direction: Direction, into: int, out: int):
