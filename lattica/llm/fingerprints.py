@@ -53,9 +53,11 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, made: Column | None = None) -> DataFrame:
     """(doc_id, text, next_text) in ascending doc_id, then text, nulls first; after the last comes the first.
 
+    ``made``, an expression over text, comes along as own and next_own: it is evaluated once for a row.
+
     Rows are dealt to id ranges from percentiles, each cut evenly if there are
     many rows; the first row of a range is also put behind the last of the
     range before.  So no task sorts more than a range, and nothing but the
@@ -63,9 +65,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    made = F.lit(None).cast("array<bigint>") if made is None else made
     n = own.count()
     if n == 0:
-        return own.withColumn("next_text", F.lit(""))
+        return own.select("*", made.alias("own"), F.lit("").alias("next_text"), made.alias("next_own"))
     ranges = min(RANGES, -(-n // RANGE_ROWS))
     cuts = min(CUTS, -(-n // (RANGE_ROWS * RANGES * 10)))
     at = own.agg(F.percentile_approx("doc_id", [i / ranges for i in range(ranges + 1)], 10_000)).first()[0] or [0]
@@ -81,9 +84,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(before, "bucket long, previous long, head long"))
     heads = dealt.join(table, (dealt["bucket"] == table["bucket"]) & dealt["doc_id"].eqNullSafe(table["head"]))
     heads = heads.groupBy("previous").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("previous").alias("bucket"), F.lit(1).alias("extra"))
-    rows = dealt.withColumn("extra", F.lit(0)).unionByName(heads)
+    rows = dealt.withColumn("extra", F.lit(0)).unionByName(heads).withColumn("own", made)
     order = Window.partitionBy("bucket").orderBy("extra", F.asc_nulls_first("doc_id"), "text")
-    return rows.withColumn("next_text", F.lead("text").over(order)).where("extra = 0").select("doc_id", "text", "next_text")
+    rows = rows.withColumns({"next_text": F.lead("text").over(order), "next_own": F.lead("own").over(order)})
+    return rows.where("extra = 0").select("doc_id", "text", "own", "next_text", "next_own")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
@@ -94,10 +98,10 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     empty; rows without an id come first; repeated rows follow each other.  A
     row for each row of ``docs``; other columns are ignored; empty in, empty out.
     """
-    rows = with_next(docs)
+    rows = with_next(docs, sketch(F.col("text")))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "text", "next_text")
-    made = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("changed"), sketch(F.col("next_text")).alias("following"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own")
+    made = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", sketch(F.col("edited")).alias("changed"), F.col("next_own").alias("following"))
     return made.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"))
