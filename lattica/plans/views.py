@@ -41,10 +41,10 @@ def geo(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(vertices, edges)
 
 
-def trade(spark: SparkSession, sf_dir: str) -> Graph:
+def trade(spark: SparkSession, sf_dir: str, only: str = "l_quantity >= 50 and l_discount >= 0.1") -> Graph:
     """Nations; an edge from a supplier's to a customer's nation for large, much reduced line items."""
     nation, customer, supplier = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
-    items = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1").select("l_orderkey", "l_suppkey")
+    items = table(spark, sf_dir, "lineitem").where(only).select("l_orderkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     joined = items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     pairs = joined.where("s_nationkey <> c_nationkey").select(_id("nation", "s_nationkey").alias("src"), _id("nation", "c_nationkey").alias("dst")).distinct()
@@ -52,6 +52,11 @@ def trade(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(_vertices(nation, "nation", "Nation", "n_nationkey", "n_name").drop("balance"), edges)
 
 
+def trade_whole(spark: SparkSession, sf_dir: str) -> Graph:
+    """Nations; an edge from a supplier's to a customer's nation for any line item."""
+    return trade(spark, sf_dir, "true")
+
+
 def bipartite(spark: SparkSession, sf_dir: str) -> Graph:
     """Suppliers and parts of large returned line items."""
     items = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_returnflag = 'R'").select(_id("supplier", "l_suppkey").alias("src"), _id("part", "l_partkey").alias("dst")).distinct()
@@ -60,6 +65,15 @@ def bipartite(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(vertices, edges)
 
 
+def bipartite_whole(spark: SparkSession, sf_dir: str) -> Graph:
+    """All suppliers and parts; an edge for any line item."""
+    supplier, part = (table(spark, sf_dir, t) for t in ("supplier", "part"))
+    items = table(spark, sf_dir, "lineitem").select(_id("supplier", "l_suppkey").alias("src"), _id("part", "l_partkey").alias("dst")).distinct()
+    edges = items.select(F.concat("src", F.lit(">"), "dst").alias("id"), F.lit("SUPPLIES").alias("label"), "src", "dst")
+    vertices = supplier.select(_id("supplier", "s_suppkey").alias("id"), F.lit("Supplier").alias("label")).union(part.select(_id("part", "p_partkey"), F.lit("Part")))
+    return Graph(vertices, edges)
+
+
 def sales(spark: SparkSession, sf_dir: str) -> Graph:
     """Orders placed by customers, and what they contain."""
     customer, orders, part = (table(spark, sf_dir, t) for t in ("customer", "orders", "part"))

@@ -17,7 +17,7 @@ from lattica.operators.degree import degree_centrality, degrees
 from lattica.operators.pagerank import page_rank
 from lattica.operators.search import bfs, dfs
 from lattica.operators.traversal import all_paths, neighbors, shortest_path, shortest_path_lengths
-from lattica.options import BfsDfsOptions, ComponentOptions, CycleOptions, DegreeOptions, DuplicatePolicy, GraphExportOptions, GraphImportOptions, MissingEndpointPolicy, NeighborOptions, PageRankOptions, PathOptions
+from lattica.options import UNBOUNDED, BfsDfsOptions, ComponentOptions, CycleOptions, DegreeOptions, DuplicatePolicy, GraphExportOptions, GraphImportOptions, MissingEndpointPolicy, NeighborOptions, PageRankOptions, PathOptions
 from lattica.plans import views
 from lattica.plans.storage import fresh_path
 from lattica.sources.csv_io import export_csv, import_csv
@@ -47,6 +47,13 @@ TRADE = """te AS (
 BIPARTITE = """be AS (
     SELECT DISTINCT 'supplier:' || l_suppkey AS src, 'part:' || l_partkey AS dst FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'R'
 ), bv AS (SELECT src AS id FROM be UNION SELECT dst FROM be)"""
+# the same over all line items
+TRADE_WHOLE = """te AS (
+    SELECT DISTINCT 'nation:' || s_nationkey AS src, 'nation:' || c_nationkey AS dst
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+    WHERE s_nationkey <> c_nationkey
+), tv AS (SELECT 'nation:' || n_nationkey AS id FROM nation), origin AS (SELECT min(src) AS v FROM te)"""
+BIPARTITE_WHOLE = """be AS (SELECT DISTINCT 'supplier:' || l_suppkey AS src, 'part:' || l_partkey AS dst FROM lineitem)"""
 SALES = """sv AS (
     SELECT 'customer:' || c_custkey AS id, 'Customer' AS label, c_mktsegment AS kind, c_acctbal AS amount FROM customer
     UNION ALL SELECT 'order:' || o_orderkey, 'Order', o_orderstatus, o_totalprice FROM orders
@@ -365,6 +372,48 @@ def cycles_through_vertex(spark, sf_dir):
     return cycles_through(graph, _origin(graph), CycleOptions(max_depth=3, max_cycles=1_000_000)).select(path_text().alias("cycle"), "length")
 
 
+# Whole tables --------------------------------------------------------------------------------------------------------
+#
+# The queries above of the same names see few line items; these see all.  Components and paths have no SQL:
+# theirs is an all-pairs reach or a list of all walks, which doesn't end here.  The tests hold them against brute force.
+
+
+def _whole(name: str, template: str | None, run: Callable[[Graph], DataFrame], view: Callable[[SparkSession, str], Graph] = views.trade_whole) -> None:
+    sql = template and template.replace(TRADE, TRADE_WHOLE).replace(BIPARTITE, BIPARTITE_WHOLE)
+    _query(sql, f"{name}_whole")(lambda spark, sf_dir: run(view(spark, sf_dir)))
+
+
+def _paths(found: DataFrame, name: str) -> DataFrame:
+    return found.select(path_text().alias(name), "length")
+
+
+for _way in _WAYS:
+    for _depth in (1, 2, 3):
+        _whole(f"neighbors_{_way}_d{_depth}", ORACLE_SQL[f"neighbors_{_way}_d{_depth}"], lambda g, o=NeighborOptions("TRADES", _WAYS[_way], _depth): neighbors(g, _origin(g), o).select("id"))
+for _name, _direction in (("both", Direction.BOTH), ("in", Direction.INCOMING), ("out", Direction.OUTGOING)):
+    _whole(f"degree_{_name}", ORACLE_SQL[f"degree_{_name}"], lambda g, o=DegreeOptions("TRADES", _direction): degree_centrality(g, _origin(g), o))
+_whole("pagerank_topk", ORACLE_SQL["pagerank_topk"], lambda g: page_rank(g, PageRankOptions(iterations=5, tolerance=0.0, top_k=5)).select("vertex_id", _rounded(), "rank"))
+_whole("components_strong", ORACLE_SQL["components_strong"], lambda g: connected_components(g, ComponentOptions(weakly=False)).select("component_id", "vertex_id"))
+_whole("cycles_le3", ORACLE_SQL["cycles_le3"], lambda g: _paths(detect_cycles(g, CycleOptions(max_depth=3, max_cycles=UNBOUNDED)), "cycle"))
+_whole("cycles_capped", ORACLE_SQL["cycles_capped"], lambda g: _paths(detect_cycles(g, CycleOptions(max_depth=3, max_cycles=5)), "cycle"))
+_whole("cycles_through_vertex", ORACLE_SQL["cycles_through_vertex"], lambda g: _paths(cycles_through(g, _origin(g), CycleOptions(max_depth=3, max_cycles=UNBOUNDED)), "cycle"))
+
+_whole("components", None, lambda g: connected_components(g).select("component_id", "vertex_id"), views.bipartite_whole)
+_whole("component_sizes", None, lambda g: connected_components(g).select("component_id", "size").distinct(), views.bipartite_whole)
+_whole("components_min_size", None, lambda g: connected_components(g, ComponentOptions(min_size=4)).select("component_id", "vertex_id"), views.bipartite_whole)
+_whole("shortest_path_lengths_all", ORACLE_SQL["shortest_path_lengths_all"], lambda g: shortest_path_lengths(g, _origin(g), PathOptions("SUPPLIES", 10)), views.bipartite_whole)
+
+
+def _between(g: Graph) -> tuple[str, str]:
+    start = _origin(g)
+    return start, shortest_path_lengths(g, start, PathOptions("SUPPLIES", 6)).where("distance > 0").agg(F.max("id")).first()[0]
+
+
+_whole("shortest_path", None, lambda g: _paths(shortest_path(g, *_between(g), PathOptions("SUPPLIES", 6)), "path"), views.bipartite_whole)
+# of up to 4 edges: those of 6 are billions between two suppliers
+_whole("all_paths", None, lambda g: _paths(all_paths(g, *_between(g), PathOptions("SUPPLIES", 4)), "path"), views.bipartite_whole)
+
+
 # Files ---------------------------------------------------------------------------------------------------------------
 
 _ALL_GEO = GraphExportOptions(frozenset({"Nation", "Supplier", "Region"}), frozenset({"IN_REGION", "BASED_IN"}))
