@@ -94,12 +94,30 @@ def windows_over(run: Column, threshold: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
+def _pieces(run: Column, cuts: Column) -> Column:
+    """What ``cuts`` (spans by start) leave of a run: (start, end) of every piece that holds a window."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    piece = lambda a, b: F.when(b - a >= WINDOW, F.array(F.struct(a.alias("start"), b.alias("end")))).otherwise(none)
+    zero = F.struct(run["start"].alias("at"), none.alias("out"))
+
+    def step(acc, cut):
+        return F.struct(F.greatest(acc["at"], cut["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], cut["start"])).alias("out"))
+
+    return F.aggregate(cuts, zero, step, lambda acc: F.concat(acc["out"], piece(acc["at"], run["end"])))
+
+
 def _entropic(text: Column, base: Column) -> Column:
     runs = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     both = F.zip_with(_places(text, CANDIDATE, runs), runs, lambda p, r: F.struct(p["start"].alias("start"), p["end"].alias("end"), r.alias("run")))
     harmless = "|".join(f"(?:{shape})" for shape in ALLOWED)
     both = F.filter(both, lambda c: ~c["run"].rlike(harmless))
-    both = F.filter(both, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+
+    def pieces(c):
+        # known shapes are cut out; what they are joined to is looked at on its own
+        known = F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        cuts = F.array_sort(F.transform(known, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+        part = lambda p: F.substring(c["run"], p["start"] - c["start"] + 1, p["end"] - p["start"])
+        return F.transform(_pieces(c, cuts), lambda p: F.struct(p["start"].alias("start"), part(p).alias("run")))
 
     def window(c):
         threshold = F.lit(9.0)
@@ -108,7 +126,7 @@ def _entropic(text: Column, base: Column) -> Column:
         w = windows_over(c["run"], threshold)
         return F.struct((c["start"] + w["first"]).alias("start"), (c["start"] + w["last"]).alias("end"))
 
-    spans = F.filter(F.transform(both, window), lambda s: s["start"].isNotNull())
+    spans = F.filter(F.transform(F.flatten(F.transform(both, pieces)), window), lambda s: s["start"].isNotNull())
     return F.when(text.rlike(CANDIDATE), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
