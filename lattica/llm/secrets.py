@@ -4,8 +4,9 @@ Known shapes (assignments to password-like names, access keys, hex runs) are
 regular expressions; their places come from splitting the text at the pattern
 and adding up lengths.  Other candidates are long runs of key characters: a
 window slides over each, its Shannon entropy kept up by incremental counts (one
-character enters, one leaves), against a threshold for the run's character
-class.  Placeholders and other harmless shapes are on an allow-list.
+character enters, one leaves), against a threshold for the window's character
+class.  Placeholders and other harmless shapes are on an allow-list; only they
+and known shapes are left out of a run, not what they are joined to.
 """
 
 from __future__ import annotations
@@ -25,19 +26,22 @@ WINDOW = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 # Character classes in the order they are tried, with the bits per character a window needs.
 CLASSES = [
+    ("letters", "^[^0-9]+$", 3.75),  # of a whole piece: words, paths and names are mostly below
     ("hex", "^[0-9a-fA-F]+$", 3.0),
     ("base32", "^[A-Z2-7=]+$", 3.5),
     ("base36", "^[0-9a-z]+$|^[0-9A-Z]+$", 3.6),
     ("base64", "^[A-Za-z0-9+/_=-]+$", 3.75),
 ]
-# Harmless shapes.
-ALLOWED = [
+# Harmless shapes, those that are cut out of a run and those of a whole run.
+ALLOWED_PARTS = [
     "(?i:example|placeholder|changeme|dummy|sample|redacted|x{6,})",
-    "(?i:^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$)",
     "(?i:abcdefghij|0123456789|1234567890)",
-    "^[^0-9]*$",  # words, paths and names: no key generator leaves out digits for so long
+]
+ALLOWED_RUNS = [
+    "(?i:^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$)",
     "^[0-9+/_=-]+$",  # numbers, dates and rules
 ]
+ALLOWED = ALLOWED_PARTS + ALLOWED_RUNS
 
 
 def _places(text: Column, pattern: str, hits: Column) -> Column:
@@ -67,14 +71,32 @@ def _assignments(text: Column) -> Column:
     return F.when(text.rlike(ASSIGN_HINT), long).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
-def windows_over(run: Column, threshold: Column) -> Column:
-    """(first, last): start of the first and end of the last window of ``run`` with that entropy; null if none."""
+def _outside(k: Column) -> dict[str, Column]:
+    """Of the k-th character of ALPHABET: the classes that a window with it is not of."""
+    upper, lower, digit = k < 26, (k >= 26) & (k < 52), (k >= 52) & (k < 62)
+    return {
+        "hex": ~((k < 6) | (k >= 26) & (k < 32) | digit),
+        "base32": ~(upper | (k >= 54) & (k < 60) | (k == ALPHABET.index("="))),
+        "lower36": ~(lower | digit),
+        "upper36": ~(upper | digit),
+        "numbers": upper | lower,
+    }
+
+
+def windows_over(run: Column, digits: Column) -> Column:
+    """(first, last): start of the first and end of the last window of ``run`` with the entropy of its class; null if none.
+
+    ``digits``: whether the run has any.
+    """
     chars = F.split(run, "")
     weigh = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
     # what a count of n adds to the sum, for all counts a window can have
     table = F.array(*[F.lit(0.0)] * 2, *[weigh(F.lit(n)) for n in range(2, WINDOW + 1)])
     g = lambda n: F.get(table, n)
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    bits = {name: F.lit(bits) for name, _, bits in CLASSES}
+    names = list(_outside(F.lit(0)))
+    # for each class the place of the last character outside of it
+    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), *[F.lit(-1).alias(name) for name in names])
 
     def step(acc, i):
         enters = F.instr(F.lit(ALPHABET), F.get(chars, i)) - 1
@@ -84,11 +106,16 @@ def windows_over(run: Column, threshold: Column) -> Column:
         change = F.when(enters == leaves, 0.0).otherwise(g(a + 1) - g(a) + F.when(leaves >= 0, g(b - 1) - g(b)).otherwise(0.0))
         s = acc["s"] + change
         counts = F.when(enters == leaves, acc["counts"]).otherwise(F.transform(acc["counts"], lambda n, k: n + (k == enters).cast("int") - (k == leaves).cast("int")))
+        out = {name: F.when(outside, i).otherwise(acc[name]) for name, outside in _outside(enters).items()}
+        within = {name: out[name] <= i - WINDOW for name in names}
+        own = F.when(within["hex"], bits["hex"]).when(within["base32"], bits["base32"]).when(within["lower36"] | within["upper36"], bits["base36"]).otherwise(bits["base64"])
+        threshold = F.when(within["numbers"], 9.0).when(digits, own).otherwise(bits["letters"])
         over = (i >= WINDOW - 1) & (F.lit(WINDOW).cast("double") * (F.log2(F.lit(float(WINDOW))) - threshold) - s >= -1e-9)
         return F.struct(
             counts.alias("counts"), s.alias("s"),
             F.coalesce(acc["first"], F.when(over, i - (WINDOW - 1))).alias("first"),
             F.when(over, i + 1).otherwise(acc["last"]).alias("last"),
+            *[out[name].alias(name) for name in names],
         )
 
     return F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
@@ -109,21 +136,20 @@ def _pieces(run: Column, cuts: Column) -> Column:
 def _entropic(text: Column, base: Column) -> Column:
     runs = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     both = F.zip_with(_places(text, CANDIDATE, runs), runs, lambda p, r: F.struct(p["start"].alias("start"), p["end"].alias("end"), r.alias("run")))
-    harmless = "|".join(f"(?:{shape})" for shape in ALLOWED)
-    both = F.filter(both, lambda c: ~c["run"].rlike(harmless))
+    any_of = lambda shapes: "|".join(f"(?:{shape})" for shape in shapes)
+    both = F.filter(both, lambda c: ~c["run"].rlike(any_of(ALLOWED_RUNS)))
 
     def pieces(c):
-        # known shapes are cut out; what they are joined to is looked at on its own
+        # known and harmless shapes are cut out; what they are joined to is looked at on its own
         known = F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        cuts = F.array_sort(F.transform(known, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+        known = F.transform(known, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))
+        harmless = F.transform(_found(c["run"], any_of(ALLOWED_PARTS)), lambda b: F.struct((c["start"] + b["start"]).alias("start"), (c["start"] + b["end"]).alias("end")))
+        cuts = F.array_sort(F.concat(known, harmless))
         part = lambda p: F.substring(c["run"], p["start"] - c["start"] + 1, p["end"] - p["start"])
-        return F.transform(_pieces(c, cuts), lambda p: F.struct(p["start"].alias("start"), part(p).alias("run")))
+        return F.transform(_pieces(c, cuts), lambda p: F.struct(p["start"].alias("start"), part(p).alias("run"), part(p).rlike("[0-9]").alias("digits")))
 
     def window(c):
-        threshold = F.lit(9.0)
-        for _, shape, bits in reversed(CLASSES):
-            threshold = F.when(c["run"].rlike(shape), F.lit(bits)).otherwise(threshold)
-        w = windows_over(c["run"], threshold)
+        w = windows_over(c["run"], c["digits"])
         return F.struct((c["start"] + w["first"]).alias("start"), (c["start"] + w["last"]).alias("end"))
 
     spans = F.filter(F.transform(F.flatten(F.transform(both, pieces)), window), lambda s: s["start"].isNotNull())
@@ -162,7 +188,10 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret in text replaced by ``mark`` (overlapping spans by one); texts without one stay, null too."""
+    """``docs`` with every secret in text replaced by ``mark`` (overlapping spans by one); texts without one stay, null too.
+
+    A high-entropy span takes along the rest of the letters and digits that its ends are in.
+    """
     columns = docs.columns
     into = "secrets"
     while into in columns:
@@ -171,11 +200,17 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     text = F.col("text")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
+    def whole(s):
+        before = F.length(F.regexp_extract(F.substring(text, F.lit(1), s["start"] + 1), "[A-Za-z0-9]*$", 0))
+        after = F.length(F.regexp_extract(F.substring(text, s["end"], F.length(text)), "^[A-Za-z0-9]*", 0))
+        wider = F.struct((s["start"] + 1 - F.greatest(before, F.lit(1))).alias("start"), s["kind"].alias("kind"), (s["end"] - 1 + F.greatest(after, F.lit(1))).alias("end"))
+        return F.when(s["kind"] == 3, wider).otherwise(s)
+
     def step(acc, s):
         fresh = s["start"] >= acc["at"]
         out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = F.aggregate(F.transform(spans, whole), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     found = find_secrets(docs.withColumn("text", text.cast("string")), into=into)
     return found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text)).select(*columns)
