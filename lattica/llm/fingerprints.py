@@ -1,7 +1,8 @@
 """Threshold-scaled sketches of documents, with DataFrame expressions only.
 
 A sketch keeps every hash of a five-word shingle below a fixed fraction of the
-hash range (if none is, the smallest hash).  Sketches of any two documents can
+hash range (if none is, the smallest hash).  The fraction is 1: with a smaller
+one short texts have no hash that a larger document's sketch is sure to hold.  Sketches of any two documents can
 be merged (union, then the same rule) and compared: the share of the smaller
 sketch that is in the other estimates containment, however unequal the
 documents are.
@@ -12,11 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: One of 2**SCALE hashes is kept; words of a shingle.
-SCALE, WORDS = 3, 5
+SCALE, WORDS = 0, 5
 #: Rows of an id range, id ranges from percentiles at most, and ranges that one of these is cut into at most.
 RANGE_ROWS, RANGES, CUTS = 1_000, 512, 256
 
 
+def _low(hashes: Column, scale: int) -> Column:
+    return F.filter(hashes, lambda h: F.shiftrightunsigned(h, 64 - scale) == 0) if scale else hashes  # a shift by 64 is one by 0
+
+
 def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
     """Sorted array of the kept 64-bit hashes (xxhash64) of lower-cased shingles; a shorter text is one shingle, no words give none."""
     own = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -30,8 +35,8 @@ def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
     hashes = F.get(F.transform(F.array(own), of), 0)
 
     def rule(all_hashes):
-        low = F.filter(all_hashes, lambda h: F.shiftrightunsigned(h, 64 - scale) == 0)
-        return F.get(F.transform(F.array(low), lambda x: F.when(F.size(x) > 0, F.array_sort(F.array_distinct(x))).when(F.size(all_hashes) > 0, F.array(F.array_min(all_hashes))).otherwise(x)), 0)
+        low = _low(all_hashes, scale)
+        return F.get(F.transform(F.array(low), lambda x: F.when(F.size(x) > 0, F.sort_array(F.array_distinct(x))).when(F.size(all_hashes) > 0, F.array(F.array_min(all_hashes))).otherwise(x)), 0)
 
     return F.get(F.transform(F.array(hashes), rule), 0)
 
@@ -39,8 +44,8 @@ def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
 def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Sketch of two documents together, from their sketches."""
     both = F.array_union(a, b)
-    low = F.filter(both, lambda h: F.shiftrightunsigned(h, 64 - scale) == 0)
-    return F.when(F.size(low) > 0, F.array_sort(low)).when(F.size(both) > 0, F.array(F.array_min(both))).otherwise(both)
+    low = _low(both, scale)
+    return F.when(F.size(low) > 0, F.sort_array(low)).when(F.size(both) > 0, F.array(F.array_min(both))).otherwise(both)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -50,6 +55,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(a: Column) -> Column:
+    """Hashes in 16 hex digits each, in unsigned order."""
+    a = F.concat(F.filter(a, lambda h: h >= 0), F.filter(a, lambda h: h < 0))
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
@@ -84,7 +91,8 @@ def with_next(docs: DataFrame, made: Column | None = None) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(before, "bucket long, previous long, head long"))
     heads = dealt.join(table, (dealt["bucket"] == table["bucket"]) & dealt["doc_id"].eqNullSafe(table["head"]))
     heads = heads.groupBy("previous").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("previous").alias("bucket"), F.lit(1).alias("extra"))
-    rows = dealt.withColumn("extra", F.lit(0)).unionByName(heads).withColumn("own", made)
+    # made behind the shuffle of the window below, so that only texts are moved
+    rows = dealt.withColumn("extra", F.lit(0)).unionByName(heads).repartition("bucket").withColumn("own", made)
     order = Window.partitionBy("bucket").orderBy("extra", F.asc_nulls_first("doc_id"), "text")
     rows = rows.withColumns({"next_text": F.lead("text").over(order), "next_own": F.lead("own").over(order)})
     return rows.where("extra = 0").select("doc_id", "text", "own", "next_text", "next_own")

@@ -443,6 +443,14 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprint_report(empty).count() == 0
 
 
+def test_short_text_within_long_one(spark):
+    rng = random.Random(13)
+    shorts = [prose(rng, n) for n in (5, 6, 8, 12, 20, 30) for _ in range(10)]
+    df = spark.createDataFrame([(a, prose(rng, 300) + " " + a) for a in shorts], "a string, b string")
+    like = fingerprints.likeness(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b")))
+    assert {r["l"] for r in df.select(like.alias("l")).collect()} == {1.0}
+
+
 def test_next_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
     monkeypatch.setattr(fingerprints, "RANGES", 5)
