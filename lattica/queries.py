@@ -420,6 +420,10 @@ _ALL_GEO = GraphExportOptions(frozenset({"Nation", "Supplier", "Region"}), froze
 _TRIP = f"""WITH {GEO} SELECT label, name AS text, balance AS number FROM gv WHERE label <> 'Customer'
     UNION ALL SELECT e.label, a.name || '>' || b.name, NULL FROM ge e JOIN gv a ON a.id = e.src JOIN gv b ON b.id = e.dst WHERE e.label <> 'LIVES_IN'"""
 
+_WHOLE_GEO = GraphExportOptions(_ALL_GEO.vertex_labels | {"Customer"}, _ALL_GEO.edge_labels | {"LIVES_IN"})
+_WHOLE_TRIP = f"""WITH {GEO} SELECT label, name AS text, balance AS number FROM gv
+    UNION ALL SELECT e.label, a.name || '>' || b.name, NULL FROM ge e JOIN gv a ON a.id = e.src JOIN gv b ON b.id = e.dst"""
+
 
 def _trip(graph: Graph) -> DataFrame:
     """What came back, told by names: ids are new."""
@@ -430,27 +434,54 @@ def _trip(graph: Graph) -> DataFrame:
     return v.drop("id").union(e.select("label", F.concat("a", F.lit(">"), "b"), F.lit(None).cast("double")))
 
 
-@_query(_TRIP)
-def csv_roundtrip(spark, sf_dir):
+def _csv(spark, sf_dir, options: GraphExportOptions) -> DataFrame:
     at = fresh_path(spark, "csv")
-    export_csv(views.geo(spark, sf_dir), f"{at}/v", f"{at}/e", _ALL_GEO)
+    export_csv(views.geo(spark, sf_dir), f"{at}/v", f"{at}/e", options)
     return _trip(import_csv(spark, f"{at}/v", f"{at}/e")[0])
 
 
 @_query(_TRIP)
-def ndjson_roundtrip(spark, sf_dir):
+def csv_roundtrip(spark, sf_dir):
+    return _csv(spark, sf_dir, _ALL_GEO)
+
+
+@_query(_WHOLE_TRIP)
+def csv_roundtrip_whole(spark, sf_dir):
+    return _csv(spark, sf_dir, _WHOLE_GEO)
+
+
+def _ndjson(spark, sf_dir, options: GraphExportOptions) -> DataFrame:
     at = fresh_path(spark, "ndjson")
-    export_ndjson(views.geo(spark, sf_dir), at, _ALL_GEO)
+    export_ndjson(views.geo(spark, sf_dir), at, options)
     return _trip(import_ndjson(spark, at, GraphImportOptions(max_edge_buffer_size=10**9))[0])
 
 
 @_query(_TRIP)
-def graphml_roundtrip(spark, sf_dir):
+def ndjson_roundtrip(spark, sf_dir):
+    return _ndjson(spark, sf_dir, _ALL_GEO)
+
+
+@_query(_WHOLE_TRIP)
+def ndjson_roundtrip_whole(spark, sf_dir):
+    return _ndjson(spark, sf_dir, _WHOLE_GEO)
+
+
+def _graphml(spark, sf_dir, options: GraphExportOptions) -> DataFrame:
     at = fresh_path(spark, "graphml")
-    export_graphml(views.geo(spark, sf_dir), at, _ALL_GEO)
+    export_graphml(views.geo(spark, sf_dir), at, options)
     return _trip(import_graphml(spark, at)[0])
 
 
+@_query(_TRIP)
+def graphml_roundtrip(spark, sf_dir):
+    return _graphml(spark, sf_dir, _ALL_GEO)
+
+
+@_query(_WHOLE_TRIP)
+def graphml_roundtrip_whole(spark, sf_dir):
+    return _graphml(spark, sf_dir, _WHOLE_GEO)
+
+
 def _faulty(spark, sf_dir) -> str:
     """Envelopes with each nation twice and edges to nations that aren't there."""
     nation, customer = views.table(spark, sf_dir, "nation"), views.table(spark, sf_dir, "customer")

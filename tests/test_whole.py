@@ -17,15 +17,16 @@ def sf_dir(spark, tmp_path_factory):
     save = lambda rows, ddl, name: spark.createDataFrame(rows, ddl).write.parquet(f"{at}/{name}.parquet")
     save([(o, p, s, 1.0, 0.0, "N") for o, p, s in ITEMS], "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_returnflag string", "lineitem")
     save([(p,) for p in PARTS], "p_partkey long", "part")
-    save([(s, s) for s in SUPPLIERS], "s_suppkey long, s_nationkey long", "supplier")
-    save(list(CUSTOMERS.items()), "c_custkey long, c_nationkey long", "customer")
+    save([(s, s, f"S{s}", 2.5) for s in SUPPLIERS], "s_suppkey long, s_nationkey long, s_name string, s_acctbal double", "supplier")
+    save([(c, n, f"C{c}", 1.5) for c, n in CUSTOMERS.items()], "c_custkey long, c_nationkey long, c_name string, c_acctbal double", "customer")
     save([(o, o) for o in CUSTOMERS], "o_orderkey long, o_custkey long", "orders")
-    save([(n, f"N{n}") for n in range(6)], "n_nationkey long, n_name string", "nation")
+    save([(n, f"N{n}", 0) for n in range(6)], "n_nationkey long, n_name string, n_regionkey long", "nation")
+    save([(0, "R0")], "r_regionkey long, r_name string", "region")
     return at
 
 
 def rows(spark, sf_dir, name):
-    return sorted(map(tuple, QUERIES[name](spark, sf_dir).collect()))
+    return sorted(map(tuple, QUERIES[name](spark, sf_dir).collect()), key=lambda r: [(x is not None, x) for x in r])
 
 
 def steps():
@@ -67,5 +68,13 @@ def test_trade(spark, sf_dir):
     assert [r[0] for r in rows(spark, sf_dir, "neighbors_out_d1_whole")] == ["nation:2"]
 
 
+@pytest.mark.parametrize("kind", ["csv", "ndjson", "graphml"])
+def test_round_trips(spark, sf_dir, kind):
+    want = [("Region", "R0", None), *(("Nation", f"N{n}", None) for n in range(6)), *(("IN_REGION", f"N{n}>R0", None) for n in range(6))]
+    want += [x for s in SUPPLIERS for x in (("Supplier", f"S{s}", 2.5), ("BASED_IN", f"S{s}>N{s}", None))]
+    want += [x for c, n in CUSTOMERS.items() for x in (("Customer", f"C{c}", 1.5), ("LIVES_IN", f"C{c}>N{n}", None))]
+    assert sorted(map(repr, rows(spark, sf_dir, f"{kind}_roundtrip_whole"))) == sorted(map(repr, want))
+
+
 def test_sql_is_whole():
     assert not any("l_quantity >= 50" in sql for name, sql in ORACLE_SQL.items() if name.endswith("_whole"))
