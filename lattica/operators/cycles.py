@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lattica.errors import require_text
 from lattica.graph import Graph
-from lattica.options import CycleOptions
+from lattica.options import UNBOUNDED, CycleOptions
 from lattica.plans.storage import stored
 
 
@@ -36,7 +36,8 @@ def detect_cycles(graph: Graph, options: CycleOptions | None = None, through: st
     if through is not None:
         closed = closed.where(F.array_contains("vertex_ids", require_text(through, "vertex id")))
     out = closed.select("vertex_ids", "edge_ids", F.size("edge_ids").alias("length"))
-    return out.orderBy("vertex_ids").limit(options.max_cycles)
+    out = out.orderBy("vertex_ids")
+    return out if options.max_cycles >= UNBOUNDED else out.limit(options.max_cycles)
 
 
 def cycles_through(graph: Graph, vertex_id: str, options: CycleOptions | None = None) -> DataFrame:

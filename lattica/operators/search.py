@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lattica.errors import require_text
 from lattica.graph import Graph
-from lattica.options import BfsDfsOptions
+from lattica.options import UNBOUNDED, BfsDfsOptions
 from lattica.plans.storage import stored
 
 VISIT_DDL = "visit_order long, vertex_id string, depth int, parent_id string"
@@ -25,7 +25,7 @@ def bfs(graph: Graph, start_id: str, options: BfsDfsOptions | None = None) -> Da
 
     The start is visited even if the graph lacks it.  At most max_vertices
     rows: each level is cut by a distributed top-k before it is numbered, so
-    no task numbers more than that.
+    no task numbers more than that; UNBOUNDED leaves a level as it is.
     """
     options = options or BfsDfsOptions()
     require_text(start_id, "start id")
@@ -38,7 +38,7 @@ def bfs(graph: Graph, start_id: str, options: BfsDfsOptions | None = None) -> Da
         ahead = steps.join(frontier.select(F.col("vertex_id").alias("a"), F.col("visit_order").alias("p")), "a")
         ahead = ahead.join(seen.select(F.col("vertex_id").alias("b")), "b", "left_anti")
         found = ahead.groupBy("b").agg(F.min(F.struct("p", edge_order().alias("e"), "a")).alias("m"))
-        level = found.orderBy("m.p", "m.e").limit(options.max_vertices - n)
+        level = found if options.max_vertices >= UNBOUNDED else found.orderBy("m.p", "m.e").limit(options.max_vertices - n)
         number = F.row_number().over(Window.orderBy("m.p", "m.e")).cast("long") + (n - 1)
         frontier = stored(level.select(number.alias("visit_order"), F.col("b").alias("vertex_id"), F.lit(depth).alias("depth"), F.col("m.a").alias("parent_id")), "frontier")
         size = frontier.count()

@@ -315,7 +315,7 @@ def components_strong(spark, sf_dir):
     SELECT v AS vertex_id, CAST(min(d) AS INTEGER) AS depth FROM walk GROUP BY v""")
 def bfs_levels(spark, sf_dir):
     graph = views.handoff(spark, sf_dir)
-    return bfs(graph, _origin(graph), BfsDfsOptions("HANDS_TO", max_depth=3)).select("vertex_id", "depth")
+    return bfs(graph, _origin(graph), BfsDfsOptions("HANDS_TO", max_depth=3, max_vertices=UNBOUNDED)).select("vertex_id", "depth")
 
 
 def _bfs_sql(levels: int, cap: int) -> str:
@@ -334,7 +334,7 @@ def _bfs_sql(levels: int, cap: int) -> str:
 @_query(_bfs_sql(3, 10_000))
 def bfs_parents(spark, sf_dir):
     graph = views.handoff(spark, sf_dir)
-    return bfs(graph, _origin(graph), BfsDfsOptions("HANDS_TO", max_depth=3))
+    return bfs(graph, _origin(graph), BfsDfsOptions("HANDS_TO", max_depth=3, max_vertices=UNBOUNDED))
 
 
 @_query(_bfs_sql(3, 12))
@@ -348,7 +348,7 @@ def bfs_capped(spark, sf_dir):
     every AS (SELECT 'region:1' AS v, 0 AS d, NULL AS p, 0 AS k, '' AS e UNION ALL SELECT v, 1, p, k, '' FROM n UNION ALL SELECT v, 2, p, k, e FROM l)
     SELECT row_number() OVER (ORDER BY k, e) - 1 AS visit_order, v AS vertex_id, CAST(d AS INTEGER) AS depth, p AS parent_id FROM every""")
 def dfs_tree_order(spark, sf_dir):
-    return dfs(views.geo(spark, sf_dir), "region:1", BfsDfsOptions(direction=Direction.INCOMING, max_depth=3, max_vertices=1_000_000))
+    return dfs(views.geo(spark, sf_dir), "region:1", BfsDfsOptions(direction=Direction.INCOMING, max_depth=3, max_vertices=UNBOUNDED))
 
 
 _CYCLES = f"""WITH RECURSIVE {TRADE}, c AS (SELECT src AS s, dst AS v, [src, dst] AS p FROM te WHERE dst >= src
@@ -358,7 +358,12 @@ _CYCLES = f"""WITH RECURSIVE {TRADE}, c AS (SELECT src AS s, dst AS v, [src, dst
 
 @_query(_CYCLES.format(depth=3) + " SELECT cycle, length FROM done")
 def cycles_le3(spark, sf_dir):
-    return detect_cycles(views.trade(spark, sf_dir), CycleOptions(max_depth=3, max_cycles=1_000_000)).select(path_text().alias("cycle"), "length")
+    return detect_cycles(views.trade(spark, sf_dir), CycleOptions(max_depth=3, max_cycles=UNBOUNDED)).select(path_text().alias("cycle"), "length")
+
+
+@_query(_CYCLES.format(depth=4) + " SELECT cycle, length FROM done")
+def cycles_le4(spark, sf_dir):
+    return detect_cycles(views.trade(spark, sf_dir), CycleOptions(max_depth=4, max_cycles=UNBOUNDED)).select(path_text().alias("cycle"), "length")
 
 
 @_query(_CYCLES.format(depth=3) + " SELECT cycle, length FROM done ORDER BY p LIMIT 5")
@@ -369,7 +374,7 @@ def cycles_capped(spark, sf_dir):
 @_query(_CYCLES.format(depth=3) + " SELECT cycle, length FROM done WHERE list_contains(p, (SELECT v FROM origin))")
 def cycles_through_vertex(spark, sf_dir):
     graph = views.trade(spark, sf_dir)
-    return cycles_through(graph, _origin(graph), CycleOptions(max_depth=3, max_cycles=1_000_000)).select(path_text().alias("cycle"), "length")
+    return cycles_through(graph, _origin(graph), CycleOptions(max_depth=3, max_cycles=UNBOUNDED)).select(path_text().alias("cycle"), "length")
 
 
 # Whole tables --------------------------------------------------------------------------------------------------------
@@ -395,6 +400,7 @@ for _name, _direction in (("both", Direction.BOTH), ("in", Direction.INCOMING),
 _whole("pagerank_topk", ORACLE_SQL["pagerank_topk"], lambda g: page_rank(g, PageRankOptions(iterations=5, tolerance=0.0, top_k=5)).select("vertex_id", _rounded(), "rank"))
 _whole("components_strong", ORACLE_SQL["components_strong"], lambda g: connected_components(g, ComponentOptions(weakly=False)).select("component_id", "vertex_id"))
 _whole("cycles_le3", ORACLE_SQL["cycles_le3"], lambda g: _paths(detect_cycles(g, CycleOptions(max_depth=3, max_cycles=UNBOUNDED)), "cycle"))
+_whole("cycles_le4", ORACLE_SQL["cycles_le4"], lambda g: _paths(detect_cycles(g, CycleOptions(max_depth=4, max_cycles=UNBOUNDED)), "cycle"))
 _whole("cycles_capped", ORACLE_SQL["cycles_capped"], lambda g: _paths(detect_cycles(g, CycleOptions(max_depth=3, max_cycles=5)), "cycle"))
 _whole("cycles_through_vertex", ORACLE_SQL["cycles_through_vertex"], lambda g: _paths(cycles_through(g, _origin(g), CycleOptions(max_depth=3, max_cycles=UNBOUNDED)), "cycle"))
 

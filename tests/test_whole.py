@@ -76,5 +76,13 @@ def test_round_trips(spark, sf_dir, kind):
     assert sorted(map(repr, rows(spark, sf_dir, f"{kind}_roundtrip_whole"))) == sorted(map(repr, want))
 
 
+def test_hot_user(spark, tmp_path):
+    n = 10_050  # user 0 hands to each of them
+    events = spark.range(2 * n).selectExpr("id as event_id", "timestamp_seconds(id) as ts", "if(id % 2 = 0, 0, (id + 1) div 2) as user_id", "'purchase' as event_type")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("bfs_levels", "bfs_parents"):
+        assert QUERIES[name](spark, str(tmp_path)).count() == n + 1
+
+
 def test_sql_is_whole():
     assert not any("l_quantity >= 50" in sql for name, sql in ORACLE_SQL.items() if name.endswith("_whole"))
