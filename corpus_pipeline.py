@@ -23,9 +23,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of five-word-shingle similarity 0.8 or more: that with the smallest id."""
-    again = near_dedup.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(again, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps exactly one row of each group of five-word-shingle similarity 0.8 or more: that with the smallest id, null ids last."""
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    # rows are told apart by a key that grows with the id
+    tagged = docs.withColumn(key, F.monotonically_increasing_id()).orderBy(F.col("doc_id").cast("long").asc_nulls_last(), key)
+    tagged = stored(tagged.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
+    again = near_dedup.near_duplicates(tagged.select(F.col(key).alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias(key))
+    return tagged.join(again, key, "left_anti").select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

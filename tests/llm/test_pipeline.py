@@ -62,6 +62,16 @@ def test_run(spark, sf_dir):
     assert 0 < len(want) < len(rows) - 10
 
 
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(14)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    rows = [(1, a), (None, a), (2, b), (2, b), (2, b + " more"), (None, c), (None, c), (3, d), (4, d), (4, e), (5, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], COLUMNS).repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()), key=str)
+    assert [(i, t) for i, t in got if i != 2] == sorted([(1, a), (None, c), (3, d), (4, e), (5, ""), (5, None)], key=str)
+    assert [i for i, _ in got].count(2) == 1
+
+
 def test_stages_keep_columns(spark, sf_dir):
     folder = sf_dir[0]
     docs = spark.read.parquet(f"{folder}/documents.parquet")
