@@ -6,6 +6,7 @@ reading it back; such a table survives the loss of any executor.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh temporary one only where none is named (tests)."""
+    """The cluster's shared folder.  Where none is named, a fresh temporary one in local mode (tests); elsewhere ValueError."""
     named = spark.sparkContext.getConf().get(_KEY, None) or spark.conf.get(_KEY, None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{_KEY} must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set(_KEY, named)
     return named.rstrip("/")
@@ -53,3 +56,24 @@ def discard(*tables: DataFrame) -> None:
             spark = df.sparkSession
             place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """Stored tables that are deleted one by one or together, once nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(out := stored(df, name))
+        return out
+
+    def stored_with_checksum(self, df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+        out, sums = stored_with_checksum(df, name)
+        self.tables.append(out)
+        return out, sums
+
+    def discard(self, *tables: DataFrame) -> None:
+        """These tables, or all."""
+        discard(*(tables or self.tables))
+        self.tables = [t for t in self.tables if "_stored_at" in t.__dict__]
