@@ -2,16 +2,24 @@
 
 Scores are BM25 contributions divided by the score an item gives itself, so
 one threshold holds for items of every length.  Postings are cut into blocks
-of neighbouring items that keep only their greatest contribution (block-max).
-As in WAND, a passage is scored only if upper bounds allow it to reach the threshold
-in some block.  Here the pivot test runs for all
-passages of a batch at once, and since all above the threshold are wanted the
-threshold never moves.  Passages are pairs of neighbouring tiles, and the
-bound of a pair is at most the sum of its tiles' bounds.
-
-A retrieved pair counts only if enough of the item's question and of its
+of neighbouring items that also keep only their greatest contribution (block-max).
+
+All passages above a fixed threshold are wanted, so WAND's threshold never
+moves, and the passages of a batch are served together.  For each passage
+* the lists of its terms are put in order of their maxima; up to the pivot the
+  maxima add up to less than the threshold, so a block that only these lists
+  are in is never visited, and a passage without a pivot is done;
+* the cursors from the pivot on walk their blocks; a block counts with their block
+  maxima and the list maxima up to the pivot;
+* where that reaches the threshold, the other cursors are moved to the
+  block and their block maxima take the place of list maxima;
+* only the blocks that still reach it are scored, from their postings.
+
+Passages are pairs of neighbouring tiles, and a tile is as long as the longest
+item.  A retrieved pair counts only if enough of the item's question and of its
 answer (its last sentence, or the last third of a single one) is in the
-passage, in runs of three words.
+passage, in runs of three words.  An item of fewer than five words must be
+there as a whole, in one run.
 
 The index is broadcast in shards of bounded size; passages meet every shard.
 """
@@ -24,16 +32,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lattica.llm.words import U, blocks, distinct, hash_words, shingle
+from lattica.llm.words import BLOCK_BYTES, U, distinct, hash_words, shingle
+from lattica.llm.workers import map_batches, pieces
 from lattica.plans.storage import stored
 
 K1, B = 1.2, 0.75
 #: Items of a block, words of a tile at least, items and bytes of a shard.
 BLOCK, TILE = 4, 64
-SHARD_ITEMS, SHARD_BYTES = 4096, 8 << 20
-_RUN = 3
-#: Passages scored at once.
-_TOGETHER = 2_000
+SHARD_ITEMS, SHARD_BYTES = 16_384, 16 << 20
+#: Words of a run that must be found; items of fewer words than SHORT must be found whole.
+_RUN, SHORT = 3, 5
+#: Sums held at once for blocks that cursors walk.
+_TOGETHER = 1_000_000
+_SLACK = 1e-9
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 
 
@@ -54,22 +65,31 @@ def _item_words(batches):
         flat = [p.encode() for pair in parts for p in pair]
         if not flat:
             continue
-        hashes, counts, *_ = hash_words(flat, "bare")
+        hashes, counts = hash_words(flat, "bare")
         lists = [h.view(np.int64) for h in np.split(hashes, np.cumsum(counts)[:-1])]
         yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(lists[::2], pa.list_(pa.int64())), pa.array(lists[1::2], pa.list_(pa.int64()))], schema=schema)
 
 
-def _runs(hashes: np.ndarray) -> np.ndarray:
-    return np.unique(shingle(hashes, min(_RUN, len(hashes)))) if len(hashes) else np.empty(0, U)
+def _runs(hashes: np.ndarray, run: int) -> np.ndarray:
+    return distinct(shingle(hashes, min(run, len(hashes)))) if len(hashes) else np.empty(0, U)
 
 
 class BlockMaxIndex:
-    """One shard of the index; plain arrays, so that it pickles well."""
+    """One shard of the index; plain arrays, so that it pickles well.
 
-    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], df: dict[int, int], n_items: int, mean_length: float):
-        self.ids = [i for i, _, _ in items]
-        self.parts = [(_runs(q), _runs(a)) for _, q, a in items]
-        self.runs = [(min(_RUN, len(q)), min(_RUN, len(a))) for _, q, a in items]
+    ``items``: (key, hashes of the question's words, of the answer's).  Terms are
+    numbered by the maxima of their lists, so that a passage's sorted terms are in the pivot's order.
+    """
+
+    def __init__(self, items: list[tuple[object, np.ndarray, np.ndarray]], df: dict[int, int], n_items: int, mean_length: float):
+        self.keys = [i for i, _, _ in items]
+        self.parts, self.runs = [], []
+        for _, q, a in items:
+            if len(q) + len(a) < SHORT:
+                q, a = np.concatenate([q, a]), np.empty(0, U)
+            run = _RUN if len(q) + len(a) >= SHORT else len(q)
+            self.parts.append((_runs(q, run), _runs(a, run)))
+            self.runs.append((min(run, len(q)), min(run, len(a))))
         self.longest = max((len(q) + len(a) for _, q, a in items), default=0)
         terms, of, weights = [], [], []
         for k, (_, q, a) in enumerate(items):
@@ -82,47 +102,76 @@ class BlockMaxIndex:
         terms = np.concatenate(terms) if terms else np.empty(0, U)
         of = np.concatenate(of) if of else np.empty(0, int)
         weights = np.concatenate(weights) if weights else np.empty(0)
-        self.terms, at = np.unique(terms, return_inverse=True)
-        order = np.lexsort((of, at))
-        self.post_term, self.post_item, self.post_weight = at[order], of[order], weights[order]
-        self.post_at = np.searchsorted(self.post_term, np.arange(len(self.terms) + 1))
-        self.n_blocks = -(-len(items) // BLOCK)
-        key = self.post_term * max(1, self.n_blocks) + self.post_item // BLOCK
+        self.words, at = np.unique(terms, return_inverse=True)
+        most = np.zeros(len(self.words))
+        np.maximum.at(most, at, weights)
+        by_most = np.argsort(most, kind="stable")
+        self.number = np.empty(len(by_most), np.int64)
+        self.number[by_most] = np.arange(len(by_most))
+        self.most = most[by_most]
+        term = self.number[at]
+        order = np.lexsort((of, term))
+        self.item, self.weight = of[order], weights[order]
+        self.n_blocks = max(1, -(-len(items) // BLOCK))
+        #: Postings in order of (term, block); blocks of a term with the place of their first posting and their maxima.
+        key = term[order] * self.n_blocks + self.item // BLOCK
         first = np.flatnonzero(np.diff(key, prepend=-1))
-        top = np.maximum.reduceat(self.post_weight, first) if len(first) else np.empty(0)
-        term, block = key[first] // max(1, self.n_blocks), key[first] % max(1, self.n_blocks)
-        width = np.bincount(term, minlength=len(self.terms))
-        common = width > max(8, self.n_blocks // 4)
-        #: Rows of the few terms that are in many blocks: what they add to each block's bound.
-        self.row = np.full(len(self.terms), -1)
-        self.row[common] = np.arange(common.sum())
-        self.shared = np.zeros((int(common.sum()), self.n_blocks), np.float32)
-        self.shared[self.row[term[common[term]]], block[common[term]]] = top[common[term]]
-        keep = ~common[term]
-        self.block, self.top = block[keep], top[keep]
-        self.block_at = np.searchsorted(term[keep], np.arange(len(self.terms) + 1))
+        self.key, self.first = key[first], np.append(first, len(key))
+        self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
+        self.list_at = np.searchsorted(self.key, np.arange(len(self.words) + 1) * self.n_blocks)
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Term numbers; -1 for words of no item."""
-        if not len(self.terms):
+        if not len(self.words):
             return np.full(len(hashes), -1)
-        at = np.searchsorted(self.terms, hashes)
-        at[at == len(self.terms)] = 0
-        return np.where(self.terms[at] == hashes, at, -1)
-
-    def bounds(self, tile: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        """Upper bounds (tiles x blocks) from the distinct terms of each tile."""
-        at, of = _spread(self.block_at, term)
-        out = np.bincount(tile[of] * self.n_blocks + self.block[at], self.top[at], n * self.n_blocks).reshape(n, self.n_blocks)
-        common = self.row[term] >= 0
-        there = np.zeros((n, len(self.shared)), np.float32)
-        there[tile[common], self.row[term[common]]] = 1
-        return out + there @ self.shared
-
-    def scores(self, passage: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        """Exact scores (passages x items) from the distinct terms of each passage."""
-        at, of = _spread(self.post_at, term)
-        return np.bincount(passage[of] * len(self.ids) + self.post_item[at], self.post_weight[at], n * len(self.ids)).reshape(n, len(self.ids))
+        at = np.searchsorted(self.words, hashes)
+        at[at == len(self.words)] = 0
+        return np.where(self.words[at] == hashes, self.number[at], -1)
+
+    def _seek(self, term: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cursors moved to a block each: their places, and which of them are in that block."""
+        key = term * self.n_blocks + block
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return at, self.key[at] == key
+
+    def search(self, passage: np.ndarray, term: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) of all pairs that reach the threshold, from the sorted distinct (passage, term) of n passages."""
+        least = threshold - _SLACK
+        most = self.most[term]
+        starts = np.searchsorted(passage, np.arange(n + 1))
+        summed = np.concatenate([[0.0], np.cumsum(most)])
+        upto = summed[1:] - summed[starts[passage]]
+        behind = upto >= least  # from the pivot on
+        rest = np.bincount(passage[~behind], most[~behind], n)
+        walking = np.flatnonzero(np.bincount(passage[behind], minlength=n))
+        out = []
+        group = max(1, _TOGETHER // self.n_blocks)
+        for some in np.split(walking, range(group, len(walking), group)):
+            number = np.full(n, -1)
+            number[some] = np.arange(len(some))
+            own = np.flatnonzero(behind & (number[passage] >= 0))
+            at, of = _spread(self.list_at, term[own])
+            sums = np.bincount(number[passage[own[of]]] * self.n_blocks + self.key[at] % self.n_blocks, self.top[at], len(some) * self.n_blocks)
+            # a block that no walking cursor is in has no sum and can't reach the threshold
+            found = np.flatnonzero((sums > 0) & (sums + np.repeat(rest[some], self.n_blocks) >= least))
+            if len(found):
+                out.append(self._scored(some[found // self.n_blocks], found % self.n_blocks, sums[found], starts, term, behind, threshold))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
+
+    def _scored(self, passage, block, bound, starts, term, behind, threshold):
+        at, of = _spread(starts, passage)
+        lagging = ~behind[at]
+        where, there = self._seek(term[at[lagging]], block[of[lagging]])
+        bound = bound + np.bincount(of[lagging][there], self.top[where[there]], len(block))
+        pick = np.flatnonzero(bound >= threshold - _SLACK)
+        passage, block = passage[pick], block[pick]
+        at, of = _spread(starts, passage)
+        where, there = self._seek(term[at], block[of])
+        posting, cursor = _spread(self.first, where[there])
+        of = of[there][cursor]
+        scores = np.bincount(of * BLOCK + self.item[posting] % BLOCK, self.weight[posting], len(pick) * BLOCK)
+        hit = np.flatnonzero(scores >= threshold)
+        return passage[hit // BLOCK], block[hit // BLOCK] * BLOCK + hit % BLOCK, scores[hit]
 
 
 def _spread(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,118 +182,120 @@ def _spread(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _searcher(threshold: float, question: float, answer: float):
-    """block_hits(ids, texts, index): (id, item_id, score, question overlap, answer overlap, first word) of each hit."""
+    """block_hits(texts, index): (text's number, item, score, question overlap, answer overlap, first word) of each hit."""
 
-    def block_hits(ids, texts, ix):
-        hashes, counts, *_ = hash_words(texts, "bare")
+    def block_hits(texts, ix):
+        hashes, counts = hash_words(texts, "bare")
         tile_words = max(TILE, ix.longest)
         tiles_of = np.maximum(1, -(-counts // tile_words))
         first_tile = np.cumsum(tiles_of) - tiles_of
         first_word = np.cumsum(counts) - counts
-        doc = np.repeat(np.arange(len(ids)), counts)
+        doc = np.repeat(np.arange(len(texts)), counts)
         tile = first_tile[doc] + (np.arange(len(hashes)) - first_word[doc]) // tile_words
         term = ix.lookup(hashes)
         known = term >= 0
-        pairs = distinct(tile[known] * len(ix.terms) + term[known])
-        if not len(pairs):
-            return
+        tile, term, size = tile[known], term[known], len(ix.words)
+        if not len(term):
+            return []
+        # a tile's terms count for its own passage and for that of the tile before, if that is of the same text
         n = int(tiles_of.sum())
-        p_tile, p_term = pairs // len(ix.terms), pairs % len(ix.terms)
-        upper = ix.bounds(p_tile, p_term, n)
-        last = np.zeros(n, bool)
-        last[first_tile + tiles_of - 1] = True
-        upper[:-1] += np.where(last[:-1, None], 0, upper[1:])
-        tile_doc = np.repeat(np.arange(len(ids)), tiles_of)
-        hits = np.flatnonzero((upper >= threshold - 1e-4).any(axis=1))
+        opens = np.zeros(n, bool)
+        opens[first_tile] = True
+        shared = ~opens[tile]
+        pairs = distinct(np.concatenate([tile * size + term, (tile[shared] - 1) * size + term[shared]]))
+        tile_doc = np.repeat(np.arange(len(texts)), tiles_of)
         best: dict[tuple[int, int], tuple] = {}
-        for some in np.split(hits, range(_TOGETHER, len(hits), _TOGETHER)):
-            number = np.full(n + 1, -1)
-            number[some] = np.arange(len(some))
-            # a tile's terms count for its own passage and for that of the tile before, if it is of the same text
-            before = np.where(np.concatenate([[True], last[:-1]]), n, np.arange(n) - 1)
-            p, t = np.concatenate([number[p_tile], number[before[p_tile]]]), np.concatenate([p_term, p_term])
-            own = distinct(p[p >= 0] * len(ix.terms) + t[p >= 0])
-            scores = ix.scores(own // len(ix.terms), own % len(ix.terms), len(some))
-            for m, k in zip(*np.nonzero(scores >= threshold)):
-                d = tile_doc[some[m]]
-                start = (some[m] - first_tile[d]) * tile_words
-                own = hashes[first_word[d] : first_word[d] + counts[d]][start : start + 2 * tile_words]
-                q, a = (np.isin(part, shingle(own, run)).mean() if len(part) else 1.0 for part, run in zip(ix.parts[k], ix.runs[k]))
-                if q >= question and a >= answer:
-                    row = (float(scores[m, k]), float(q), float(a), int(start))
-                    best[d, k] = max(best.get((d, k), row), row, key=lambda r: (r[0], -r[3]))
-        for (d, k), row in sorted(best.items()):
-            yield (ids[d], ix.ids[k], *row)
+        for p, k, score in zip(*ix.search(pairs // size, pairs % size, n, threshold)):
+            d = int(tile_doc[p])
+            start = (p - first_tile[d]) * tile_words
+            own = hashes[first_word[d] : first_word[d] + counts[d]][start : start + 2 * tile_words]
+            q, a = (np.isin(part, shingle(own, run)).mean() if len(part) else 1.0 for part, run in zip(ix.parts[k], ix.runs[k]))
+            if q >= question and a >= answer:
+                row = (float(score), float(q), float(a), int(start))
+                best[d, k] = max(best.get((d, k), row), row, key=lambda r: (r[0], -r[3]))
+        return [(d, k, *row) for (d, k), row in sorted(best.items())]
 
     return block_hits
 
 
 def _query(index, search):
-    columns = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())]
+    columns = [("doc_id", pa.int64()), ("key", pa.string()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())]
     schema = pa.schema(columns)
 
     def run(batches):
-        for batch in batches:
-            for block in blocks(zip(batch.column("doc_id").to_pylist(), (t or b"" for t in batch.column("text").to_pylist()))):
-                rows = list(search([i for i, _ in block], [t for _, t in block], index.value))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), columns)], schema=schema)
+        for piece in pieces(batches, BLOCK_BYTES):
+            ids = piece.column("doc_id").to_pylist()
+            rows = [(ids[d], index.value.keys[k], *row) for d, k, *row in search([t or b"" for t in piece.column("text").to_pylist()], index.value)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), columns)], schema=schema)
+
+    return run, "doc_id long, key string, score double, question_overlap double, answer_overlap double, first_word long"
 
-    return run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
+def _index(benchmark: DataFrame):
+    """(item_id, key) of all items with words, and the broadcast shards of the index of the different ones among them, made one by one.
 
-def _shards(benchmark: DataFrame, min_words: int):
-    """The index in broadcast shards of bounded size."""
+    Repeated items are one entry, so a shard's size is bounded by SHARD_ITEMS and
+    SHARD_BYTES (or by one item, if that is longer): entries are dealt evenly by a hash of their key.
+    """
     spark = benchmark.sparkSession
     parts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = parts.mapInArrow(_item_words, "item_id long, question array<long>, answer array<long>").withColumn("n", F.size("question") + F.size("answer")).where(f"n >= {min_words}")
-    items = stored(items, "items")
-    total = items.agg(F.count("*").alias("items"), F.avg("n").alias("mean"), F.sum("n").alias("words")).first()
-    shards = max(1, -(-total["items"] // (SHARD_ITEMS // 2)), -(-16 * (total["words"] or 0) // (SHARD_BYTES // 2)))
-    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(shards)))
-    words = items.select("shard", F.explode(F.array_distinct(F.concat("question", "answer"))).alias("word"))
-    df = words.groupBy("word").agg(F.count("*").alias("df"))
-    for shard in range(shards):  # each is bounded by SHARD_ITEMS and SHARD_BYTES: items are dealt evenly by a hash
-        own = items.where(F.col("shard") == shard).orderBy("item_id", "question").collect()
-        seen = {r["word"]: r["df"] for r in df.join(words.where(F.col("shard") == shard).select("word").distinct(), "word", "left_semi").toLocalIterator()}
-        as_hashes = lambda xs: np.array(xs, np.int64).view(U)
-        index = BlockMaxIndex([(r["item_id"], as_hashes(r["question"]), as_hashes(r["answer"])) for r in own], seen, total["items"], total["mean"] or 1.0)
-        yield spark.sparkContext.broadcast(index)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5, min_words: int = 5) -> DataFrame:
+    items = map_batches(parts, _item_words, "item_id long, question array<long>, answer array<long>").withColumn("n", F.size("question") + F.size("answer")).where("n > 0")
+    items = stored(items.withColumn("key", F.sha2(F.concat_ws(" ", F.concat_ws(" ", "question"), F.lit("|"), F.concat_ws(" ", "answer")), 256)), "items")
+
+    def shards():
+        entries = items.dropDuplicates(["key"]).select("key", "question", "answer", "n")
+        total = entries.agg(F.count("*").alias("items"), F.avg("n").alias("mean"), F.sum("n").alias("words")).first()
+        count = max(1, -(-total["items"] // (SHARD_ITEMS // 2)), -(-32 * (total["words"] or 0) // (SHARD_BYTES // 2)))
+        dealt = entries.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(count)))
+        words = dealt.select("shard", F.explode(F.array_distinct(F.concat("question", "answer"))).alias("word"))
+        df = words.groupBy("word").agg(F.count("*").alias("df"))
+        for shard in range(count):
+            own = dealt.where(F.col("shard") == shard).orderBy("n", "key").collect()
+            seen = {r["word"]: r["df"] for r in df.join(words.where(F.col("shard") == shard).select("word").distinct(), "word", "left_semi").toLocalIterator()}
+            as_hashes = lambda xs: np.array(xs, np.int64).view(U)
+            yield spark.sparkContext.broadcast(BlockMaxIndex([(r["key"], as_hashes(r["question"]), as_hashes(r["answer"])) for r in own], seen, total["items"], total["mean"] or 1.0))
+
+    return items.select("item_id", "key"), shards()
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5) -> DataFrame:
     """Pairs (doc_id, item_id) of training documents with a passage that holds a test item.
 
     Further columns: score (share of the item's own BM25 score), the shares of
     question and answer found, and the passage's first word; the best passage
-    of each pair counts.  Words are runs of ASCII letters and digits and of all
-    characters beyond ASCII, A-Z lower-cased.  Items without ``min_words`` such words
-    (null and empty ones too) are no evidence and are left out.  Null and empty
+    of each pair counts.  Words are runs of ASCII letters and digits and of
+    characters beyond ASCII, A-Z lower-cased; each character from U+3000 to U+DFFF is a word.  Items without
+    words (null and empty ones too) are no evidence and are left out.  Null and empty
     documents match nothing.  Repeated rows of either table give a pair each
     time; other columns are ignored; if a table is empty so is the result.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    items, shards = _index(benchmark)
     out = None
-    for index in _shards(benchmark, min_words):
+    for index in shards:
         run, schema = _query(index, _searcher(threshold, question, answer))
-        hits = source.mapInArrow(run, schema)
+        hits = map_batches(source, run, schema)
         out = hits if out is None else out.union(hits)
-    return out
+    return out.join(items, "key").select("doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5, min_words: int = 5) -> DataFrame:
-    """Rows of ``docs`` that :func:`contaminated` finds nothing in, as they are; nothing is shuffled."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` that :func:`contaminated` finds nothing in, as they are; nothing is shuffled.
+
+    Null and empty texts stay, repeated rows stay or go alike, further columns
+    come along whatever their names; an empty table gives none, an empty benchmark all rows.
+    """
     search = _searcher(threshold, question, answer)
 
     def without(index):
         def run(batches):
-            for batch in batches:
-                texts = ((i, (t or "").encode()) for i, t in enumerate(batch.column("text").to_pylist()))
-                hit = {row[0] for block in blocks(texts) for row in search([i for i, _ in block], [t for _, t in block], index.value)}
-                yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
+            for piece in pieces(batches, BLOCK_BYTES):
+                hit = {d for d, *_ in search([(t or "").encode() for t in piece.column("text").to_pylist()], index.value)}
+                yield piece.filter(pa.array([i not in hit for i in range(piece.num_rows)], pa.bool_()))
 
         return run
 
-    for index in _shards(benchmark, min_words):
-        docs = docs.mapInArrow(without(index), docs.schema)
+    for index in _index(benchmark)[1]:
+        docs = map_batches(docs, without(index), docs.schema)
     return docs

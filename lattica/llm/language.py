@@ -14,19 +14,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
-from lattica.llm.words import blocks
+from lattica.llm.workers import map_batches, pieces
 
 #: Trigram buckets of a language; labelled rows learned from for each language (a sample by a hash of the text); nats that a switch costs.
 BUCKETS, ROWS, SWITCH = 1 << 15, 2_000, 25.0
-#: Learned languages at most: the model is broadcast.
-LANGUAGES = 200
 _NARROW = -1e4
 #: A language uses a script if so much of its letters are of it.
 _USES = 0.001
+#: Bytes of text labelled, and scored, at once; shared out if there are more than 4 languages.
 _BLOCK, _SLICE = 6_000_000, 1_000_000
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
+_NO_LETTER = regex.compile(r"[^\x00-\x7f\p{L}\p{M}]")
 
 # First code points of script ranges, and scripts.
 SCRIPTS = [
@@ -48,9 +49,16 @@ _CLEAN[97:123] = np.arange(97, 123)
 _CLEAN[128:] = np.arange(128, 256)
 
 
+def _letters(text: str) -> str:
+    """Lower-cased, with a space for all beyond ASCII that is neither a letter nor a mark on one; empty if there is no letter."""
+    if not (_ASCII_LETTER.search(text) or any(map(str.isalpha, text))):
+        return ""
+    return (text if text.isascii() else _NO_LETTER.sub(" ", text)).lower()
+
+
 def _clean(texts: list[str]) -> np.ndarray:
-    """Lower-cased bytes of all texts with a space for what is no letter; a space before, between and after texts."""
-    return _CLEAN[np.frombuffer((" " + " ".join(texts) + " ").lower().encode(), np.uint8)]
+    """Bytes of all texts that _letters() made, with a space for what is no letter; a space before, between and after texts."""
+    return _CLEAN[np.frombuffer((" " + " ".join(texts) + " ").encode(), np.uint8)]
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -88,7 +96,7 @@ def _counts(batches):
     grams, scripts = {}, {}
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            data = _clean([text])
+            data = _clean([_letters(text)])
             starts, ends = _words(data)
             own = _grams(data)[data[1:-1] != 32]
             grams[lang] = grams.get(lang, 0) + np.bincount(own, minlength=BUCKETS)
@@ -110,16 +118,17 @@ def _sum(batches):
 def learn(labelled: DataFrame, rows: int = ROWS) -> Model:
     """Fit on (text, lang): at most about ``rows`` texts of each language, those whose text hashes low.
 
-    Rows without a language or a text teach nothing.  The model's size is
-    bounded by BUCKETS and LANGUAGES, whatever the number of rows.
+    Rows without a language or a text teach nothing; repeated rows count each
+    time; other columns are ignored.  Every language is learned, and takes 128 KB
+    of the model, which is broadcast.  An empty table gives a model without languages.
     """
     own = labelled.select("text", "lang").where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), np.float32))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows / n))])
-    sample = own.where((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20)) < F.element_at(share, F.col("lang")))
-    counts = sample.mapInArrow(_sum, "lang string, kind int, at int, n long").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toPandas()
+    shares = F.broadcast(labelled.sparkSession.createDataFrame([(lang, min(1.0, rows / n)) for lang, n in sorted(sizes.items())], "lang string, share double"))
+    sample = own.join(shares, "lang").where((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20)) < F.col("share")).select("text", "lang")
+    counts = map_batches(sample, _sum, "lang string, kind int, at int, n long").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(counts["lang"]))
     grams, scripts = np.zeros((BUCKETS, len(languages))), np.zeros((len(SCRIPT_NAMES), len(languages)))
     column = counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
@@ -133,11 +142,15 @@ def learn(labelled: DataFrame, rows: int = ROWS) -> Model:
     return Model(languages, gains.astype(np.float32), np.where(uses, 0, _NARROW).astype(np.float32))
 
 
+def _shared(size: int, model: Model) -> int:
+    return max(1_000, size * 4 // max(4, len(model.languages)))
+
+
 def word_scores(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out = np.empty((len(starts), len(model.languages)), np.float32)
-    at = 0
+    at, size = 0, _shared(_SLICE, model)
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + _SLICE)))
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + size)))
         base = starts[at] - 1
         gains = model.gains[_grams(data[base : ends[to - 1] + 1])]
         # a word's letters only: the gap up to the next word counts for nothing
@@ -183,15 +196,15 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH) ->
 
 def _predict(m: Model, texts: list[str]) -> list[tuple[str, float, str]]:
     """(language, share, spans) of each text of a block."""
-    texts = [t if _LETTER.search(t) else "" for t in texts]
+    texts = [_letters(t) for t in texts]
     size = len(m.languages)
-    # lower-casing can change a text's length: the bounds are those of what it becomes
-    bounds = np.cumsum([len(t.lower().encode()) + 1 for t in texts]) + 1
+    bounds = np.cumsum([len(t.encode()) + 1 for t in texts]) + 1
     data = _clean(texts)
     starts, ends = _words(data)
     counts = np.diff(np.searchsorted(starts, bounds), prepend=0)
     labels = viterbi(word_scores(m, data, starts, ends), counts) if size and len(starts) else np.zeros(len(starts), np.int32)
-    lengths, out = ends - starts, []
+    points = np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])  # characters, not bytes
+    lengths, out = points[ends] - points[starts], []
     for end, n in zip(np.cumsum(counts), counts):
         if not n or not size:
             out.append(("und", 0.0, ""))
@@ -207,28 +220,32 @@ def _predict(m: Model, texts: list[str]) -> list[tuple[str, float, str]]:
 
 def _label(model):
     columns = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.string())]
-    schema = pa.schema(columns)
 
     def run(batches):
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")))
-            for block in blocks(((i, h, t or "") for i, h, t in rows), _BLOCK):
-                out = [(i, h, *p) for (i, h, _), p in zip(block, _predict(model.value, [t for *_, t in block]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), columns)], schema=schema)
+        m = model.value
+        for piece in pieces(batches, _shared(_BLOCK, m)):
+            found = _predict(m, [t or "" for t in piece.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), *(pa.array(c, t) for c, (_, t) in zip(zip(*found), columns[2:]))], schema=pa.schema(columns))
 
     return run, "doc_id long, held_out boolean, lang_pred string, score double, spans string"
 
 
 def keep_identified(docs: DataFrame, model: Model, share: float) -> DataFrame:
-    """Rows of ``docs`` whose text has a language with at least that share of its letters, as they are; nothing is shuffled."""
+    """Rows of ``docs`` whose text has a language with at least that share of its letters, as they are; nothing is shuffled.
+
+    Null texts and texts without a letter go, repeated rows go or stay alike,
+    further columns come along whatever their names; an empty table gives none,
+    and so does a model without languages.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
-            found = [p for block in blocks(((t or "",) for t in batch.column("text").to_pylist()), _BLOCK) for p in _predict(sent.value, [t for t, in block])]
-            yield batch.filter(pa.array([lang != "und" and score >= share for lang, score, _ in found], pa.bool_()))
+        m = sent.value
+        for piece in pieces(batches, _shared(_BLOCK, m)):
+            found = _predict(m, [t or "" for t in piece.column("text").to_pylist()])
+            yield piece.filter(pa.array([lang != "und" and score >= share for lang, score, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -236,13 +253,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     score is the share of the text's letters in spans of lang_pred; spans lists
     ``language:first word:end word`` in order.  ``und`` with score 0 and no
-    spans stands for a null text, a text without a letter, and any text if
-    nothing was learned.  Ties go to the first language by name.
+    spans stands for a null text, a text without a letter (as str.isalpha()
+    says: other numerals, dashes and emoji are none), and any text if
+    nothing was learned.  Ties go to the first language by name.  A row for each
+    row of ``docs``, repeated ones alike; other columns are ignored; an empty table gives none.
     """
     held = F.col("held_out") if "held_out" in docs.columns else F.lit(False)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
     run, schema = _label(docs.sparkSession.sparkContext.broadcast(model))
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

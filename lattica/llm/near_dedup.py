@@ -8,14 +8,15 @@ Plan
    all are tested against a pivot: the member that shares most buckets, which
    in a group of near copies is its centre.  A bucket of one true group thus
    costs a star, not all its pairs.
-4. Small buckets with several groups left are tested pair by pair.  Larger
+4. Small buckets (FEW members) with several groups left are tested pair by pair.  Larger
    ones are gathered into clusters.  A cluster of bounded size goes to one
    task, which counts the intersections of every set outside of the largest group
    with all sets.  A larger one meets by the rarest shingles of its sets: two
    sets that reach the threshold share one of the first n - ceil(threshold * n)
    + 1 in any common order.  There 64, 4096, ... members outside of a bucket's
-   main group are tested against all others, until every bucket is one group.
-   No way loses a link between groups.
+   main group are tested against all others and taken out, until every bucket is one group.
+   No way loses a link between groups; a bucket of unlike texts ends with all its pairs of
+   similar size tested.
 5. Every tested pair is confirmed on the full shingle sets; confirmed links are
    contracted to components in Spark.
 
@@ -28,23 +29,29 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lattica.llm.words import U, blocks, hash_words, mix, powers, shingle_set
+from lattica.llm.words import BLOCK_BYTES, TABLES, U, Words, mix, shingle_set
+from lattica.llm.workers import map_batches, pieces
 from lattica.plans.components import star_contract
-from lattica.plans.storage import discard, stored
+from lattica.plans.storage import Scratch, stored
 
 _GOLDEN = 0x9E3779B97F4A7C15
-#: Bits of the filter that spares most documents the second shingling (fixed: 8 MB; a full filter only costs time).
-FILTER_BITS = 1 << 26
+#: Bits for each candidate in the filter that spares the other documents the second shingling, and bits of the filter at
+#: most (32 MB; a fuller filter only costs time).
+FILTER_EACH, FILTER_MOST = 16, 1 << 28
 #: Members of a bucket that are tested pair by pair; shingles and members of a cluster that one task settles (24 MB).
 FEW, CLUSTER_SHINGLES, CLUSTER_MEMBERS = 8, 3_000_000, 20_000
 #: Elements whose whole permutations are held at once.
-_HELD = 40_000
+_HELD = 20_000
+#: Sets of so few shingles are named by their text: no 64-bit hash decides alone.
+_FEW_SHINGLES = 3
 
 
 def bands_for(threshold: float, rows: int, miss: float) -> int:
@@ -120,54 +127,62 @@ def _small(out, own, x, of, m):
                 row = np.arange(len(x))
 
 
-def _digest(s: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(s.tobytes())
+def _digest(s: np.ndarray, text: bytes, k: int) -> bytes | None:
+    """128 bits that name the set: of its shingles' hashes, or of the shingles themselves if it has only a few."""
+    if len(s) > _FEW_SHINGLES:
+        return xxhash.xxh3_128_digest(s.tobytes())
+    words = text.translate(TABLES["folded"]).split()
+    if not words:
+        return None
+    own = {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+    return xxhash.xxh3_128_digest(b"\n".join(sorted(own)))
 
 
-def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(ids, shingle sets) of the batch, block by block."""
-    for block in blocks(zip(batch.column("doc_id").to_pylist(), (t or b"" for t in batch.column("text").to_pylist()))):
-        hashes, counts, *_ = hash_words([t for _, t in block], "folded")
-        ends = np.cumsum(counts)
-        yield [i for i, _ in block], [shingle_set(hashes[e - c : e], k) for e, c in zip(ends, counts)]
+def _sets(batches, k: int) -> Iterator[tuple[list, list[np.ndarray], list[bytes | None]]]:
+    """(ids, shingle sets, digests of the sets), some texts at a time."""
+    for piece in pieces(batches, BLOCK_BYTES):
+        texts = [t or b"" for t in piece.column("text").to_pylist()]
+        words = Words(texts, "folded")
+        hashes, ends = words.half(0), np.cumsum(words.counts)
+        sets = [shingle_set(hashes[e - c : e], k) for e, c in zip(ends, words.counts)]
+        yield piece.column("doc_id").to_pylist(), sets, [_digest(s, t, k) for s, t in zip(sets, texts)]
 
 
 def _signatures(k: int, bands: int, rows: int):
     m = bands * rows
-    weights = powers(0xD1342543DE82EF95, rows)
+    weights = mix(np.arange(1, rows + 1, dtype=U) * U(_GOLDEN)) | U(1)
     salt = mix(np.arange(1, bands + 1, dtype=U))
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
-            for ids, sets in _sets(batch, k):
-                full = [i for i, s in enumerate(sets) if len(s)]
-                keys = np.empty((0, bands), np.int64)
-                if full:
-                    sig = super_minhash([sets[i] for i in full], m)
-                    keys = mix((sig.reshape(-1, bands, rows) * weights).sum(axis=2, dtype=U) + salt).view(np.int64)
-                at = dict(zip(full, keys))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([at.get(i) for i in range(len(sets))], pa.list_(pa.int64())),
-                ], schema=schema)
+        for ids, sets, digests in _sets(batches, k):
+            full = [i for i, s in enumerate(sets) if len(s)]
+            keys = np.empty((0, bands), np.int64)
+            if full:
+                sig = super_minhash([sets[i] for i in full], m)
+                keys = mix((sig.reshape(-1, bands, rows) * weights).sum(axis=2, dtype=U) + salt).view(np.int64)
+            at = dict(zip(full, keys))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                pa.array([at.get(i) for i in range(len(sets))], pa.list_(pa.int64())),
+            ], schema=schema)
 
     return run, "doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
-def _bits(digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return digest[:, 0] % U(FILTER_BITS), digest[:, 1] % U(FILTER_BITS)
+def _bits(digest: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return digest[:, 0] % U(size), digest[:, 1] % U(size)
 
 
 def _filter_of(digests: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over the digests, or-ed together in Spark."""
+    """A Bloom filter over the digests, or-ed together in Spark; its size, a power of two of bits, follows their number up to FILTER_MOST."""
+    size = min(FILTER_MOST, 1 << max(16, (FILTER_EACH * digests.count()).bit_length()))
     hexed = F.hex("digest")
     # the digest's two halves as little-endian numbers modulo the size, as _bits() reads them: only low bytes count
-    bit = lambda at: F.conv(F.concat(*[F.substring(hexed, at + 2 * i, 2) for i in (3, 2, 1, 0)]), 16, 10).cast("long") % FILTER_BITS
+    bit = lambda at: F.conv(F.concat(*[F.substring(hexed, at + 2 * i, 2) for i in (3, 2, 1, 0)]), 16, 10).cast("long") % size
     words = digests.select(F.explode(F.array(bit(1), bit(17))).alias("bit")).groupBy(F.expr("bit div 64").alias("word"))
     rows = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return out.view(U)
 
@@ -177,16 +192,15 @@ def _full_sets(k: int, kept):
 
     def run(batches):
         bits = kept.value
-        for batch in batches:
-            for _, sets in _sets(batch, k):
-                sets = [s for s in sets if len(s)]
-                if not sets:
-                    continue
-                digests = [_digest(s) for s in sets]
-                a, b = _bits(np.frombuffer(b"".join(digests), U).reshape(-1, 2))
-                hit = ((bits[a >> U(6)] >> (a & U(63))) & (bits[b >> U(6)] >> (b & U(63))) & U(1)).astype(bool)
-                if hit.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([d for d, h in zip(digests, hit) if h], pa.binary()), pa.array([s.view(np.int64) for s, h in zip(sets, hit) if h], pa.list_(pa.int64()))], schema=schema)
+        for _, sets, digests in _sets(batches, k):
+            found = [(d, s) for d, s in zip(digests, sets) if d is not None]
+            if not found:
+                continue
+            a, b = _bits(np.frombuffer(b"".join(d for d, _ in found), U).reshape(-1, 2), 64 * len(bits))
+            hit = ((bits[a >> U(6)] >> (a & U(63))) & (bits[b >> U(6)] >> (b & U(63))) & U(1)).astype(bool)
+            found = [x for x, h in zip(found, hit) if h]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], schema=schema)
 
     return run, "digest binary, shingles array<long>"
 
@@ -203,7 +217,8 @@ def _confirm(percent: int):
                 both = np.sort(np.concatenate([x, y]))
                 common = int((both[1:] == both[:-1]).sum())
                 yes.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(yes)) for c in columns], schema=schema)
+            found = pc.filter(batch.select(list(columns)), pa.array(yes, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(found.columns, schema=schema)
 
     return run, "a binary, b binary, ra binary, rb binary"
 
@@ -214,17 +229,17 @@ def _heaviest(left: DataFrame, *by) -> DataFrame:
     return heads.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("digest", "n", "root")])
 
 
-def _test(left: DataFrame, heads: DataFrame, sets: DataFrame, percent: int, tested: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _test(keep: Scratch, left: DataFrame, heads: DataFrame, sets: DataFrame, percent: int, tested: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs tested, pairs confirmed): all members of a bucket against its heads, if they aren't in one group and can reach the threshold by size."""
     near = f"digest <> p_digest and root <> p_root and 100 * n >= {percent} * p_n and 100 * p_n >= {percent} * n"
     low, high = F.least("digest", "p_digest").alias("a"), F.greatest("digest", "p_digest").alias("b")
     pairs = left.join(heads, "key").where(near).select(low, high, F.least("root", "p_root").alias("ra"), F.greatest("root", "p_root").alias("rb")).distinct()
     if tested is not None:
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = stored(pairs, "pairs")
+    pairs = keep.stored(pairs, "pairs")
     x, y = (sets.select(F.col("digest").alias(c), F.col("shingles").alias(v)) for c, v in (("a", "x"), ("b", "y")))
     run, schema = _confirm(percent)
-    return pairs, stored(pairs.join(x, "a").join(y, "b").select("a", "b", "ra", "rb", "x", "y").mapInArrow(run, schema), "links")
+    return pairs, keep.stored(map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "ra", "rb", "x", "y"), run, schema), "links")
 
 
 def _unsettled(left: DataFrame) -> DataFrame:
@@ -281,23 +296,23 @@ def _settle(percent: int):
     return run, "a binary, b binary"
 
 
-def _clusters(left: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _clusters(keep: Scratch, left: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(members of clusters too large for one task, links within the others); a cluster is what buckets connect."""
     least = left.groupBy("key").agg(F.min("root").alias("b"))
     roots = star_contract(left.join(least, "key").select(F.col("root").alias("a"), "b").distinct())
-    cluster = stored(left.join(roots.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root"), "clusters")
+    cluster = keep.stored(left.join(roots.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root"), "clusters")
     members = cluster.groupBy("cluster", "digest").agg(F.max("n").alias("n"), F.max("root").alias("root"))
     weights = members.groupBy("cluster").agg(F.sum("n").alias("shingles"), F.count("*").alias("c"))
     light = (F.col("shingles") <= CLUSTER_SHINGLES) & (F.col("c") <= CLUSTER_MEMBERS)
     own = members.join(weights.where(light).select("cluster"), "cluster", "left_semi").join(sets, "digest")
     run, schema = _settle(percent)
-    within = stored(own.select("cluster", "digest", "root", "shingles").groupBy("cluster").applyInArrow(run, schema), "links")
+    within = keep.stored(own.select("cluster", "digest", "root", "shingles").groupBy("cluster").applyInArrow(run, schema), "links")
     return cluster.join(weights.where(~light).select("cluster"), "cluster", "left_semi").select("key", "digest", "n", "weight", "root"), within
 
 
-def _rare_shingles(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rare_shingles(keep: Scratch, left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The members of ``left`` in buckets of the rarest shingles of their sets."""
-    members = stored(left.groupBy("digest").agg(F.max("n").alias("n"), F.max("weight").alias("weight"), F.max("root").alias("root")), "members")
+    members = keep.stored(left.groupBy("digest").agg(F.max("n").alias("n"), F.max("weight").alias("weight"), F.max("root").alias("root")), "members")
     each = members.join(sets, "digest").select("digest", F.explode("shingles").alias("key"))
     often = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     ranked = each.join(often, "key", "left").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "key"))).alias("all"))
@@ -307,6 +322,50 @@ def _rare_shingles(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return keys.join(members, "digest").select("key", "digest", "n", "weight", "root")
 
 
+def _links(source: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between digests that join all classes of each group; everything else that was stored is deleted."""
+    keep = Scratch()
+    held = classes.select("digest", "n", F.explode("bands").alias("key"))
+    shared = held.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = keep.stored(held.join(shared, "key"), "buckets")
+    central = buckets.groupBy("digest").agg(F.sum("members").alias("weight"))
+    left = keep.stored(buckets.join(central, "digest").select("key", "digest", "n", "weight", F.col("digest").alias("root")), "buckets")
+    keep.discard(buckets)
+    central = left.select("digest").distinct()
+    run, schema = _full_sets(words, source.sparkSession.sparkContext.broadcast(_filter_of(central)))
+    full = map_batches(source, run, schema).groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    sets = keep.stored(full.join(central, "digest", "left_semi"), "sets")
+    heads = _heaviest(left, "key")
+    pairs, found = _test(keep, left, heads, sets, percent)
+    rest = keep.stored(left.join(heads.select("key", F.col("p_digest").alias("digest")), ["key", "digest"], "left_anti"), "buckets")
+    keep.discard(left)
+    left, rest = rest, keep.stored(_unsettled(_renamed(rest, found)), "buckets")
+    keep.discard(left)
+    sizes = rest.groupBy("key").agg(F.count("*").alias("c"))
+    few = rest.join(sizes.where(F.col("c") <= FEW).select("key"), "key", "left_semi")
+    more_pairs, more = _test(keep, few, few.select("key", *[F.col(c).alias(f"p_{c}") for c in ("digest", "n", "root")]), sets, percent, pairs)
+    tested, links = pairs.union(more_pairs), found.union(more).select("a", "b")
+    rest = keep.stored(rest.join(sizes.where(F.col("c") > FEW).select("key"), "key", "left_semi"), "buckets")
+    rest = keep.stored(_unsettled(_renamed(rest, more)), "buckets")
+    left, within = _clusters(keep, rest, sets, percent)
+    links = links.union(within)
+    left = keep.stored(_rare_shingles(keep, left, sets, percent), "buckets")
+    for turn in count(1):
+        left = keep.stored(_unsettled(left), "buckets")
+        if left.isEmpty():
+            break
+        main = _heaviest(left, "key").select("key", F.col("p_root").alias("main"))
+        # each turn tests one member of every part and takes it out; from some turn on every member is a part's only one
+        part = F.pmod(F.xxhash64("digest", "key"), F.lit(1 << min(60, 6 * turn)))
+        heads = _heaviest(left.join(main, "key").where("root <> main"), "key", part.alias("part"))
+        pairs, found = _test(keep, left, heads, sets, percent, tested)
+        rest = keep.stored(left.join(heads.select("key", F.col("p_digest").alias("digest")), ["key", "digest"], "left_anti"), "buckets")
+        left, tested, links = _renamed(rest, found), tested.union(pairs), links.union(found.select("a", "b"))
+    out = stored(links, "links")
+    keep.discard()
+    return out
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 6, miss: float = 1e-9) -> DataFrame:
     """Group near-duplicate documents.
 
@@ -327,42 +386,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     bands = bands_for(percent / 100, rows, miss)
     run, schema = _signatures(words, bands, rows)
-    signed = stored(source.mapInArrow(run, schema), "signatures")
+    signed = stored(map_batches(source, run, schema), "signatures")
     classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    held = classes.select("digest", "n", F.explode("bands").alias("key"))
-    shared = held.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = stored(held.join(shared, "key"), "buckets")
-    central = buckets.groupBy("digest").agg(F.sum("members").alias("weight"))
-    left = stored(buckets.join(central, "digest").select("key", "digest", "n", "weight", F.col("digest").alias("root")), "buckets")
-    run, schema = _full_sets(words, docs.sparkSession.sparkContext.broadcast(_filter_of(central.select("digest"))))
-    sets = stored(source.mapInArrow(run, schema).groupBy("digest").agg(F.first("shingles").alias("shingles")).join(central, "digest", "left_semi"), "sets")
-    discard(buckets)
-    heads = _heaviest(left, "key")
-    pairs, found = _test(left, heads, sets, percent)
-    rest = left.join(heads.select("key", F.col("p_digest").alias("digest")), ["key", "digest"], "left_anti")
-    rest = stored(_unsettled(_renamed(stored(rest, "buckets"), found)), "buckets")
-    sizes = rest.groupBy("key").agg(F.count("*").alias("c"))
-    few = rest.join(sizes.where(F.col("c") <= FEW).select("key"), "key", "left_semi")
-    more_pairs, more = _test(few, few.select("key", *[F.col(c).alias(f"p_{c}") for c in ("digest", "n", "root")]), sets, percent, pairs)
-    tested, links = pairs.union(more_pairs), found.union(more).select("a", "b")
-    rest = rest.join(sizes.where(F.col("c") > FEW).select("key"), "key", "left_semi")
-    rest = stored(_unsettled(_renamed(stored(rest, "buckets"), more)), "buckets")
-    left, within = _clusters(rest, sets, percent)
-    links = links.union(within)
-    left = stored(_rare_shingles(left, sets, percent), "buckets")
-    for turn in range(9):
-        left = stored(_unsettled(left), "buckets")
-        if left.isEmpty():
-            break
-        main = _heaviest(left, "key").select("key", F.col("p_root").alias("main"))
-        part = F.pmod(F.xxhash64("digest", "key"), F.lit(1 << 6 * (turn + 1)))
-        heads = _heaviest(left.join(main, "key").where("root <> main"), "key", part.alias("part"))
-        pairs, found = _test(left, heads, sets, percent, tested)
-        rest = left.join(heads.select("key", F.col("p_digest").alias("digest")), ["key", "digest"], "left_anti")
-        left, tested, links = _renamed(stored(rest, "buckets"), found), tested.union(pairs), links.union(found.select("a", "b"))
-    else:
-        raise RuntimeError("buckets left over")
-    roots = star_contract(links.select("a", "b"))
+    roots = star_contract(_links(source, classes, words, percent))
     ids = classes.select("digest", "least_id")
     named = ids.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))

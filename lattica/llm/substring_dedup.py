@@ -29,11 +29,10 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from lattica.llm.packing import pack, pack_sorted, unpack, unpack_sorted
-from lattica.llm.words import U, blocks, hash_words, shingle, windows
+from lattica.llm.words import U, Words, blocks, shingle
 
 #: Words of an anchor's run, bits of a cell's number, bytes of text in a block.
 RUN, CELL_BITS, BLOCK_TEXT = 8, 44, 16_000_000
-_BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 
 _BLOCK = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("many", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary()))])
 _BLOCK_DDL = "block long, part int, keys binary, more binary, many binary, doc_ids array<long>, texts array<binary>"
@@ -57,7 +56,8 @@ class _Chunk:
     """Windows and anchors of some texts at once; windows over the end of a text don't count."""
 
     def __init__(self, texts: list[bytes], k: int):
-        self.hashes, self.counts, *_ = hash_words(texts, "plain")
+        words = Words(texts, "plain")
+        self.words, self.hashes, self.counts = words, words.half(0), words.counts
         n, self.k = len(self.hashes), k
         ends = np.cumsum(self.counts)
         self.end_of = np.repeat(ends, self.counts)
@@ -86,7 +86,7 @@ class _Chunk:
             return np.empty(0, np.int64), np.empty(0, U), np.empty(0, U)
         at = np.minimum(np.searchsorted(cells, self.anchors), len(cells) - 1)
         starts = self.starts[cells[at] == self.anchors]
-        return starts, *(windows(self.hashes, self.k, b)[starts] for b in _BASES)
+        return starts, shingle(self.hashes, self.k)[starts], shingle(self.words.half(1), self.k, 1)[starts]
 
 
 def _deal(block: int, parts: int, key: np.ndarray, more: np.ndarray | None, many: np.ndarray) -> list[tuple]:

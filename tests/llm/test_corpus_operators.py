@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm import decontaminate, fingerprints, language, near_dedup, secrets, substring_dedup, token_counts, token_records, warc, word_table
-from lattica.llm.words import U
+from lattica.llm.words import TABLES, U, Words
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -179,23 +179,82 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.contaminated(df, bench.where("false")).count() == 0
 
 
-def test_block_bounds_hold():
-    rng = np.random.default_rng(0)
-    items = [(i, rng.integers(1, 400, 25).astype(U), rng.integers(1, 60, 10).astype(U)) for i in range(70)]
+def bare_words(text):
+    """As TABLES["bare"] has them, without its characters that are words of their own."""
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def brute_hits(docs, items, threshold=0.5):
+    """{(doc number, item number): (score, question overlap, answer overlap, first word)}: BM25 of all passages with all items."""
+    split = [tuple(bare_words(p) for p in decontaminate.split_item(t or "")) for t in items]
+    split = [(n, q, a) for n, (q, a) in enumerate(split) if q or a]
+    k1, b = 1.2, 0.75
+    entries = {(tuple(q), tuple(a)) for _, q, a in split}
+    lengths = [len(q) + len(a) for q, a in entries]
+    mean = sum(lengths) / max(1, len(lengths))
     df = {}
-    for _, q, a in items:
-        for w in np.unique(np.concatenate([q, a])).view(np.int64).tolist():
+    for q, a in entries:
+        for w in {*q, *a}:
             df[w] = df.get(w, 0) + 1
-    index = decontaminate.BlockMaxIndex(items, df, len(items), 35.0)
-    for _ in range(50):
-        terms = np.unique(index.lookup(rng.integers(1, 400, 60).astype(U)))
-        terms = terms[terms >= 0]
-        scores = index.scores(np.zeros(len(terms), int), terms, 1)[0]
-        upper = index.bounds(np.zeros(len(terms), int), terms, 1)[0]
-        assert all(scores[k] <= upper[k // decontaminate.BLOCK] + 1e-6 for k in range(len(items)))
-    own = index.lookup(np.unique(np.concatenate(items[4][1:])))
-    own = index.scores(np.zeros(len(own), int), own, 1)[0]
-    assert own.argmax() == 4 and abs(own[4] - 1) < 1e-9
+    tile, out = max([decontaminate.TILE, *lengths]), {}
+    for d, text in enumerate(docs):
+        words = bare_words(text)
+        for start in range(0, max(1, len(words)), tile):
+            own = words[start : start + 2 * tile]
+            for k, q, a in split:
+                every = q + a
+                weight = {w: np.log1p((len(entries) - df[w] + 0.5) / (df[w] + 0.5)) * every.count(w) * (k1 + 1) / (every.count(w) + k1 * (1 - b + b * len(every) / mean)) for w in set(every)}
+                score = sum(x for w, x in weight.items() if w in set(own)) / sum(weight.values())
+                if score < threshold:
+                    continue
+                if len(every) < 5:
+                    q, a = every, []
+                runs = lambda x, n: {tuple(x[i : i + n]) for i in range(len(x) - n + 1)}
+                shares = []
+                for part in (q, a):
+                    n = min(3 if len(every) >= 5 else len(every), len(part))
+                    shares.append(len(runs(part, n) & runs(own, n)) / len(runs(part, n)) if part else 1.0)
+                if min(shares) >= 0.5:
+                    row = (round(score, 9), round(shares[0], 9), round(shares[1], 9), start)
+                    out[d, k] = max(out.get((d, k), row), row, key=lambda r: (r[0], -r[3]))
+    return out
+
+
+def test_decontamination_is_bm25(spark, monkeypatch):
+    """Scores, overlaps and passages of all pairs, on texts that share many words with many items, over several shards."""
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 40)
+    rng = random.Random(21)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    items = [f"{say(rng.randrange(1, 20))}. {say(rng.randrange(1, 9))}!" for _ in range(70)] + [say(1), say(2), "Yes.", None, "", "...", prose(rng, 90)]
+    items += items[3:6]
+    docs = []
+    for i in range(80):
+        text = say(rng.randrange(0, 300))
+        for _ in range(rng.randrange(3)):
+            text += " " + (rng.choice(items) or "") + " " + say(rng.randrange(60))
+        docs.append(text.upper() if i % 9 == 0 else text)
+    docs += [None, "", "yes", "no"]
+    frame = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(docs)], "doc_id long, text string, key string").repartition(3)
+    bench = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(items)], "item_id long, text string, key string")
+    got = {(r["doc_id"], r["item_id"]): (round(r["score"], 9), round(r["question_overlap"], 9), round(r["answer_overlap"], 9), r["first_word"]) for r in decontaminate.contaminated(frame, bench).collect()}
+    # shards tile by their own longest item: compare what doesn't depend on it
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 10**6)
+    whole = {(r["doc_id"], r["item_id"]): (round(r["score"], 9), round(r["question_overlap"], 9), round(r["answer_overlap"], 9), r["first_word"]) for r in decontaminate.contaminated(frame, bench).collect()}
+    assert whole == brute_hits(docs, items) and len(whole) > 100
+    exact = {(d, k) for d, t in enumerate(docs) for k, x in enumerate(items) if bare_words(x) and f" {' '.join(bare_words(x))} " in f" {' '.join(bare_words(t))} "}
+    assert exact <= set(got) and exact <= set(whole)
+    kept = {r["doc_id"] for r in decontaminate.drop_contaminated(frame, bench).select("doc_id", "key").collect()}
+    assert kept == set(range(len(docs))) - {d for d, _ in got}
+    assert decontaminate.drop_contaminated(frame, bench.where("false")).count() == len(docs)
+    assert decontaminate.drop_contaminated(frame.where("false"), bench).count() == 0
+
+
+def test_short_and_spaceless_items(spark):
+    items = ["Blue whale", "東京都庁はどこにありますか。", "x"]
+    docs = ["it is a blue whale, said he", "whale blue", "the blue, whale", "質問:東京都庁はどこにありますか。答え", "東京の都庁", "xx y", "y x z", None]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame, bench).collect()} == {(0, 0), (2, 0), (3, 1), (6, 2)}
 
 
 # 3 ---------------------------------------------------------------------------------------------------------------
@@ -330,6 +389,79 @@ def test_language(spark, empty):
     assert [r[0] for r in unlearned] == ["und"]
 
 
+def test_und_without_letters(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(v) for _ in range(30)), lang) for i, (v, lang) in enumerate([(EN, "en"), (RU, "ru")] * 30)]
+    odd = ["² ½ ①", "12 ³", "— … 😀", "٣٤", "_", "ª"]
+    half = "the cat and the dog " + "😀—" * 200 + " кошка и собака гуляли по этим улицам со своими друзьями"
+    df = spark.createDataFrame([*rows, *((1000 + i, t, None) for i, t in enumerate([*odd, half]))], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.identify_held_out(df).collect()}
+    assert [got[1000 + i]["lang_pred"] == "und" for i in range(len(odd))] == [not any(map(str.isalpha, t)) for t in odd]
+    # signs that are no letters count for nothing
+    letters = lambda t: sum(map(str.isalpha, t))
+    assert got[1000 + len(odd)]["lang_pred"] == "ru" and abs(got[1000 + len(odd)]["score"] - 1 + 15 / letters(half)) < 0.02
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the old bound of 200, each with letters of its own."""
+    rows = []
+    for n in range(230):
+        rng = random.Random(n)
+        words = ["".join(chr(97 + rng.randrange(26)) for _ in range(6)) for _ in range(6)]
+        rows += [(i * 1000 + n, " ".join(rng.choice(words) for _ in range(40)), f"l{n:03d}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(df)
+    assert len(model.languages) == 230
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) > 0.98 * len(rows)
+
+
+def test_language_against_brute_force(spark):
+    """Model, scores and labels of a small corpus, by counting trigrams in plain Python."""
+    rng = random.Random(17)
+    say = lambda v, n: " ".join(rng.choice(v) for _ in range(n))
+    rows = [(i, say(v, rng.randrange(3, 30)) + rng.choice([".", "!", " 12", ""]), lang) for i, (v, lang) in enumerate([(EN, "en"), (DE, "de"), (RU, "ru")] * 15)]
+    rows += [(100 + i, say(EN, 12) + " " + say(DE, 14) + " " + say(RU, rng.randrange(9)), None) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(df)
+    words = lambda t: [w.encode() for w in re.findall(r"[^\W\d_]+", t.lower())]
+
+    def gram(g):
+        x, y, z = g
+        return ((((x * 0x9E3779B1) ^ (y * 0x85EBCA77) ^ (z * 0xC2B2AE3D)) * 0x27D4EB2F) & 0xFFFFFFFF) >> 17
+
+    def grams(w):
+        padded = b" " + w + b" "
+        return [gram(padded[i : i + 3]) for i in range(len(w))]
+
+    langs = ["de", "en", "ru"]
+    counts = {lang: np.zeros(language.BUCKETS) for lang in langs}
+    for _, t, lang in rows:
+        for w in words(t) if lang else []:
+            for g in grams(w):
+                counts[lang][g] += 1
+    gains = np.stack([np.log((counts[x] + 0.5) / (counts[x].sum() + 0.5 * language.BUCKETS)) for x in langs], axis=1)
+    gains -= gains.mean(axis=1, keepdims=True)
+    assert model.languages == langs and np.abs(model.gains - gains).max() < 1e-4
+    got = {r["doc_id"]: r for r in language.identify(df, model).collect()}
+    for i, t, _ in rows:
+        own = words(t)
+        cyrillic = [w.decode()[0] > "Ѐ" for w in own]
+        scores = np.array([gains[grams(w)].sum(axis=0) + (np.array([-1e4, -1e4, 0]) if c else np.array([0, 0, -1e4])) for w, c in zip(own, cyrillic)])
+        best, back = scores[0], []
+        for s in scores[1:]:
+            top = best.argmax()
+            stay = best >= best[top] - language.SWITCH
+            back.append(np.where(stay, np.arange(3), top))
+            best = np.where(stay, best, best[top] - language.SWITCH) + s
+        path = [int(best.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        path = path[::-1]
+        share = np.bincount(path, [len(w.decode()) for w in own], 3)
+        assert got[i]["lang_pred"] == langs[share.argmax()] and abs(got[i]["score"] - share.max() / share.sum()) < 1e-6
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(1)
     counts = np.array([3, 0, 1, 6, 5])
@@ -377,6 +509,38 @@ def test_near_duplicates(docs, empty, k, percent):
     assert near_dedup.near_duplicates(empty, k, percent).count() == 0
 
 
+def thue_morse(n):
+    """Two different words of 2**n characters whose polynomial hashes modulo 2**64 agree whatever the base, from n = 10 on."""
+    a, b = "x", "y"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = thue_morse(10)
+    df = spark.createDataFrame([(1, a), (2, b), (3, a + " tail"), (4, b + " tail")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, 3, 85).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    lead = prose(random.Random(1), 34)
+    df = spark.createDataFrame([(1, f"{lead} {a}"), (2, f"{lead} {b}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.dedup_substrings(df).collect()] == [0, 0]
+
+
+def test_word_hashes():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abAB.é \n\t\x00") for _ in range(rng.randrange(300))).encode() for _ in range(300)] + [b"", b"a" * 63 + b" " + b"a" * 64 + b" " + b"a" * 65 + b" " + b"A" * 200]
+    for kind, split in (("plain", bytes.split), ("folded", lambda t: t.translate(TABLES["folded"]).split()), ("bare", lambda t: [w.encode() for w in bare_words(t.decode())])):
+        words = Words(texts, kind)
+        want = [split(t) for t in texts]
+        assert words.counts.tolist() == [len(w) for w in want]
+        flat = [w for ws in want for w in ws]
+        for which in (0, 1):
+            named = {}
+            for w, h in zip(flat, words.half(which).tolist()):
+                assert named.setdefault(w, h) == h
+            assert len(set(named.values())) == len(named)
+
+
 def test_chains_and_large_near_groups(spark):
     """Near copies of one text that are linked only through it, and a chain."""
     rng = random.Random(8)
