@@ -1,19 +1,21 @@
 """Removal of repeated passages, with a count-min prefilter.
 
 Texts are gathered into blocks of bounded size.  Each window of words has an
-anchor: the least hash of its 8-word runs, the same wherever the window stands.
-Every block makes a sparse one-row count-min sketch of its anchors (2**44
-cells); the blocks' sketches are merged by ranges of cells, and an anchor's
-cell counts at least as often as any window it stands for.  A second
-pass looks only at windows whose anchor's cell counts twice or more, and groups
-them exactly by 128-bit hashes, again by ranges.  No repeated window is lost:
-its two places have the same anchor.
-
-What is dealt out are distinct cells and windows of a block with a mark for
-local repeats, so a passage that a third of all documents hold is one entry of
-each block.  The merging tasks answer with one bit for each entry.  Blocks
-carry their texts through one shuffle, which all three steps read.  The number
-of ranges is spark.sql.shuffle.partitions.
+anchor: the least hash of its 8-word runs, the same wherever the window stands,
+so a window never stands more often than its anchor.
+
+1. Count-min: SKETCH rows of counters, as many in a row as the input's size
+   asks for.  Every anchor adds the places it has to one counter of each row.  The sketch of
+   a partition is the map side of an aggregation by counter, which merges sketches by addition.
+   An anchor's least counter overestimates its places, and so its windows' places.
+2. Only windows are grouped whose anchor's counters all say two or more: exactly, by
+   the anchor's 64 bits and 64 bits of another hash of the whole window.  No
+   repeated window is lost: its two places have the same anchor.
+
+All of this is ordinary aggregation, joins and sorts by key, which spill.  What a block
+sends are its distinct anchors and distinct windows, so a passage that a third of all documents hold is one
+entry of each block.  It gets back one bit for each window.  Blocks
+carry their texts through one shuffle, which all steps read.
 """
 
 from __future__ import annotations
@@ -23,23 +25,24 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lattica.llm.packing import pack, pack_sorted, unpack, unpack_sorted
-from lattica.llm.words import U, Words, blocks, shingle
+from lattica.llm.words import BLOCK_BYTES, U, Words, blocks, shingle
+from lattica.llm.workers import map_batches, pieces, small_batches
 
-#: Words of an anchor's run, bits of a cell's number, bytes of text in a block.
-RUN, CELL_BITS, BLOCK_TEXT = 8, 44, 16_000_000
+#: Words of an anchor's run, bytes of text in a block.
+RUN, BLOCK_TEXT = 8, 16_000_000
+#: Rows of the sketch, bytes of input for each counter of a row, and bounds of the logarithm of a row's size.
+SKETCH, COUNTER_BYTES, LEAST_BITS, MOST_BITS = 2, 8, 16, 44
 
-_BLOCK = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("many", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary()))])
-_BLOCK_DDL = "block long, part int, keys binary, more binary, many binary, doc_ids array<long>, texts array<binary>"
-_KEYS = pa.schema([_BLOCK.field(i) for i in range(5)])
-_KEYS_DDL = "block long, part int, keys binary, more binary, many binary"
-_REPLY = pa.schema([("block", pa.int64()), ("step", pa.int32()), ("part", pa.int32()), ("repeated", pa.binary())])
-_REPLY_DDL = "block long, step int, part int, repeated binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("texts", pa.list_(pa.binary())), ("anchors", pa.list_(pa.int64())), ("places", pa.list_(pa.int8()))])
+_BLOCK_DDL = "block long, doc_ids array<long>, sizes array<int>, texts array<binary>, anchors array<long>, places array<byte>"
+_ANCHORS = pa.schema([("block", pa.int64()), ("anchor", pa.int64()), ("places", pa.int64())])
+_HOT = pa.schema([("block", pa.int64()), ("anchor", pa.int64()), ("windows", pa.list_(pa.int64()))])
+_LOST = "the input isn't the same when read again"
 
 
 def _least(x: np.ndarray, n: int) -> np.ndarray:
@@ -56,195 +59,163 @@ class _Chunk:
     """Windows and anchors of some texts at once; windows over the end of a text don't count."""
 
     def __init__(self, texts: list[bytes], k: int):
-        words = Words(texts, "plain")
-        self.words, self.hashes, self.counts = words, words.half(0), words.counts
-        n, self.k = len(self.hashes), k
-        ends = np.cumsum(self.counts)
-        self.end_of = np.repeat(ends, self.counts)
-        self.doc_of = np.repeat(np.arange(len(texts)), self.counts)
+        self.words, self.k = Words(texts, "plain"), k
+        hashes, self.counts = self.words.half(0), self.words.counts
+        n, ends = len(hashes), np.cumsum(self.counts)
+        end_of = np.repeat(ends, self.counts)
         run = min(RUN, k)
-        self.starts, self.anchors = np.empty(0, np.int64), np.empty(0, U)
+        self.starts, self.anchors, self.runs = np.empty(0, np.int64), np.empty(0, U), np.empty(0, U)
         if n < k:
             return
-        runs = shingle(self.hashes, run) >> U(64 - CELL_BITS)
-        self.starts = np.flatnonzero(np.arange(n - k + 1) + k <= self.end_of[: n - k + 1])
+        runs = shingle(hashes, run)
+        self.starts = np.flatnonzero(np.arange(n - k + 1) + k <= end_of[: n - k + 1])
         self.anchors = _least(runs, k - run + 1)[self.starts]
-        inside = np.arange(len(runs)) + run <= self.end_of[: len(runs)]
-        self.runs = runs[inside]
+        self.runs = runs[np.arange(len(runs)) + run <= end_of[: len(runs)]]
 
-    def cells(self) -> np.ndarray:
-        """Cells of all places that anchor a window: a cell is there once for each run of words with its hash, so that repeats within a text count."""
+    def places(self) -> np.ndarray:
+        """The anchors of all windows, each as often as its run of words stands in the texts, so that repeats within a text count."""
         if not len(self.starts):
             return np.empty(0, U)
         chosen = np.unique(self.anchors)
         at = np.minimum(np.searchsorted(chosen, self.runs), len(chosen) - 1)
         return self.runs[chosen[at] == self.runs]
 
-    def hot(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, hash, second hash) of windows whose anchor is in one of the sorted ``cells``."""
-        if not len(cells) or not len(self.starts):
+    def hot(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, anchor, hash) of windows whose anchor is one of the sorted ``anchors``."""
+        if not len(anchors) or not len(self.starts):
             return np.empty(0, np.int64), np.empty(0, U), np.empty(0, U)
-        at = np.minimum(np.searchsorted(cells, self.anchors), len(cells) - 1)
-        starts = self.starts[cells[at] == self.anchors]
-        return starts, shingle(self.hashes, self.k)[starts], shingle(self.words.half(1), self.k, 1)[starts]
-
-
-def _deal(block: int, parts: int, key: np.ndarray, more: np.ndarray | None, many: np.ndarray) -> list[tuple]:
-    """Rows of a block's sorted distinct keys by part."""
-    part = (key % U(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    rows = []
-    for p in range(parts):
-        own = order[cuts[p] : cuts[p + 1]]
-        if len(own):
-            rows.append((block, p, pack_sorted(key[own]), None if more is None else pack(more[own]), np.packbits(many[own]).tobytes()))
-    return rows
-
-
-def _distinct(key: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, their second halves, whether each was there twice, and each input's place among them."""
-    order = np.argsort(key, kind="stable") if more is None else np.lexsort((more, key))
-    k = key[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    if more is not None:
-        m = more[order]
-        new[1:] |= m[1:] != m[:-1]
-    at = np.flatnonzero(new)
-    number = np.empty(len(k), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return k[at], None if more is None else m[at], np.diff(at, append=len(k)) > 1, number
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
-
-
-def _gather(k: int, parts: int):
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        at = np.minimum(np.searchsorted(anchors, self.anchors), len(anchors) - 1)
+        own = anchors[at] == self.anchors
+        return self.starts[own], self.anchors[own], shingle(self.words.half(1), self.k, 1)[self.starts[own]]
+
+
+def _chunks(texts: list[bytes], k: int):
+    for chunk in blocks([(t,) for t in texts]):
+        yield len(chunk), _Chunk([t for t, in chunk], k)
+
+
+def _gather(k: int):
+    def flush(rows: list[tuple], number: int) -> pa.RecordBatch:
         texts = [t for _, t in rows]
-        cells = np.concatenate([_Chunk([t for t, in c], k).cells() for c in blocks([(t,) for t in texts])])
+        anchors, places = np.unique(np.concatenate([c.places() for _, c in _chunks(texts, k)]), return_counts=True)
         squeeze = zstandard.ZstdCompressor(1)
         # a few texts at a time, so that no value grows with the block
         packed = [squeeze.compress(b"".join(t for t, in c)) for c in blocks([(t,) for t in texts], 1_000_000)]
-        ids, sizes = [i for i, _ in rows], np.array([len(t) for t in texts], "<u4")
-        digest = xxhash.xxh3_64()
-        for x in (*packed, sizes.tobytes(), repr(ids).encode()):
+        ids, sizes = [i for i, _ in rows], [len(t) for t in texts]
+        # of its place and its content, so that a block made anew in another way isn't taken for the first
+        digest = xxhash.xxh3_64(repr((TaskContext.get().partitionId(), number, ids, sizes)).encode())
+        for x in packed:
             digest.update(x)
-        name = digest.intdigest() - (1 << 63)
-        key, _, many, _ = _distinct(cells, None)
-        out = [(name, -1, pack(sizes), None, None, ids, packed)]
-        out += [(*row, None, None) for row in _deal(name, parts, key, None, many)]
-        return _batch(out, _BLOCK)
+        row = (digest.intdigest() - (1 << 63), ids, sizes, packed, anchors.view(np.int64), np.minimum(places, 2).astype(np.int8))
+        return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row, _BLOCK)], schema=_BLOCK)
 
     def run(batches):
-        for block in blocks(((i, t or b"") for b in batches for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())), BLOCK_TEXT):
-            yield flush(block)
+        rows = ((i, t or b"") for p in pieces(batches, BLOCK_BYTES) for i, t in zip(p.column("doc_id").to_pylist(), p.column("text").to_pylist()))
+        for number, block in enumerate(blocks(rows, BLOCK_TEXT)):
+            yield flush(block, number)
 
     return run
 
 
-def _keys_only(batches):
+def _anchors(batches):
     for batch in batches:
-        yield batch.filter(pc.greater_equal(batch.column("part"), 0)).select([0, 1, 2, 3, 4])
-
-
-def _merge(step: int):
-    """Of the keys of one part, from all blocks: those that are there twice or more."""
-
-    def run(table: pa.Table) -> pa.Table:
-        names, part = table["block"].to_pylist(), table["part"][0].as_py()
-        keys = [unpack_sorted(x) for x in table["keys"].to_pylist()]
-        more = np.concatenate([unpack(x) for x in table["more"].to_pylist()]) if step else None
-        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for x, k in zip(table["many"].to_pylist(), keys)]).astype(bool)
-        _, _, twice, number = _distinct(np.concatenate(keys), more)
-        twice |= np.bincount(number, many, len(twice)) > 0
-        cuts = np.cumsum([0, *map(len, keys)])
-        answer = twice[number]
-        rows = [(name, step, part, np.packbits(answer[a:b]).tobytes()) for name, a, b in zip(names, cuts, cuts[1:])]
-        return pa.Table.from_batches([_batch(rows, _REPLY)])
-
-    return run
-
-
-def _repeated(replies: dict[int, bytes], parts: int, key: np.ndarray) -> np.ndarray:
-    """Mask of a block's distinct keys from the answers of all parts."""
-    part = (key % U(parts)).astype(np.int64)
-    out = np.zeros(len(key), bool)
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        n = cuts[p + 1] - cuts[p]
-        if n:
-            if p not in replies or len(replies[p]) != -(-n // 8):
-                raise ValueError("a block lacks an answer: the input isn't the same when read again")
-            out[order[cuts[p] : cuts[p + 1]]] = np.unpackbits(np.frombuffer(replies[p], np.uint8), count=n).astype(bool)
-    return out
+        for block, anchors, places in zip(batch.column("block").to_pylist(), batch.column("anchors"), batch.column("places")):
+            anchors, places = anchors.values, places.values.cast(pa.int64())
+            if len(anchors):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(anchors), block)), anchors, places], schema=_ANCHORS)
 
 
 class _Block:
-    def __init__(self, left: pa.Table, right: pa.Table, k: int, parts: int):
-        own = left.filter(pc.less(left["part"], 0))
-        if not own.num_rows:
-            raise ValueError("an answer for a block that isn't there: the input isn't the same when read again")
-        self.name, self.times = own["block"][0].as_py(), own.num_rows
-        self.ids = own["doc_ids"][0].as_py()
-        joined = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in own["texts"][0].as_py())
-        cuts = np.cumsum([0, *unpack(own["keys"][0].as_py()).tolist()])
-        self.texts = [joined[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
-        self.parts, self.replies = parts, ({}, {})
-        for step, part, bits in zip(*(right[c].to_pylist() for c in ("step", "part", "repeated"))):
-            self.replies[step][part] = bits
-        dealt = left.filter(pc.greater_equal(left["part"], 0))
-        key = np.sort(np.concatenate([np.empty(0, U), *map(unpack_sorted, {p: x for p, x in zip(dealt["part"].to_pylist(), dealt["keys"].to_pylist())}.values())]))
-        cells = key[_repeated(self.replies[0], parts, key)]
-        self.hot, self.chunks, first = [], [], 0
-        for chunk in blocks([(t,) for t in self.texts]):
-            made = _Chunk([t for t, in chunk], k)
-            starts, a, b = made.hot(cells)
-            self.hot.append((a, b))
-            self.chunks.append((first, len(chunk), made.counts, starts))
-            first += len(chunk)
-        self.key, self.more, self.many, self.number = _distinct(np.concatenate([np.empty(0, U), *(a for a, _ in self.hot)]), np.concatenate([np.empty(0, U), *(b for _, b in self.hot)]))
-
-
-def _second(k: int, parts: int):
+    def __init__(self, left: pa.Table, k: int):
+        if left.num_rows != 1:
+            raise ValueError(f"an answer for a block that isn't there: {_LOST}")
+        self.k, self.name = k, left["block"][0].as_py()
+        self.ids = left["doc_ids"][0].as_py()
+        joined = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in left["texts"][0].as_py())
+        cuts = np.cumsum([0, *left["sizes"][0].as_py()]).tolist()
+        self.texts = [joined[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def windows(self, anchors: np.ndarray):
+        """Sorted distinct (anchor, window) of the windows with such anchors; their anchors, windows, number within the anchor
+        and places (at most 2); and, chunk by chunk, (texts, words per text, starts of windows, their places among the distinct)."""
+        chunks, found = [], []
+        for size, chunk in _chunks(self.texts, self.k):
+            starts, *keys = chunk.hot(anchors)
+            chunks.append((size, chunk.counts, starts))
+            found.append(keys)
+        anchor, window = (np.concatenate([np.empty(0, U), *x]) for x in zip(*found))
+        order = np.lexsort((window, anchor))
+        anchor, window = anchor[order], window[order]
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1])
+        at = np.flatnonzero(new)
+        number = np.empty(len(anchor), np.int64)
+        number[order] = np.cumsum(new) - 1
+        anchor, window, twice = anchor[at], window[at], np.diff(at, append=len(new)) > 1
+        first = np.flatnonzero(np.diff(anchor, prepend=~anchor[:1]) != 0)
+        within = np.arange(len(anchor)) - np.repeat(first, np.diff(first, append=len(anchor)))
+        cuts = np.cumsum([len(s) for *_, s in chunks])[:-1]
+        return anchor, window, first, within, twice, [(*c, n) for c, n in zip(chunks, np.split(number, cuts))]
+
+
+def _second(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = _Block(left, right, k, parts)
-        return pa.Table.from_batches([_batch(_deal(block.name, parts, block.key, block.more, block.many), _KEYS)])
+        if not right.num_rows:
+            return _HOT.empty_table()
+        block = _Block(left, k)
+        anchor, window, first, _, twice, _ = block.windows(np.sort(right["anchor"].to_numpy().view(U)))
+        rows = []
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(anchor)]):
+            # windows that stand twice in this block alone are there a second time, behind the others
+            rows.append(np.concatenate([window[a:b], window[a:b][twice[a:b]]]).view(np.int64))
+        return pa.Table.from_arrays([pa.array(np.full(len(rows), block.name)), pa.array(anchor[first].view(np.int64)), pa.array(rows, pa.list_(pa.int64()))], schema=_HOT)
 
     return run
 
 
-def _finish(k: int, parts: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+def _finish(k: int, whole: bool):
+    columns = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.string())] if whole else [])]
 
-    def run(left: pa.Table, right: pa.Table, whole: bool) -> pa.Table:
-        block = _Block(left, right, k, parts)
-        repeated = _repeated(block.replies[1], parts, block.key)[block.number] if len(block.key) else np.empty(0, bool)
-        if block.times > 1:  # every window stands again in the same block's copy
-            repeated = np.ones(len(block.number), bool)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = _Block(left, k)
+        own, part, bits = (right[c].to_numpy() for c in ("anchor", "part", "bits"))
+        own = own.view(U)
+        anchor, _, _, within, _, chunks = block.windows(np.unique(own))
+        # one bit for each distinct window, 64 of an anchor in a row
+        answered = {(a, p): b for a, p, b in zip(own.tolist(), part.tolist(), bits.view(U).tolist())}
+        masks = np.array([answered.get(x, 0) for x in zip(anchor.tolist(), (within >> 6).tolist())], U)
+        repeated = (masks >> (within & 63).astype(U) & U(1)).astype(bool)
         rows, seen = [], 0
-        for first, size, counts, starts in block.chunks:
-            own = starts[repeated[seen : seen + len(starts)]]
-            seen += len(starts)
+        for size, counts, starts, number in chunks:
+            starts = starts[repeated[number]]
             cover = np.zeros(int(counts.sum()) + 1, np.int64)
-            np.add.at(cover, own, 1)
-            np.add.at(cover, own + k, -1)
+            np.add.at(cover, starts, 1)
+            np.add.at(cover, starts + k, -1)
             keep = np.cumsum(cover)[:-1] == 0
             ends = np.cumsum(counts)
             removed = counts - np.diff(np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], ends])])
-            for i, text in enumerate(block.texts[first : first + size]):
+            for i, text in enumerate(block.texts[seen : seen + size]):
                 words = text.split()
                 if removed[i]:
                     words = compress(words, keep[ends[i] - counts[i] : ends[i]].tolist())
                 kept = b" ".join(words)
-                rows.append((block.ids[first + i], int(counts[i]), int(removed[i]), hashlib.sha256(kept).hexdigest(), kept if whole else None))
-        return pa.concat_tables([pa.Table.from_batches([_batch(rows, schema)])] * block.times)
+                row = (block.ids[seen + i], int(counts[i]), int(removed[i]), hashlib.sha256(kept).hexdigest())
+                rows.append((*row, kept) if whole else row)
+            seen += size
+        return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), columns)], schema=pa.schema(columns))
+
+    return run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * whole
+
+
+def _row_bits(docs: DataFrame) -> int:
+    """Logarithm of a sketch row's counters, from Spark's estimate of the input's size; how good that is decides about the time only."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_BITS, max(LEAST_BITS, (size // COUNTER_BYTES).bit_length()))
+
 
-    return run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+def _counter(row: int, bits: int) -> Column:
+    """The counter of an anchor in a row of the sketch."""
+    return F.shiftrightunsigned(F.xxhash64("anchor", F.lit(row)), 64 - bits) + (row << bits)
 
 
 def dedup_substrings(docs: DataFrame, window: int = 35, whole: bool = False) -> DataFrame:
@@ -258,13 +229,23 @@ def dedup_substrings(docs: DataFrame, window: int = 35, whole: bool = False) ->
     no harm; an empty table gives none.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    dealt = source.mapInArrow(_gather(window, parts), _BLOCK_DDL).repartition(parts, "block")
-    cells = dealt.mapInArrow(_keys_only, _KEYS_DDL)
-    first = cells.groupBy("part").applyInArrow(_merge(0), _REPLY_DDL)
-    hot = dealt.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_second(window, parts), _KEYS_DDL)
-    second = hot.groupBy("part").applyInArrow(_merge(1), _REPLY_DDL)
-    run, schema = _finish(window, parts)
-    out = dealt.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(lambda left, right: run(left, right, whole), schema)
-    return out if whole else out.drop("kept")
+    bits = _row_bits(source)
+    dealt = map_batches(source, _gather(window), _BLOCK_DDL).repartition(parts, "block")
+    anchors = map_batches(dealt, _anchors, "block long, anchor long, places long")
+    counters = [_counter(row, bits) for row in range(SKETCH)]
+    sketch = anchors.select(F.explode(F.array(*counters)).alias("counter"), "places").groupBy("counter").agg(F.sum("places").alias("places")).where("places > 1").select("counter")
+    asked = anchors
+    for counter in counters:
+        asked = asked.withColumn("counter", counter).join(sketch, "counter", "left_semi").drop("counter")
+    hot = dealt.groupBy("block").cogroup(asked.select("block", "anchor").groupBy("block")).applyInArrow(_second(window), "block long, anchor long, windows array<long>")
+    # dealt by the anchor alone, which is enough to group by anchor and window
+    each = hot.repartition(parts, "anchor").select("block", "anchor", F.posexplode("windows").alias("at", "window"))
+    often = F.count("*").over(Window.partitionBy("anchor", "window"))
+    repeated = each.withColumn("often", often).where("often > 1")
+    bit = F.expr("shiftleft(1L, at % 64)")
+    masks = repeated.groupBy("block", "anchor", F.expr("cast(at div 64 as int)").alias("part")).agg(F.bit_or(bit).alias("bits"))
+    run, schema = _finish(window, whole)
+    return dealt.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(run, schema)
