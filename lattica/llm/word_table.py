@@ -4,9 +4,11 @@
    of one task) becomes a small dictionary of its distinct words and, for each
    document, the words' numbers in that dictionary: its words by position.
 2. The blocks' dictionaries are dealt out by a hash of the word, so that every
-   occurrence of a word in any dictionary meets in one task, where the word is
+   occurrence of a word in any dictionary meets in one group, where the word is
    encoded once; the ids go back to the blocks.
-3. Each block joins ids to positions; pieces come from the id-to-piece table.
+3. The ids that a block got are joined with the table of all ids and their
+   pieces, and the pieces go to the block as well.
+4. Each block joins ids to positions, and pieces to ids.
 
 Dictionaries and documents share one shuffle by block.  What is dealt out are
 distinct words of blocks, not occurrences, in compressed runs: a word that
@@ -25,19 +27,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lattica.llm.bpe import WordBpe
 from lattica.llm.packing import pack, unpack
+from lattica.llm.workers import map_batches, pieces, small_batches
 
 #: Characters of text in a block (one longer text makes a block of its own).
-BLOCK_CHARS = 16_000_000
-_MEMO = 1_000_000
+BLOCK_CHARS = 12_000_000
+#: Bytes of texts that are split at once.
+_AT_ONCE = 2_000_000
 
 _BLOCK = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("words", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())])
 _BLOCK_DDL = "block long, part int, words binary, doc_ids array<long>, counts array<long>, codes binary"
-_REPLY = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("widths", pa.binary()), ("ids", pa.binary())])
-_REPLY_DDL = "block long, part int, widths binary, ids binary"
+_REPLY = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("widths", pa.binary()), ("ids", pa.binary()), ("used", pa.list_(pa.int32()))])
+_REPLY_DDL = "block long, part int, widths binary, ids binary, used array<int>"
 
 
 class _Numbers(dict):
@@ -69,8 +73,8 @@ def _split(path: str, parts: int):
     def run(batches):
         bpe = WordBpe.of(path)
         ids, docs, numbers, size = [], [], _Numbers(), 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        for piece in pieces(batches, _AT_ONCE):
+            for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist()):
                 text = text or ""
                 if ids and size + len(text) > BLOCK_CHARS:
                     yield flush(ids, docs, numbers)
@@ -90,41 +94,37 @@ def _dictionaries(batches):
         yield batch.filter(pc.greater_equal(batch.column("part"), 0)).select(["block", "part", "words"])
 
 
-class _Encoded(dict):
-    def __init__(self, bpe: WordBpe):
-        self.bpe = bpe
-
-    def __missing__(self, word: str) -> bytes:
-        self[word] = out = np.array(self.bpe.encode(word), "<u4").tobytes()
-        return out
-
-
 def _encode(path: str):
-    def run(batches):
-        known = _Encoded(WordBpe.of(path))
-        for batch in batches:
-            rows = []
-            for block, part, words in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "words"))):
-                ids = [known[w] for w in zstandard.ZstdDecompressor().decompress(words).decode().split("\n")]
-                rows.append((block, part, pack(np.fromiter(map(len, ids), np.uint32, len(ids)) >> 2), pack(np.frombuffer(b"".join(ids), "<u4"))))
-                if len(known) > _MEMO:
-                    known.clear()
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _REPLY)], schema=_REPLY)
+    def run(table: pa.Table) -> pa.Table:
+        """Of the words of one part, from all blocks: each encoded once."""
+        encode = WordBpe.of(path).encode
+        unpacked = [zstandard.ZstdDecompressor().decompress(x).decode().split("\n") for x in table["words"].to_pylist()]
+        known = {w: np.array(encode(w), "<u4").tobytes() for w in set().union(*unpacked)}
+        rows = []
+        for block, part, words in zip(table["block"].to_pylist(), table["part"].to_pylist(), unpacked):
+            ids = [known[w] for w in words]
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            rows.append((block, part, pack(np.fromiter(map(len, ids), np.uint32, len(ids)) >> 2), pack(flat), np.unique(flat).astype(np.int32)))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _REPLY)], schema=_REPLY)
 
     return run
 
 
-def _rebuild(path: str, whole: bool):
+def pieces_of(spark: SparkSession, path: str) -> DataFrame:
+    """The table of all ids and their pieces."""
+    tokenizer = WordBpe.of(path).tokenizer
+    return spark.createDataFrame([(i, tokenizer.id_to_token(i)) for i in range(tokenizer.get_vocab_size())], "id int, piece string")
+
+
+def _rebuild(whole: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if whole else [])])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.filter(pc.less(left["part"], 0))
         if not left.num_rows:
             raise ValueError("ids for a block that isn't there: the input isn't the same when read again")
-        tokenizer = WordBpe.of(path).tokenizer
-        n = tokenizer.get_vocab_size()
-        numerals, pieces = [str(i) for i in range(n)], [tokenizer.id_to_token(i) for i in range(n)]
+        piece_of = dict(zip(right["id"].to_pylist(), right["piece"].to_pylist()))
+        numerals, right = {i: str(i) for i in piece_of}, right.filter(right["widths"].is_valid())
         part_of = unpack(left["words"][0].as_py())
         texts, decoded = np.empty(len(part_of), object), np.empty(len(part_of), object)
         widths_of, ids_of = np.zeros(len(part_of), np.int64), np.empty(len(part_of), object)
@@ -142,7 +142,7 @@ def _rebuild(path: str, whole: bool):
             for word, a, b in zip(at.tolist(), [0, *ends], ends):
                 own = ids[a:b]
                 texts[word] = " ".join([numerals[i] for i in own])
-                decoded[word] = " ".join([pieces[i] for i in own])
+                decoded[word] = " ".join([piece_of[i] for i in own])
                 if whole:
                     ids_of[word] = own
         if met != len(part_of):
@@ -178,10 +178,17 @@ def encode_decode(docs: DataFrame, tokenizer: str, whole: bool = False) -> DataF
     null ids and further columns do no harm; an empty table gives none.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = source.mapInArrow(_split(tokenizer, parts), _BLOCK_DDL).repartition(parts, "block")
-    words = dealt.mapInArrow(_dictionaries, "block long, part int, words binary").repartition(parts, "part")
-    replies = words.mapInArrow(_encode(tokenizer), _REPLY_DDL)
-    run, schema = _rebuild(tokenizer, whole)
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
+    word_parts = max(1, parts // 2)
+    dealt = map_batches(source, _split(tokenizer, word_parts), _BLOCK_DDL).repartition(parts, "block")
+    words = map_batches(dealt, _dictionaries, "block long, part int, words binary")
+    replies = words.groupBy("part").applyInArrow(_encode(tokenizer), _REPLY_DDL)
+    # as many rows as the vocabulary has, whatever the corpus; each reply goes along with the first of its ids
+    table = F.broadcast(pieces_of(spark, tokenizer))
+    named = replies.select("block", "part", "widths", "ids", F.posexplode_outer("used").alias("at", "id")).join(table, "id", "left")
+    once = lambda c: F.when(F.coalesce("at", F.lit(0)) == 0, F.col(c)).alias(c)
+    named = named.select("block", "part", once("widths"), once("ids"), "id", "piece")
+    run, schema = _rebuild(whole)
+    return dealt.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(run, schema)
