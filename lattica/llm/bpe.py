@@ -1,17 +1,19 @@
 """Exact, memoised use of the tokenizers library.
 
 A BPE model never merges across the pieces its pre-tokenizer makes, so a text's
-ids are the ids of its pieces one after another.  Pieces are cut here with
-regular expressions where these are sure to agree with the library's (texts of
-ASCII and Latin letters), by the library itself elsewhere; each piece is
-encoded by the library's model once for each Python worker, in a memo of
-bounded size.
+ids are the ids of its pieces one after another.  Texts are cut at spaces
+first; what stands between two is cut into pieces with a regular expression
+where that is sure to agree with the library's (ASCII and Latin letters), by the
+library itself elsewhere.  Each piece is encoded by the library's model and kept
+in a memo of bounded size, which forgets what hasn't been used for longest.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 
@@ -22,9 +24,10 @@ _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _UNSURE = re.compile("[^\t-\r\x20-\x7e\xa1-ſ]")
 _BYTE_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+(?!\\S)|\\s+")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
-_LOOSE_SPACE = re.compile(r"^ | $| \s")
-#: Entries a memo may hold before it starts anew.
-MEMO = 700_000
+#: A space before something else than white space: such a space belongs to what follows, and all before it stands for itself.
+_CUT = re.compile(r" (?=\S)")
+#: Entries of each of a memo's two generations: of what stands between spaces, and of pieces.
+MEMO, MEMO_PIECES = 500_000, 250_000
 _LOADED: dict = {}
 
 
@@ -54,27 +57,25 @@ def as_letters(piece: str) -> str:
     return piece.encode().decode("latin-1").translate(_LETTERS)
 
 
-class _Pieces(dict):
-    """Ids, as little-endian bytes, of a piece that the pre-tokenizer made."""
+class Memo(dict):
+    """Results of ``make`` by key: when ``most`` are held they become the old generation, from which used ones come back."""
 
-    def __init__(self, model, dtype):
-        self.model, self.dtype = model, dtype
+    def __init__(self, make: Callable, most: int):
+        self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.model.tokenize(as_letters(piece))
-        self[piece] = out = np.array([t.id for t in ids], self.dtype).tobytes()
+    def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
         return out
 
 
-class _Spaced(dict):
-    """Ids of a space and what follows it up to the next space."""
-
-    def __init__(self, pieces: _Pieces):
-        self.pieces = pieces
-
-    def __missing__(self, rest: str) -> bytes:
-        self[rest] = out = b"".join([self.pieces[p] for p in _BYTE_PIECES.findall(" " + rest)])
-        return out
+class _Loose(Exception):
+    """A run of white space that isn't one space."""
 
 
 class ByteBpe:
@@ -83,9 +84,31 @@ class ByteBpe:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = _Pieces(self.tokenizer.model, self.dtype)
-        self.spaced = _Spaced(self.pieces)
+        self.tokenize, self.space = self.tokenizer.model.tokenize, as_letters(" ")
+        self.pieces, self.spaced = Memo(self._piece, MEMO_PIECES), Memo(self._behind_space, MEMO)
+
+    def _packed(self, letters: str) -> bytes:
+        return array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that the pre-tokenizer made."""
+        return self._packed(as_letters(piece))
+
+    def _behind_space(self, rest: str) -> bytes:
+        """Ids of a space and what follows it up to the next cut."""
+        if not rest or rest[0].isspace():
+            raise _Loose
+        if rest.isascii() and rest.isalpha():
+            return self._packed(self.space + rest)
+        return self._run(" " + rest)
+
+    def _run(self, text: str) -> bytes:
+        if _UNSURE.search(text):
+            letters = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+            return b"".join([self._packed(p) for p, _ in letters])
+        return b"".join([self.pieces[p] for p in _BYTE_PIECES.findall(text)])
 
     @classmethod
     def of(cls, path: str) -> ByteBpe:
@@ -94,22 +117,14 @@ class ByteBpe:
         return _LOADED[cls, path]
 
     def encode(self, text: str) -> bytes:
-        if len(self.spaced) > MEMO:
-            self.spaced.clear()
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
         if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        if _UNSURE.search(text):
-            letters = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
-            return b"".join([self.pieces[text[a:b]] if as_letters(text[a:b]) == p else self._raw(p) for p, (a, b) in letters])
-        if _LOOSE_SPACE.search(text):
-            return b"".join([self.pieces[p] for p in _BYTE_PIECES.findall(text)])
+            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         first, *rest = text.split(" ")
-        return b"".join([*[self.pieces[p] for p in _BYTE_PIECES.findall(first)], *map(self.spaced.__getitem__, rest)])
-
-    def _raw(self, letters: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], self.dtype).tobytes()
+        try:
+            return b"".join([self._run(first), *map(self.spaced.__getitem__, rest)])
+        except _Loose:
+            first, *rest = _CUT.split(text)
+            return b"".join([self._run(first), *map(self.spaced.__getitem__, rest)])
 
 
 class WordBpe:
