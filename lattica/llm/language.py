@@ -25,7 +25,7 @@ _NARROW = -1e4
 #: A language uses a script if so much of its letters are of it.
 _USES = 0.001
 #: Bytes of text labelled, and scored, at once; shared out if there are more than 4 languages.
-_BLOCK, _SLICE = 6_000_000, 1_000_000
+_BLOCK, _SLICE = 5_000_000, 500_000
 _ASCII_LETTER = re.compile("[A-Za-z]")
 _NO_LETTER = regex.compile(r"[^\x00-\x7f\p{L}\p{M}]")
 
@@ -74,14 +74,18 @@ def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def scripts_of(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Script numbers of the words that start there, from their first character."""
-    b = [data[np.minimum(starts + i, len(data) - 1)].astype(np.int64) for i in range(4)]
-    low = [x & 63 for x in b]
-    point = np.select(
-        [b[0] < 0x80, b[0] < 0xE0, b[0] < 0xF0],
-        [b[0], (b[0] & 31) << 6 | low[1], (b[0] & 15) << 12 | low[1] << 6 | low[2]],
-        (b[0] & 7) << 18 | low[1] << 12 | low[2] << 6 | low[3],
-    )
-    return _SCRIPT[np.searchsorted(_STARTS, point, "right") - 1]
+    out = np.full(len(starts), _SCRIPT[0])
+    beyond = np.flatnonzero(data[starts] >= 0x80)
+    if len(beyond):
+        b = [data[np.minimum(starts[beyond] + i, len(data) - 1)].astype(np.int32) for i in range(4)]
+        low = [x & 63 for x in b]
+        point = np.select(
+            [b[0] < 0xE0, b[0] < 0xF0],
+            [(b[0] & 31) << 6 | low[1], (b[0] & 15) << 12 | low[1] << 6 | low[2]],
+            (b[0] & 7) << 18 | low[1] << 12 | low[2] << 6 | low[3],
+        )
+        out[beyond] = _SCRIPT[np.searchsorted(_STARTS, point, "right") - 1]
+    return out
 
 
 @dataclass
@@ -203,8 +207,8 @@ def _predict(m: Model, texts: list[str]) -> list[tuple[str, float, str]]:
     starts, ends = _words(data)
     counts = np.diff(np.searchsorted(starts, bounds), prepend=0)
     labels = viterbi(word_scores(m, data, starts, ends), counts) if size and len(starts) else np.zeros(len(starts), np.int32)
-    points = np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])  # characters, not bytes
-    lengths, out = points[ends] - points[starts], []
+    inner = np.flatnonzero(data & 0xC0 == 0x80)  # characters count, not bytes
+    lengths, out = ends - starts - np.searchsorted(inner, ends) + np.searchsorted(inner, starts), []
     for end, n in zip(np.cumsum(counts), counts):
         if not n or not size:
             out.append(("und", 0.0, ""))
