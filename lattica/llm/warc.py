@@ -24,6 +24,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from lattica.llm.workers import map_batches
 from lattica.plans.storage import fresh_path, stored
 
 #: Bytes of a block in one record, bytes of a chunk of the transfer framing, bytes read at once.
@@ -31,6 +32,8 @@ SEGMENT, CHUNK, READ = 16_384, 4_096, 1 << 20
 #: Payloads from this size on are written once.
 REVISIT_FROM = 1_000
 _DATE = "2024-01-01T00:00:00Z"
+#: Tasks that rows of one payload are spread over when they meet its other facts.
+SALTS = 8
 
 
 def encode_chunked(body: bytes, size: int = CHUNK) -> bytes:
@@ -119,6 +122,13 @@ def _writer(folder: str, segment: int):
     return run, "file string, records long, bytes long"
 
 
+def _salted(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` left-joined with ``facts`` (one light row for a key): a hot key's rows go to SALTS tasks."""
+    spread = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    copies = facts.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return spread.join(copies, [*keys, "_salt"], "left").drop("_salt")
+
+
 def write_archives(pages: DataFrame, segment: int = SEGMENT, folder: str | None = None) -> DataFrame:
     """Write one record for each row of ``pages`` (page_id, url, html); returns the stored list of files.
 
@@ -126,14 +136,21 @@ def write_archives(pages: DataFrame, segment: int = SEGMENT, folder: str | None
     of at least 1000 bytes, those with the largest page_id are responses and
     the others revisit it; a row without page_id is never referred to, and if no
     row of such a group has one all are responses.  A null url is left out.
+    Repeated rows are records of their own: of a group's largest page_id all
+    are responses.  A page_id may stand on several payloads.  Other columns are
+    ignored, whatever their names.  An html of any length is cut into segments; the
+    writer holds one page at a time.  An empty table makes no file.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     body = F.coalesce("html", F.lit(""))
-    keys = own.select("page_id", F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).cast("long").alias("n")).where(f"n >= {REVISIT_FROM}")
+    long = F.octet_length(body) >= REVISIT_FROM
+    keys = own.where(long).select("page_id", F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).cast("long").alias("n"))
     tops = keys.groupBy("digest", "n").agg(F.max("page_id").alias("top"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    ready = own.withColumn("html", body.cast("binary")).mapInArrow(_prepare, "page_id long, url string, digest string, n long, packed binary")
+    ready = lambda rows: map_batches(rows.withColumn("html", body.cast("binary")), _prepare, "page_id long, url string, digest string, n long, packed binary")
     run, schema = _writer(folder or fresh_path(pages.sparkSession, "warc"), segment)
-    return stored(ready.join(tops, ["digest", "n"], "left").mapInArrow(run, schema), "warc-files")
+    # short pages can't be revisits: they are written where they are read
+    rows = _salted(ready(own.where(long)), tops, ["digest", "n"]).unionByName(ready(own.where(~long)).withColumn("top", F.lit(None).cast("long")))
+    return stored(map_batches(rows.select("page_id", "url", "digest", "packed", "top"), run, schema), "warc-files")
 
 
 def parse_head(head: bytes) -> dict[str, str]:
@@ -245,23 +262,29 @@ def read_archives(files: DataFrame) -> DataFrame:
     For revisits bytes and digest are those of the response they refer to.  A record whose segments
     are incomplete, of a wrong total length or badly framed, or whose payload doesn't have the
     digest its header states, gets the reason in ``problem`` instead of failing
-    the job; a damaged archive fails it.
+    the job; a damaged archive fails it.  A revisit refers to the response with
+    that page_id and its own stated digest, so a page_id may stand on several
+    payloads.  Repeated records give a row each.  An archive is streamed; a reader holds one record
+    at a time, and a cut record is joined in one task.  No files give no rows;
+    other columns of ``files`` are ignored.
     """
     spark = files.sparkSession
-    read = files.select("file").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").mapInArrow(_read, _DDL)
+    read = map_batches(files.select("file").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file"), _read, _DDL)
     read = stored(read, "warc-records")
     names = ["record_type", "page_id", "refers_to", "stated", "payload_bytes", "payload_digest"]
     whole = read.where("origin is null").select(*names, F.lit(None).cast("string").alias("problem"))
     part = F.struct("number", "total", "record_type", "page_id", "refers_to", "stated", "block")
     joined = read.where("origin is not null").groupBy("origin").agg(F.collect_list(part).alias("parts")).select("parts")
-    rows = whole.union(joined.mapInArrow(_reassemble, "record_type string, page_id long, refers_to long, stated string, payload_bytes long, payload_digest string, problem string"))
+    rows = whole.union(map_batches(joined, _reassemble, "record_type string, page_id long, refers_to long, stated string, payload_bytes long, payload_digest string, problem string"))
     wrong = (F.col("payload_digest") != F.col("stated")) & F.col("problem").isNull()
     rows = rows.withColumn("problem", F.when(wrong, F.lit("digest differs from the stated one")).otherwise(F.col("problem")))
     kept = rows.where("record_type <> 'revisit'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
-    targets = kept.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
-    again = rows.where("record_type = 'revisit'").select("page_id", "refers_to", "stated", "record_type").join(targets, "refers_to", "left")
-    lost = F.when(F.col("payload_digest").isNull(), F.lit("response is missing")).when(F.col("payload_digest") != F.col("stated"), F.lit("digest differs from the stated one"))
-    return kept.union(again.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", lost.alias("problem")))
+    facts = kept.where("record_type = 'response' and page_id is not null and payload_digest is not null")
+    targets = facts.groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated")).agg(F.max("payload_bytes").alias("payload_bytes"))
+    again = _salted(rows.where("record_type = 'revisit'").select("page_id", "refers_to", "stated", "record_type"), targets, ["refers_to", "stated"])
+    lost = F.when(F.col("payload_bytes").isNull(), F.lit("response is missing"))
+    found = F.when(F.col("payload_bytes").isNotNull(), F.col("stated"))
+    return kept.union(again.select("page_id", "payload_bytes", found.alias("payload_digest"), "record_type", "refers_to", lost.alias("problem")))
 
 
 def round_trip(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:

@@ -276,6 +276,17 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_page_ids_on_several_payloads(spark):
+    """Page 3 revisits page 5, which also stands on another html, in whatever order the rows come."""
+    body, other = "a" * 1500, "b" * 1200
+    rows = [(3, body), (5, body), (5, other), (5, "short"), (5, body)]
+    for parts in (1, 3):
+        pages = spark.createDataFrame([(i, None, h, "clash") for i, h in rows], "page_id long, url string, html string, top string").repartition(parts)
+        got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], r["problem"]) for r in warc.round_trip(pages, segment=400).collect())
+        digest = lambda h: hashlib.sha1(h.encode()).hexdigest()
+        assert got == sorted([(3, 1500, digest(body), "revisit", 5, None)] + [(5, len(h), digest(h), "response", None, None) for _, h in rows[1:]])
+
+
 def test_segments_in_any_order():
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.encode_chunked(b"hello world" * 50, 7)
     parts = [{"number": n + 1, "total": None, "block": block[i : i + 100]} for n, i in enumerate(range(0, len(block), 100))]
@@ -672,9 +683,12 @@ def brute_passages(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("k", [35, 4])
-def test_substring_dedup(docs, empty, monkeypatch, k):
+@pytest.mark.parametrize(("k", "bits"), [(35, 16), (4, 16), (35, 1), (4, 3)])
+def test_substring_dedup(docs, empty, monkeypatch, k, bits):
+    """Also with rows of a few counters, where all windows are estimated repeated."""
     monkeypatch.setattr(substring_dedup, "BLOCK_TEXT", 3_000)
+    monkeypatch.setattr(substring_dedup, "LEAST_BITS", bits)
+    monkeypatch.setattr(substring_dedup, "MOST_BITS", bits)
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"], r["kept"]) for r in substring_dedup.dedup_substrings(docs, k, whole=True).collect())
     assert got == brute_passages(corpus(), k)
     assert substring_dedup.dedup_substrings(empty, k).count() == 0
