@@ -7,7 +7,7 @@ of neighbouring items that also keep only their greatest contribution (block-max
 All passages above a fixed threshold are wanted, so WAND's threshold never
 moves, and the passages of a batch are served together.  For each passage
 * the lists of its terms are put in order of their maxima; up to the pivot the
-  maxima add up to less than the threshold, so a block that only these lists
+  maxima add up to less than a share of the threshold, so a block that only these lists
   are in is never visited, and a passage without a pivot is done;
 * the cursors from the pivot on walk their blocks; a block counts with their block
   maxima and the list maxima up to the pivot;
@@ -42,8 +42,10 @@ BLOCK, TILE = 4, 64
 SHARD_ITEMS, SHARD_BYTES = 16_384, 16 << 20
 #: Words of a run that must be found; items of fewer words than SHORT must be found whole.
 _RUN, SHORT = 3, 5
+#: Share of the threshold that the lists up to the pivot stay below (up to 1): less means more walking and less seeking.
+PIVOT = 0.25
 #: Sums held at once for blocks that cursors walk.
-_TOGETHER = 1_000_000
+_TOGETHER = 500_000
 _SLACK = 1e-9
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 
@@ -141,7 +143,7 @@ class BlockMaxIndex:
         starts = np.searchsorted(passage, np.arange(n + 1))
         summed = np.concatenate([[0.0], np.cumsum(most)])
         upto = summed[1:] - summed[starts[passage]]
-        behind = upto >= least  # from the pivot on
+        behind = upto >= PIVOT * least  # from the pivot on
         rest = np.bincount(passage[~behind], most[~behind], n)
         walking = np.flatnonzero(np.bincount(passage[behind], minlength=n))
         out = []
