@@ -44,31 +44,65 @@ ALLOWED_RUNS = [
 ALLOWED = ALLOWED_PARTS + ALLOWED_RUNS
 
 
+#: Elements that one fold of a scan goes through: folds copy what they gather, so long arrays are scanned in two levels.
+STEP = 64
+_SPANS = "array<struct<start:int,end:int>>"
+
+
+def _bound(value: Column, of) -> Column:
+    """``of(value)``, with the value made once: inside the functions over arrays an expression is made again for each element."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
+def _scan(values: Column, op) -> Column:
+    """Running sums or maxima (``op``) of an array of numbers from 0 up."""
+
+    def fold(part):
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+        def step(acc, x):
+            return _bound(op(acc["at"], x), lambda now: F.struct(now.alias("at"), F.concat(acc["out"], F.array(now)).alias("out")))
+
+        return F.aggregate(part, zero, step, lambda acc: acc["out"])
+
+    def in_parts(v):
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STEP).cast("int")), lambda g: fold(F.slice(v, g * STEP + 1, STEP)))
+
+        def joined(own):
+            before = F.concat(F.array(F.lit(0)), fold(F.transform(own, lambda x: F.element_at(x, -1))))
+            return F.flatten(_bound(before, lambda b: F.transform(own, lambda x, g: F.transform(x, lambda y: op(y, F.get(b, g))))))
+
+        return _bound(parts, joined)
+
+    return _bound(values, lambda v: F.when(F.size(v) > STEP, in_parts(v)).otherwise(fold(v)))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _places(text: Column, pattern: str, hits: Column) -> Column:
     """Array of (start, end) of all matches, given their texts; code points, end exclusive."""
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
-    def step(acc, i):
-        start = acc["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(hits, i))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("spans"))
+    def of(x):
+        sizes = F.transform(x["hits"], lambda h: F.length(h))
+        steps = F.transform(x["hits"], lambda h, i: F.length(F.get(x["gaps"], i)) + F.length(h))
+        return F.zip_with(_scan(steps, _plus), sizes, lambda end, size: F.struct((end - size).alias("start"), end.alias("end")))
 
-    numbers = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(numbers, zero, step, lambda acc: acc["spans"])
+    return _bound(F.struct(F.split(text, pattern, -1).alias("gaps"), hits.alias("hits")), of)
 
 
 def _found(text: Column, pattern: str, hint: str | None = None) -> Column:
     spans = _places(text, pattern, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    return F.when(text.rlike(hint or pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    return F.when(text.rlike(hint or pattern), spans).otherwise(F.array().cast(_SPANS))
 
 
 def _assignments(text: Column) -> Column:
     """Matches whose value has 6 characters or more; shorter ones still use up their text."""
     spans = _places(text, ASSIGN, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0)))
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    long = F.filter(spans, lambda _, i: F.length(F.get(values, i)) >= 6)
-    return F.when(text.rlike(ASSIGN_HINT), long).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    long = F.filter(F.zip_with(spans, values, lambda s, v: F.when(F.length(v) >= 6, s)), lambda s: s.isNotNull())
+    return F.when(text.rlike(ASSIGN_HINT), long).otherwise(F.array().cast(_SPANS))
 
 
 def _outside(k: Column) -> dict[str, Column]:
@@ -84,41 +118,51 @@ def _outside(k: Column) -> dict[str, Column]:
 
 
 def windows_over(run: Column, digits: Column) -> Column:
-    """(first, last): start of the first and end of the last window of ``run`` with the entropy of its class; null if none.
+    """Array of (start, end): the windows of ``run`` with the entropy of their class, those that overlap or touch as one.
 
     ``digits``: whether the run has any.
     """
-    chars = F.split(run, "")
     weigh = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
     # what a count of n adds to the sum, for all counts a window can have
     table = F.array(*[F.lit(0.0)] * 2, *[weigh(F.lit(n)) for n in range(2, WINDOW + 1)])
     g = lambda n: F.get(table, n)
     bits = {name: F.lit(bits) for name, _, bits in CLASSES}
     names = list(_outside(F.lit(0)))
+    none = F.lit(None).cast("int")
     # for each class the place of the last character outside of it
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), *[F.lit(-1).alias(name) for name in names])
-
-    def step(acc, i):
-        enters = F.instr(F.lit(ALPHABET), F.get(chars, i)) - 1
-        leaves = F.when(i >= WINDOW, F.instr(F.lit(ALPHABET), F.get(chars, i - WINDOW)) - 1).otherwise(-1)
-        a, b = F.get(acc["counts"], enters), F.get(acc["counts"], leaves)
-        # if the same character leaves and enters nothing changes
-        change = F.when(enters == leaves, 0.0).otherwise(g(a + 1) - g(a) + F.when(leaves >= 0, g(b - 1) - g(b)).otherwise(0.0))
-        s = acc["s"] + change
-        counts = F.when(enters == leaves, acc["counts"]).otherwise(F.transform(acc["counts"], lambda n, k: n + (k == enters).cast("int") - (k == leaves).cast("int")))
-        out = {name: F.when(outside, i).otherwise(acc[name]) for name, outside in _outside(enters).items()}
-        within = {name: out[name] <= i - WINDOW for name in names}
-        own = F.when(within["hex"], bits["hex"]).when(within["base32"], bits["base32"]).when(within["lower36"] | within["upper36"], bits["base36"]).otherwise(bits["base64"])
-        threshold = F.when(within["numbers"], 9.0).when(digits, own).otherwise(bits["letters"])
-        over = (i >= WINDOW - 1) & (F.lit(WINDOW).cast("double") * (F.log2(F.lit(float(WINDOW))) - threshold) - s >= -1e-9)
-        return F.struct(
-            counts.alias("counts"), s.alias("s"),
-            F.coalesce(acc["first"], F.when(over, i - (WINDOW - 1))).alias("first"),
-            F.when(over, i + 1).otherwise(acc["last"]).alias("last"),
-            *[out[name].alias(name) for name in names],
-        )
-
-    return F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("s"), none.alias("first"), none.alias("last"), F.array().cast(_SPANS).alias("done"), *[F.lit(-1).alias(name) for name in names])
+    span = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("end")))
+
+    def over_all(chars):
+        def step(acc, i):
+            enters = F.get(chars, i)
+            leaves = F.when(i >= WINDOW, F.get(chars, i - WINDOW)).otherwise(-1)
+            a, b = F.get(acc["counts"], enters), F.get(acc["counts"], leaves)
+            # if the same character leaves and enters nothing changes
+            change = F.when(enters == leaves, 0.0).otherwise(g(a + 1) - g(a) + F.when(leaves >= 0, g(b - 1) - g(b)).otherwise(0.0))
+            s = acc["s"] + change
+            counts = F.when(enters == leaves, acc["counts"]).otherwise(F.transform(acc["counts"], lambda n, k: n + (k == enters).cast("int") - (k == leaves).cast("int")))
+            out = {name: F.when(outside, i).otherwise(acc[name]) for name, outside in _outside(enters).items()}
+            within = {name: out[name] <= i - WINDOW for name in names}
+            own = F.when(within["hex"], bits["hex"]).when(within["base32"], bits["base32"]).when(within["lower36"] | within["upper36"], bits["base36"]).otherwise(bits["base64"])
+            threshold = F.when(within["numbers"], 9.0).when(digits, own).otherwise(bits["letters"])
+            over = (i >= WINDOW - 1) & (F.lit(WINDOW).cast("double") * (F.log2(F.lit(float(WINDOW))) - threshold) - s >= -1e-9)
+            apart = over & (i - (WINDOW - 1) > acc["last"])
+            return F.struct(
+                counts.alias("counts"), s.alias("s"),
+                F.when(over & (acc["first"].isNull() | apart), i - (WINDOW - 1)).otherwise(acc["first"]).alias("first"),
+                F.when(over, i + 1).otherwise(acc["last"]).alias("last"),
+                F.when(apart, F.concat(acc["done"], span(acc["first"], acc["last"]))).otherwise(acc["done"]).alias("done"),
+                *[out[name].alias(name) for name in names],
+            )
+
+        def close(acc):
+            return F.when(acc["first"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], span(acc["first"], acc["last"])))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), zero, step, close)
+
+    numbers = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return _bound(numbers, over_all)
 
 
 def _pieces(run: Column, cuts: Column) -> Column:
@@ -133,7 +177,8 @@ def _pieces(run: Column, cuts: Column) -> Column:
     return F.aggregate(cuts, zero, step, lambda acc: F.concat(acc["out"], piece(acc["at"], run["end"])))
 
 
-def _entropic(text: Column, base: Column) -> Column:
+def _entropic(text: Column, base: Column, wide: bool) -> Column:
+    """High-entropy spans; ``wide`` ones take along the rest of the letters and digits that their ends are in."""
     runs = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     both = F.zip_with(_places(text, CANDIDATE, runs), runs, lambda p, r: F.struct(p["start"].alias("start"), p["end"].alias("end"), r.alias("run")))
     any_of = lambda shapes: "|".join(f"(?:{shape})" for shape in shapes)
@@ -146,32 +191,40 @@ def _entropic(text: Column, base: Column) -> Column:
         harmless = F.transform(_found(c["run"], any_of(ALLOWED_PARTS)), lambda b: F.struct((c["start"] + b["start"]).alias("start"), (c["start"] + b["end"]).alias("end")))
         cuts = F.array_sort(F.concat(known, harmless))
         part = lambda p: F.substring(c["run"], p["start"] - c["start"] + 1, p["end"] - p["start"])
-        return F.transform(_pieces(c, cuts), lambda p: F.struct(p["start"].alias("start"), part(p).alias("run"), part(p).rlike("[0-9]").alias("digits")))
+        found = F.transform(_pieces(c, cuts), lambda p: F.struct(p["start"].alias("start"), part(p).alias("run"), part(p).rlike("[0-9]").alias("digits")))
+        spans = F.flatten(F.transform(found, window))
+        return F.transform(spans, lambda s: widened(s, c)) if wide else spans
+
+    def window(p):
+        return F.transform(windows_over(p["run"], p["digits"]), lambda w: F.struct((p["start"] + w["start"]).alias("start"), (p["start"] + w["end"]).alias("end")))
 
-    def window(c):
-        w = windows_over(c["run"], c["digits"])
-        return F.struct((c["start"] + w["first"]).alias("start"), (c["start"] + w["last"]).alias("end"))
+    def widened(s, c):
+        a, b = s["start"] - c["start"], s["end"] - c["start"]
+        before = F.length(F.regexp_extract(F.substring(c["run"], F.lit(1), a + 1), "[A-Za-z0-9]*+$", 0))
+        after = F.length(F.regexp_extract(F.substring(c["run"], b, F.length(c["run"])), "^[A-Za-z0-9]*", 0))
+        return F.struct((s["start"] + 1 - F.greatest(before, F.lit(1))).alias("start"), (s["end"] - 1 + F.greatest(after, F.lit(1))).alias("end"))
 
-    spans = F.filter(F.transform(F.flatten(F.transform(both, pieces)), window), lambda s: s["start"].isNotNull())
-    return F.when(text.rlike(CANDIDATE), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    return F.when(text.rlike(CANDIDATE), F.flatten(F.transform(both, pieces))).otherwise(F.array().cast(_SPANS))
 
 
 def _ranked(kind: int, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", into: str = "secrets", wide: bool = False) -> DataFrame:
     """``docs`` with column ``into``: array of (start, kind, end) by start, then kind.
 
     Kinds are numbers of KINDS; starts and ends are code points, ends exclusive.
     Of each kind spans are leftmost and don't overlap; those of different kinds
-    may.  High-entropy spans never overlap known shapes.  A null text counts as empty and has
-    an empty array.  An existing column of that name is replaced.
+    may.  High-entropy spans never overlap known shapes, unless ``wide``: then
+    they take along the rest of the letters and digits that their ends are in.  A null text counts as empty and has
+    an empty array.  An existing column of that name is replaced.  A row for each row, repeated
+    ones alike; an empty table gives none.
     """
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))
     known = F.concat(_ranked(0, _assignments(own)), _ranked(1, _found(own, ACCESS)), _ranked(2, _found(own, HEX)))
     # a separate projection, so that the known spans are made once
-    return docs.withColumn(into, known).withColumn(into, F.array_sort(F.concat(into, _ranked(3, _entropic(own, F.col(into))))))
+    return docs.withColumn(into, known).withColumn(into, F.array_sort(F.concat(into, _ranked(3, _entropic(own, F.col(into), wide)))))
 
 
 def _listed(spans: Column) -> Column:
@@ -190,27 +243,24 @@ def secret_report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in text replaced by ``mark`` (overlapping spans by one); texts without one stay, null too.
 
-    A high-entropy span takes along the rest of the letters and digits that its ends are in.
+    A high-entropy span takes along the rest of the letters and digits that its
+    ends are in.  All rows stay, repeated ones alike, and all columns whatever
+    their names; an empty table gives none.
     """
     columns = docs.columns
     into = "secrets"
     while into in columns:
         into += "_"
-    spans = F.col(into)
-    text = F.col("text")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def whole(s):
-        before = F.length(F.regexp_extract(F.substring(text, F.lit(1), s["start"] + 1), "[A-Za-z0-9]*$", 0))
-        after = F.length(F.regexp_extract(F.substring(text, s["end"], F.length(text)), "^[A-Za-z0-9]*", 0))
-        wider = F.struct((s["start"] + 1 - F.greatest(before, F.lit(1))).alias("start"), s["kind"].alias("kind"), (s["end"] - 1 + F.greatest(after, F.lit(1))).alias("end"))
-        return F.when(s["kind"] == 3, wider).otherwise(s)
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    clean = F.aggregate(F.transform(spans, whole), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    found = find_secrets(docs.withColumn("text", text.cast("string")), into=into)
+    spans, text = F.col(into), F.col("text")
+
+    def pieces(x):
+        # each span that starts behind all before it brings what is between, and a mark
+        until = lambda i: F.when(i > 0, F.get(x["ends"], i - 1)).otherwise(0)
+        fresh = F.filter(F.transform(x["spans"], lambda s, i: F.struct(until(i).alias("from"), s["start"].alias("to"))), lambda p: p["to"] >= p["from"])
+        kept = F.transform(fresh, lambda p: F.concat(F.substring(text, p["from"] + 1, p["to"] - p["from"]), F.lit(mark)))
+        return F.concat(F.array_join(kept, ""), F.substring(text, F.element_at(x["ends"], -1) + 1, F.length(text)))
+
+    ends = _scan(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    clean = _bound(F.struct(spans.alias("spans"), ends.alias("ends")), pieces)
+    found = find_secrets(docs.withColumn("text", text.cast("string")), into=into, wide=True)
     return found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text)).select(*columns)
