@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 #: One of 2**SCALE hashes is kept; words of a shingle.
 SCALE, WORDS = 0, 5
 #: Rows of an id range, id ranges from percentiles at most, and ranges that one of these is cut into at most.
-RANGE_ROWS, RANGES, CUTS = 1_000, 512, 256
+RANGE_ROWS, RANGES, CUTS = 1_000, 2_048, 256
+#: Bits of a text's hash that place the rows of one id.
+_PLACE = 26
 
 
 def _low(hashes: Column, scale: int) -> Column:
@@ -60,40 +62,59 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
+def _range_of(key: Column, ends: list[float]) -> tuple[Column, Column, Column]:
+    """(how many of the sorted ``ends`` are not above the key, the last of them, the next end), by a search in two steps."""
+    step = max(1, round(len(ends) ** 0.5))
+    parts = [ends[i : i + step] for i in range(0, len(ends), step)]
+    arrays = F.array(*[F.array(*map(F.lit, part)) for part in parts])
+    upto = lambda own: F.size(F.filter(own, lambda e: e <= key))
+    part = F.greatest(upto(F.array(*[F.lit(part[0]) for part in parts])) - 1, F.lit(0))
+    n = part * step + upto(F.get(arrays, part))
+    at = lambda i: F.get(F.get(arrays, F.floor(i / step).cast("int")), i % step)
+    return n, at(n - 1), at(n)
+
+
 def with_next(docs: DataFrame, made: Column | None = None) -> DataFrame:
-    """(doc_id, text, next_text) in ascending doc_id, then text, nulls first; after the last comes the first.
+    """(doc_id, text, next_text) in ascending doc_id, nulls first; after the last comes the first.
 
-    ``made``, an expression over text, comes along as own and next_own: it is evaluated once for a row.
+    Rows of one id are in the order of 26 bits of a hash of their text, then of the
+    text.  ``made``, an expression over text, comes along as own and next_own: it is evaluated once for a row.
 
-    Rows are dealt to id ranges from percentiles, each cut evenly if there are
-    many rows; the first row of a range is also put behind the last of the
-    range before.  So no task sorts more than a range, and nothing but the
-    ranges' first ids reaches the driver.
+    Rows are dealt to ranges of id and hash from percentiles, each cut evenly if there are
+    many rows; so an id that many rows have (or none) is spread over ranges, and
+    only rows alike in id and text stay together.  The first row of a range is also put behind the last of the
+    range before.  So no task sorts more than some ranges, and nothing but the
+    ranges' first ids and hashes reaches the driver.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     made = F.lit(None).cast("array<bigint>") if made is None else made
-    n = own.count()
-    if n == 0:
-        return own.select("*", made.alias("own"), F.lit("").alias("next_text"), made.alias("next_own"))
-    ranges = min(RANGES, -(-n // RANGE_ROWS))
-    cuts = min(CUTS, -(-n // (RANGE_ROWS * RANGES * 10)))
-    at = own.agg(F.percentile_approx("doc_id", [i / ranges for i in range(ranges + 1)], 10_000)).first()[0] or [0]
-    ends = sorted(set(at))
-    limits = F.array(*map(F.lit, ends))
-    coarse = F.size(F.filter(limits, lambda e: e <= F.col("doc_id")))  # a null id is below all
-    low, high = F.get(limits, coarse - 1), F.get(limits, coarse)
-    fine = F.coalesce(F.floor((F.col("doc_id") - low) / (high - low) * cuts), F.lit(0)) if cuts > 1 else F.lit(0)
-    dealt = own.withColumn("bucket", coarse.cast("long") * cuts + fine.cast("long"))
-    firsts = dealt.groupBy("bucket").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("no_id")).orderBy("bucket").collect()
-    # at most (RANGES + 2) * CUTS rows, of fixed width
-    before = [(r["bucket"], firsts[i - 1]["bucket"], None if r["no_id"] else r["doc_id"]) for i, r in enumerate(firsts)]
-    table = F.broadcast(spark.createDataFrame(before, "bucket long, previous long, head long"))
-    heads = dealt.join(table, (dealt["bucket"] == table["bucket"]) & dealt["doc_id"].eqNullSafe(table["head"]))
-    heads = heads.groupBy("previous").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("previous").alias("bucket"), F.lit(1).alias("extra"))
+    own = own.withColumn("place", F.shiftrightunsigned(F.xxhash64("text"), 64 - _PLACE))
+    share = F.col("place") / (1 << _PLACE)
+    # the order of (id, place) as one number; where ids are too large for the fraction, equal numbers stay in one range
+    key = F.col("doc_id") + share
+    facts = own.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
+    if facts["n"] == 0:
+        return own.select("doc_id", "text", made.alias("own"), F.lit("").alias("next_text"), made.alias("next_own"))
+    ranges = min(RANGES, -(-facts["ids"] // RANGE_ROWS))
+    cuts = min(CUTS, -(-facts["ids"] // (RANGE_ROWS * RANGES * 10)))
+    loose = min(RANGES * CUTS, -(-(facts["n"] - facts["ids"]) // RANGE_ROWS))
+    bucket = F.floor(share * loose).cast("long") - loose
+    if ranges:
+        ends = sorted(set(own.agg(F.percentile_approx(key, [i / ranges for i in range(ranges + 1)], 10_000)).first()[0]))
+        n, low, high = _range_of(key, ends)
+        fine = F.coalesce(F.least(F.floor((key - low) / (high - low) * cuts), F.lit(cuts - 1)), F.lit(0)) if cuts > 1 else F.lit(0)
+        bucket = F.when(F.col("doc_id").isNull(), bucket).otherwise(n.cast("long") * cuts + fine.cast("long"))
+    dealt = own.withColumn("bucket", bucket)
+    firsts = dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", "place")).alias("f")).select("bucket", "f.*").orderBy("bucket").collect()
+    # of fixed width, at most (RANGES + 2) * CUTS rows with an id and as many without
+    before = [(r["bucket"], firsts[i - 1]["bucket"], r["doc_id"], r["place"]) for i, r in enumerate(firsts)]
+    table = F.broadcast(spark.createDataFrame(before, "bucket long, previous long, head long, head_place long"))
+    heads = dealt.join(table, (dealt["bucket"] == table["bucket"]) & dealt["doc_id"].eqNullSafe(table["head"]) & (dealt["place"] == table["head_place"]))
+    heads = heads.groupBy("previous").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("place"), F.col("previous").alias("bucket"), F.lit(1).alias("extra"))
     # made behind the shuffle of the window below, so that only texts are moved
     rows = dealt.withColumn("extra", F.lit(0)).unionByName(heads).repartition("bucket").withColumn("own", made)
-    order = Window.partitionBy("bucket").orderBy("extra", F.asc_nulls_first("doc_id"), "text")
+    order = Window.partitionBy("bucket").orderBy("extra", F.asc_nulls_first("doc_id"), "place", "text")
     rows = rows.withColumns({"next_text": F.lead("text").over(order), "next_own": F.lead("own").over(order)})
     return rows.where("extra = 0").select("doc_id", "text", "own", "next_text", "next_own")
 
@@ -103,7 +124,8 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
 
     Edited: the last floor(n_chars / 4) code points give way to the first as
     many of the next document (all, if it has fewer).  Null texts count as
-    empty; rows without an id come first; repeated rows follow each other.  A
+    empty; rows without an id come first; repeated rows follow each other, and different rows
+    of one id are in an order of their texts' hashes.  A
     row for each row of ``docs``; other columns are ignored; empty in, empty out.
     """
     rows = with_next(docs, sketch(F.col("text")))
