@@ -122,9 +122,9 @@ def _writer(folder: str, segment: int):
     return run, "file string, records long, bytes long"
 
 
-def _salted(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` left-joined with ``facts`` (one light row for a key): a hot key's rows go to SALTS tasks."""
-    spread = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+def _salted(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """``rows`` left-joined with ``facts`` (one light row for a key): a hot key's rows go to SALTS tasks by their columns ``by``."""
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
     copies = facts.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     return spread.join(copies, [*keys, "_salt"], "left").drop("_salt")
 
@@ -149,7 +149,7 @@ def write_archives(pages: DataFrame, segment: int = SEGMENT, folder: str | None
     ready = lambda rows: map_batches(rows.withColumn("html", body.cast("binary")), _prepare, "page_id long, url string, digest string, n long, packed binary")
     run, schema = _writer(folder or fresh_path(pages.sparkSession, "warc"), segment)
     # short pages can't be revisits: they are written where they are read
-    rows = _salted(ready(own.where(long)), tops, ["digest", "n"]).unionByName(ready(own.where(~long)).withColumn("top", F.lit(None).cast("long")))
+    rows = _salted(ready(own.where(long)), tops, ["digest", "n"], ["page_id", "url"]).unionByName(ready(own.where(~long)).withColumn("top", F.lit(None).cast("long")))
     return stored(map_batches(rows.select("page_id", "url", "digest", "packed", "top"), run, schema), "warc-files")
 
 
@@ -281,7 +281,7 @@ def read_archives(files: DataFrame) -> DataFrame:
     kept = rows.where("record_type <> 'revisit'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
     facts = kept.where("record_type = 'response' and page_id is not null and payload_digest is not null")
     targets = facts.groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated")).agg(F.max("payload_bytes").alias("payload_bytes"))
-    again = _salted(rows.where("record_type = 'revisit'").select("page_id", "refers_to", "stated", "record_type"), targets, ["refers_to", "stated"])
+    again = _salted(rows.where("record_type = 'revisit'").select("page_id", "refers_to", "stated", "record_type"), targets, ["refers_to", "stated"], ["page_id"])
     lost = F.when(F.col("payload_bytes").isNull(), F.lit("response is missing"))
     found = F.when(F.col("payload_bytes").isNotNull(), F.col("stated"))
     return kept.union(again.select("page_id", "payload_bytes", found.alias("payload_digest"), "record_type", "refers_to", lost.alias("problem")))

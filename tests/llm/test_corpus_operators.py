@@ -631,8 +631,14 @@ def brute_like(a, b):
     return len(a & b) / min(len(a), len(b)) if a and b else float(len(a) == len(b))
 
 
+def next_order(row):
+    import xxhash
+
+    return row[0] is not None, row[0] or 0, xxhash.xxh64_intdigest(row[1].encode(), seed=42) >> 38, row[1].encode()
+
+
 def test_fingerprints(docs, empty):
-    rows = sorted(((i, x or "") for i, x in corpus() if "İ" not in (x or "") and "ǅ" not in (x or "")), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    rows = sorted(((i, x or "") for i, x in corpus() if "İ" not in (x or "") and "ǅ" not in (x or "")), key=next_order)
     used = docs.where("text is null or not (contains(text, 'İ') or contains(text, 'ǅ'))")
     got = sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprints.fingerprint_report(used).collect())
     show = lambda s: "".join(f"{h:016x}" for h in sorted(s))
@@ -654,17 +660,29 @@ def test_short_text_within_long_one(spark):
     assert {r["l"] for r in df.select(like.alias("l")).collect()} == {1.0}
 
 
-def test_next_over_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("shape", ["spread", "hot", "none", "clustered", "huge"])
+def test_next_over_ranges(spark, monkeypatch, shape):
+    """Ids that are spread, one that half of the rows have, rows without any, clusters far apart, and ids beyond a double's digits."""
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
     monkeypatch.setattr(fingerprints, "RANGES", 5)
     rng = random.Random(6)
-    ids = [rng.randrange(10**6) for _ in range(800)] + [5, 5, 5]
-    rows = sorted((i, f"t{n}") for n, i in enumerate(ids))
+    draw = {
+        "spread": lambda: rng.randrange(10**6), "hot": lambda: rng.choice([77, rng.randrange(10**6)]), "none": lambda: rng.choice([None, None, rng.randrange(50)]),
+        "clustered": lambda: rng.choice([0, 10**12]) + rng.randrange(300), "huge": lambda: rng.choice([-1, 1]) * (2**62 + rng.randrange(300)),
+    }[shape]
+    rows = sorted([*((draw(), f"t{n}") for n in range(800)), (5, "x"), (5, "y"), (5, "z")], key=next_order)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = {r["text"]: r["next_text"] for r in fingerprints.with_next(df).collect()}
     assert got == {t: n for (_, t), (_, n) in zip(rows, [*rows[1:], rows[0]])}
 
 
+def test_next_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
+    rows = [(1, "a")] * 40 + [(2, "b")] * 3 + [(None, "")] * 30
+    got = sorted((str(r["doc_id"]), r["text"], r["next_text"]) for r in fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("1", "a", "a")] * 39 + [("1", "a", "b")] + [("2", "b", "b")] * 2 + [("2", "b", "")] + [("None", "", "")] * 29 + [("None", "", "a")])
+
+
 def test_sketches_merge(spark):
     rng = random.Random(9)
     pairs = [(prose(rng, rng.randrange(1, 90)), prose(rng, rng.randrange(1, 90))) for _ in range(30)] + [("", "a"), ("", "")]
