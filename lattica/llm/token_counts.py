@@ -16,9 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lattica.llm.bpe import as_letters
+from lattica.llm.workers import map_batches, pieces
 
 _WORDS = re.compile(r"[^\W_]+|[^\w\s]|_")
 _MEMO = 500_000
+#: Bytes of texts that are counted at once.
+_AT_ONCE = 2_000_000
 _LOADED: dict = {}
 
 
@@ -98,15 +101,15 @@ def _count(path: str):
 
     def run(batches):
         known = _Counts(automaton(path))
-        for batch in batches:
+        for piece in pieces(batches, _AT_ONCE):
             n_words, n_tokens = [], []
-            for text in batch.column("text").to_pylist():
+            for text in piece.column("text").to_pylist():
                 words = _WORDS.findall(text or "")
                 n_words.append(len(words))
                 n_tokens.append(sum(map(known.__getitem__, words)))
                 if len(known) > _MEMO:
                     known.clear()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], schema=schema)
 
     return run, "doc_id long, n_words long, n_tokens long"
 
@@ -121,4 +124,4 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     run, schema = _count(vocabulary)
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
