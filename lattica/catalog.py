@@ -51,7 +51,7 @@ class GraphCatalog:
             raise GraphNotFoundError(f"no graph {name}")
         if name not in self._graphs:
             at = f"{self.root}/{name}/{self._version(name)}"
-            self._graphs[name] = Graph(self.spark.read.parquet(f"{at}/vertices"), self.spark.read.parquet(f"{at}/edges"))
+            self._graphs[name] = Graph(self.spark.read.parquet(f"{at}/vertices"), self.spark.read.parquet(f"{at}/edges"), at_rest=True)
         return self._graphs[name]
 
     def save(self, name: str, graph: Graph) -> Graph:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lattica.errors import GraphQueryError, require, require_text
 from lattica.model import EDGE_DDL, VERTEX_DDL, Direction, Edge, Vertex, edge_of, vertex_of
+from lattica.plans.storage import Scratch, stored
 
 _VERTEX, _EDGE = ("id", "label"), ("id", "label", "src", "dst")
 
@@ -58,10 +59,16 @@ def _equals(frame: DataFrame, key: str, value: Any) -> Column:
 
 
 class Graph:
-    def __init__(self, vertices: DataFrame, edges: DataFrame):
+    """``at_rest``: the frames are plain tables, so that reading them again and again costs no more than a scan."""
+
+    def __init__(self, vertices: DataFrame, edges: DataFrame, at_rest: bool = False):
         require(set(_VERTEX) <= set(vertices.columns), f"vertices need columns {_VERTEX}")
         require(set(_EDGE) <= set(edges.columns), f"edges need columns {_EDGE}")
-        self.vertices, self.edges, self.spark = vertices, edges, vertices.sparkSession
+        self.vertices, self.edges, self.spark, self.at_rest = vertices, edges, vertices.sparkSession, at_rest
+
+    def stored(self) -> Graph:
+        """The same graph with its frames written once: for several operators on a view that joins have to make."""
+        return self if self.at_rest else Graph(stored(self.vertices, "vertices"), stored(self.edges, "edges"), at_rest=True)
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Graph:
@@ -188,6 +195,11 @@ class Graph:
         back = edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.col("id").alias("edge_id"))
         return {Direction.OUTGOING: out, Direction.INCOMING: back}.get(direction) or out.union(back)
 
+    def steps(self, keep: Scratch, direction: Direction = Direction.OUTGOING, edge_label: str | None = None) -> DataFrame:
+        """:meth:`oriented` for operators that read it in every round: written once, unless it is at rest anyway."""
+        steps = self.oriented(direction, edge_label)
+        return steps if self.at_rest else keep.stored(steps, "steps")
+
     def restricted(self, vertex_label: str | None, edge_label: str | None) -> tuple[DataFrame, DataFrame]:
         """(ids, (src, dst, id) of edges with both ends among them) after label filters."""
         ids = (self.vertices if vertex_label is None else self.vertices.where(F.col("label") == vertex_label)).select("id")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from lattica.graph import Graph
 from lattica.options import ComponentOptions
 from lattica.plans.components import star_contract
-from lattica.plans.storage import stored
+from lattica.plans.storage import Scratch
 
 
 def connected_components(graph: Graph, options: ComponentOptions | None = None) -> DataFrame:
@@ -25,33 +27,59 @@ def connected_components(graph: Graph, options: ComponentOptions | None = None)
     return out.join(sizes, "component_id")
 
 
-def _spread(ids: DataFrame, pairs: DataFrame, within: bool) -> DataFrame:
-    """(node, root): the smallest id that reaches each node along ``pairs``; with ``within`` only over nodes of one given root."""
-    labels = stored(ids, "labels")
+def _least_reaching(keep: Scratch, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, root): the smallest id that reaches each node along ``pairs``.
+
+    A round goes one step along the pairs, and then from each root to the root that
+    it had itself: what reaches the root reaches the node.  So rounds grow with the logarithm of a chain's length.
+    """
+    table = labels = keep.stored(nodes.select("node", F.col("node").alias("root")), "labels")
     while True:
-        sent = pairs.join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra"), *([F.col("color").alias("ca")] if within else [])), "a")
-        if within:
-            sent = sent.join(labels.select(F.col("node").alias("b"), F.col("color").alias("cb")), "b").where("ca = cb")
-        best = sent.groupBy(F.col("b").alias("node")).agg(F.min("ra").alias("got"))
-        fresh = stored(labels.join(best, "node", "left").withColumn("new", F.least("root", "got")), "labels")
-        if fresh.where("new is distinct from root").isEmpty():
+        sent = pairs.join(labels.select(F.col("node").alias("a"), "root"), "a").groupBy(F.col("b").alias("node")).agg(F.min("root").alias("got"))
+        near = labels.join(sent, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "got").alias("root"))
+        far = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        jumped = near.join(far, "root").select("node", "old", F.least("root", "far").alias("root"))
+        fresh, facts = keep.stored_seeing(jumped, "labels", changed=F.count_if(F.col("root") != F.col("old")))
+        keep.discard(table)
+        table, labels = fresh, fresh.select("node", "root")
+        if not facts["changed"]:
             return labels
-        labels = fresh.drop("root", "got").withColumnRenamed("new", "root").select(*labels.columns)
+
+
+def _trimmed(keep: Scratch, left: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(nodes with a pair into them and one out of them, pairs among these, how many nodes), again and again while many go."""
+    n = None
+    while True:
+        for end, other in (("a", "b"), ("b", "a")):
+            left = left.join(pairs.select(F.col(end).alias("node")), "node", "left_semi")
+        left, facts = keep.stored_seeing(left, "left", n=F.count("*"))
+        for end in ("a", "b"):
+            pairs = pairs.join(left.withColumnRenamed("node", end), end, "left_semi")
+        pairs = keep.stored(pairs.select("a", "b"), "pairs")
+        if not facts["n"] or n is not None and facts["n"] > 0.9 * n:
+            return left, pairs, facts["n"]
+        n = facts["n"]
 
 
 def _strong(ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Forward colouring by the smallest id, then the part of each colour that reaches back to it; repeated on the rest."""
-    done = None
-    left, pairs = ids.select(F.col("id").alias("node")), stored(pairs.where("a <> b").distinct(), "pairs")
-    while not left.isEmpty():
-        colors = _spread(left.withColumn("root", F.col("node")), pairs, within=False).withColumnRenamed("root", "color")
-        back = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        start = colors.withColumn("root", F.when(F.col("node") == F.col("color"), F.col("color")))
-        reach = _spread(start.select("node", "color", "root"), back, within=True).where("root is not null").select("node", F.col("color").alias("root"))
-        reach = stored(reach, "strong")
-        done = reach if done is None else done.union(reach)
-        left = stored(left.join(reach, "node", "left_anti"), "left")
+    """(node, root) of strong components of two nodes and more; all others are left out.
+
+    Nodes that no cycle can hold go first.  Then every node gets the smallest
+    id that reaches it; those of a colour that reach that id are its component.  The rest is
+    done again.
+    """
+    keep, done = Scratch(), []
+    left, pairs, n = _trimmed(keep, ids.select(F.col("id").alias("node")), keep.stored(pairs.where("a <> b").distinct(), "pairs"))
+    while n:
+        colors = _least_reaching(keep, left, pairs).withColumnRenamed("root", "color")
+        own = pairs.join(colors.select(F.col("node").alias("a"), F.col("color").alias("ca")), "a").join(colors.select(F.col("node").alias("b"), F.col("color").alias("cb")), "b")
+        back = keep.stored(own.where("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b")), "back")
+        # within a colour no id is smaller than the colour's own
+        reach = _least_reaching(keep, left, back).join(colors, "node").where("root = color").select("node", "root")
+        done.append(keep.stored(reach, "strong"))
+        left = left.join(done[-1], "node", "left_anti")
         for end in ("a", "b"):
             pairs = pairs.join(left.withColumnRenamed("node", end), end, "left_semi")
-        pairs = stored(pairs.select("a", "b"), "pairs")
-    return done if done is not None else ids.select(F.col("id").alias("node"), F.col("id").alias("root"))
+        left, pairs, n = _trimmed(keep, keep.stored(left, "left"), keep.stored(pairs.select("a", "b"), "pairs"))
+    found = reduce(DataFrame.union, done) if done else ids.where("false").select(F.col("id").alias("node"), F.col("id").alias("root"))
+    return keep.result(found, "strong")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lattica.graph import Graph
 from lattica.options import UNBOUNDED, PageRankOptions
-from lattica.plans.storage import discard, stored
+from lattica.plans.numbering import numbered
+from lattica.plans.storage import Scratch
+
+#: Edges of one source in one partition; a source with more is a hub, whose edges are spread over several.
+HUB = 1_000_000
 
 
 def page_rank(graph: Graph, options: PageRankOptions | None = None) -> DataFrame:
@@ -15,8 +19,8 @@ def page_rank(graph: Graph, options: PageRankOptions | None = None) -> DataFrame
     Edges count if both ends pass the label filters, parallel ones each.  A
     vertex without out-edges gives its rank to all.  Iteration ends when the
     ranks' total change is below the tolerance (the new ranks count), or after
-    ``iterations``.  ``rank`` counts from 1 under a top_k; without one it only
-    grows with the place in the order, so that no task has to hold all vertices.
+    ``iterations``.  ``rank`` counts from 1; without a top_k it is numbered by ranges,
+    so that no task has to hold all vertices.
     """
     options = options or PageRankOptions()
     d = options.damping_factor
@@ -24,28 +28,36 @@ def page_rank(graph: Graph, options: PageRankOptions | None = None) -> DataFrame
     n = ids.count()
     if not n:
         return graph.spark.createDataFrame([], "vertex_id string, score double, rank long")
-    # kept by source on the executors: each round moves ranks to the edges, not edges
-    edges = edges.select("src", "dst").repartition(F.col("src")).persist()
+    keep = Scratch()
+    edges = edges.select("src", "dst") if graph.at_rest else keep.stored(edges.select("src", "dst"), "edges")
     out_degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
-    ranks = stored(ids.join(out_degree, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(1.0 / n).alias("r")), "ranks")
-    dangling = (ranks.where("degree = 0").count()) / n
+    ranks = ids.join(out_degree, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(1.0 / n).alias("r"))
+    ranks, facts = keep.stored_seeing(ranks, "ranks", free=F.count_if(F.col("degree") == 0), most=F.max("degree"))
+    dangling, salts = facts["free"] / n, F.ceil(F.col("degree") / HUB).cast("int")
+    # kept by source on the executors: each round moves ranks to the edges, not edges.  A hub's are dealt to
+    # as many partitions as they need; hubs are at most edges / HUB, so their table may be broadcast
+    salt = F.lit(0)
+    if facts["most"] > HUB:
+        hubs = F.broadcast(ranks.where(F.col("degree") > HUB).select(F.col("id").alias("src"), salts.alias("salts")))
+        edges, salt = edges.join(hubs, "src", "left"), F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int")
+    edges = edges.select("src", "dst", salt.alias("salt")).repartition("src", "salt").persist()
     for _ in range(options.iterations):
-        given = edges.join(ranks.where("degree > 0").select(F.col("id").alias("src"), (d * F.col("r") / F.col("degree")).alias("share")), "src")
-        got = given.groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
+        shares = ranks.where("degree > 0").select(F.col("id").alias("src"), (d * F.col("r") / F.col("degree")).alias("share"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        got = edges.join(shares, ["src", "salt"]).groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
         base = (1 - d) / n + d * dangling / n
         new = ranks.join(got, "id", "left").select("id", "degree", F.col("r").alias("old"), (F.lit(base) + F.coalesce("got", F.lit(0.0))).alias("r"))
-        seen = Observation()
         # the round's change and the next round's dangling rank are taken while the ranks are written
-        told = new.observe(seen, F.sum(F.abs(F.col("r") - F.col("old"))).alias("delta"), F.sum(F.when(F.col("degree") == 0, F.col("r")).otherwise(0.0)).alias("dangling"))
-        fresh = stored(told.select("id", "degree", "r"), "ranks")
-        discard(ranks)
-        ranks, delta, dangling = fresh, seen.get["delta"], seen.get["dangling"]
-        if delta < options.tolerance:
+        fresh, facts = keep.stored_seeing(new, "ranks", delta=F.sum(F.abs(F.col("r") - F.col("old"))), dangling=F.sum(F.when(F.col("degree") == 0, F.col("r")).otherwise(0.0)))
+        keep.discard(ranks)
+        ranks, dangling = fresh, facts["dangling"]
+        if facts["delta"] < options.tolerance:
             break
     edges.unpersist()
     out = ranks.select(F.col("id").alias("vertex_id"), F.col("r").alias("score"))
     order = [F.desc("score"), F.asc("vertex_id")]
     if options.top_k < UNBOUNDED:
         out = out.orderBy(*order).limit(options.top_k)
-        return out.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    return out.orderBy(*order).withColumn("rank", F.monotonically_increasing_id())
+        return keep.result(out.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")), "ranked").orderBy("rank")
+    ranked = numbered(out, order, "rank")
+    keep.discard()
+    return ranked

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lattica.errors import require_text
 from lattica.graph import Graph
 from lattica.options import UNBOUNDED, BfsDfsOptions
-from lattica.plans.storage import stored
+from lattica.plans.numbering import numbered
+from lattica.plans.storage import Scratch
 
 VISIT_DDL = "visit_order long, vertex_id string, depth int, parent_id string"
 
@@ -24,12 +25,13 @@ def bfs(graph: Graph, start_id: str, options: BfsDfsOptions | None = None) -> Da
     """(visit_order, vertex_id, depth, parent_id) in level order; the parent is the first to find a vertex in queue order.
 
     The start is visited even if the graph lacks it.  At most max_vertices
-    rows: each level is cut by a distributed top-k before it is numbered, so
-    no task numbers more than that; UNBOUNDED leaves a level as it is.
+    rows: each level is cut by a distributed top-k before it is numbered.  A
+    level without such a bound is numbered by ranges, so no task sees all of it.
     """
     options = options or BfsDfsOptions()
     require_text(start_id, "start id")
-    steps = graph.oriented(options.direction, options.edge_label)
+    keep = Scratch()
+    steps = graph.steps(keep, options.direction, options.edge_label)
     seen = frontier = graph.spark.createDataFrame([(0, start_id, 0, None)], VISIT_DDL)
     n = 1
     for depth in range(1, options.max_depth + 1):
@@ -38,13 +40,16 @@ def bfs(graph: Graph, start_id: str, options: BfsDfsOptions | None = None) -> Da
         ahead = steps.join(frontier.select(F.col("vertex_id").alias("a"), F.col("visit_order").alias("p")), "a")
         ahead = ahead.join(seen.select(F.col("vertex_id").alias("b")), "b", "left_anti")
         found = ahead.groupBy("b").agg(F.min(F.struct("p", edge_order().alias("e"), "a")).alias("m"))
-        level = found if options.max_vertices >= UNBOUNDED else found.orderBy("m.p", "m.e").limit(options.max_vertices - n)
-        number = F.row_number().over(Window.orderBy("m.p", "m.e")).cast("long") + (n - 1)
-        frontier = stored(level.select(number.alias("visit_order"), F.col("b").alias("vertex_id"), F.lit(depth).alias("depth"), F.col("m.a").alias("parent_id")), "frontier")
-        size = frontier.count()
-        if not size:
+        if options.max_vertices >= UNBOUNDED:
+            level = numbered(found, [F.col("m.p"), F.col("m.e")], "visit_order", n)
+        else:
+            level = found.orderBy("m.p", "m.e").limit(options.max_vertices - n)
+            level = level.withColumn("visit_order", F.row_number().over(Window.orderBy("m.p", "m.e")).cast("long") + (n - 1))
+        level = level.select("visit_order", F.col("b").alias("vertex_id"), F.lit(depth).alias("depth"), F.col("m.a").alias("parent_id"))
+        frontier, facts = keep.stored_seeing(level, "frontier", n=F.count("*"))
+        if not facts["n"]:
             break
-        n += size
+        n += facts["n"]
         seen = seen.union(frontier)
     return seen
 
@@ -85,18 +90,25 @@ def dfs_many(graph: Graph, starts: DataFrame, options: BfsDfsOptions | None = No
     taken off the stack, so with a depth limit some that breadth-first finds may be missed.
     """
     options = options or BfsDfsOptions()
-    steps = graph.oriented(options.direction, options.edge_label)
+    keep = Scratch()
+    steps = graph.steps(keep, options.direction, options.edge_label)
+    if options.max_vertices < UNBOUNDED:
+        # of a vertex's ends no more than the visits there can be, and those already visited, are ever looked at
+        firsts = steps.groupBy("a", "b").agg(F.min(edge_order()).alias("e"))
+        place = F.row_number().over(Window.partitionBy("a").orderBy("e"))
+        steps = keep.stored(firsts.withColumn("place", place).where(F.col("place") <= 2 * options.max_vertices).select("a", "b", F.col("e.s").alias("edge_id")), "steps")
     frontier = starts.select("start", F.col("start").alias("a")).distinct()
     edges = frontier.select("start", "a", F.lit(None).cast("string").alias("b"), F.lit(None).cast("string").alias("edge_id"))
     seen = frontier
     for _ in range(options.max_depth):
-        level = stored(steps.join(frontier, "a").select("start", "a", "b", "edge_id"), "level")
-        if level.isEmpty():
+        level, facts = keep.stored_seeing(steps.join(frontier, "a").select("start", "a", "b", "edge_id"), "level", n=F.count("*"))
+        if not facts["n"]:
             break
         edges = edges.union(level)
         frontier = level.select("start", F.col("b").alias("a")).distinct().join(seen, ["start", "a"], "left_anti")
-        frontier = stored(frontier, "frontier")
+        frontier = keep.stored(frontier, "frontier")
         seen = seen.union(frontier)
     ordered = edges.withColumn("e", edge_order()).select("start", "a", "b", F.col("e.n").alias("n"), "edge_id")
     walk = _walk(options.max_depth, options.max_vertices)
-    return ordered.groupBy("start").applyInPandas(lambda pdf: walk(pdf.sort_values(["n", "edge_id"], na_position="first")), f"start string, {VISIT_DDL}")
+    walked = ordered.groupBy("start").applyInPandas(lambda pdf: walk(pdf.sort_values(["n", "edge_id"], na_position="first")), f"start string, {VISIT_DDL}")
+    return keep.result(walked, "visits")

@@ -1,16 +1,22 @@
-"""Neighbours, shortest path and all simple paths."""
+"""Neighbours, shortest path and all simple paths.
+
+Steps are written once for a search, and each level is one job: what decides
+about the next level is taken while the level is written.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from lattica.errors import GraphQueryError, require_text
 from lattica.graph import Graph
 from lattica.model import Direction
 from lattica.options import NeighborOptions, PathOptions
-from lattica.plans.storage import stored
+from lattica.plans.storage import Scratch
 
-#: Levels that stay one lazy plan; deeper searches write each level to the shared folder.
+#: Levels that stay one lazy plan.
 LAZY_LEVELS = 2
 
 
@@ -18,19 +24,24 @@ def neighbors(graph: Graph, start_id: str, options: NeighborOptions | None = Non
     """Distinct vertices within max_depth steps of the start; walks may turn back, so the start is one of them if a closed walk exists."""
     options = options or NeighborOptions()
     require_text(start_id, "start id")
-    steps = graph.oriented(options.direction, options.edge_label).select("a", "b")
+    keep, deep = Scratch(), options.max_depth > LAZY_LEVELS
+    steps = graph.steps(keep, options.direction, options.edge_label) if deep else graph.oriented(options.direction, options.edge_label)
+    steps = steps.select("a", "b")
     reached = frontier = steps.where(F.col("a") == start_id).select("b").distinct()
     if options.max_depth <= 0:
         reached = reached.where("false")
     for depth in range(2, options.max_depth + 1):
-        if depth > LAZY_LEVELS:
-            frontier = stored(frontier, "frontier")
-            if frontier.isEmpty():
+        if deep:
+            frontier, facts = keep.stored_seeing(frontier, "frontier", n=F.count("*"))
+            reached = frontier if depth == 2 else reached.union(frontier)
+            if not facts["n"]:
                 break
-            reached = stored(reached, "reached")
-        ahead = steps.join(frontier.withColumnRenamed("b", "a"), "a", "left_semi").select("b").distinct()
+        ahead = steps.join(frontier.select(F.col("b").alias("a")), "a", "left_semi").select("b").distinct()
         frontier = ahead.join(reached, "b", "left_anti")
-        reached = reached.union(frontier)
+        if not deep or depth == options.max_depth:
+            reached = reached.union(frontier)
+    if deep:
+        reached = keep.result(reached, "reached")
     if not options.include_start:
         reached = reached.where(F.col("b") != start_id)
     return graph.vertices.join(reached.withColumnRenamed("b", "id"), "id", "left_semi").select(*graph.vertices.columns)
@@ -40,22 +51,30 @@ def _no_path(graph: Graph) -> DataFrame:
     return graph.spark.createDataFrame([], "vertex_ids array<string>, edge_ids array<string>, length int")
 
 
-def _levels(graph: Graph, start: str, stop: str | None, max_depth: int, edge_label: str | None):
-    """Level-synchronous search over both directions: (steps into each level, distances).  Ends at the level that holds ``stop``."""
-    steps = graph.oriented(Direction.BOTH, edge_label).where("a <> b")
-    seen = graph.vertices.where(F.col("id") == start).select("id", F.lit(0).alias("distance"))
-    frontier, into = seen, []
-    for depth in range(1, max_depth + 1):
-        ahead = steps.join(frontier.select(F.col("id").alias("a")), "a", "left_semi")
-        ahead = stored(ahead.join(seen.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b", "edge_id"), "level")
-        if ahead.isEmpty():
+def _levels(graph: Graph, keep: Scratch, steps: DataFrame, start: str, stop: str | None, max_depth: int, with_edges: bool = False) -> tuple[list[DataFrame], bool]:
+    """Level-synchronous search along ``steps``, which go both ways: [vertices (b) of level 0, level 1, ...], and whether ``stop`` was met (the search ends there).
+
+    As every step also goes back, a step leads one level on, one back or to the
+    same level: only two levels are left out of the next.  With edges levels from 1 on have a row (a, b, edge_id) for each step into them.
+    """
+    levels = [graph.vertices.where(F.col("id") == start).select(F.col("id").alias("b"))]
+    for _ in range(max_depth):
+        ahead = steps.join(levels[-1].select(F.col("b").alias("a")), "a", "left_semi")
+        ahead = ahead.select("a", "b", "edge_id") if with_edges else ahead.select("b").distinct()
+        for level in levels[-2:]:
+            ahead = ahead.join(level.select("b"), "b", "left_anti")
+        facts = {"n": F.count("*")} | ({} if stop is None else {"met": F.max(F.col("b") == stop)})
+        ahead, seen = keep.stored_seeing(ahead, "level", **facts)
+        if not seen["n"]:
             break
-        into.append(ahead)
-        frontier = ahead.select(F.col("b").alias("id"), F.lit(depth).alias("distance")).distinct()
-        seen = stored(seen.union(frontier), "seen")
-        if stop is not None and not ahead.where(F.col("b") == stop).isEmpty():
-            return into, seen, True
-    return into, seen, False
+        levels.append(ahead)
+        if stop is not None and seen["met"]:
+            return levels, True
+    return levels, False
+
+
+def _distances(levels: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, [level.select(F.col("b").alias("id"), F.lit(d).alias("distance")) for d, level in enumerate(levels)])
 
 
 def shortest_path(graph: Graph, from_id: str, to_id: str, options: PathOptions | None = None) -> DataFrame:
@@ -68,23 +87,29 @@ def shortest_path(graph: Graph, from_id: str, to_id: str, options: PathOptions |
     require_text(from_id, "from id"), require_text(to_id, "to id")
     if from_id == to_id or options.max_depth <= 0:
         return _no_path(graph)
-    into, _, found = _levels(graph, from_id, to_id, options.max_depth, options.edge_label)
-    if not found:
+    keep = Scratch()
+    steps = graph.steps(keep, Direction.BOTH, options.edge_label).where("a <> b")
+    levels, met = _levels(graph, keep, steps, from_id, to_id, options.max_depth, with_edges=True)
+    if not met:
+        keep.discard()
         return _no_path(graph)
     # from the end back: the best rest of a path from each vertex that lies on one
     best = graph.spark.createDataFrame([(to_id, [to_id], [])], "v string, vs array<string>, es array<string>")
-    for level in reversed(into):
+    for level in reversed(levels[1:]):
         back = level.join(best.withColumnRenamed("v", "b"), "b")
         rest = F.struct(F.concat(F.array("a"), "vs").alias("vs"), F.concat(F.array("edge_id"), "es").alias("es"))
         best = back.groupBy(F.col("a").alias("v")).agg(F.min(rest).alias("m")).select("v", "m.vs", "m.es")
-    return best.where(F.col("v") == from_id).select(F.col("vs").alias("vertex_ids"), F.col("es").alias("edge_ids"), F.size("es").alias("length"))
+    path = best.where(F.col("v") == from_id).select(F.col("vs").alias("vertex_ids"), F.col("es").alias("edge_ids"), F.size("es").alias("length"))
+    return keep.result(path, "path")
 
 
 def shortest_path_lengths(graph: Graph, from_id: str, options: PathOptions | None = None) -> DataFrame:
     """(id, distance) of every vertex within max_depth steps of either direction, the start with 0."""
     options = options or PathOptions()
     require_text(from_id, "from id")
-    return _levels(graph, from_id, None, options.max_depth, options.edge_label)[1]
+    keep = Scratch()
+    steps = graph.steps(keep, Direction.BOTH, options.edge_label).where("a <> b")
+    return _distances(_levels(graph, keep, steps, from_id, None, options.max_depth)[0])
 
 
 def all_paths(graph: Graph, from_id: str, to_id: str, options: PathOptions | None = None) -> DataFrame:
@@ -92,28 +117,28 @@ def all_paths(graph: Graph, from_id: str, to_id: str, options: PathOptions | Non
 
     A path ends when it first reaches ``to_id``.  Partial paths that can't get
     there within max_depth are cut off by their distance to it.  More than max_rows partial paths
-    at once raise GraphQueryError.
+    at once raise GraphQueryError; by default there is no such bound.
     """
     options = options or PathOptions()
     require_text(from_id, "from id"), require_text(to_id, "to id")
     if from_id == to_id or options.max_depth <= 0:
         return _no_path(graph)
-    distances = _levels(graph, to_id, None, options.max_depth, options.edge_label)[1]
-    near = distances.select(F.col("id").alias("b"), "distance")
-    start = distances.where(F.col("id") == from_id).select(F.array("id").alias("vertex_ids"), F.array().cast("array<string>").alias("edge_ids"))
-    steps = graph.oriented(Direction.BOTH, options.edge_label).where("a <> b").join(near, "b")
-    out, held = _no_path(graph).drop("length"), start
+    keep = Scratch()
+    steps = graph.steps(keep, Direction.BOTH, options.edge_label).where("a <> b")
+    near = _distances(_levels(graph, keep, steps, to_id, None, options.max_depth - 1)[0])
+    # a step counts only if its end is near enough to the goal
+    steps = keep.stored(steps.join(near.select(F.col("id").alias("b"), "distance"), "b"), "steps")
+    held = graph.vertices.where(F.col("id") == from_id).select(F.array("id").alias("vertex_ids"), F.array().cast("array<string>").alias("edge_ids"))
+    out = _no_path(graph).drop("length")
+    ends = F.element_at("vertex_ids", -1) == to_id
     for depth in range(1, options.max_depth + 1):
-        ahead = held.withColumn("a", F.element_at("vertex_ids", -1)).join(steps, "a")
-        ahead = ahead.where(~F.array_contains("vertex_ids", F.col("b")) & (F.col("distance") + depth <= options.max_depth))
-        ahead = stored(ahead.select(F.concat("vertex_ids", F.array("b")).alias("vertex_ids"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids")), "paths")
-        n = ahead.count()
-        if n > options.max_rows:
-            raise GraphQueryError(f"{n} partial paths of {depth} edges; max_rows is {options.max_rows}")
-        if not n:
+        ahead = held.withColumn("a", F.element_at("vertex_ids", -1)).join(steps.where(F.col("distance") + depth <= options.max_depth), "a")
+        ahead = ahead.where(~F.array_contains("vertex_ids", F.col("b")))
+        ahead = ahead.select(F.concat("vertex_ids", F.array("b")).alias("vertex_ids"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"))
+        ahead, facts = keep.stored_seeing(ahead, "paths", n=F.count("*"))
+        if facts["n"] > options.max_rows:
+            raise GraphQueryError(f"{facts['n']} partial paths of {depth} edges; max_rows is {options.max_rows}")
+        if not facts["n"]:
             break
-        ends = F.element_at("vertex_ids", -1) == to_id
         out, held = out.union(ahead.where(ends)), ahead.where(~ends)
-    return out.select("vertex_ids", "edge_ids", F.size("edge_ids").alias("length"))
-
-
+    return keep.result(out, "paths").select("vertex_ids", "edge_ids", F.size("edge_ids").alias("length"))

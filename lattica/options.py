@@ -24,8 +24,8 @@ class NeighborOptions:
 class PathOptions:
     edge_label: str | None = None
     max_depth: int = 10
-    #: Partial paths held at once before the search gives up with an error.
-    max_rows: int = 50_000_000
+    #: Partial paths held at once before the search gives up with an error; none unless asked for.
+    max_rows: int = 2**63 - 1
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 _KEY = "spark.checkpoint.dir"
 
@@ -40,12 +40,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored_seeing(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
+    """As :func:`stored`, with aggregates taken while writing: no job of their own."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[fact.alias(k) for k, fact in facts.items()]), name)
+    return out, seen.get
+
+
 def stored_with_checksum(df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
     """As :func:`stored`, with (rows, order-insensitive checksum) taken while writing."""
-    seen = Observation()
     total = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
-    out = stored(df.observe(seen, F.count("*").alias("n"), total.alias("s")), name)
-    return out, (seen.get["n"], seen.get["s"])
+    out, facts = stored_seeing(df, name, n=F.count("*"), s=total)
+    return out, (facts["n"], facts["s"])
 
 
 def discard(*tables: DataFrame) -> None:
@@ -68,10 +74,16 @@ class Scratch:
         self.tables.append(out := stored(df, name))
         return out
 
-    def stored_with_checksum(self, df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
-        out, sums = stored_with_checksum(df, name)
+    def stored_seeing(self, df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
+        out, seen = stored_seeing(df, name, **facts)
         self.tables.append(out)
-        return out, sums
+        return out, seen
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` stored, and everything else deleted."""
+        out = stored(df, name)
+        self.discard()
+        return out
 
     def discard(self, *tables: DataFrame) -> None:
         """These tables, or all."""
