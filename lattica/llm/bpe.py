@@ -24,6 +24,8 @@ _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _UNSURE = re.compile("[^\t-\r\x20-\x7e\xa1-ſ]")
 _BYTE_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+(?!\\S)|\\s+")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
+#: One word of letters, perhaps with a mark behind it: two pieces at most.
+_WORD = re.compile(f"([{_L}]+)([.,;:!?]?)")
 #: A space before something else than white space: such a space belongs to what follows, and all before it stands for itself.
 _CUT = re.compile(r" (?=\S)")
 #: Entries of each of a memo's two generations: of what stands between spaces, and of pieces.
@@ -100,9 +102,13 @@ class ByteBpe:
         """Ids of a space and what follows it up to the next cut."""
         if not rest or rest[0].isspace():
             raise _Loose
-        if rest.isascii() and rest.isalpha():
-            return self._packed(self.space + rest)
-        return self._run(" " + rest)
+        word = _WORD.fullmatch(rest)
+        if word is None:
+            return self._run(" " + rest)
+        letters, mark = word.groups()
+        if mark:
+            return self.spaced[letters] + self.pieces[mark]
+        return self._packed(self.space + (rest if rest.isascii() else as_letters(rest)))
 
     def _run(self, text: str) -> bytes:
         if _UNSURE.search(text):

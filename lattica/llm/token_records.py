@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lattica.llm.bpe import ByteBpe
+from lattica.llm.workers import map_batches, pieces
 from lattica.plans.storage import fresh_path, stored
 
 _HEAD, _META, _CRC = "<QI", "<BBq", "<I"
@@ -68,6 +69,11 @@ def unframe(data: memoryview | bytes, at: int) -> tuple[bytes, int] | None:
     return payload, end + _CRC_SIZE
 
 
+def frame_size(data: bytes) -> int:
+    """Of the frame that ``data`` begins with: all of it, or of its head if that is all that is sure."""
+    return _HEAD_SIZE + struct.unpack_from(_HEAD, data)[0] + _CRC_SIZE if len(data) >= _HEAD_SIZE else _HEAD_SIZE
+
+
 def parse(payload: bytes) -> tuple[int | None, np.ndarray]:
     width, has_id, doc_id = struct.unpack_from(_META, payload)
     return (doc_id if has_id else None), np.frombuffer(payload, f"<u{width}", offset=_META_SIZE)
@@ -81,9 +87,9 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.rec"
         store, path = fs.FileSystem.from_uri(name)
         out, held, at, ordinal = None, [], 0, 0
-        for batch in batches:
+        for piece in pieces(batches, _CHUNK):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist()):
                 ids = bpe.encode(text or "") + end
                 record = frame(struct.pack(_META, bpe.dtype.itemsize, doc_id is not None, doc_id or 0) + ids)
                 rows.append((shard, ordinal, name, at, len(record), doc_id, len(ids) // bpe.dtype.itemsize))
@@ -111,14 +117,15 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str
     library, used without added special tokens (a special token's string inside
     a text is read as the library reads it by default).  A null or empty text is
     a record of the end id alone.  Rows without a doc_id come first; rows of one
-    doc_id are ordered by their text (null first).  Other columns are ignored.  An empty table makes no
+    doc_id are ordered by a hash (xxhash64) of their text, so that they can be spread over
+    shards; only rows alike in id and text stay together.  Other columns are ignored.  An empty table makes no
     shard and an empty index.
     """
     folder = folder or fresh_path(docs.sparkSession, "records")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # equal ids stay in one range, so that order holds over shards; repeated rows are alike
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInArrow(_writer(folder, tokenizer, end_id), INDEX_DDL), "records-index")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    return stored(map_batches(ordered, _writer(folder, tokenizer, end_id), INDEX_DDL), "records-index")
 
 
 def _crc_of(ids: np.ndarray) -> int:
@@ -130,21 +137,28 @@ def _scan(batches):
     for batch in batches:
         for shard, name in zip(batch.column("shard").to_pylist(), batch.column("file").to_pylist()):
             store, path = fs.FileSystem.from_uri(name)
-            rest, rows, before, ordinal = b"", [], 0, 0
+            held, rows, before, ordinal, at = bytearray(), [], 0, 0, 0
             with store.open_input_stream(path) as source:
-                while chunk := source.read(_CHUNK):
-                    data, at = rest + chunk, 0
-                    while (got := unframe(data, at)) is not None:
+                while True:
+                    got = unframe(held, at)
+                    if got is not None:
                         payload, at = got
                         doc_id, ids = parse(payload)
                         rows.append((shard, ordinal, doc_id, before, len(ids), _crc_of(ids)))
                         before += len(ids)
                         ordinal += 1
-                    rest = data[at:]
+                        continue
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), READ)], schema=READ)
                         rows = []
-            if rest:
+                    del held[:at]
+                    at = 0
+                    # of a long record all that is missing at once
+                    more = source.read(max(_CHUNK, frame_size(held) - len(held)))
+                    if not more:
+                        break
+                    held += more
+            if held:
                 raise ValueError(f"{name} ends within a record")
 
 
@@ -153,11 +167,11 @@ def read_shards(index: DataFrame) -> DataFrame:
     spark = index.sparkSession
     shards = index.groupBy("shard", "file").agg(F.sum("n_tokens").alias("tokens"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    read = shards.select("shard", "file").repartition(n, "file").mapInArrow(_scan, READ_DDL)
+    read = map_batches(shards.select("shard", "file").repartition(n, "file"), _scan, READ_DDL)
     # one row for each shard: a short table, whatever the number of documents
     upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = shards.select("shard", F.coalesce(F.sum("tokens").over(upto), F.lit(0)).alias("base"))
-    return read.join(bases, "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return read.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _seek(batches):
@@ -178,7 +192,7 @@ def _seek(batches):
 
 def read_records(index: DataFrame) -> DataFrame:
     """(doc_id, ids) of the records that ``index`` lists, in whatever order it lists them."""
-    return index.select("file", "offset", "length").mapInArrow(_seek, "doc_id long, ids array<int>")
+    return map_batches(index.select("file", "offset", "length"), _seek, "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
