@@ -5,10 +5,10 @@
    document, the words' numbers in that dictionary: its words by position.
 2. The blocks' dictionaries are dealt out by a hash of the word, so that every
    occurrence of a word in any dictionary meets in one group, where the word is
-   encoded once; the ids go back to the blocks.
-3. The ids that a block got are joined with the table of all ids and their
-   pieces, and the pieces go to the block as well.
-4. Each block joins ids to positions, and pieces to ids.
+   encoded once.
+3. The ids in use are joined with the table of all ids and their pieces, which
+   decode the words; ids and decoded words go back to the blocks.
+4. Each block joins them to positions.
 
 Dictionaries and documents share one shuffle by block.  What is dealt out are
 distinct words of blocks, not occurrences, in compressed runs: a word that
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,16 @@ _AT_ONCE = 2_000_000
 
 _BLOCK = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("words", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())])
 _BLOCK_DDL = "block long, part int, words binary, doc_ids array<long>, counts array<long>, codes binary"
-_REPLY = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("widths", pa.binary()), ("ids", pa.binary()), ("used", pa.list_(pa.int32()))])
-_REPLY_DDL = "block long, part int, widths binary, ids binary, used array<int>"
+_PART = pa.schema([("part", pa.int32()), ("widths", pa.binary()), ("ids", pa.binary()), ("used", pa.list_(pa.int32()))])
+_PART_DDL = "part int, widths binary, ids binary, used array<int>"
+_REPLY = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("widths", pa.binary()), ("ids", pa.binary()), ("decoded", pa.binary())])
+_REPLY_DDL = "block long, part int, widths binary, ids binary, decoded binary"
+
+
+class _Numerals(dict):
+    def __missing__(self, number: int) -> str:
+        self[number] = text = str(number)
+        return text
 
 
 class _Numbers(dict):
@@ -94,22 +103,41 @@ def _dictionaries(batches):
         yield batch.filter(pc.greater_equal(batch.column("part"), 0)).select(["block", "part", "words"])
 
 
+def _unpacked(table: pa.Table) -> list[list[str]]:
+    return [zstandard.ZstdDecompressor().decompress(x).decode().split("\n") for x in table["words"].to_pylist()]
+
+
 def _encode(path: str):
     def run(table: pa.Table) -> pa.Table:
-        """Of the words of one part, from all blocks: each encoded once."""
+        """Of one part, from all blocks: each word encoded once, in the words' order, and the ids that are in use."""
         encode = WordBpe.of(path).encode
-        unpacked = [zstandard.ZstdDecompressor().decompress(x).decode().split("\n") for x in table["words"].to_pylist()]
-        known = {w: np.array(encode(w), "<u4").tobytes() for w in set().union(*unpacked)}
-        rows = []
-        for block, part, words in zip(table["block"].to_pylist(), table["part"].to_pylist(), unpacked):
-            ids = [known[w] for w in words]
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            rows.append((block, part, pack(np.fromiter(map(len, ids), np.uint32, len(ids)) >> 2), pack(flat), np.unique(flat).astype(np.int32)))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _REPLY)], schema=_REPLY)
+        ids = [encode(w) for w in sorted(set().union(*_unpacked(table)))]
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32)
+        row = (table["part"][0].as_py(), pack(np.fromiter(map(len, ids), np.uint32, len(ids))), pack(flat), np.unique(flat).astype(np.int32))
+        return pa.Table.from_arrays([pa.array([c], f.type) for c, f in zip(row, _PART)], schema=_PART)
 
     return run
 
 
+def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
+    """For each block the ids and decoded texts of its words of one part."""
+    unpacked = _unpacked(left)
+    piece_of = dict(zip(right["id"].to_pylist(), right["piece"].to_pylist()))
+    row = right.filter(right["ids"].is_valid())
+    ids, ends = unpack(row["ids"][0].as_py()).tolist(), np.cumsum(unpack(row["widths"][0].as_py())).tolist()
+    words = sorted(set().union(*unpacked))
+    if len(words) != len(ends):
+        raise ValueError("other words than those encoded: the input isn't the same when read again")
+    known = {w: (a, b, " ".join([piece_of[i] for i in ids[a:b]])) for w, a, b in zip(words, [0, *ends], ends)}
+    rows, squeeze = [], zstandard.ZstdCompressor(3)
+    for block, part, own in zip(left["block"].to_pylist(), left["part"].to_pylist(), unpacked):
+        found = [known[w] for w in own]
+        flat = np.fromiter(chain.from_iterable(ids[a:b] for a, b, _ in found), np.uint32)
+        widths = np.fromiter((b - a for a, b, _ in found), np.uint32, len(found))
+        rows.append((block, part, pack(widths), pack(flat), squeeze.compress("\n".join([d for *_, d in found]).encode())))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _REPLY)], schema=_REPLY)
+
+
 def pieces_of(spark: SparkSession, path: str) -> DataFrame:
     """The table of all ids and their pieces."""
     tokenizer = WordBpe.of(path).tokenizer
@@ -123,14 +151,13 @@ def _rebuild(whole: bool):
         left = left.filter(pc.less(left["part"], 0))
         if not left.num_rows:
             raise ValueError("ids for a block that isn't there: the input isn't the same when read again")
-        piece_of = dict(zip(right["id"].to_pylist(), right["piece"].to_pylist()))
-        numerals, right = {i: str(i) for i in piece_of}, right.filter(right["widths"].is_valid())
+        numerals: dict[int, str] = _Numerals()
         part_of = unpack(left["words"][0].as_py())
         texts, decoded = np.empty(len(part_of), object), np.empty(len(part_of), object)
         widths_of, ids_of = np.zeros(len(part_of), np.int64), np.empty(len(part_of), object)
         order = np.argsort(part_of, kind="stable")
         by_part, met, seen = part_of[order], 0, set()
-        for part, widths, ids in zip(*(right[c].to_pylist() for c in ("part", "widths", "ids"))):
+        for part, widths, ids, shown in zip(*(right[c].to_pylist() for c in ("part", "widths", "ids", "decoded"))):
             if part in seen:  # two blocks with the same content
                 continue
             seen.add(part)
@@ -139,10 +166,11 @@ def _rebuild(whole: bool):
             ends = np.cumsum(widths).tolist()
             widths_of[at] = widths
             met += len(at)
-            for word, a, b in zip(at.tolist(), [0, *ends], ends):
+            shown = zstandard.ZstdDecompressor().decompress(shown).decode().split("\n")
+            for word, a, b, text in zip(at.tolist(), [0, *ends], ends, shown):
                 own = ids[a:b]
                 texts[word] = " ".join([numerals[i] for i in own])
-                decoded[word] = " ".join([piece_of[i] for i in own])
+                decoded[word] = text
                 if whole:
                     ids_of[word] = own
         if met != len(part_of):
@@ -184,11 +212,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, whole: bool = False) -> DataF
     word_parts = max(1, parts // 2)
     dealt = map_batches(source, _split(tokenizer, word_parts), _BLOCK_DDL).repartition(parts, "block")
     words = map_batches(dealt, _dictionaries, "block long, part int, words binary")
-    replies = words.groupBy("part").applyInArrow(_encode(tokenizer), _REPLY_DDL)
-    # as many rows as the vocabulary has, whatever the corpus; each reply goes along with the first of its ids
+    encoded = words.groupBy("part").applyInArrow(_encode(tokenizer), _PART_DDL)
+    # as many rows as the vocabulary has, whatever the corpus; a part's words go along with the first of its ids
     table = F.broadcast(pieces_of(spark, tokenizer))
-    named = replies.select("block", "part", "widths", "ids", F.posexplode_outer("used").alias("at", "id")).join(table, "id", "left")
+    named = encoded.select("part", "widths", "ids", F.posexplode_outer("used").alias("at", "id")).join(table, "id", "left")
     once = lambda c: F.when(F.coalesce("at", F.lit(0)) == 0, F.col(c)).alias(c)
-    named = named.select("block", "part", once("widths"), once("ids"), "id", "piece")
+    named = named.select("part", once("widths"), once("ids"), "id", "piece")
+    replies = words.groupBy("part").cogroup(named.groupBy("part")).applyInArrow(_answer, _REPLY_DDL)
     run, schema = _rebuild(whole)
-    return dealt.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(run, schema)
+    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
