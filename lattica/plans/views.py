@@ -41,34 +41,24 @@ def geo(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(vertices, edges)
 
 
-def trade(spark: SparkSession, sf_dir: str, only: str = "l_quantity >= 50 and l_discount >= 0.1") -> Graph:
-    """Nations; an edge from a supplier's to a customer's nation for large, much reduced line items."""
+def trade(spark: SparkSession, sf_dir: str) -> Graph:
+    """Nations; an edge from a supplier's to a customer's nation for any line item."""
     nation, customer, supplier = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
-    items = table(spark, sf_dir, "lineitem").where(only).select("l_orderkey", "l_suppkey")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    joined = items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    # nations are few: line items come down to (order, supplier's nation) before they meet orders
+    sold = items.join(supplier.select("s_suppkey", "s_nationkey"), items["l_suppkey"] == F.col("s_suppkey")).select("l_orderkey", "s_nationkey").distinct()
+    bought = orders.join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    joined = sold.join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
     pairs = joined.where("s_nationkey <> c_nationkey").select(_id("nation", "s_nationkey").alias("src"), _id("nation", "c_nationkey").alias("dst")).distinct()
     edges = pairs.select(F.concat("src", F.lit(">"), "dst").alias("id"), F.lit("TRADES").alias("label"), "src", "dst")
     return Graph(_vertices(nation, "nation", "Nation", "n_nationkey", "n_name").drop("balance"), edges)
 
 
-def trade_whole(spark: SparkSession, sf_dir: str) -> Graph:
-    """Nations; an edge from a supplier's to a customer's nation for any line item."""
-    return trade(spark, sf_dir, "true")
-
-
 def bipartite(spark: SparkSession, sf_dir: str) -> Graph:
-    """Suppliers and parts of large returned line items."""
-    items = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_returnflag = 'R'").select(_id("supplier", "l_suppkey").alias("src"), _id("part", "l_partkey").alias("dst")).distinct()
-    edges = items.select(F.concat("src", F.lit(">"), "dst").alias("id"), F.lit("SUPPLIES").alias("label"), "src", "dst")
-    vertices = items.select(F.col("src").alias("id"), F.lit("Supplier").alias("label")).union(items.select("dst", F.lit("Part"))).distinct()
-    return Graph(vertices, edges)
-
-
-def bipartite_whole(spark: SparkSession, sf_dir: str) -> Graph:
     """All suppliers and parts; an edge for any line item."""
     supplier, part = (table(spark, sf_dir, t) for t in ("supplier", "part"))
-    items = table(spark, sf_dir, "lineitem").select(_id("supplier", "l_suppkey").alias("src"), _id("part", "l_partkey").alias("dst")).distinct()
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct().select(_id("supplier", "l_suppkey").alias("src"), _id("part", "l_partkey").alias("dst"))
     edges = items.select(F.concat("src", F.lit(">"), "dst").alias("id"), F.lit("SUPPLIES").alias("label"), "src", "dst")
     vertices = supplier.select(_id("supplier", "s_suppkey").alias("id"), F.lit("Supplier").alias("label")).union(part.select(_id("part", "p_partkey"), F.lit("Part")))
     return Graph(vertices, edges)
@@ -90,10 +80,41 @@ def sales(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def handoff(spark: SparkSession, sf_dir: str) -> Graph:
-    """Users; an edge to the user of the next purchase of the same day."""
-    events = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(_id("user", "user_id").alias("src"), "ts", "event_id")
-    following = F.lead("src").over(Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id"))
-    pairs = events.withColumn("dst", following).where("dst is not null and dst <> src").select("src", "dst").distinct()
+    """Users; an edge to the user of the next purchase.
+
+    Purchases are ordered day by day, in parallel; the last of a day is followed by the first of the next day that has any.
+    """
+    events = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.to_date("ts").alias("day"), "ts", "event_id", _id("user", "user_id").alias("src"))
+    firsts = events.groupBy("day").agg(F.min(F.struct("ts", "event_id", "src")).alias("first"))
+    # one row a day
+    next_day = F.broadcast(firsts.select("day", F.lead("first.src").over(Window.orderBy("day")).alias("tomorrow")))
+    following = F.lead("src").over(Window.partitionBy("day").orderBy("ts", "event_id"))
+    pairs = events.withColumn("dst", following).join(next_day, events["day"].eqNullSafe(next_day["day"])).select("src", F.coalesce("dst", "tomorrow").alias("dst"))
+    pairs = pairs.where("dst is not null and dst <> src").distinct()
     edges = pairs.select(F.concat("src", F.lit(">"), "dst").alias("id"), F.lit("HANDS_TO").alias("label"), "src", "dst")
     vertices = events.select(F.col("src").alias("id"), F.lit("User").alias("label")).distinct()
     return Graph(vertices, edges)
+
+
+def network(spark: SparkSession, sf_dir: str) -> Graph:
+    """Customers as persons, nations as companies: c knows c + 1 and 2c (an edge each way), follows 3c and works at its nation."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    key = F.col("c_custkey")
+    to = lambda label, end: F.struct(F.lit(label).alias("label"), end.alias("b"))
+    pairs = customer.select(key.alias("a"), F.explode(F.array(to("KNOWS", key + 1), to("KNOWS", key * 2), to("FOLLOWS", key * 3))).alias("e"))
+    pairs = pairs.select("a", "e.*").distinct().join(customer.select(key.alias("b")), "b", "left_semi")
+    link = lambda a, b: [F.concat_ws(":", F.lower("label"), a, b).alias("id"), "label", _id("customer", a).alias("src"), _id("customer", b).alias("dst")]
+    edges = pairs.select(*link("a", "b")).union(pairs.where("label = 'KNOWS'").select(*link("b", "a"))).distinct()
+    works = customer.select(_id("works", "c_custkey").alias("id"), F.lit("WORKS_AT").alias("label"), _id("customer", "c_custkey").alias("src"), _id("nation", "c_nationkey").alias("dst"))
+    vertices = _vertices(customer, "customer", "Person", "c_custkey", "c_name").union(_vertices(nation, "nation", "Company", "n_nationkey", "n_name"))
+    return Graph(vertices.drop("balance"), edges.union(works))
+
+
+def code(spark: SparkSession, sf_dir: str) -> Graph:
+    """Parts as modules: p depends on p div 2 and p div 3, and every fifth one on 2p, which closes rings."""
+    part = table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    ends = F.array(F.floor(key / 2), F.floor(key / 3), F.when(key % 5 == 0, key * 2))
+    pairs = part.select(key.alias("a"), F.explode(ends).alias("b")).where("b is not null").distinct().join(part.select(key.alias("b")), "b", "left_semi")
+    edges = pairs.select(F.concat_ws(":", F.lit("depends"), "a", "b").alias("id"), F.lit("DEPENDS_ON").alias("label"), _id("part", "a").alias("src"), _id("part", "b").alias("dst"))
+    return Graph(_vertices(part, "part", "Module", "p_partkey", "p_name").drop("balance"), edges)

@@ -40,20 +40,12 @@ GEO = """gv AS (
     UNION ALL SELECT 'based:' || s_suppkey, 'BASED_IN', 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier
 )"""
 TRADE = """te AS (
-    SELECT DISTINCT 'nation:' || s_nationkey AS src, 'nation:' || c_nationkey AS dst
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-    WHERE l_quantity >= 50 AND l_discount >= 0.1 AND s_nationkey <> c_nationkey
-), tv AS (SELECT 'nation:' || n_nationkey AS id FROM nation), origin AS (SELECT min(src) AS v FROM te)"""
-BIPARTITE = """be AS (
-    SELECT DISTINCT 'supplier:' || l_suppkey AS src, 'part:' || l_partkey AS dst FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'R'
-), bv AS (SELECT src AS id FROM be UNION SELECT dst FROM be)"""
-# the same over all line items
-TRADE_WHOLE = """te AS (
     SELECT DISTINCT 'nation:' || s_nationkey AS src, 'nation:' || c_nationkey AS dst
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
     WHERE s_nationkey <> c_nationkey
 ), tv AS (SELECT 'nation:' || n_nationkey AS id FROM nation), origin AS (SELECT min(src) AS v FROM te)"""
-BIPARTITE_WHOLE = """be AS (SELECT DISTINCT 'supplier:' || l_suppkey AS src, 'part:' || l_partkey AS dst FROM lineitem)"""
+BIPARTITE = """be AS (SELECT DISTINCT 'supplier:' || l_suppkey AS src, 'part:' || l_partkey AS dst FROM lineitem),
+    bv AS (SELECT 'supplier:' || s_suppkey AS id FROM supplier UNION ALL SELECT 'part:' || p_partkey FROM part)"""
 SALES = """sv AS (
     SELECT 'customer:' || c_custkey AS id, 'Customer' AS label, c_mktsegment AS kind, c_acctbal AS amount FROM customer
     UNION ALL SELECT 'order:' || o_orderkey, 'Order', o_orderstatus, o_totalprice FROM orders
@@ -65,8 +57,7 @@ SALES = """sv AS (
 )"""
 HANDOFF = """he AS (
     SELECT DISTINCT src, dst FROM (
-        SELECT 'user:' || user_id AS src, lead('user:' || user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS dst
-        FROM events WHERE event_type = 'purchase'
+        SELECT 'user:' || user_id AS src, lead('user:' || user_id) OVER (ORDER BY ts, event_id) AS dst FROM events WHERE event_type = 'purchase'
     ) WHERE dst <> src
 ), hv AS (SELECT DISTINCT 'user:' || user_id AS id FROM events WHERE event_type = 'purchase')"""
 
@@ -196,39 +187,70 @@ def neighbors_any_label(spark, sf_dir):
     return neighbors(views.geo(spark, sf_dir), "nation:3", NeighborOptions(direction=Direction.BOTH)).select("id")
 
 
-_LEVELS = f"""WITH RECURSIVE {BIPARTITE}, steps AS (SELECT src AS a, dst AS b FROM be UNION ALL SELECT dst, src FROM be), s AS (SELECT min(src) AS v FROM be),
-    walk AS (SELECT v, 0 AS d FROM s UNION SELECT b, d + 1 FROM walk JOIN steps ON a = v WHERE d < {{depth}})"""
+def _levels_sql(edges: str, depth: int, start: str, name: str = "l") -> str:
+    """Levels {name}0, {name}1, ... of a search over edges of either direction, with the levels before them as {name}s."""
+    parts = [f"{name}0 AS (SELECT ({start}) AS v, 0 AS d), {name}s0 AS (SELECT * FROM {name}0)"]
+    for i in range(1, depth + 1):
+        parts.append(f"""{name}{i} AS MATERIALIZED (SELECT DISTINCT b AS v, {i} AS d FROM {edges} JOIN {name}{i - 1} ON a = v WHERE b NOT IN (SELECT v FROM {name}s{i - 1})),
+            {name}s{i} AS MATERIALIZED (SELECT * FROM {name}s{i - 1} UNION ALL SELECT * FROM {name}{i})""")
+    return ", ".join(parts)
+
+
+_BOTH = "steps AS MATERIALIZED (SELECT src AS a, dst AS b, src || '>' || dst AS e FROM be UNION ALL SELECT dst, src, src || '>' || dst FROM be)"
+_LEVELS = f"WITH {BIPARTITE}, {_BOTH}, {_levels_sql('steps', 10, 'SELECT min(src) FROM be')}"
 
 
-@_query(_LEVELS.format(depth=10) + " SELECT v AS id, CAST(min(d) AS INTEGER) AS distance FROM walk GROUP BY v")
+@_query(_LEVELS + " SELECT v AS id, CAST(d AS INTEGER) AS distance FROM ls10")
 def shortest_path_lengths_all(spark, sf_dir):
-    graph = views.bipartite(spark, sf_dir)
+    graph = views.bipartite(spark, sf_dir).stored()
     return shortest_path_lengths(graph, _origin(graph), PathOptions("SUPPLIES", 10))
 
 
-_PATHS = f"""WITH RECURSIVE {BIPARTITE}, steps AS (SELECT src AS a, dst AS b, src || '>' || dst AS e FROM be UNION ALL SELECT dst, src, src || '>' || dst FROM be), s AS (SELECT min(src) AS v FROM be),
-    near AS (SELECT v, 0 AS d FROM s UNION SELECT b, d + 1 FROM near JOIN steps ON a = v WHERE d < 6),
-    t AS (SELECT max(v) AS v FROM near WHERE v <> (SELECT v FROM s)),
-    paths AS (SELECT [v] AS p, CAST([] AS VARCHAR[]) AS es, v FROM s UNION ALL SELECT list_append(p, b), list_append(es, e), b FROM paths JOIN steps ON a = paths.v WHERE NOT list_contains(p, b) AND len(es) < 6 AND paths.v <> (SELECT v FROM t)),
-    done AS (SELECT array_to_string(p, '>') AS path, CAST(len(es) AS INTEGER) AS length, p, es FROM paths WHERE v = (SELECT v FROM t))"""
+_PAIR = f"WITH {BIPARTITE}, {_BOTH}, s AS (SELECT min(src) AS v FROM be), {_levels_sql('steps', 6, 'SELECT v FROM s')}, t AS (SELECT max(v) AS v FROM ls6 WHERE d > 0)"
+
+
+def _shortest_sql(depth: int) -> str:
+    """Of each vertex on a level, back from the end, the best rest of a path."""
+    parts = [f"{_PAIR}, n AS (SELECT d FROM ls6 WHERE v = (SELECT v FROM t)), r{depth} AS (SELECT v, [v] AS p, CAST([] AS VARCHAR[]) AS es FROM ls6 WHERE v = (SELECT v FROM t) AND d = {depth})"]
+    for i in range(depth - 1, -1, -1):
+        step = f"SELECT a AS v, list_prepend(a, p) AS p, list_prepend(e, es) AS es FROM steps JOIN l{i} ON a = l{i}.v JOIN r{i + 1} ON b = r{i + 1}.v"
+        end = f" UNION ALL SELECT v, [v], CAST([] AS VARCHAR[]) FROM ls6 WHERE v = (SELECT v FROM t) AND d = {i}"
+        parts.append(f"r{i} AS MATERIALIZED (SELECT v, m.p AS p, m.es AS es FROM (SELECT v, min({{'p': p, 'es': es}}) AS m FROM ({step}{end}) GROUP BY v))")
+    return ", ".join(parts) + " SELECT array_to_string(p, '>') AS path, CAST(len(es) AS INTEGER) AS length FROM r0 WHERE v = (SELECT v FROM s)"
 
 
 def _far_pair(spark, sf_dir) -> tuple[Graph, str, str]:
-    graph = views.bipartite(spark, sf_dir)
+    graph = views.bipartite(spark, sf_dir).stored()
     start = _origin(graph)
     return graph, start, shortest_path_lengths(graph, start, PathOptions("SUPPLIES", 6)).where("distance > 0").agg(F.max("id")).first()[0]
 
 
-@_query(_PATHS + " SELECT path, length FROM done ORDER BY length, p, es LIMIT 1", "shortest_path")
+@_query(_shortest_sql(6), "shortest_path")
 def _shortest(spark, sf_dir):
     graph, a, b = _far_pair(spark, sf_dir)
     return shortest_path(graph, a, b, PathOptions("SUPPLIES", 6)).select(path_text().alias("path"), "length")
 
 
-@_query(_PATHS + " SELECT path, length FROM done", "all_paths")
+def _walks_sql(head: str, depth: int) -> str:
+    """All simple paths of up to ``depth`` edges from s to t, edge by edge; they end at the goal."""
+    parts = [f"{head}, p0 AS (SELECT [v] AS p, v FROM s)"]
+    for i in range(1, depth + 1):
+        end = "b = (SELECT v FROM t) AND " if i == depth else ""
+        parts.append(f"p{i} AS (SELECT list_append(p, b) AS p, b AS v FROM p{i - 1} JOIN steps ON a = v WHERE {end}v <> (SELECT v FROM t) AND NOT list_contains(p, b))")
+    every = " UNION ALL ".join(f"SELECT p FROM p{i} WHERE v = (SELECT v FROM t)" for i in range(1, depth + 1))
+    return ", ".join(parts) + f" SELECT array_to_string(p, '>') AS path, CAST(len(p) - 1 AS INTEGER) AS length FROM ({every})"
+
+
+_TO_PART = _PAIR.replace("WHERE d > 0)", "WHERE d > 0 AND v LIKE 'part:%')")
+
+
+# of up to 3 edges: those of 5 are many millions between a supplier and a part
+@_query(_walks_sql(_TO_PART, 3), "all_paths")
 def _all_paths(spark, sf_dir):
-    graph, a, b = _far_pair(spark, sf_dir)
-    return all_paths(graph, a, b, PathOptions("SUPPLIES", 6)).select(path_text().alias("path"), "length")
+    graph = views.bipartite(spark, sf_dir).stored()
+    start = _origin(graph)
+    end = shortest_path_lengths(graph, start, PathOptions("SUPPLIES", 6)).where("distance > 0 and id like 'part:%'").agg(F.max("id")).first()[0]
+    return all_paths(graph, start, end, PathOptions("SUPPLIES", 3)).select(path_text().alias("path"), "length")
 
 
 # Algorithms ----------------------------------------------------------------------------------------------------------
@@ -241,7 +263,7 @@ def _rank_sql(view: str, v: str, e: str, rounds: int, end: str) -> str:
     for i in range(rounds):
         parts.append(f"""r{i + 1} AS MATERIALIZED (SELECT t.id, (1 - {d}) / n + {d} * (SELECT coalesce(sum(r), 0) FROM r{i} WHERE id NOT IN (SELECT src FROM od)) / n + coalesce(g, 0) AS r
             FROM {v} t CROSS JOIN n LEFT JOIN (SELECT dst, sum({d} * r / k) AS g FROM {e} JOIN od USING (src) JOIN r{i} ON r{i}.id = src GROUP BY dst) x ON x.dst = t.id)""")
-    return ", ".join(parts) + " " + end.format(r=f"r{rounds}")
+    return ", ".join(parts) + ("" if end.startswith(",") else " ") + end.replace("{r}", f"r{rounds}")
 
 
 def _rounded():
@@ -253,6 +275,24 @@ def pagerank(spark, sf_dir):
     return page_rank(views.handoff(spark, sf_dir), PageRankOptions(tolerance=0.0)).select("vertex_id", _rounded())
 
 
+def _tolerant_sql(view: str, v: str, e: str, rounds: int, tolerance: float) -> str:
+    """The first round whose total change is below the tolerance, else the last."""
+    changes = ", ".join(f"d{i} AS (SELECT sum(abs(a.r - b.r)) AS d FROM r{i} a JOIN r{i - 1} b USING (id))" for i in range(1, rounds + 1))
+    first = f", {changes}, k AS (SELECT min(k) AS k FROM (" + " UNION ALL ".join(f"SELECT {i} AS k FROM d{i} WHERE d < {tolerance}" for i in range(1, rounds + 1)) + f" UNION ALL SELECT {rounds}))"
+    every = " UNION ALL ".join(f"SELECT id, r FROM r{i} WHERE (SELECT k FROM k) = {i}" for i in range(1, rounds + 1))
+    return _rank_sql(view, v, e, rounds, first + f" SELECT id AS vertex_id, round(r, 6) AS score, row_number() OVER (ORDER BY r DESC, id) AS rank FROM ({every})")
+
+
+@_query(_tolerant_sql(HANDOFF, "hv", "he", 20, 0.05).replace(" , ", ", "))
+def pagerank_tolerance(spark, sf_dir):
+    return page_rank(views.handoff(spark, sf_dir), PageRankOptions(tolerance=0.05)).select("vertex_id", _rounded(), "rank")
+
+
+@_query(_rank_sql(SALES, "sv", "se", 4, "SELECT id AS vertex_id, round(r * 1000000, 4) AS score FROM {r}"))
+def pagerank_sales(spark, sf_dir):
+    return page_rank(views.sales(spark, sf_dir), PageRankOptions(iterations=4, tolerance=0.0)).select("vertex_id", F.round(F.col("score") * 1_000_000, 4).alias("score"))
+
+
 @_query(_rank_sql(TRADE, "tv", "te", 5, "SELECT id AS vertex_id, round(r, 6) AS score, row_number() OVER (ORDER BY r DESC, id) AS rank FROM {r} ORDER BY r DESC, id LIMIT 5"))
 def pagerank_topk(spark, sf_dir):
     return page_rank(views.trade(spark, sf_dir), PageRankOptions(iterations=5, tolerance=0.0, top_k=5)).select("vertex_id", _rounded(), "rank")
@@ -286,8 +326,15 @@ def degree_all(spark, sf_dir):
     return degrees(views.sales(spark, sf_dir))
 
 
-_COMPONENTS = f"""WITH RECURSIVE {BIPARTITE}, steps AS (SELECT src AS a, dst AS b FROM be UNION ALL SELECT dst, src FROM be),
-    reach AS (SELECT id AS v, id AS r FROM bv UNION SELECT b, r FROM reach JOIN steps ON a = v), c AS (SELECT v AS vertex_id, min(r) AS component_id FROM reach GROUP BY v)"""
+def _components_sql(rounds: int, view: str = BIPARTITE, v: str = "bv", e: str = "be") -> str:
+    """The smallest id spreads over the edges; ``rounds`` is more than the graph's diameter at the scale of the check."""
+    parts = [f"WITH {view}, steps AS MATERIALIZED (SELECT src AS a, dst AS b FROM {e} UNION ALL SELECT dst, src FROM {e}), c0 AS (SELECT id AS v, id AS r FROM {v})"]
+    for i in range(1, rounds + 1):
+        parts.append(f"c{i} AS MATERIALIZED (SELECT c.v, least(c.r, coalesce(m, c.r)) AS r FROM c{i - 1} c LEFT JOIN (SELECT b, min(r) AS m FROM steps JOIN c{i - 1} ON a = v GROUP BY b) ON b = c.v)")
+    return ", ".join(parts) + f", c AS (SELECT v AS vertex_id, r AS component_id FROM c{rounds})"
+
+
+_COMPONENTS = _components_sql(12)
 
 
 @_query(_COMPONENTS + " SELECT component_id, vertex_id FROM c")
@@ -311,6 +358,26 @@ def components_strong(spark, sf_dir):
     return connected_components(views.trade(spark, sf_dir), ComponentOptions(weakly=False)).select("component_id", "vertex_id")
 
 
+@_query(_components_sql(14, SALES, "sv", "se") + " SELECT component_id, vertex_id FROM c")
+def components_sales(spark, sf_dir):
+    return connected_components(views.sales(spark, sf_dir)).select("component_id", "vertex_id")
+
+
+@_query(f"""WITH RECURSIVE {HANDOFF}, reach AS (SELECT id AS v, id AS r FROM hv UNION SELECT dst, r FROM reach JOIN he ON src = v)
+    SELECT min(x.r) AS component_id, x.v AS vertex_id FROM reach x JOIN reach y ON x.v = y.r AND x.r = y.v GROUP BY x.v""")
+def components_strong_users(spark, sf_dir):
+    return connected_components(views.handoff(spark, sf_dir), ComponentOptions(weakly=False)).select("component_id", "vertex_id")
+
+
+_SALES_LEVELS = f"WITH {SALES}, steps AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM se UNION SELECT dst, src FROM se), {_levels_sql('steps', 3, 'SELECT min(src) FROM se')}"
+
+
+@_query(_SALES_LEVELS + " SELECT v AS vertex_id, CAST(d AS INTEGER) AS depth FROM ls3")
+def bfs_sales(spark, sf_dir):
+    graph = views.sales(spark, sf_dir).stored()
+    return bfs(graph, _origin(graph), BfsDfsOptions(direction=Direction.BOTH, max_depth=3, max_vertices=UNBOUNDED)).select("vertex_id", "depth")
+
+
 @_query(f"""WITH RECURSIVE {HANDOFF}, s AS (SELECT min(src) AS v FROM he), walk AS (SELECT v, 0 AS d FROM s UNION SELECT dst, d + 1 FROM walk JOIN he ON src = v WHERE d < 3)
     SELECT v AS vertex_id, CAST(min(d) AS INTEGER) AS depth FROM walk GROUP BY v""")
 def bfs_levels(spark, sf_dir):
@@ -331,7 +398,7 @@ def _bfs_sql(levels: int, cap: int) -> str:
     return ", ".join(parts) + f" SELECT CAST(o AS BIGINT) AS visit_order, v AS vertex_id, CAST(d AS INTEGER) AS depth, p AS parent_id FROM ({every}) WHERE o < {cap}"
 
 
-@_query(_bfs_sql(3, 10_000))
+@_query(_bfs_sql(3, 10**9))
 def bfs_parents(spark, sf_dir):
     graph = views.handoff(spark, sf_dir)
     return bfs(graph, _origin(graph), BfsDfsOptions("HANDS_TO", max_depth=3, max_vertices=UNBOUNDED))
@@ -377,57 +444,10 @@ def cycles_through_vertex(spark, sf_dir):
     return cycles_through(graph, _origin(graph), CycleOptions(max_depth=3, max_cycles=UNBOUNDED)).select(path_text().alias("cycle"), "length")
 
 
-# Whole tables --------------------------------------------------------------------------------------------------------
-#
-# The queries above of the same names see few line items; these see all.  Components and paths have no SQL:
-# theirs is an all-pairs reach or a list of all walks, which doesn't end here.  The tests hold them against brute force.
-
-
-def _whole(name: str, template: str | None, run: Callable[[Graph], DataFrame], view: Callable[[SparkSession, str], Graph] = views.trade_whole) -> None:
-    sql = template and template.replace(TRADE, TRADE_WHOLE).replace(BIPARTITE, BIPARTITE_WHOLE)
-    _query(sql, f"{name}_whole")(lambda spark, sf_dir: run(view(spark, sf_dir)))
-
-
-def _paths(found: DataFrame, name: str) -> DataFrame:
-    return found.select(path_text().alias(name), "length")
-
-
-for _way in _WAYS:
-    for _depth in (1, 2, 3):
-        _whole(f"neighbors_{_way}_d{_depth}", ORACLE_SQL[f"neighbors_{_way}_d{_depth}"], lambda g, o=NeighborOptions("TRADES", _WAYS[_way], _depth): neighbors(g, _origin(g), o).select("id"))
-for _name, _direction in (("both", Direction.BOTH), ("in", Direction.INCOMING), ("out", Direction.OUTGOING)):
-    _whole(f"degree_{_name}", ORACLE_SQL[f"degree_{_name}"], lambda g, o=DegreeOptions("TRADES", _direction): degree_centrality(g, _origin(g), o))
-_whole("pagerank_topk", ORACLE_SQL["pagerank_topk"], lambda g: page_rank(g, PageRankOptions(iterations=5, tolerance=0.0, top_k=5)).select("vertex_id", _rounded(), "rank"))
-_whole("components_strong", ORACLE_SQL["components_strong"], lambda g: connected_components(g, ComponentOptions(weakly=False)).select("component_id", "vertex_id"))
-_whole("cycles_le3", ORACLE_SQL["cycles_le3"], lambda g: _paths(detect_cycles(g, CycleOptions(max_depth=3, max_cycles=UNBOUNDED)), "cycle"))
-_whole("cycles_le4", ORACLE_SQL["cycles_le4"], lambda g: _paths(detect_cycles(g, CycleOptions(max_depth=4, max_cycles=UNBOUNDED)), "cycle"))
-_whole("cycles_capped", ORACLE_SQL["cycles_capped"], lambda g: _paths(detect_cycles(g, CycleOptions(max_depth=3, max_cycles=5)), "cycle"))
-_whole("cycles_through_vertex", ORACLE_SQL["cycles_through_vertex"], lambda g: _paths(cycles_through(g, _origin(g), CycleOptions(max_depth=3, max_cycles=UNBOUNDED)), "cycle"))
-
-_whole("components", None, lambda g: connected_components(g).select("component_id", "vertex_id"), views.bipartite_whole)
-_whole("component_sizes", None, lambda g: connected_components(g).select("component_id", "size").distinct(), views.bipartite_whole)
-_whole("components_min_size", None, lambda g: connected_components(g, ComponentOptions(min_size=4)).select("component_id", "vertex_id"), views.bipartite_whole)
-_whole("shortest_path_lengths_all", ORACLE_SQL["shortest_path_lengths_all"], lambda g: shortest_path_lengths(g, _origin(g), PathOptions("SUPPLIES", 10)), views.bipartite_whole)
-
-
-def _between(g: Graph) -> tuple[str, str]:
-    start = _origin(g)
-    return start, shortest_path_lengths(g, start, PathOptions("SUPPLIES", 6)).where("distance > 0").agg(F.max("id")).first()[0]
-
-
-_whole("shortest_path", None, lambda g: _paths(shortest_path(g, *_between(g), PathOptions("SUPPLIES", 6)), "path"), views.bipartite_whole)
-# of up to 4 edges: those of 6 are billions between two suppliers
-_whole("all_paths", None, lambda g: _paths(all_paths(g, *_between(g), PathOptions("SUPPLIES", 4)), "path"), views.bipartite_whole)
-
-
 # Files ---------------------------------------------------------------------------------------------------------------
 
-_ALL_GEO = GraphExportOptions(frozenset({"Nation", "Supplier", "Region"}), frozenset({"IN_REGION", "BASED_IN"}))
-_TRIP = f"""WITH {GEO} SELECT label, name AS text, balance AS number FROM gv WHERE label <> 'Customer'
-    UNION ALL SELECT e.label, a.name || '>' || b.name, NULL FROM ge e JOIN gv a ON a.id = e.src JOIN gv b ON b.id = e.dst WHERE e.label <> 'LIVES_IN'"""
-
-_WHOLE_GEO = GraphExportOptions(_ALL_GEO.vertex_labels | {"Customer"}, _ALL_GEO.edge_labels | {"LIVES_IN"})
-_WHOLE_TRIP = f"""WITH {GEO} SELECT label, name AS text, balance AS number FROM gv
+_ALL_GEO = GraphExportOptions(frozenset({"Nation", "Supplier", "Region", "Customer"}), frozenset({"IN_REGION", "BASED_IN", "LIVES_IN"}))
+_TRIP = f"""WITH {GEO} SELECT label, name AS text, balance AS number FROM gv
     UNION ALL SELECT e.label, a.name || '>' || b.name, NULL FROM ge e JOIN gv a ON a.id = e.src JOIN gv b ON b.id = e.dst"""
 
 
@@ -451,11 +471,6 @@ def csv_roundtrip(spark, sf_dir):
     return _csv(spark, sf_dir, _ALL_GEO)
 
 
-@_query(_WHOLE_TRIP)
-def csv_roundtrip_whole(spark, sf_dir):
-    return _csv(spark, sf_dir, _WHOLE_GEO)
-
-
 def _ndjson(spark, sf_dir, options: GraphExportOptions) -> DataFrame:
     at = fresh_path(spark, "ndjson")
     export_ndjson(views.geo(spark, sf_dir), at, options)
@@ -467,11 +482,6 @@ def ndjson_roundtrip(spark, sf_dir):
     return _ndjson(spark, sf_dir, _ALL_GEO)
 
 
-@_query(_WHOLE_TRIP)
-def ndjson_roundtrip_whole(spark, sf_dir):
-    return _ndjson(spark, sf_dir, _WHOLE_GEO)
-
-
 def _graphml(spark, sf_dir, options: GraphExportOptions) -> DataFrame:
     at = fresh_path(spark, "graphml")
     export_graphml(views.geo(spark, sf_dir), at, options)
@@ -483,11 +493,6 @@ def graphml_roundtrip(spark, sf_dir):
     return _graphml(spark, sf_dir, _ALL_GEO)
 
 
-@_query(_WHOLE_TRIP)
-def graphml_roundtrip_whole(spark, sf_dir):
-    return _graphml(spark, sf_dir, _WHOLE_GEO)
-
-
 def _faulty(spark, sf_dir) -> str:
     """Envelopes with each nation twice and edges to nations that aren't there."""
     nation, customer = views.table(spark, sf_dir, "nation"), views.table(spark, sf_dir, "customer")
@@ -553,6 +558,56 @@ def two_hop_pattern(spark, sf_dir):
     return c.join(placed, "customer").join(contains, "order").groupBy("customer", "part").agg(F.count("*").alias("times"))
 
 
+KNOWN = """ke AS (
+    SELECT c_custkey AS a, c_custkey + 1 AS b, 'KNOWS' AS label FROM customer UNION SELECT c_custkey, c_custkey * 2, 'KNOWS' FROM customer UNION SELECT c_custkey, c_custkey * 3, 'FOLLOWS' FROM customer
+), ne AS (
+    SELECT 'customer:' || a AS src, 'customer:' || b AS dst, label FROM ke WHERE b IN (SELECT c_custkey FROM customer)
+    UNION SELECT 'customer:' || b, 'customer:' || a, label FROM ke WHERE label = 'KNOWS' AND b IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'WORKS_AT' FROM customer
+)"""
+CODE = """ce AS (
+    SELECT DISTINCT 'part:' || a AS src, 'part:' || b AS dst FROM (
+        SELECT p_partkey AS a, p_partkey // 2 AS b FROM part UNION SELECT p_partkey, p_partkey // 3 FROM part UNION SELECT p_partkey, p_partkey * 2 FROM part WHERE p_partkey % 5 = 0
+    ) WHERE b IN (SELECT p_partkey FROM part)
+)"""
+
+
+def _reach_sql(view: str, edges: str, start: str, depth: int) -> str:
+    return f"""WITH RECURSIVE {view}, steps AS ({edges}), walk AS (SELECT '{start}' AS v, 0 AS d UNION SELECT b, d + 1 FROM walk JOIN steps ON a = v WHERE d < {depth})
+        SELECT DISTINCT v AS id FROM walk WHERE d > 0"""
+
+
+def _reach_query(name: str, view, sql: str, start: str, options: NeighborOptions) -> None:
+    """A service's question about whom one vertex reaches, with the service's own options."""
+    _query(sql, name)(lambda spark, sf_dir: neighbors(view(spark, sf_dir), start, options).select("id"))
+
+
+_KNOWS, _WORKS = "SELECT src AS a, dst AS b FROM ne WHERE label = 'KNOWS'", "SELECT dst AS a, src AS b FROM ne WHERE label = 'WORKS_AT'"
+_DEPENDS, _IMPACTS = "SELECT src AS a, dst AS b FROM ce", "SELECT dst AS a, src AS b FROM ce"
+_reach_query("network_connections", views.network, _reach_sql(KNOWN, _KNOWS, "customer:9", 1), "customer:9", NeighborOptions("KNOWS"))
+_reach_query("network_connections_within", views.network, _reach_sql(KNOWN, _KNOWS, "customer:9", 3), "customer:9", NeighborOptions("KNOWS", max_depth=3))
+_reach_query("network_employees", views.network, _reach_sql(KNOWN, _WORKS, "nation:3", 1), "nation:3", NeighborOptions("WORKS_AT", Direction.INCOMING))
+_reach_query("code_dependencies", views.code, _reach_sql(CODE, _DEPENDS, "part:90", 1), "part:90", NeighborOptions("DEPENDS_ON"))
+_reach_query("code_transitive_dependencies", views.code, _reach_sql(CODE, _DEPENDS, "part:90", 5), "part:90", NeighborOptions("DEPENDS_ON", max_depth=5))
+_reach_query("code_impacted_modules", views.code, _reach_sql(CODE, _IMPACTS, "part:2", 3), "part:2", NeighborOptions("DEPENDS_ON", Direction.INCOMING, 3))
+
+_KNOW_BOTH = """steps AS MATERIALIZED (SELECT src AS a, dst AS b, 'knows:' || split_part(src, ':', 2) || ':' || split_part(dst, ':', 2) AS e FROM ne WHERE label = 'KNOWS'
+    UNION ALL SELECT dst, src, 'knows:' || split_part(src, ':', 2) || ':' || split_part(dst, ':', 2) FROM ne WHERE label = 'KNOWS')"""
+
+
+@_query(_walks_sql(f"WITH {KNOWN}, {_KNOW_BOTH}, s AS (SELECT 'customer:9' AS v), t AS (SELECT 'customer:20' AS v)", 3))
+def network_all_connection_paths(spark, sf_dir):
+    return all_paths(views.network(spark, sf_dir), "customer:9", "customer:20", PathOptions("KNOWS", 3)).select(path_text().alias("path"), "length")
+
+
+@_query(f"""WITH RECURSIVE {CODE}, walk AS (SELECT ['part:10'] AS p, 'part:10' AS v UNION ALL SELECT list_append(p, dst), dst FROM walk JOIN ce ON src = v WHERE len(p) <= 5 AND (len(p) = 1 OR v <> 'part:10') AND (dst = 'part:10' OR NOT list_contains(p, dst))),
+    done AS (SELECT p[1:-2] AS r, CAST(len(p) - 1 AS INTEGER) AS length FROM walk WHERE len(p) > 1 AND v = 'part:10'),
+    turned AS (SELECT r[list_position(r, list_min(r)):] || r[:list_position(r, list_min(r)) - 1] || [list_min(r)] AS p, length FROM done)
+    SELECT array_to_string(p, '>') AS cycle, length FROM turned""")
+def code_circular_dependencies(spark, sf_dir):
+    return cycles_through(views.code(spark, sf_dir), "part:10", CycleOptions("Module", "DEPENDS_ON", 5, UNBOUNDED)).select(path_text().alias("cycle"), "length")
+
+
 @_query(f"WITH {SALES} SELECT label, round(sum(amount), 2) AS amount FROM sv GROUP BY label")
 def sql_over_views(spark, sf_dir):
     return views.sales(spark, sf_dir).sql("SELECT label, round(sum(amount), 2) AS amount FROM vertices GROUP BY label")
