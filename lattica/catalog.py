@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lattica.errors import GraphAlreadyExistsError, GraphNotFoundError, require_text
 from lattica.graph import Graph
-from lattica.model import Edge, Vertex
+from lattica.model import Component, Cycle, DegreeResult, Edge, PageRankScore, Path, TraversalVisit, Vertex
 from lattica.options import EngineConfig
 
 
@@ -69,6 +69,22 @@ class GraphCatalog:
         self._graphs.pop(name, None)
         return self.graph(name)
 
+    def names(self) -> list[str]:
+        """Names of all graphs, sorted."""
+        found = set(self._graphs)
+        if self.root:
+            fs, path = self._fs(self.root)
+            found |= {s.getPath().getName() for s in fs.listStatus(path)} if fs.exists(path) else set()
+        return sorted(n for n in found if self.graph_exists(n))
+
+    def health(self) -> dict[str, Any]:
+        """A probe: ``status`` is UP if the session can run a job and the folder can be read, else DOWN with the ``error``."""
+        try:
+            self.spark.range(1).count()
+            return {"status": "UP", "root": self.root, "graphs": len(self.names())}
+        except Exception as e:  # whatever the cluster or the store says
+            return {"status": "DOWN", "root": self.root, "error": str(e)}
+
     def close(self) -> None:
         """Forget frames; the session that was handed in stays open."""
         for graph in self._graphs.values():
@@ -149,66 +165,78 @@ class GraphSession:
 
     # reads: the operators of lattica.operators ---------------------------------------------------------------------
 
-    def _of(self, frame: DataFrame | None, make):
-        return None if frame is None else [make(r) for r in frame.collect()]
+    def _elements(self, ids, edge_ids=()) -> tuple[dict[str, Vertex], dict[str, Edge]]:
+        """Whole vertices and edges of a collected result, by id; an id that the graph lacks is a vertex without label."""
+        known = lambda frame, own: frame.join(F.broadcast(self.spark.createDataFrame([(i,) for i in sorted(own)], "id string")), "id", "left_semi") if own else None
+        ids, edge_ids = set(ids), set(edge_ids)
+        vertices, edges = known(self.graph.vertices, ids), known(self.graph.edges, edge_ids)
+        found = {i: Vertex(i, "") for i in ids} | {v.id: v for v in (Graph.vertices_of(vertices) if vertices is not None else [])}
+        return found, {e.id: e for e in (Graph.edges_of(edges) if edges is not None else [])}
+
+    def _paths(self, frame: DataFrame) -> list[Path]:
+        rows = frame.collect()
+        vertices, edges = self._elements((i for r in rows for i in r["vertex_ids"]), (i for r in rows for i in r["edge_ids"]))
+        return [Path.from_row(r, vertices, edges) for r in rows]
 
     def neighbors(self, start_id, options=None) -> list[Vertex]:
         from lattica.operators.traversal import neighbors
 
         return Graph.vertices_of(neighbors(self.graph, start_id, options))
 
-    def shortest_path(self, from_id, to_id, options=None):
-        from lattica.model import Path
+    def shortest_path(self, from_id, to_id, options=None) -> Path | None:
         from lattica.operators.traversal import shortest_path
 
-        return next((Path.from_row(r) for r in shortest_path(self.graph, from_id, to_id, options).collect()), None)
+        return next(iter(self._paths(shortest_path(self.graph, from_id, to_id, options))), None)
 
-    def all_paths(self, from_id, to_id, options=None):
-        from lattica.model import Path
+    def all_paths(self, from_id, to_id, options=None) -> list[Path]:
         from lattica.operators.traversal import all_paths
 
-        return self._of(all_paths(self.graph, from_id, to_id, options), Path.from_row)
+        return self._paths(all_paths(self.graph, from_id, to_id, options))
 
-    def page_rank(self, options=None) -> list[tuple[str, float]]:
+    def page_rank(self, options=None) -> list[PageRankScore]:
         from lattica.operators.pagerank import page_rank
 
-        return [(r["vertex_id"], r["score"]) for r in page_rank(self.graph, options).orderBy("rank").collect()]
+        rows = page_rank(self.graph, options).orderBy("rank").collect()
+        vertices, _ = self._elements(r["vertex_id"] for r in rows)
+        return [PageRankScore(vertices[r["vertex_id"]], r["score"]) for r in rows]
 
-    def degree_centrality(self, vertex_id, options=None):
-        from lattica.model import DegreeResult
+    def degree_centrality(self, vertex_id, options=None) -> DegreeResult:
         from lattica.operators.degree import degree_centrality
 
         r = degree_centrality(self.graph, vertex_id, options).first()
         return DegreeResult(vertex_id, r["in_degree"], r["out_degree"])
 
-    def connected_components(self, options=None) -> dict[str, list[str]]:
+    def connected_components(self, options=None) -> list[Component]:
         from lattica.operators.components import connected_components
 
-        out: dict[str, list[str]] = {}
-        for r in connected_components(self.graph, options).orderBy("component_id", "vertex_id").collect():
-            out.setdefault(r["component_id"], []).append(r["vertex_id"])
-        return out
+        rows = connected_components(self.graph, options).orderBy("component_id", "vertex_id").collect()
+        vertices, _ = self._elements(r["vertex_id"] for r in rows)
+        return [Component(c, tuple(vertices[r["vertex_id"]] for r in own)) for c, own in itertools.groupby(rows, lambda r: r["component_id"])]
 
-    def _visits(self, frame):
-        from lattica.model import TraversalVisit
+    def _visits(self, frame) -> list[TraversalVisit]:
+        rows = frame.orderBy("visit_order").collect()
+        vertices, _ = self._elements(r["vertex_id"] for r in rows)
+        return [TraversalVisit(vertices[r["vertex_id"]], r["depth"], r["parent_id"]) for r in rows]
 
-        return [TraversalVisit(r["vertex_id"], r["depth"], r["parent_id"]) for r in frame.orderBy("visit_order").collect()]
-
-    def bfs(self, start_id, options=None):
+    def bfs(self, start_id, options=None) -> list[TraversalVisit]:
         from lattica.operators.search import bfs
 
         return self._visits(bfs(self.graph, start_id, options))
 
-    def dfs(self, start_id, options=None):
+    def dfs(self, start_id, options=None) -> list[TraversalVisit]:
         from lattica.operators.search import dfs
 
         return self._visits(dfs(self.graph, start_id, options))
 
-    def detect_cycles(self, options=None):
-        from lattica.model import Cycle, Path
+    def detect_cycles(self, options=None) -> list[Cycle]:
         from lattica.operators.cycles import detect_cycles
 
-        return [Cycle(Path.from_row(r)) for r in detect_cycles(self.graph, options).orderBy("vertex_ids").collect()]
+        return [Cycle(p) for p in self._paths(detect_cycles(self.graph, options))]
+
+    def cycles_through(self, vertex_id, options=None) -> list[Cycle]:
+        from lattica.operators.cycles import cycles_through
+
+        return [Cycle(p) for p in self._paths(cycles_through(self.graph, vertex_id, options))]
 
     def sql(self, text: str) -> DataFrame:
         return self.graph.sql(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from datetime import date, datetime
 from typing import Any
@@ -18,6 +19,11 @@ def escape(text: str) -> str:
     return text
 
 
+def cypher_name(name: str) -> str:
+    """A property's name: as it is if that is safe, else in back quotes."""
+    return name if re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", name) else "`" + name.replace("`", "``") + "`"
+
+
 def cypher_value(value: Any) -> str:
     """null, bare numbers and booleans, quoted text and ISO dates, lists and maps; anything else as its quoted text."""
     match value:
@@ -30,7 +36,7 @@ def cypher_value(value: Any) -> str:
         case datetime() | date():
             return f"'{value.isoformat()}'"
         case Mapping():
-            return "{" + ", ".join(f"{k}: {cypher_value(v)}" for k, v in value.items()) + "}"
+            return "{" + ", ".join(f"{cypher_name(str(k))}: {cypher_value(v)}" for k, v in value.items()) + "}"
         case list() | tuple():
             return "[" + ", ".join(map(cypher_value, value)) + "]"
     return f"'{escape(str(value))}'"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from decimal import Decimal
 from enum import Enum
@@ -46,12 +47,12 @@ class Path:
         return cls(vertices)
 
     @classmethod
-    def from_row(cls, row: Row) -> Path:
-        """From parallel arrays vertex_ids and edge_ids (labels are unknown there and left empty)."""
-        vertices, edges = row["vertex_ids"], row["edge_ids"]
-        steps: list[Vertex | Edge] = [Vertex(vertices[0], "")] if vertices else []
-        for a, e, b in zip(vertices, edges, vertices[1:]):
-            steps += [Edge(e, "", a, b), Vertex(b, "")]
+    def from_row(cls, row: Row, vertices: Mapping[str, Vertex], edges: Mapping[str, Edge]) -> Path:
+        """From parallel arrays vertex_ids and edge_ids, with the elements by their ids."""
+        ids = row["vertex_ids"]
+        steps: list[Vertex | Edge] = [vertices[ids[0]]] if ids else []
+        for e, b in zip(row["edge_ids"], ids[1:]):
+            steps += [edges[e], vertices[b]]
         return cls(tuple(steps))
 
     @property
@@ -96,11 +97,27 @@ class DegreeResult:
 
 @dataclass(frozen=True)
 class TraversalVisit:
-    vertex_id: str
+    vertex: Vertex
     depth: int
     parent_id: str | None
 
 
+@dataclass(frozen=True)
+class PageRankScore:
+    vertex: Vertex
+    score: float
+
+
+@dataclass(frozen=True)
+class Component:
+    component_id: str
+    vertices: tuple[Vertex, ...]
+
+    @property
+    def size(self) -> int:
+        return len(self.vertices)
+
+
 def _plain(value: Any) -> Any:
     """Decimals of a VARIANT as floats: JSON's numbers are doubles here."""
     if isinstance(value, Decimal):

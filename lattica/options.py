@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from enum import Enum
 
+from pyspark.sql import SparkSession
+
 from lattica.errors import require, require_text
 from lattica.model import Direction
 
@@ -106,7 +108,8 @@ class GraphExportOptions:
 @dataclass(frozen=True)
 class GraphImportOptions:
     batch_size: int = 1_000
-    max_edge_buffer_size: int = 100_000
+    #: Edges an import may have.  Nothing is buffered here, so there is no bound unless one is asked for.
+    max_edge_buffer_size: int | None = None
     on_duplicate_vertex_id: DuplicatePolicy = DuplicatePolicy.FAIL
     on_missing_edge_endpoint: MissingEndpointPolicy = MissingEndpointPolicy.FAIL
     default_vertex_label: str = "Vertex"
@@ -115,7 +118,7 @@ class GraphImportOptions:
 
     def __post_init__(self):
         require(self.batch_size > 0, "batch_size must be positive")
-        require(self.max_edge_buffer_size > 0, "max_edge_buffer_size must be positive")
+        require(self.max_edge_buffer_size is None or self.max_edge_buffer_size > 0, "max_edge_buffer_size must be positive")
         require_text(self.default_vertex_label, "default_vertex_label")
         require_text(self.default_edge_label, "default_edge_label")
 
@@ -150,6 +153,8 @@ class GraphMlExportOptions:
     encoding: str = "UTF-8"
     #: Type every key as a string, instead of by what its values are.
     legacy_string_types: bool = False
+    #: One file, through one task; else the document is the folder's files one after another, written in parallel.
+    one_file: bool = False
 
 
 @dataclass(frozen=True)
@@ -166,3 +171,8 @@ class EngineConfig:
 
     root: str | None = None
     workers: int = 8
+
+    @classmethod
+    def of(cls, spark: SparkSession) -> EngineConfig:
+        """From the session's settings lattica.root and lattica.workers."""
+        return cls(spark.conf.get("lattica.root", None), int(spark.conf.get("lattica.workers", str(cls.workers))))

@@ -474,7 +474,7 @@ def csv_roundtrip(spark, sf_dir):
 def _ndjson(spark, sf_dir, options: GraphExportOptions) -> DataFrame:
     at = fresh_path(spark, "ndjson")
     export_ndjson(views.geo(spark, sf_dir), at, options)
-    return _trip(import_ndjson(spark, at, GraphImportOptions(max_edge_buffer_size=10**9))[0])
+    return _trip(import_ndjson(spark, at, GraphImportOptions())[0])
 
 
 @_query(_TRIP)
@@ -505,7 +505,7 @@ def _faulty(spark, sf_dir) -> str:
     return at
 
 
-_LENIENT = GraphImportOptions(max_edge_buffer_size=10**9, on_duplicate_vertex_id=DuplicatePolicy.SKIP, on_missing_edge_endpoint=MissingEndpointPolicy.SKIP_EDGE)
+_LENIENT = GraphImportOptions(on_duplicate_vertex_id=DuplicatePolicy.SKIP, on_missing_edge_endpoint=MissingEndpointPolicy.SKIP_EDGE)
 
 
 @_query("SELECT 'Nation' AS label, n_name AS name FROM nation")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from lattica.catalog import GraphSession
 from lattica.model import Cycle, Direction, Edge, Path, Vertex
-from lattica.operators.cycles import cycles_through
 from lattica.options import CycleOptions, NeighborOptions, PathOptions
 from lattica.schema import EdgeLabel, VertexLabel
 
@@ -40,6 +39,9 @@ class CodeGraph:
     def add_dependency(self, src: Vertex, dst: Vertex, **properties) -> Edge:
         return self._link(DEPENDS_ON, src, dst, **properties)
 
+    def add_import(self, src: Vertex, dst: Vertex) -> Edge:
+        return self._link(IMPORTS, src, dst)
+
     def add_extends(self, src: Vertex, dst: Vertex) -> Edge:
         return self._link(EXTENDS, src, dst)
 
@@ -71,8 +73,7 @@ class CodeGraph:
         return self.session.shortest_path(src.id, dst.id, PathOptions(DEPENDS_ON.label, 10))
 
     def circular_dependencies(self, module: Vertex, max_depth: int = 5) -> list[Cycle]:
-        rows = cycles_through(self.session.graph, module.id, CycleOptions(MODULE.label, DEPENDS_ON.label, max_depth)).collect()
-        return [Cycle(Path.from_row(r)) for r in rows]
+        return self.session.cycles_through(module.id, CycleOptions(MODULE.label, DEPENDS_ON.label, max_depth))
 
     def inheritance_chain(self, cls: Vertex, depth: int = 5) -> list[Vertex]:
         return self._reach(EXTENDS, cls, Direction.OUTGOING, depth)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import time
 import uuid
+from typing import BinaryIO
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from lattica.errors import require
 from lattica.graph import Graph
 from lattica.options import CsvOptions, CsvPropertyMode, GraphExportOptions, GraphImportOptions
-from lattica.plans.storage import stored
+from lattica.plans.storage import stored_seeing
+from lattica.sources.endpoints import deliver, sink, source
 from lattica.sources.report import ExportReport, Failure, Format, ImportReport, Phase, Severity
 from lattica.sources.staging import apply, as_map, before, keys_of, position, selected, text_of
 
@@ -31,21 +33,27 @@ def _columns(frame: DataFrame, fixed: tuple[str, ...], csv: CsvOptions) -> DataF
     return frame.select(*base, *[text_of(k).alias(csv.prefix + k) for k in keys])
 
 
-def export_csv(graph: Graph, vertices_path: str, edges_path: str, options: GraphExportOptions, csv: CsvOptions = CsvOptions(), append: bool = False) -> ExportReport:
-    """Write the named labels; null and absent properties are empty cells, every value is text."""
-    began = time.time()
+def export_csv(graph: Graph, vertices_path: str | BinaryIO, edges_path: str | BinaryIO, options: GraphExportOptions, csv: CsvOptions = CsvOptions(), append: bool = False, charset: str = "UTF-8") -> ExportReport:
+    """Write the named labels to folders, or to streams; null and absent properties are empty cells, every value is text."""
+    began, spark = time.time(), graph.spark
     report = ExportReport(Format.CSV)
-    for frame, fixed, path, count in zip(selected(graph, options), (VERTEX, EDGE), (vertices_path, edges_path), ("vertices_written", "edges_written")):
-        own = stored(_columns(as_map(frame, fixed, options.include_empty_properties), fixed, csv), "export")
-        setattr(report, count, own.count())
-        own.write.mode("append" if append else "overwrite").csv(path, header=True, quote='"', escape='"', emptyValue='""', nullValue="")
+    for frame, fixed, given, count in zip(selected(graph, options), (VERTEX, EDGE), (vertices_path, edges_path), ("vertices_written", "edges_written")):
+        own, path, seen = _columns(as_map(frame, fixed, options.include_empty_properties), fixed, csv), sink(spark, given), Observation()
+        own.observe(seen, F.count("*").alias("n")).write.mode("append" if append else "overwrite").csv(path, header=True, quote='"', escape='"', emptyValue='""', nullValue="", encoding=charset)
+        setattr(report, count, seen.get["n"])
+        deliver(spark, path, given, header=True)
     report.elapsed = time.time() - began
     return report
 
 
-def _read(spark: SparkSession, path: str, fixed: tuple[str, ...], csv: CsvOptions) -> DataFrame:
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue="", emptyValue="")
-    raw = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in raw.columns])).csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue="", emptyValue="")
+def _read(spark: SparkSession, given: str | BinaryIO, fixed: tuple[str, ...], csv: CsvOptions, charset: str) -> DataFrame:
+    path = source(spark, given, ".csv")
+    # a record that goes on over a line's end leaves an odd number of quotes in that line; without one files can be split
+    odd = F.length(F.regexp_replace("value", '[^"]+', "")) % 2 == 1
+    lines = not spark.read.text(path).where(odd).limit(1).isEmpty()
+    how = dict(header=True, multiLine=lines, quote='"', escape='"', nullValue="", emptyValue="", encoding=charset)
+    names = spark.read.csv(path, **how).columns
+    raw = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).csv(path, **how)
     if csv.mode is CsvPropertyMode.RAW_JSON and csv.json_column in raw.columns:
         props = F.coalesce(F.col(f"`{csv.json_column}`"), F.lit("{}"))
     elif csv.mode is CsvPropertyMode.PREFIXED:
@@ -58,19 +66,29 @@ def _read(spark: SparkSession, path: str, fixed: tuple[str, ...], csv: CsvOption
     return raw.select(position().alias("pos"), *fixed, props.alias("properties"))
 
 
-def import_csv(spark: SparkSession, vertices_path: str, edges_path: str, options: GraphImportOptions = GraphImportOptions(), csv: CsvOptions = CsvOptions(), graph: Graph | None = None) -> tuple[Graph, ImportReport]:
-    """Read vertices, then edges; properties stay text.  A blank vertex id fails the import where it stands."""
+def read_csv_records(spark: SparkSession, vertices_path: str | BinaryIO, edges_path: str | BinaryIO, options: GraphImportOptions = GraphImportOptions(), csv: CsvOptions = CsvOptions(), charset: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) as they stand in the files: pos, external_id, label, for edges from_ext and to_ext, properties (JSON text)."""
+    label = lambda default: F.when(F.trim("label") != "", F.col("label")).otherwise(F.lit(default)).alias("label")
+    vertices = _read(spark, vertices_path, ("id", "label"), csv, charset).select("pos", F.col("id").alias("external_id"), label(options.default_vertex_label), "properties")
+    edges = _read(spark, edges_path, ("id", "label", "from", "to"), csv, charset).select("pos", F.col("id").alias("external_id"), label(options.default_edge_label), F.col("from").alias("from_ext"), F.col("to").alias("to_ext"), "properties")
+    return vertices, edges
+
+
+def import_csv(spark: SparkSession, vertices_path: str | BinaryIO, edges_path: str | BinaryIO, options: GraphImportOptions = GraphImportOptions(), csv: CsvOptions = CsvOptions(), graph: Graph | None = None, charset: str = "UTF-8") -> tuple[Graph, ImportReport]:
+    """Read vertices, then edges; properties stay text.  A blank vertex id fails the import where it stands.
+
+    Files are split unless a record goes on over the end of a line.
+    """
     began, report = time.time(), ImportReport(Format.CSV)
     graph = graph or Graph.empty(spark)
-    label = lambda default: F.when(F.trim("label") != "", F.col("label")).otherwise(F.lit(default)).alias("label")
-    vertices = _read(spark, vertices_path, ("id", "label"), csv).select("pos", F.col("id").alias("external_id"), label(options.default_vertex_label), "properties")
-    edges = _read(spark, edges_path, ("id", "label", "from", "to"), csv).select("pos", F.col("id").alias("external_id"), label(options.default_edge_label), F.col("from").alias("from_ext"), F.col("to").alias("to_ext"), "properties")
-    vertices = stored(vertices, "staged-vertices")
-    good, bad = before(vertices, F.col("external_id").isNull() | (F.trim("external_id") == ""))
-    if bad is not None:
+    vertices, edges = read_csv_records(spark, vertices_path, edges_path, options, csv, charset)
+    blank = F.col("external_id").isNull() | (F.trim("external_id") == "")
+    vertices, facts = stored_seeing(vertices, "staged-vertices", blank=F.count_if(blank))
+    if facts["blank"]:
+        vertices, _ = before(vertices, blank)
         report.fail(Failure(Phase.READ_VERTEX, Severity.ERROR, "Vertex id is blank"))
         report.vertices_read += 1
         edges = edges.where("false")
-    graph = apply(graph, good, edges, options, report, f"c{uuid.uuid4().hex[:8]}:")
+    graph = apply(graph, vertices, edges, options, report, f"c{uuid.uuid4().hex[:8]}:")
     report.elapsed = time.time() - began
     return graph, report

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import time
 import uuid
+from typing import BinaryIO
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from lattica.graph import Graph
 from lattica.options import GraphExportOptions, GraphImportOptions, GraphMlExportOptions, GraphMlImportOptions, UnsupportedElementPolicy
-from lattica.plans.storage import stored
+from lattica.plans.storage import stored, stored_seeing
+from lattica.sources.endpoints import deliver, encoded, sink, source
 from lattica.sources.report import LISTED, ExportReport, Failure, Format, ImportReport, Phase, Severity
 from lattica.sources.staging import apply, as_map, keys_of, position, selected, text_of
 
@@ -37,13 +39,15 @@ def _kinds(frame: DataFrame, legacy: bool) -> dict[str, str]:
     return {r["key"]: TYPES.get(r["lo"], "string") for r in rows}
 
 
-def export_graphml(graph: Graph, path: str, options: GraphExportOptions, xml: GraphMlExportOptions = GraphMlExportOptions()) -> ExportReport:
-    """Write one document as the single file of the folder ``path``; nulls are empty data elements."""
-    began, report = time.time(), ExportReport(Format.GRAPHML)
+def export_graphml(graph: Graph, path: str | BinaryIO, options: GraphExportOptions, xml: GraphMlExportOptions = GraphMlExportOptions()) -> ExportReport:
+    """Write one document: the files of the folder ``path`` one after another, or a stream; nulls are empty data elements.
+
+    Files are written in parallel; with ``one_file`` the folder has a single one.
+    """
+    began, report, spark, seen = time.time(), ExportReport(Format.GRAPHML), graph.spark, Observation()
     vertices, edges = selected(graph, options)
     v = stored(as_map(vertices, ("id", "label"), options.include_empty_properties), "export")
     e = stored(as_map(edges, ("id", "label", "src", "dst"), options.include_empty_properties), "export")
-    report.vertices_written, report.edges_written = v.count(), e.count()
     number = iter(range(10**9))
     head = [f'<?xml version="1.0" encoding="{xml.encoding}"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
 
@@ -64,9 +68,14 @@ def export_graphml(graph: Graph, path: str, options: GraphExportOptions, xml: Gr
     nodes = v.select(F.lit(1).alias("part"), lines(v, "node", [F.lit("<node id="), quoted("id"), F.lit(">")]).alias("value"))
     links = e.select(F.lit(2).alias("part"), lines(e, "edge", [F.lit("<edge id="), quoted("id"), F.lit(" source="), quoted("src"), F.lit(" target="), quoted("dst"), F.lit(">")]).alias("value"))
     head.append(f'<graph id="{xml.graph_id}" edgedefault="{xml.edge_default}">')
-    ends = graph.spark.createDataFrame([(0, "\n".join(head)), (3, "</graph>\n</graphml>")], "part int, value string")
-    # one document is one file: the format leaves no other way
-    nodes.union(links).union(ends).coalesce(1).sortWithinPartitions("part").select("value").write.mode("overwrite").option("encoding", xml.encoding).text(path)
+    end = lambda part, text: spark.createDataFrame([(part, text)], "part int, value string").coalesce(1)
+    every = end(0, "\n".join(head)).union(nodes).union(links).union(end(3, "</graph>\n</graphml>"))
+    told = every.observe(seen, F.count_if(F.col("part") == 1).alias("v"), F.count_if(F.col("part") == 2).alias("e"))
+    told = told.coalesce(1) if xml.one_file else told
+    at = sink(spark, path)
+    told.select(encoded(F.col("value"), xml.encoding).alias("value")).write.mode("overwrite").text(at)
+    report.vertices_written, report.edges_written = seen.get["v"], seen.get["e"]
+    deliver(spark, at, path)
     report.elapsed = time.time() - began
     return report
 
@@ -89,16 +98,17 @@ def _properties(rows: DataFrame, keys: DataFrame, label_name: str) -> DataFrame:
     return out.select("n", "label", F.to_json(F.map_from_entries("entries")).alias("properties"))
 
 
-def import_graphml(spark: SparkSession, path: str, options: GraphImportOptions = GraphImportOptions(), xml: GraphMlImportOptions = GraphMlImportOptions(), graph: Graph | None = None) -> tuple[Graph, ImportReport]:
-    """Read a document; values take their keys' types where they fit.
+def import_graphml(spark: SparkSession, path: str | BinaryIO, options: GraphImportOptions = GraphImportOptions(), xml: GraphMlImportOptions = GraphMlImportOptions(), graph: Graph | None = None, charset: str = "UTF-8") -> tuple[Graph, ImportReport]:
+    """Read a document, in one file or in several; values take their keys' types where they fit.
 
     A node without id and an edge without an end are recorded and left out;
     the status stays.  Unsupported elements are skipped, or fail the import.
     """
     began, report = time.time(), ImportReport(Format.GRAPHML)
     graph = graph or Graph.empty(spark)
+    path = source(spark, path, ".graphml")
     data = "data array<struct<_key string, _VALUE string>>"
-    read = lambda tag, ddl: spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").option("nullValue", "").schema(ddl).load(path)
+    read = lambda tag, ddl: spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").option("nullValue", "").option("charset", charset).schema(ddl).load(path)
     if xml.unsupported_element_policy is UnsupportedElementPolicy.FAIL:
         text = spark.read.text(path)
         for tag in _UNSUPPORTED:
@@ -108,16 +118,16 @@ def import_graphml(spark: SparkSession, path: str, options: GraphImportOptions =
                 return graph, report
     keys = read("key", "_id string, `_attr.name` string, `_attr.type` string").select(F.col("_id").alias("key_id"), F.coalesce(F.col("`_attr.name`"), F.col("_id")).alias("name"), F.coalesce(F.col("`_attr.type`"), F.lit("string")).alias("kind"))
     number = F.monotonically_increasing_id().alias("n")
-    nodes = stored(read("node", f"_id string, {data}").select(number, position().alias("pos"), F.col("_id").alias("external_id"), "data"), "nodes")
-    links = stored(read("edge", f"_id string, _source string, _target string, {data}").select(number, position().alias("pos"), F.col("_id").alias("external_id"), F.col("_source").alias("from_ext"), F.col("_target").alias("to_ext"), "data"), "links")
-    no_id, no_end = nodes.where("external_id is null"), links.where("from_ext is null or to_ext is null")
-    report.failures += [Failure(Phase.READ_VERTEX, Severity.ERROR, "Node has no id") for _ in no_id.limit(LISTED).collect()]
-    report.failures += [Failure(Phase.READ_EDGE, Severity.ERROR, "Edge has no source or target", r["external_id"]) for r in no_end.limit(LISTED).collect()]
+    nodes, n_facts = stored_seeing(read("node", f"_id string, {data}").select(number, position().alias("pos"), F.col("_id").alias("external_id"), "data"), "nodes", bad=F.count_if(F.col("external_id").isNull()))
+    links, l_facts = stored_seeing(read("edge", f"_id string, _source string, _target string, {data}").select(number, position().alias("pos"), F.col("_id").alias("external_id"), F.col("_source").alias("from_ext"), F.col("_target").alias("to_ext"), "data"), "links", bad=F.count_if(F.col("from_ext").isNull() | F.col("to_ext").isNull()))
+    report.failures += [Failure(Phase.READ_VERTEX, Severity.ERROR, "Node has no id") for _ in range(min(LISTED, n_facts["bad"]))]
+    if l_facts["bad"]:
+        no_end = links.where("from_ext is null or to_ext is null").orderBy("pos").limit(LISTED).collect()
+        report.failures += [Failure(Phase.READ_EDGE, Severity.ERROR, "Edge has no source or target", r["external_id"]) for r in no_end]
     label = lambda default: F.when(F.trim("label") != "", F.col("label")).otherwise(F.lit(default)).alias("label")
     props = F.coalesce("properties", F.lit("{}")).alias("properties")
     vertices = nodes.where("external_id is not null").join(_properties(nodes, keys, xml.label_attr_name), "n", "left").select("pos", "external_id", label(xml.default_vertex_label), props)
     edges = links.where("from_ext is not null and to_ext is not null").join(_properties(links, keys, xml.label_attr_name), "n", "left").select("pos", "external_id", label(xml.default_edge_label), "from_ext", "to_ext", props)
-    n = edges.count()
-    graph = apply(graph, vertices, edges, options, report, f"x{uuid.uuid4().hex[:8]}:", edges_read=lambda: n)
+    graph = apply(graph, vertices, edges, options, report, f"x{uuid.uuid4().hex[:8]}:", edges_read=lambda: 0)
     report.elapsed = time.time() - began
     return graph, report

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lattica.graph import Graph
 from lattica.options import DuplicatePolicy, GraphImportOptions, MissingEndpointPolicy
-from lattica.plans.storage import stored
-from lattica.sources.report import LISTED, Failure, ImportReport, Phase, Severity
+from lattica.plans.storage import stored_seeing
+from lattica.sources.report import Failure, ImportReport, Phase, Severity
 
 #: Staged vertices: pos, external_id, label, properties (JSON text). Staged edges: pos, external_id, label, from_ext, to_ext, properties.
 POSITION = "struct<file string, block long, n long>"
@@ -49,51 +49,47 @@ def _with_id(properties, external, name: str | None):
 
 
 def apply(graph: Graph, vertices: DataFrame, edges: DataFrame, options: GraphImportOptions, report: ImportReport, prefix: str, warn_duplicates: bool = True, edges_read: Callable[[], int] | None = None) -> Graph:
-    """Create what the rules allow in a new graph on top of ``graph`` and fill in the report."""
-    report.vertices_read += vertices.count()
+    """Create what the rules allow in a new graph on top of ``graph`` and fill in the report.
+
+    Numbers are taken while tables are written: three jobs, if no rule is broken.
+    """
     firsts = vertices.groupBy("external_id").agg(F.min("pos").alias("first"), F.count("*").alias("c"))
-    again = vertices.join(firsts.where("c > 1"), "external_id").where("pos > first")
-    if options.on_duplicate_vertex_id is DuplicatePolicy.FAIL:
-        row = again.orderBy("pos").select("external_id").first()
-        if row is not None:
-            raise DuplicateVertexError(f"Duplicate vertex externalId={row['external_id']}")
-        kept = vertices
-    else:
-        n = again.count()
-        if n:
-            report.skipped_vertices += n
-            report.partly()
-            if warn_duplicates:
-                report.failures += [Failure(Phase.CREATE_VERTEX, Severity.WARN, f"Duplicate vertex externalId={r[0]}", r[0]) for r in again.orderBy("pos").select("external_id").limit(LISTED).collect()]
+    facts = firsts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("ids")).first()
+    report.vertices_read += facts["n"]
+    kept = vertices
+    if facts["n"] > facts["ids"]:
+        again = vertices.join(firsts.where("c > 1"), "external_id").where("pos > first")
+        if options.on_duplicate_vertex_id is DuplicatePolicy.FAIL:
+            raise DuplicateVertexError(f"Duplicate vertex externalId={again.orderBy('pos').select('external_id').first()['external_id']}")
+        report.skipped_vertices += facts["n"] - facts["ids"]
+        report.reject(Phase.CREATE_VERTEX, again, F.col("external_id"), F.concat(F.lit("Duplicate vertex externalId="), "external_id"), warn_duplicates)
         kept = vertices.join(firsts.select("external_id", F.col("first").alias("pos")), ["external_id", "pos"], "left_semi")
     new_id = lambda c: F.concat(F.lit(prefix), F.col(c))
     keep = options.preserve_external_id_property
-    made = stored(kept.select(new_id("external_id").alias("id"), "label", F.parse_json(_with_id(F.col("properties"), F.col("external_id"), keep)).alias("properties"), "external_id"), "imported")
-    report.vertices_created += made.count()
+    properties = lambda: F.parse_json(_with_id(F.col("properties"), F.col("external_id"), keep)).alias("properties")
+    made, facts = stored_seeing(kept.select(new_id("external_id").alias("id"), "label", properties(), "external_id"), "imported", n=F.count("*"))
+    report.vertices_created += facts["n"]
     ids = made.select("external_id")
     known = edges.join(ids.select(F.col("external_id").alias("from_ext"), F.lit(True).alias("has_from")), "from_ext", "left").join(ids.select(F.col("external_id").alias("to_ext"), F.lit(True).alias("has_to")), "to_ext", "left")
-    known = stored(known, "staged-edges")
-    lost = F.col("has_from").isNull() | F.col("has_to").isNull()
+    lost = (F.col("has_from").isNull() | F.col("has_to").isNull()).alias("lost")
+    number = F.concat(F.lit(prefix + "e"), F.sha2(F.to_json("pos"), 256))
+    known = known.select("pos", "external_id", "from_ext", "to_ext", lost, number.alias("id"), "label", new_id("from_ext").alias("src"), new_id("to_ext").alias("dst"), properties())
+    known, facts = stored_seeing(known, "staged-edges", n=F.count("*"), lost=F.count_if("lost"))
     message = F.concat(F.lit("Missing endpoint: "), F.coalesce("from_ext", F.lit("null")), F.lit(" -> "), F.coalesce("to_ext", F.lit("null")))
-    total = known.count()
-    if options.on_missing_edge_endpoint is MissingEndpointPolicy.FAIL:
-        good, bad = before(known, lost)
-        if bad is not None:
-            r = bad.select("external_id", message.alias("m")).first()
-            report.fail(Failure(Phase.CREATE_EDGE, Severity.ERROR, r["m"], r["external_id"]))
-            if edges_read is None:  # rows are read as they are created, the bad one too
-                total = good.count() + 1
-    else:
-        good = known.where(~lost)
-        n = known.where(lost).count()
-        if n:
-            report.skipped_edges += n
-            report.partly()
-            report.failures += [Failure(Phase.CREATE_EDGE, Severity.WARN, r["m"], r["external_id"]) for r in known.where(lost).orderBy("pos").select("external_id", message.alias("m")).limit(LISTED).collect()]
+    total, created, good = facts["n"], facts["n"] - facts["lost"], known.where("not lost")
+    if facts["lost"] and options.on_missing_edge_endpoint is MissingEndpointPolicy.FAIL:
+        good, bad = before(known, F.col("lost"))
+        r = bad.select("external_id", message.alias("m")).first()
+        report.fail(Failure(Phase.CREATE_EDGE, Severity.ERROR, r["m"], r["external_id"]))
+        created = good.count()
+        if edges_read is None:  # rows are read as they are created, the bad one too
+            total = created + 1
+    elif facts["lost"]:
+        report.skipped_edges += facts["lost"]
+        report.reject(Phase.CREATE_EDGE, known.where("lost"), F.col("external_id"), message)
     report.edges_read += total
-    number = F.concat(F.lit(prefix + "e"), F.sha2(F.to_json("pos"), 256))
-    new = stored(good.select(number.alias("id"), "label", new_id("from_ext").alias("src"), new_id("to_ext").alias("dst"), F.parse_json(_with_id(F.col("properties"), F.col("external_id"), keep)).alias("properties")), "imported")
-    report.edges_created += new.count()
+    report.edges_created += created
+    new = good.select("id", "label", "src", "dst", "properties")
     return Graph(graph.vertices.unionByName(made.drop("external_id"), allowMissingColumns=True), graph.edges.unionByName(new, allowMissingColumns=True))
 
 
@@ -117,7 +113,7 @@ def as_map(frame: DataFrame, fixed: tuple[str, ...], include_empty: bool = True)
 
 
 def keys_of(frame: DataFrame) -> list[str]:
-    """Sorted property names (a graph has few of them, however many elements)."""
+    """Sorted property names.  They become columns or keys of a document, so they have to fit a plan: names that are data belong into CSV's RAW_JSON or NDJSON, which don't ask for them."""
     return [r[0] for r in frame.select(F.explode(F.map_keys("props")).alias("k")).distinct().orderBy("k").collect()]
 
 

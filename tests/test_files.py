@@ -69,6 +69,48 @@ def test_csv(spark, graph, tmp_path):
         CsvOptions(prefix=" ")
 
 
+@pytest.mark.parametrize("charset", ["UTF-8", "ISO-8859-1"])
+def test_streams_and_charsets(spark, tmp_path, charset):
+    import io
+
+    graph = Graph.from_rows(spark, [("1", "P", {"name": "é, \"q\"\nü", "age": 3}), ("2", "P", {"name": "ø"})], [("9", "KNOWS", "1", "2", {"since": 2024})])
+    want = (["ø", "é, \"q\"\nü"], 1)
+    names = lambda g: (sorted((v.properties["name"] for v in Graph.vertices_of(g.vertices)), key=len), g.edges.count())
+    v, e, n, x = (io.BytesIO() for _ in range(4))
+    export_csv(graph, v, e, ALL, charset=charset), export_ndjson(graph, n, ALL, charset=charset), export_graphml(graph, x, ALL, GraphMlExportOptions(encoding=charset))
+    assert v.getvalue().decode(charset).count("prop.name") == 1 and "ø" in n.getvalue().decode(charset) and x.getvalue().decode(charset).count("<?xml") == 1
+    for s in (v, e, n, x):
+        assert not s.closed and not s.seek(0)
+    assert names(import_csv(spark, v, e, charset=charset)[0]) == want
+    assert names(import_ndjson(spark, n, charset=charset)[0]) == want
+    assert names(import_graphml(spark, x, charset=charset)[0]) == want
+    with pytest.raises(ValueError):
+        export_ndjson(graph, str(tmp_path / "x"), ALL, charset="UTF-16")
+
+
+def test_csv_is_split_where_it_can_be(spark, tmp_path):
+    """Lines that hold whole records are read by several tasks; a record over several lines by one a file."""
+    (tmp_path / "v.csv").write_text("id,label,prop.x\n" + "".join(f'{i},P,"a ""quoted"" {i}"\n' for i in range(3000)))
+    (tmp_path / "e.csv").write_text("id,label,from,to\n" + "".join(f"{i},E,{i},{(i + 1) % 3000}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        graph, report = import_csv(spark, str(tmp_path / "v.csv"), str(tmp_path / "e.csv"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    check(report, vertices_created=3000, edges_created=3000)
+    assert graph.edges.select("id").distinct().count() == 3000
+
+
+def test_every_rejected_record_is_told(spark, tmp_path, monkeypatch):
+    from lattica.sources import report as reports
+
+    monkeypatch.setattr(reports, "LISTED", 2)
+    files = csv_of(tmp_path, "a,P\n" * 6, "".join(f"{i},E,a,z\n" for i in range(5)))
+    _, report = import_csv(spark, *files, SKIP)
+    check(report, Status.PARTIAL, skipped_vertices=5, skipped_edges=5)
+    assert len(report.failures) == 4 and sorted((r["phase"], r["record_id"]) for r in report.rejected.collect()) == sorted([("create_vertex", "a")] * 5 + [("create_edge", str(i)) for i in range(5)])
+
+
 def csv_of(tmp_path, vertices, edges):
     for name, text in (("v.csv", "id,label\n" + vertices), ("e.csv", "id,label,from,to\n" + edges)):
         (tmp_path / name).write_text(text)
@@ -131,8 +173,11 @@ def test_graphml(spark, graph, tmp_path):
     assert shown(back) == want()
     export_graphml(graph, at, ALL, GraphMlExportOptions(label_attr_name="kind", graph_id="H", legacy_string_types=True))
     text = "\n".join(lines_of(at))
+    assert text.startswith("<?xml") and text.endswith("</graphml>") and text.index("<node") < text.index("<edge")
     assert '<graph id="H" edgedefault="directed">' in text and 'attr.type="long"' not in text
     assert shown(import_graphml(spark, at, xml=GraphMlImportOptions(label_attr_name="kind"))[0]) == want(as_text=True)
+    export_graphml(graph, at, ALL, GraphMlExportOptions(one_file=True))
+    assert len(glob.glob(f"{at}/part-*")) == 1 and shown(import_graphml(spark, at)[0]) == want()
 
 
 def test_graphml_rules(spark, tmp_path):

@@ -93,6 +93,7 @@ def test_schema(spark):
 def test_literals(spark):
     value = literals.cypher_value
     assert value(None) == "null" and value("Alice") == "'Alice'" and value("O'Re\\il\n\r\tly") == "'O\\'Re\\\\il\\n\\r\\tly'"
+    assert value({"a b": 1, "x`y": 2, "}) DETACH DELETE (n": 3}) == "{`a b`: 1, `x``y`: 2, `}) DETACH DELETE (n`: 3}"
     assert (value(42), value(1.5), value(True), value([1, "a"]), value({"k": False})) == ("42", "1.5", "true", "[1, 'a']", "{k: false}")
     assert value(date(2024, 1, 2)) == "'2024-01-02'" and value(datetime(2024, 1, 2, 3, 4, 5)) == "'2024-01-02T03:04:05'" and value(Path) == f"'{Path}'".replace("'lattica", "\\'lattica").replace("Path'>", "Path\\'>")
     assert literals.cypher_props({}) == "" and literals.cypher_props({"a": 1, "b": "x"}) == "{a: 1, b: 'x'}"
@@ -141,6 +142,78 @@ def test_surfaces(spark):
     assert asyncio.run(run()) == (2, [Vertex("b", "V")], ["a", "b"])
 
 
+def test_results_hold_whole_elements(spark):
+    v = [(x, "Person", {"name": x.upper()}) for x in "abcd"]
+    e = [("1", "KNOWS", "a", "b", {"since": 1}), ("2", "KNOWS", "b", "c"), ("3", "KNOWS", "c", "a", {"since": 3}), ("4", "LIKES", "d", "a")]
+    s = GraphSession(spark, Graph.from_rows(spark, v, e))
+    path = s.shortest_path("a", "d")
+    assert [(x.id, x.label, x.properties) for x in path.vertices] == [("a", "Person", {"name": "A"}), ("d", "Person", {"name": "D"})]
+    assert [(x.id, x.label, x.src, x.dst) for x in path.edges] == [("4", "LIKES", "d", "a")]
+    both = s.all_paths("a", "c")
+    assert sorted(tuple(x.properties.get("since") for x in p.edges) for p in both) == [(1, None), (3,)]
+    assert s.shortest_path("a", "zz") is None and s.all_paths("a", "zz") == []
+    scores = s.page_rank()
+    assert [x.vertex.properties["name"] for x in scores][0] == "A" and abs(sum(x.score for x in scores) - 1) < 1e-9
+    (component,) = s.connected_components()
+    assert component.component_id == "a" and component.size == 4 and [x.properties["name"] for x in component.vertices] == list("ABCD")
+    assert [(x.vertex.properties["name"], x.depth, x.parent_id) for x in s.bfs("a")] == [("A", 0, None), ("B", 1, "a"), ("C", 2, "b")]
+    assert [x.vertex.label for x in s.dfs("d")] == ["Person"] * 4 and s.bfs("zz")[0].vertex == Vertex("zz", "")
+    for cycles in (s.detect_cycles(), s.cycles_through("b")):
+        assert [[x.properties["name"] for x in c.path.vertices] for c in cycles] == [list("ABCA")] and [x.id for x in cycles[0].path.edges] == ["1", "2", "3"]
+
+
+def test_files_as_futures_and_coroutines(spark, tmp_path):
+    from lattica.sources.bulk import BulkIo
+
+    graph = Graph.from_rows(spark, [("1", "P", {"name": "é"}), ("2", "P")], [("9", "KNOWS", "1", "2")])
+    options = GraphExportOptions(frozenset({"P"}), frozenset({"KNOWS"}))
+    io, at = BulkIo(spark), str(tmp_path)
+    ways = [("csv", [f"{at}/v", f"{at}/e"]), ("ndjson", [f"{at}/n"]), ("graphml", [f"{at}/g"])]
+    futures = FutureSurface(io)
+    written = [getattr(futures, f"export_{kind}")(graph, *paths, options) for kind, paths in ways]
+    assert [(w.result().vertices_written, w.result().edges_written) for w in written] == [(2, 1)] * 3
+    read = [getattr(futures, f"import_{kind}")(*paths) for kind, paths in ways]
+    assert [(r.result()[1].vertices_created, r.result()[1].edges_created) for r in read] == [(2, 1)] * 3
+    futures.close()
+
+    async def run():
+        aio = AsyncSurface(io)
+        reports = [await getattr(aio, f"export_{kind}")(graph, *(p + "2" for p in paths), options) for kind, paths in ways]
+        return reports, await asyncio.gather(*[getattr(aio, f"import_{kind}")(*(p + "2" for p in paths)) for kind, paths in ways])
+
+    reports, back = asyncio.run(run())
+    assert [r.vertices_written for r in reports] == [2] * 3 and [r.edges_created for _, r in back] == [1] * 3
+
+
+def test_records_as_streams(spark, tmp_path):
+    from lattica.streaming.records import RecordReader
+
+    (tmp_path / "v.csv").write_text("id,label,prop.x\nb,P,1\na,,\nb,P,2\n")
+    (tmp_path / "e.csv").write_text("id,label,from,to\n1,E,a,b\n")
+    (tmp_path / "n.jsonl").write_text('{"type":"edge","id":"1","from":"a","to":"b"}\nbroken\n{"type":"vertex","id":"a","properties":{"x":[1],"y":null}}\n')
+
+    async def run(reader):
+        return [r async for r in reader.records()]
+
+    got = asyncio.run(run(RecordReader.of_csv(spark, str(tmp_path / "v.csv"), str(tmp_path / "e.csv"))))
+    assert [(r.id, r.label, r.properties) for r in got] == [("b", "P", {"x": "1"}), ("a", "Vertex", {}), ("b", "P", {"x": "2"}), ("1", "E", {})]
+    got = asyncio.run(run(RecordReader.of_ndjson(spark, str(tmp_path / "n.jsonl"))))
+    assert [(r.id, r.label, r.properties) for r in got] == [("a", "Vertex", {"x": [1]}), ("1", "Edge", {})] and got[1].src == "a"
+
+
+def test_config_and_health(spark, tmp_path):
+    spark.conf.set("lattica.root", f"file://{tmp_path}/graphs")
+    try:
+        config = EngineConfig.of(spark)
+    finally:
+        spark.conf.unset("lattica.root")
+    assert config == EngineConfig(f"file://{tmp_path}/graphs", 8) and EngineConfig.of(spark) == EngineConfig()
+    catalog = GraphCatalog(spark, config)
+    catalog.create_graph("one"), catalog.create_graph("two")
+    assert catalog.names() == ["one", "two"] and catalog.health() == {"status": "UP", "root": config.root, "graphs": 2}
+    assert GraphCatalog(spark, EngineConfig("nosuch://x/y")).health()["status"] == "DOWN"
+
+
 def test_code_graph(spark):
     g = CodeGraph(GraphSession(spark))
     core, middle, app = (g.add_module(n, version="1") for n in ("core", "middle", "app"))
@@ -188,7 +261,7 @@ def test_streaming_ingest(spark, tmp_path):
 
 def test_option_defaults():
     i, e = GraphImportOptions(), GraphExportOptions()
-    assert (i.batch_size, i.max_edge_buffer_size, i.default_vertex_label, i.default_edge_label) == (1000, 100_000, "Vertex", "Edge") and e.include_empty_properties
+    assert (i.batch_size, i.max_edge_buffer_size, i.default_vertex_label, i.default_edge_label) == (1000, None, "Vertex", "Edge") and e.include_empty_properties
     for bad in ({"batch_size": 0}, {"max_edge_buffer_size": 0}, {"default_vertex_label": " "}):
         with pytest.raises(ValueError):
             GraphImportOptions(**bad)
