@@ -153,7 +153,7 @@ class GraphMlExportOptions:
     encoding: str = "UTF-8"
     #: Type every key as a string, instead of by what its values are.
     legacy_string_types: bool = False
-    #: One file, through one task; else the document is the folder's files one after another, written in parallel.
+    #: One document in one file, through one task; else each task writes a document.
     one_file: bool = False
 
 

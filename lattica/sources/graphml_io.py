@@ -1,4 +1,4 @@
-"""GraphML: one XML document of keys, nodes and edges."""
+"""GraphML: XML documents of keys, nodes and edges."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import time
 import uuid
 from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from lattica.graph import Graph
@@ -39,10 +40,28 @@ def _kinds(frame: DataFrame, legacy: bool) -> dict[str, str]:
     return {r["key"]: TYPES.get(r["lo"], "string") for r in rows}
 
 
+def _documents(head: str, tail: str, always: bool):
+    """Lines of each partition as a document; of one without lines only if ``always``."""
+
+    def run(batches):
+        begun = False
+        for batch in batches:
+            if not begun:
+                yield pa.RecordBatch.from_pydict({"value": [head]})
+                begun = True
+            yield batch
+        if always and not begun:
+            yield pa.RecordBatch.from_pydict({"value": [head]})
+        if always or begun:
+            yield pa.RecordBatch.from_pydict({"value": [tail]})
+
+    return run
+
+
 def export_graphml(graph: Graph, path: str | BinaryIO, options: GraphExportOptions, xml: GraphMlExportOptions = GraphMlExportOptions()) -> ExportReport:
-    """Write one document: the files of the folder ``path`` one after another, or a stream; nulls are empty data elements.
+    """Write documents into the folder ``path``, in parallel, each whole and with the same keys; nulls are empty data elements.
 
-    Files are written in parallel; with ``one_file`` the folder has a single one.
+    With ``one_file``, and to a stream, it is a single document, which goes through one task.
     """
     began, report, spark, seen = time.time(), ExportReport(Format.GRAPHML), graph.spark, Observation()
     vertices, edges = selected(graph, options)
@@ -68,12 +87,11 @@ def export_graphml(graph: Graph, path: str | BinaryIO, options: GraphExportOptio
     nodes = v.select(F.lit(1).alias("part"), lines(v, "node", [F.lit("<node id="), quoted("id"), F.lit(">")]).alias("value"))
     links = e.select(F.lit(2).alias("part"), lines(e, "edge", [F.lit("<edge id="), quoted("id"), F.lit(" source="), quoted("src"), F.lit(" target="), quoted("dst"), F.lit(">")]).alias("value"))
     head.append(f'<graph id="{xml.graph_id}" edgedefault="{xml.edge_default}">')
-    end = lambda part, text: spark.createDataFrame([(part, text)], "part int, value string").coalesce(1)
-    every = end(0, "\n".join(head)).union(nodes).union(links).union(end(3, "</graph>\n</graphml>"))
-    told = every.observe(seen, F.count_if(F.col("part") == 1).alias("v"), F.count_if(F.col("part") == 2).alias("e"))
-    told = told.coalesce(1) if xml.one_file else told
-    at = sink(spark, path)
-    told.select(encoded(F.col("value"), xml.encoding).alias("value")).write.mode("overwrite").text(at)
+    told = nodes.union(links).observe(seen, F.count_if(F.col("part") == 1).alias("v"), F.count_if(F.col("part") == 2).alias("e"))
+    at, one = sink(spark, path), xml.one_file or not isinstance(path, str)
+    told = told.coalesce(1).sortWithinPartitions("part") if one else told
+    whole = told.select("value").mapInArrow(_documents("\n".join(head), "</graph>\n</graphml>", one), "value string")
+    whole.select(encoded(F.col("value"), xml.encoding).alias("value")).write.mode("overwrite").text(at)
     report.vertices_written, report.edges_written = seen.get["v"], seen.get["e"]
     deliver(spark, at, path)
     report.elapsed = time.time() - began
@@ -99,7 +117,7 @@ def _properties(rows: DataFrame, keys: DataFrame, label_name: str) -> DataFrame:
 
 
 def import_graphml(spark: SparkSession, path: str | BinaryIO, options: GraphImportOptions = GraphImportOptions(), xml: GraphMlImportOptions = GraphMlImportOptions(), graph: Graph | None = None, charset: str = "UTF-8") -> tuple[Graph, ImportReport]:
-    """Read a document, in one file or in several; values take their keys' types where they fit.
+    """Read a document, or a folder of documents with the same keys; values take their keys' types where they fit.
 
     A node without id and an edge without an end are recorded and left out;
     the status stays.  Unsupported elements are skipped, or fail the import.
@@ -116,7 +134,7 @@ def import_graphml(spark: SparkSession, path: str | BinaryIO, options: GraphImpo
                 report.fail(Failure(Phase.READ_VERTEX, Severity.ERROR, f"Unsupported element {tag}"))
                 report.elapsed = time.time() - began
                 return graph, report
-    keys = read("key", "_id string, `_attr.name` string, `_attr.type` string").select(F.col("_id").alias("key_id"), F.coalesce(F.col("`_attr.name`"), F.col("_id")).alias("name"), F.coalesce(F.col("`_attr.type`"), F.lit("string")).alias("kind"))
+    keys = read("key", "_id string, `_attr.name` string, `_attr.type` string").select(F.col("_id").alias("key_id"), F.coalesce(F.col("`_attr.name`"), F.col("_id")).alias("name"), F.coalesce(F.col("`_attr.type`"), F.lit("string")).alias("kind")).distinct()
     number = F.monotonically_increasing_id().alias("n")
     nodes, n_facts = stored_seeing(read("node", f"_id string, {data}").select(number, position().alias("pos"), F.col("_id").alias("external_id"), "data"), "nodes", bad=F.count_if(F.col("external_id").isNull()))
     links, l_facts = stored_seeing(read("edge", f"_id string, _source string, _target string, {data}").select(number, position().alias("pos"), F.col("_id").alias("external_id"), F.col("_source").alias("from_ext"), F.col("_target").alias("to_ext"), "data"), "links", bad=F.count_if(F.col("from_ext").isNull() | F.col("to_ext").isNull()))
