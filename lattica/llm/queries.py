@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, fingerprints, language, near_dedup, secrets, substring_dedup, token_counts, token_records, warc, word_table
+from lattica.llm import decontaminate, fingerprints, language, near_dedup, secrets, sql, substring_dedup, token_counts, token_records, warc, word_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,19 +52,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), window=35)
 
 
-_ALL = (op1_secret_scan, op2_decontaminate, op3_warc, op4_token_records, op5_token_counts, op6_language, op7_near_dedup, op8_fingerprints, op9_bpe_round_trip, op10_substring_dedup)
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 says about known shapes, which SQL can say too."""
+    return op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def fingerprint_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8 says besides the fingerprints, whose hash DuckDB lacks."""
+    return op8_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256", "near_edited", "near_next")
+
+
+_ALL = (op1_secret_scan, op2_decontaminate, op3_warc, op4_token_records, op5_token_counts, op6_language, op7_near_dedup, op8_fingerprints, op9_bpe_round_trip, op10_substring_dedup, secret_base_spans, fingerprint_likeness)
 QUERIES = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
-    "op3_warc": """
-        WITH p AS (
-            SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages
-        ), t AS (SELECT body, max(page_id) AS top, count(*) AS c FROM p WHERE n >= 1000 GROUP BY body)
-        SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.body) AS payload_digest,
-            CASE WHEN top IS NOT NULL AND top IS DISTINCT FROM p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-            CASE WHEN top IS NOT NULL AND top IS DISTINCT FROM p.page_id THEN top END AS refers_to,
-            CAST(NULL AS VARCHAR) AS problem
-        FROM p LEFT JOIN t ON p.body = t.body
-    """,
-}
+    "op3_warc": sql.WARC, "op7_near_dedup": sql.NEAR_DEDUP, "op10_substring_dedup": sql.SUBSTRING_DEDUP,
+    "secret_base_spans": sql.SECRET_BASE, "fingerprint_likeness": sql.FINGERPRINT_LIKENESS,
+}
