@@ -48,6 +48,8 @@ _GOLDEN = 0x9E3779B97F4A7C15
 FILTER_EACH, FILTER_MOST = 16, 1 << 28
 #: Members of a bucket that are tested pair by pair; shingles and members of a cluster that one task settles (24 MB).
 FEW, CLUSTER_SHINGLES, CLUSTER_MEMBERS = 8, 3_000_000, 20_000
+#: Members of a bucket that meet in one task; columns of a member of a bucket.
+SALT_ROWS, _MEMBER = 500, ("key", "salts", "salt", "digest", "n", "weight", "root")
 #: Elements whose whole permutations are held at once.
 _HELD = 20_000
 #: Sets of so few shingles are named by their text: no 64-bit hash decides alone.
@@ -223,17 +225,28 @@ def _confirm(percent: int):
     return run, "a binary, b binary, ra binary, rb binary"
 
 
+def _salted(members, digest) -> list:
+    """Columns salts (how many parts a bucket of so many members has) and salt (a member's part)."""
+    salts = F.ceil(members / SALT_ROWS).cast("int")
+    return [salts.alias("salts"), F.pmod(F.xxhash64(digest), salts).cast("int").alias("salt")]
+
+
+def _meet(left: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined by bucket with facts about buckets, which have salts: the members of a large bucket meet them in several tasks."""
+    return left.join(facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"), ["key", "salt"], how)
+
+
 def _heaviest(left: DataFrame, *by) -> DataFrame:
-    """Of each bucket (or part of one) the member with most weight, with columns p_digest, p_n, p_root."""
-    heads = left.groupBy(*by).agg(F.max(F.struct("weight", "digest", "n", "root")).alias("p"))
-    return heads.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("digest", "n", "root")])
+    """Of each bucket (or part of one) the member with most weight, with columns salts, p_digest, p_n, p_root."""
+    heads = left.groupBy(*by).agg(F.max(F.struct("weight", "digest", "n", "root")).alias("p"), F.max("salts").alias("salts"))
+    return heads.select("key", "salts", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("digest", "n", "root")])
 
 
 def _test(keep: Scratch, left: DataFrame, heads: DataFrame, sets: DataFrame, percent: int, tested: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs tested, pairs confirmed): all members of a bucket against its heads, if they aren't in one group and can reach the threshold by size."""
     near = f"digest <> p_digest and root <> p_root and 100 * n >= {percent} * p_n and 100 * p_n >= {percent} * n"
     low, high = F.least("digest", "p_digest").alias("a"), F.greatest("digest", "p_digest").alias("b")
-    pairs = left.join(heads, "key").where(near).select(low, high, F.least("root", "p_root").alias("ra"), F.greatest("root", "p_root").alias("rb")).distinct()
+    pairs = _meet(left, heads).where(near).select(low, high, F.least("root", "p_root").alias("ra"), F.greatest("root", "p_root").alias("rb")).distinct()
     if tested is not None:
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     pairs = keep.stored(pairs, "pairs")
@@ -244,8 +257,8 @@ def _test(keep: Scratch, left: DataFrame, heads: DataFrame, sets: DataFrame, per
 
 def _unsettled(left: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one group."""
-    some = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return left.join(some, "key", "left_semi")
+    some = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("salts").alias("salts")).where("lo <> hi").select("key", "salts")
+    return _meet(left, some, "left_semi").select(*_MEMBER)
 
 
 def _renamed(left: DataFrame, found: DataFrame) -> DataFrame:
@@ -253,7 +266,7 @@ def _renamed(left: DataFrame, found: DataFrame) -> DataFrame:
     if left.isEmpty() or found.isEmpty():
         return left
     roots = star_contract(found.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).withColumnRenamed("root", "to")
-    return left.join(roots, left["root"] == roots["node"], "left").select("key", "digest", "n", "weight", F.coalesce("to", "root").alias("root"))
+    return left.join(roots, left["root"] == roots["node"], "left").withColumn("root", F.coalesce("to", "root")).select(*_MEMBER)
 
 
 def _settle(percent: int):
@@ -298,8 +311,8 @@ def _settle(percent: int):
 
 def _clusters(keep: Scratch, left: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(members of clusters too large for one task, links within the others); a cluster is what buckets connect."""
-    least = left.groupBy("key").agg(F.min("root").alias("b"))
-    roots = star_contract(left.join(least, "key").select(F.col("root").alias("a"), "b").distinct())
+    least = left.groupBy("key").agg(F.min("root").alias("b"), F.max("salts").alias("salts"))
+    roots = star_contract(_meet(left, least).select(F.col("root").alias("a"), "b").distinct())
     cluster = keep.stored(left.join(roots.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root"), "clusters")
     members = cluster.groupBy("cluster", "digest").agg(F.max("n").alias("n"), F.max("root").alias("root"))
     weights = members.groupBy("cluster").agg(F.sum("n").alias("shingles"), F.count("*").alias("c"))
@@ -307,7 +320,7 @@ def _clusters(keep: Scratch, left: DataFrame, sets: DataFrame, percent: int) ->
     own = members.join(weights.where(light).select("cluster"), "cluster", "left_semi").join(sets, "digest")
     run, schema = _settle(percent)
     within = keep.stored(own.select("cluster", "digest", "root", "shingles").groupBy("cluster").applyInArrow(run, schema), "links")
-    return cluster.join(weights.where(~light).select("cluster"), "cluster", "left_semi").select("key", "digest", "n", "weight", "root"), within
+    return cluster.join(weights.where(~light).select("cluster"), "cluster", "left_semi").select(*_MEMBER), within
 
 
 def _rare_shingles(keep: Scratch, left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -318,8 +331,8 @@ def _rare_shingles(keep: Scratch, left: DataFrame, sets: DataFrame, percent: int
     ranked = each.join(often, "key", "left").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "key"))).alias("all"))
     size = F.size("all")
     first = F.slice("all", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1)
-    keys = ranked.select("digest", F.explode(F.filter(first, lambda s: s["c"] > 1)).alias("s")).select("digest", "s.key")
-    return keys.join(members, "digest").select("key", "digest", "n", "weight", "root")
+    keys = ranked.select("digest", F.explode(F.filter(first, lambda s: s["c"] > 1)).alias("s")).select("digest", "s.key", *_salted(F.col("s.c"), "digest"))
+    return keys.join(members, "digest").select(*_MEMBER)
 
 
 def _links(source: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -329,7 +342,8 @@ def _links(source: DataFrame, classes: DataFrame, words: int, percent: int) -> D
     shared = held.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     buckets = keep.stored(held.join(shared, "key"), "buckets")
     central = buckets.groupBy("digest").agg(F.sum("members").alias("weight"))
-    left = keep.stored(buckets.join(central, "digest").select("key", "digest", "n", "weight", F.col("digest").alias("root")), "buckets")
+    left = buckets.join(central, "digest").select("key", "digest", "n", "weight", F.col("digest").alias("root"), *_salted(F.col("members"), "digest"))
+    left = keep.stored(left.select(*_MEMBER), "buckets")
     keep.discard(buckets)
     central = left.select("digest").distinct()
     run, schema = _full_sets(words, source.sparkSession.sparkContext.broadcast(_filter_of(central)))
@@ -341,11 +355,11 @@ def _links(source: DataFrame, classes: DataFrame, words: int, percent: int) -> D
     keep.discard(left)
     left, rest = rest, keep.stored(_unsettled(_renamed(rest, found)), "buckets")
     keep.discard(left)
-    sizes = rest.groupBy("key").agg(F.count("*").alias("c"))
-    few = rest.join(sizes.where(F.col("c") <= FEW).select("key"), "key", "left_semi")
-    more_pairs, more = _test(keep, few, few.select("key", *[F.col(c).alias(f"p_{c}") for c in ("digest", "n", "root")]), sets, percent, pairs)
+    sizes = rest.groupBy("key").agg(F.count("*").alias("c"), F.max("salts").alias("salts"))
+    few = _meet(rest, sizes.where(F.col("c") <= FEW).drop("c"), "left_semi")
+    more_pairs, more = _test(keep, few, few.select("key", "salts", *[F.col(c).alias(f"p_{c}") for c in ("digest", "n", "root")]), sets, percent, pairs)
     tested, links = pairs.union(more_pairs), found.union(more).select("a", "b")
-    rest = keep.stored(rest.join(sizes.where(F.col("c") > FEW).select("key"), "key", "left_semi"), "buckets")
+    rest = keep.stored(_meet(rest, sizes.where(F.col("c") > FEW).drop("c"), "left_semi").select(*_MEMBER), "buckets")
     rest = keep.stored(_unsettled(_renamed(rest, more)), "buckets")
     left, within = _clusters(keep, rest, sets, percent)
     links = links.union(within)
@@ -354,10 +368,10 @@ def _links(source: DataFrame, classes: DataFrame, words: int, percent: int) -> D
         left = keep.stored(_unsettled(left), "buckets")
         if left.isEmpty():
             break
-        main = _heaviest(left, "key").select("key", F.col("p_root").alias("main"))
+        main = _heaviest(left, "key").select("key", "salts", F.col("p_root").alias("main"))
         # each turn tests one member of every part and takes it out; from some turn on every member is a part's only one
         part = F.pmod(F.xxhash64("digest", "key"), F.lit(1 << min(60, 6 * turn)))
-        heads = _heaviest(left.join(main, "key").where("root <> main"), "key", part.alias("part"))
+        heads = _heaviest(_meet(left, main).where("root <> main"), "key", part.alias("part"))
         pairs, found = _test(keep, left, heads, sets, percent, tested)
         rest = keep.stored(left.join(heads.select("key", F.col("p_digest").alias("digest")), ["key", "digest"], "left_anti"), "buckets")
         left, tested, links = _renamed(rest, found), tested.union(pairs), links.union(found.select("a", "b"))
