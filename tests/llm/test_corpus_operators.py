@@ -461,50 +461,71 @@ def test_every_language_is_learned(spark):
     assert sum(got[i] == lang for i, _, lang in rows) > 0.98 * len(rows)
 
 
-def test_language_against_brute_force(spark):
-    """Model, scores and labels of a small corpus, by counting trigrams in plain Python."""
-    rng = random.Random(17)
-    say = lambda v, n: " ".join(rng.choice(v) for _ in range(n))
-    rows = [(i, say(v, rng.randrange(3, 30)) + rng.choice([".", "!", " 12", ""]), lang) for i, (v, lang) in enumerate([(EN, "en"), (DE, "de"), (RU, "ru")] * 15)]
-    rows += [(100 + i, say(EN, 12) + " " + say(DE, 14) + " " + say(RU, rng.randrange(9)), None) for i in range(10)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = language.learn(df)
-    words = lambda t: [w.encode() for w in re.findall(r"[^\W\d_]+", t.lower())]
-
-    def gram(g):
-        x, y, z = g
-        return ((((x * 0x9E3779B1) ^ (y * 0x85EBCA77) ^ (z * 0xC2B2AE3D)) * 0x27D4EB2F) & 0xFFFFFFFF) >> 17
-
-    def grams(w):
-        padded = b" " + w + b" "
-        return [gram(padded[i : i + 3]) for i in range(len(w))]
-
-    langs = ["de", "en", "ru"]
-    counts = {lang: np.zeros(language.BUCKETS) for lang in langs}
-    for _, t, lang in rows:
-        for w in words(t) if lang else []:
-            for g in grams(w):
+def brute_words(text):
+    """Runs of letters and marks, lower-cased, of a text with a letter."""
+    import regex
+
+    if not any(map(str.isalpha, text or "")):
+        return []
+    return [w.encode() for w in regex.findall(r"(?:[a-z]|(?![\x00-\x7f])[\p{L}\p{M}])+", "".join(c if c.isascii() or regex.match(r"[\p{L}\p{M}]", c) else " " for c in text).lower())]
+
+
+def brute_grams(word):
+    padded = b" " + word + b" "
+    return [((((x * 0x9E3779B1) ^ (y * 0x85EBCA77) ^ (z * 0xC2B2AE3D)) * 0x27D4EB2F) & 0xFFFFFFFF) >> 17 for x, y, z in zip(padded, padded[1:], padded[2:])]
+
+
+def brute_languages(labelled, texts):
+    """(language, share of letters) of each text by a model of all labelled (text, lang), with plain loops."""
+    langs = sorted({lang for t, lang in labelled if t is not None and lang is not None})
+    counts = {x: np.zeros(language.BUCKETS) for x in langs}
+    scripts = {x: {} for x in langs}
+    script = lambda w: language.SCRIPTS[max(i for i, (first, _) in enumerate(language.SCRIPTS) if first <= ord(w.decode()[0]))][1]
+    for t, lang in labelled:
+        for w in brute_words(t) if lang is not None else []:
+            scripts[lang][script(w)] = scripts[lang].get(script(w), 0) + len(w)
+            for g in brute_grams(w):
                 counts[lang][g] += 1
     gains = np.stack([np.log((counts[x] + 0.5) / (counts[x].sum() + 0.5 * language.BUCKETS)) for x in langs], axis=1)
     gains -= gains.mean(axis=1, keepdims=True)
-    assert model.languages == langs and np.abs(model.gains - gains).max() < 1e-4
-    got = {r["doc_id"]: r for r in language.identify(df, model).collect()}
-    for i, t, _ in rows:
-        own = words(t)
-        cyrillic = [w.decode()[0] > "Ѐ" for w in own]
-        scores = np.array([gains[grams(w)].sum(axis=0) + (np.array([-1e4, -1e4, 0]) if c else np.array([0, 0, -1e4])) for w, c in zip(own, cyrillic)])
+    uses = lambda x, s: scripts[x].get(s, 0) >= language._USES * sum(scripts[x].values())
+    out = []
+    for t in texts:
+        own = brute_words(t)
+        if not own:
+            out.append(("und", 0.0))
+            continue
+        scores = []
+        for w in own:
+            allowed = [uses(x, script(w)) for x in langs]
+            scores.append(gains[brute_grams(w)].sum(axis=0) + np.array([0 if ok or not any(allowed) else -1e4 for ok in allowed]))
         best, back = scores[0], []
         for s in scores[1:]:
             top = best.argmax()
             stay = best >= best[top] - language.SWITCH
-            back.append(np.where(stay, np.arange(3), top))
+            back.append(np.where(stay, np.arange(len(langs)), top))
             best = np.where(stay, best, best[top] - language.SWITCH) + s
         path = [int(best.argmax())]
         for b in reversed(back):
             path.append(int(b[path[-1]]))
-        path = path[::-1]
-        share = np.bincount(path, [len(w.decode()) for w in own], 3)
-        assert got[i]["lang_pred"] == langs[share.argmax()] and abs(got[i]["score"] - share.max() / share.sum()) < 1e-6
+        share = np.bincount(path[::-1], [len(w.decode()) for w in own], len(langs))
+        out.append((langs[share.argmax()], share.max() / share.sum()))
+    return out, gains
+
+
+def test_language_against_brute_force(spark):
+    """Model, scores and labels of a small corpus, by counting trigrams in plain Python."""
+    rng = random.Random(17)
+    say = lambda v, n: " ".join(rng.choice(v) for _ in range(n))
+    rows = [(i, say(v, rng.randrange(3, 30)) + rng.choice([".", "!", " 12", " — ²", ""]), lang) for i, (v, lang) in enumerate([(EN, "en"), (DE, "de"), (RU, "ru")] * 15)]
+    rows += [(100 + i, say(EN, 12) + " " + say(DE, 14) + " " + say(RU, rng.randrange(9)), None) for i in range(10)] + [(200, None, "en"), (201, "½ 12", "de"), (202, "日本語 text", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(df)
+    want, gains = brute_languages([r[1:] for r in rows], [r[1] for r in rows])
+    assert model.languages == ["de", "en", "ru"] and np.abs(model.gains - gains).max() < 1e-4
+    got = {r["doc_id"]: r for r in language.identify(df, model).collect()}
+    for (i, *_), (lang, share) in zip(rows, want):
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - share) < 1e-6
 
 
 def test_viterbi_is_exact():
@@ -746,6 +767,69 @@ def test_substring_dedup(docs, empty, monkeypatch, k, bits):
     assert substring_dedup.dedup_substrings(empty, k).count() == 0
 
 
+@pytest.fixture(scope="module")
+def long_texts():
+    """Texts of some megabytes, beyond every block, piece and chunk: prose, one line, one word, repeated passages, and short ones between."""
+    rng = random.Random(31)
+    words = [f"{a}{b}" for a in WORDS for b in range(300)]
+    passage = " ".join(rng.choice(words) for _ in range(50))
+    prose_of = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    long = prose_of(400_000)
+    near = long.split(" ")
+    near[1000:1010] = ["changed"] * 10
+    return [(1, long), (2, "short one"), (3, " ".join(near)), (4, "x" * 3_000_000), (5, prose_of(300_000) + "\n" + passage + " " + prose_of(10)), (6, passage), (7, None), (8, long)]
+
+
+def test_long_texts(spark, long_texts):
+    from tokenizers import Tokenizer
+
+    df = spark.createDataFrame(long_texts, "doc_id long, text string").repartition(2)
+    texts = dict(long_texts)
+    by_id = lambda frame, *columns: {r["doc_id"]: tuple(r[c] for c in columns) for r in frame.collect()}
+    # 4: records longer than what is read at once
+    t = Tokenizer.from_file(BYTE_BPE)
+    got = by_id(token_records.round_trip(df, BYTE_BPE), "n_tokens", "ids_crc32")
+    for i in (1, 2, 6, 7):
+        ids = [*t.encode(texts[i] or "", add_special_tokens=False).ids, 2]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    # 5
+    assert by_id(token_counts.count_tokens(df, BYTE_BPE), "n_words")[1] == (400_000,)
+    # 7
+    got = by_id(near_dedup.near_duplicates(df, 3, 85), "n_shingles", "component_id", "kept")
+    own = texts[1].split()
+    assert got[1] == (len(set(zip(own, own[1:], own[2:]))), 1, True) and got[3][1:] == (1, False) and got[8][1:] == (1, False)
+    assert got[4] == (1, 4, True) and got[5][1] == 5
+    # 8
+    got = by_id(fingerprints.fingerprint_report(df.where("doc_id in (2, 4, 6)")), "n_chars", "edited_sha256")
+    assert got[4] == (3_000_000, sha("x" * 2_250_000 + texts[6]))
+    # 9
+    t = Tokenizer.from_file(WORD_BPE)
+    got = by_id(word_table.encode_decode(df, WORD_BPE), "n_tokens", "ids_sha256")
+    for i in (2, 5, 6):
+        ids = t.encode(texts[i], add_special_tokens=False).ids
+        assert got[i] == (len(ids), sha(" ".join(map(str, ids))))
+    # 10
+    got = by_id(substring_dedup.dedup_substrings(df), "n_words", "n_removed")
+    assert got[1] == got[8] == (400_000, 400_000) and got[3] == (400_000, 400_000 - 10) and got[5] == (300_060, 50) and got[6] == (50, 50) and got[2] == (2, 0)
+    # 2
+    bench = spark.createDataFrame([(1, texts[6])], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.contaminated(df, bench).collect()} == {5, 6}
+    # 6
+    rows = [(i, " ".join(random.Random(i).choice(v) for _ in range(20)), lang) for i, (v, lang) in enumerate([(EN, "en"), (DE, "de")] * 20)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    mixed = spark.createDataFrame([(1, " ".join(EN * 40_000)), (2, " ".join(DE * 20_000) + " " + " ".join(EN * 5_000)), (3, "z" * 6_000_000)], "doc_id long, text string")
+    assert [v[:2] for v in by_id(language.identify(mixed, model), "lang_pred").values()][:2] == [("en",), ("de",)]
+
+
+def test_long_page(spark):
+    rng = random.Random(8)
+    html = "".join(rng.choice("abcdefgh <>é") for _ in range(3_000_000))
+    pages = spark.createDataFrame([(1, "u", html), (2, None, html), (3, "v", "short")], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"], r["problem"]) for r in warc.round_trip(pages).collect()}
+    n = len(html.encode())
+    assert got == {1: (n, "revisit", 2, None), 2: (n, "response", None, None), 3: (5, "response", None, None)}
+
+
 def test_identical_blocks(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BLOCK_TEXT", 10)
     text = prose(random.Random(0), 50)
@@ -757,6 +841,7 @@ def test_identical_blocks(spark, monkeypatch):
 def test_every_way_of_settling(spark, monkeypatch, few, members):
     """Stragglers of large groups: by cluster, by rare shingles, by pairs."""
     monkeypatch.setattr(near_dedup, "FEW", few)
+    monkeypatch.setattr(near_dedup, "SALT_ROWS", 7)
     monkeypatch.setattr(near_dedup, "CLUSTER_MEMBERS", members)
     rng = random.Random(12)
     rows = []
