@@ -7,14 +7,16 @@ import pytest
 from lattica.errors import GraphQueryError
 from lattica.graph import Graph
 from lattica.model import Direction
+from lattica.operators import cycles, pagerank, search
 from lattica.operators.components import connected_components
 from lattica.operators.cycles import cycles_through, detect_cycles
 from lattica.operators.degree import degree_centrality, degrees
 from lattica.operators.pagerank import page_rank
 from lattica.operators.search import bfs, dfs
 from lattica.operators.traversal import all_paths, neighbors, shortest_path
-from lattica.options import BfsDfsOptions, ComponentOptions, CycleOptions, DegreeOptions, NeighborOptions, PageRankOptions, PathOptions
+from lattica.options import UNBOUNDED, BfsDfsOptions, ComponentOptions, CycleOptions, DegreeOptions, NeighborOptions, PageRankOptions, PathOptions
 from lattica.plans.components import star_contract
+from lattica.plans.numbering import numbered
 
 
 def make(spark, vertices, pairs, label="E"):
@@ -184,6 +186,21 @@ def test_search_on_random_graphs(spark):
             assert visits(dfs(graph, "0", options)) == model_dfs(pairs, "0", depth, cap)
 
 
+def test_dfs_expands_by_itself(spark, monkeypatch):
+    """Beyond GATHERED steps the walk looks up its steps; the order is the same."""
+    rng = random.Random(5)
+    ids = [f"v{i:02d}" for i in range(25)]
+    edges = [(str(n), "E", rng.choice(ids), rng.choice(ids)) for n in range(70)]
+    graph = Graph.from_rows(spark, [(i, "V") for i in ids], edges)
+    for options in (BfsDfsOptions(max_depth=4), BfsDfsOptions(max_depth=3, max_vertices=7, direction=Direction.BOTH), BfsDfsOptions(max_depth=6, max_vertices=UNBOUNDED)):
+        want = [tuple(r) for r in dfs(graph, "v03", options).orderBy("visit_order").collect()]
+        with monkeypatch.context() as m:
+            m.setattr(search, "GATHERED", 3)
+            m.setattr(search, "FETCHED", 40)
+            assert [tuple(r) for r in dfs(graph, "v03", options).orderBy("visit_order").collect()] == want and len(want) > 5
+            assert [tuple(r) for r in dfs(graph, "nowhere", options).collect()] == [(0, "nowhere", 0, None)]
+
+
 def test_search_details(spark):
     diamond = make(spark, "abcde", split("a>b a>c b>d c>d d>e"))
     assert [v[0] for v in visits(bfs(diamond, "a", BfsDfsOptions(max_depth=3)))] == list("abcde")
@@ -232,6 +249,43 @@ def test_page_rank(spark):
             PageRankOptions(**bad)
 
 
+def test_page_rank_of_hubs(spark, monkeypatch):
+    """A hub's edges in several partitions give the same ranks; ranks count from 1 without gaps."""
+    rng = random.Random(9)
+    ids = [f"v{i:03d}" for i in range(60)]
+    graph = Graph.from_rows(spark, [(i, "V") for i in ids], [(str(n), "E", rng.choice(ids[:4] + ids), rng.choice(ids)) for n in range(300)])
+    plain = {r["vertex_id"]: (round(r["score"], 10), r["rank"]) for r in page_rank(graph).collect()}
+    monkeypatch.setattr(pagerank, "HUB", 3)
+    assert {r["vertex_id"]: (round(r["score"], 10), r["rank"]) for r in page_rank(graph).collect()} == plain
+    assert sorted(rank for _, rank in plain.values()) == list(range(1, 61))
+    order = sorted(plain, key=lambda v: (-plain[v][0], v))
+    assert [plain[v][1] for v in order] == sorted(plain[v][1] for v in order)
+    top = page_rank(graph, PageRankOptions(top_k=5)).collect()
+    assert [(r["vertex_id"], r["rank"]) for r in top] == [(v, i + 1) for i, v in enumerate(order[:5])]
+
+
+def test_numbers_are_dense(spark):
+    df = spark.range(1000).selectExpr("id", "pmod(hash(id), 50) as k").repartition(7)
+    got = numbered(df, [df["k"].desc(), df["id"].asc()], "number", 5).orderBy("number").collect()
+    assert [r["number"] for r in got] == list(range(5, 1005)) and [(r["k"], r["id"]) for r in got] == sorted(((r["k"], r["id"]) for r in got), key=lambda x: (-x[0], x[1]))
+    assert numbered(df.where("false"), [df["id"]], "number").count() == 0
+
+
+def test_cycles_by_turns(spark, monkeypatch):
+    """The first cycles are the same however few starts are searched at first."""
+    rng = random.Random(4)
+    ids = [f"v{i:02d}" for i in range(14)]
+    graph = Graph.from_rows(spark, [(i, "V") for i in ids], [(str(n), "E", rng.choice(ids), rng.choice(ids)) for n in range(45)])
+    every = [tuple(r["vertex_ids"]) for r in detect_cycles(graph, CycleOptions(max_depth=5, max_cycles=UNBOUNDED)).collect()]
+    monkeypatch.setattr(cycles, "FIRST_STARTS", 1)
+    monkeypatch.setattr(cycles, "MORE", 2)
+    for n in (1, 7, 10**6):
+        assert [tuple(r["vertex_ids"]) for r in detect_cycles(graph, CycleOptions(max_depth=5, max_cycles=n)).collect()] == every[:n]
+    for v in ids[:3]:
+        got = [tuple(r["vertex_ids"]) for r in cycles_through(graph, v, CycleOptions(max_depth=5, max_cycles=UNBOUNDED)).collect()]
+        assert got == [c for c in every if v in c]
+
+
 def test_degrees(spark):
     graph = make(spark, "ABC", split("A>B C>A A>A"), "KNOWS")
     one = lambda v, **o: tuple(degree_centrality(graph, v, DegreeOptions(**o)).first())[1:]
