@@ -34,7 +34,7 @@ from lattica.llm.words import BLOCK_BYTES, U, Words, blocks, shingle
 from lattica.llm.workers import map_batches, pieces, small_batches
 
 #: Words of an anchor's run, bytes of text in a block.
-RUN, BLOCK_TEXT = 8, 16_000_000
+RUN, BLOCK_TEXT = 8, 8_000_000
 #: Rows of the sketch, bytes of input for each counter of a row, and bounds of the logarithm of a row's size.
 SKETCH, COUNTER_BYTES, LEAST_BITS, MOST_BITS = 2, 8, 16, 44
 
