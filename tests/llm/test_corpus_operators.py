@@ -359,6 +359,28 @@ def test_token_records(spark, docs, empty):
     assert token_records.round_trip(empty, BYTE_BPE).count() == 0
 
 
+def test_records_of_one_hot_id(spark):
+    """One id, and none, that many rows have are spread over shards; order and offsets hold."""
+    import xxhash
+
+    rng = random.Random(14)
+    rows = [(i % 3 and (7 if i % 3 == 1 else None), prose(rng, rng.randrange(1, 30))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one partition
+    try:
+        index = token_records.write_records(df, BYTE_BPE)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = token_records.read_shards(index).orderBy("start").collect()
+    place = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), seed=42)) - ((h >> 63) << 64)
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, place(r[1])))
+    assert [r["doc_id"] for r in got] == [i for i, _ in want] and [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]).tolist()
+    sizes = [len(token_records.ByteBpe.of(BYTE_BPE).encode(t)) // 2 + 1 for _, t in want]
+    assert [r["n_tokens"] for r in got] == sizes
+    shards = {r["doc_id"]: r["n"] for r in index.groupBy("doc_id").agg(F.countDistinct("shard").alias("n")).collect()}
+    assert all(n > 1 for n in shards.values())
+
+
 def test_damaged_frames():
     data = token_records.frame(b"payload")
     assert token_records.unframe(data, 0) == (b"payload", len(data))
@@ -447,6 +469,21 @@ def test_und_without_letters(spark):
     assert got[1000 + len(odd)]["lang_pred"] == "ru" and abs(got[1000 + len(odd)]["score"] - 1 + 15 / letters(half)) < 0.02
 
 
+def test_rows_of_a_language_stay(spark):
+    """The filtering stage's rule, on nulls, repeated rows, clashing names and empty tables."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(v) for _ in range(20)), lang, "clash") for i, (v, lang) in enumerate([(EN, "en"), (DE, "de")] * 10)]
+    odd = [(None, "the cat and the dog", None, "x"), (50, None, "en", "x"), (51, "", "en", "x"), (52, "12 — ½", None, "x"), (53, "the cat", None, "x"), (53, "the cat", None, "x")]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, lang_pred string")
+    model = language.learn(df)
+    kept = language.keep_identified(df, model, 0.5)
+    assert kept.columns == df.columns
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, rows + [odd[0], odd[4], odd[5]]))
+    assert language.keep_identified(df.where("false"), model, 0.5).count() == 0
+    nothing = language.learn(df.where("false"))
+    assert nothing.languages == [] and language.keep_identified(df, nothing, 0.5).count() == 0
+
+
 def test_every_language_is_learned(spark):
     """More languages than the old bound of 200, each with letters of its own."""
     rows = []
@@ -839,7 +876,8 @@ def test_identical_blocks(spark, monkeypatch):
 
 @pytest.mark.parametrize(("few", "members"), [(0, 20_000), (0, 2), (8, 2)])
 def test_every_way_of_settling(spark, monkeypatch, few, members):
-    """Stragglers of large groups: by cluster, by rare shingles, by pairs."""
+    """Stragglers of large groups: by cluster, by rare shingles, by pairs; with a filter that is full."""
+    monkeypatch.setattr(near_dedup, "FILTER_MOST", 64)
     monkeypatch.setattr(near_dedup, "FEW", few)
     monkeypatch.setattr(near_dedup, "SALT_ROWS", 7)
     monkeypatch.setattr(near_dedup, "CLUSTER_MEMBERS", members)
