@@ -35,7 +35,7 @@ from lattica.llm.packing import pack, unpack
 from lattica.llm.workers import map_batches, pieces, small_batches
 
 #: Characters of text in a block (one longer text makes a block of its own).
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 8_000_000
 #: Bytes of texts that are split at once.
 _AT_ONCE = 2_000_000
 
