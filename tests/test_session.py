@@ -18,7 +18,7 @@ from lattica.schema import EdgeLabel, VertexLabel
 from lattica.services.code_graph import CodeGraph
 from lattica.services.network import Network
 from lattica.streaming.ingest import envelopes, ingest
-from lattica.streaming.surfaces import AsyncSurface, FutureSurface
+from lattica.streaming.surfaces import AsyncSurface, FutureSurface, RawSession
 
 
 def test_crud(spark):
@@ -142,6 +142,22 @@ def test_surfaces(spark):
     assert asyncio.run(run()) == (2, [Vertex("b", "V")], ["a", "b"])
 
 
+def test_raw_session(spark):
+    s = GraphSession(spark, Graph.from_rows(spark, [("a", "V", {"n": 1}), ("b", "V")], [("1", "E", "a", "b")]))
+
+    async def run():
+        raw = RawSession(s)
+        with pytest.raises(RuntimeError):
+            await raw.write(lambda g: (_ for _ in ()).throw(RuntimeError("no")))
+        await asyncio.gather(*[raw.write(lambda g, i=i: g.with_vertex(f"x{i}", "W")) for i in range(3)])
+        labels = [(r["label"], r["n"]) async for r in raw.rows("SELECT label, count(*) AS n FROM vertices GROUP BY label ORDER BY label")]
+        with pytest.raises(ValueError):
+            await raw.one("SELECT id FROM vertices")
+        return labels, await raw.read(lambda g: g.edges.count()), (await raw.one("SELECT src FROM edges"))["src"], await raw.one("SELECT id FROM vertices WHERE label = 'none'")
+
+    assert asyncio.run(run()) == ([("V", 2), ("W", 3)], 1, "a", None)
+
+
 def test_results_hold_whole_elements(spark):
     v = [(x, "Person", {"name": x.upper()}) for x in "abcd"]
     e = [("1", "KNOWS", "a", "b", {"since": 1}), ("2", "KNOWS", "b", "c"), ("3", "KNOWS", "c", "a", {"since": 3}), ("4", "LIKES", "d", "a")]
