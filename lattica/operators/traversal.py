@@ -61,8 +61,7 @@ def _levels(graph: Graph, keep: Scratch, steps: DataFrame, start: str, stop: str
     for _ in range(max_depth):
         ahead = steps.join(levels[-1].select(F.col("b").alias("a")), "a", "left_semi")
         ahead = ahead.select("a", "b", "edge_id") if with_edges else ahead.select("b").distinct()
-        for level in levels[-2:]:
-            ahead = ahead.join(level.select("b"), "b", "left_anti")
+        ahead = ahead.join(reduce(DataFrame.union, [level.select("b") for level in levels[-2:]]), "b", "left_anti")
         facts = {"n": F.count("*")} | ({} if stop is None else {"met": F.max(F.col("b") == stop)})
         ahead, seen = keep.stored_seeing(ahead, "level", **facts)
         if not seen["n"]:

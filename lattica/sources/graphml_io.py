@@ -14,7 +14,7 @@ from lattica.options import GraphExportOptions, GraphImportOptions, GraphMlExpor
 from lattica.plans.storage import stored, stored_seeing
 from lattica.sources.endpoints import deliver, encoded, sink, source
 from lattica.sources.report import LISTED, ExportReport, Failure, Format, ImportReport, Phase, Severity
-from lattica.sources.staging import apply, as_map, keys_of, position, selected, text_of
+from lattica.sources.staging import apply, as_map, keys_of, kinds_of, position, selected, text_of
 
 # Characters that XML text and attributes must escape; those it can't hold.
 ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;")]
@@ -34,6 +34,8 @@ def _escaped(column: Column) -> Column:
 def _kinds(frame: DataFrame, legacy: bool) -> dict[str, str]:
     if legacy:
         return {}
+    if kinds_of(frame) is not None:
+        return kinds_of(frame)
     each = frame.select(F.explode(F.map_entries("props")).alias("p")).select("p.key", F.schema_of_variant("p.value").alias("kind")).where("kind <> 'VOID'")
     kind = F.when(F.col("kind").startswith("DECIMAL"), "DOUBLE").otherwise(F.col("kind"))
     rows = each.groupBy("key").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi")).where("lo = hi").collect()
@@ -65,8 +67,10 @@ def export_graphml(graph: Graph, path: str | BinaryIO, options: GraphExportOptio
     """
     began, report, spark, seen = time.time(), ExportReport(Format.GRAPHML), graph.spark, Observation()
     vertices, edges = selected(graph, options)
-    v = stored(as_map(vertices, ("id", "label"), options.include_empty_properties), "export")
-    e = stored(as_map(edges, ("id", "label", "src", "dst"), options.include_empty_properties), "export")
+    # properties of a VARIANT have to be looked at before they are written
+    at_rest = lambda frame: frame if kinds_of(frame) is not None else stored(frame, "export")
+    v = at_rest(as_map(vertices, ("id", "label"), options.include_empty_properties))
+    e = at_rest(as_map(edges, ("id", "label", "src", "dst"), options.include_empty_properties))
     number = iter(range(10**9))
     head = [f'<?xml version="1.0" encoding="{xml.encoding}"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
 

@@ -101,20 +101,35 @@ def selected(graph: Graph, options) -> tuple[DataFrame, DataFrame]:
 
 def as_map(frame: DataFrame, fixed: tuple[str, ...], include_empty: bool = True) -> DataFrame:
     """Elements with ``props``: map<string, variant> of all their properties, from the VARIANT or from native columns."""
+    kinds = None
     if "properties" in frame.columns:
         props = F.coalesce(F.from_json(F.to_json("properties"), "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
     else:
         own = [c for c in frame.columns if c not in fixed]
+        if include_empty:  # every column is a property of every element
+            kinds = {c: KINDS.get(t.split("(")[0], "string") for c, t in frame.dtypes if c in own}
         packed = F.to_json(F.struct(*[F.col(f"`{c}`") for c in own]), {"ignoreNullFields": "false"}) if own else F.lit("{}")
         props = F.from_json(packed, "map<string,variant>")
     if not include_empty:
         props = F.map_filter(props, lambda _, v: F.to_json(v) != "null")
-    return frame.select(*fixed, props.alias("props"))
+    out = frame.select(*fixed, props.alias("props"))
+    out._kinds = kinds
+    return out
+
+
+#: GraphML types of native columns; all others are strings.
+KINDS = {"bigint": "long", "int": "long", "smallint": "long", "tinyint": "long", "double": "double", "float": "double", "decimal": "double", "boolean": "boolean"}
+
+
+def kinds_of(frame: DataFrame) -> dict[str, str] | None:
+    """Names and types of properties where native columns tell them (see :func:`as_map`), else None."""
+    return frame.__dict__.get("_kinds")
 
 
 def keys_of(frame: DataFrame) -> list[str]:
     """Sorted property names.  They become columns or keys of a document, so they have to fit a plan: names that are data belong into CSV's RAW_JSON or NDJSON, which don't ask for them."""
-    return [r[0] for r in frame.select(F.explode(F.map_keys("props")).alias("k")).distinct().orderBy("k").collect()]
+    known = kinds_of(frame)
+    return sorted(known) if known is not None else [r[0] for r in frame.select(F.explode(F.map_keys("props")).alias("k")).distinct().orderBy("k").collect()]
 
 
 def text_of(key: str):
