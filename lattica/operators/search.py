@@ -54,6 +54,7 @@ def bfs(graph: Graph, start_id: str, options: BfsDfsOptions | None = None) -> Da
             break
         n += facts["n"]
         seen = seen.union(frontier)
+    keep.discard(steps)
     return seen
 
 

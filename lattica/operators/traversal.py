@@ -107,8 +107,10 @@ def shortest_path_lengths(graph: Graph, from_id: str, options: PathOptions | Non
     options = options or PathOptions()
     require_text(from_id, "from id")
     keep = Scratch()
-    steps = graph.steps(keep, Direction.BOTH, options.edge_label).where("a <> b")
-    return _distances(_levels(graph, keep, steps, from_id, None, options.max_depth)[0])
+    steps = graph.steps(keep, Direction.BOTH, options.edge_label)
+    levels, _ = _levels(graph, keep, steps.where("a <> b"), from_id, None, options.max_depth)
+    keep.discard(steps)
+    return _distances(levels)
 
 
 def all_paths(graph: Graph, from_id: str, to_id: str, options: PathOptions | None = None) -> DataFrame:
