@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 #: One of 2**SCALE hashes is kept; words of a shingle.
 SCALE, WORDS = 0, 5
 #: Rows of an id range, id ranges from percentiles at most, and ranges that one of these is cut into at most.
-RANGE_ROWS, RANGES, CUTS = 1_000, 2_048, 256
+RANGE_ROWS, RANGES, CUTS = 250, 2_048, 256
 #: Bits of a text's hash that place the rows of one id.
 _PLACE = 26
 
