@@ -13,7 +13,7 @@ from lattica.graph import Graph
 from lattica.options import GraphExportOptions, GraphImportOptions, GraphMlExportOptions, GraphMlImportOptions, UnsupportedElementPolicy
 from lattica.plans.storage import stored, stored_seeing
 from lattica.sources.endpoints import deliver, encoded, sink, source
-from lattica.sources.report import LISTED, ExportReport, Failure, Format, ImportReport, Phase, Severity
+from lattica.sources.report import ExportReport, Failure, Format, ImportReport, Phase, Severity
 from lattica.sources.staging import apply, as_map, keys_of, kinds_of, position, selected, text_of
 
 # Characters that XML text and attributes must escape; those it can't hold.
@@ -142,10 +142,10 @@ def import_graphml(spark: SparkSession, path: str | BinaryIO, options: GraphImpo
     number = F.monotonically_increasing_id().alias("n")
     nodes, n_facts = stored_seeing(read("node", f"_id string, {data}").select(number, position().alias("pos"), F.col("_id").alias("external_id"), "data"), "nodes", bad=F.count_if(F.col("external_id").isNull()))
     links, l_facts = stored_seeing(read("edge", f"_id string, _source string, _target string, {data}").select(number, position().alias("pos"), F.col("_id").alias("external_id"), F.col("_source").alias("from_ext"), F.col("_target").alias("to_ext"), "data"), "links", bad=F.count_if(F.col("from_ext").isNull() | F.col("to_ext").isNull()))
-    report.failures += [Failure(Phase.READ_VERTEX, Severity.ERROR, "Node has no id") for _ in range(min(LISTED, n_facts["bad"]))]
+    if n_facts["bad"]:
+        report.reject(Phase.READ_VERTEX, nodes.where("external_id is null"), F.col("external_id"), F.lit("Node has no id"), severity=Severity.ERROR)
     if l_facts["bad"]:
-        no_end = links.where("from_ext is null or to_ext is null").orderBy("pos").limit(LISTED).collect()
-        report.failures += [Failure(Phase.READ_EDGE, Severity.ERROR, "Edge has no source or target", r["external_id"]) for r in no_end]
+        report.reject(Phase.READ_EDGE, links.where("from_ext is null or to_ext is null"), F.col("external_id"), F.lit("Edge has no source or target"), severity=Severity.ERROR)
     label = lambda default: F.when(F.trim("label") != "", F.col("label")).otherwise(F.lit(default)).alias("label")
     props = F.coalesce("properties", F.lit("{}")).alias("properties")
     vertices = nodes.where("external_id is not null").join(_properties(nodes, keys, xml.label_attr_name), "n", "left").select("pos", "external_id", label(xml.default_vertex_label), props)

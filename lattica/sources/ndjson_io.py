@@ -13,7 +13,7 @@ from lattica.graph import Graph
 from lattica.options import GraphExportOptions, GraphImportOptions
 from lattica.plans.storage import stored_seeing
 from lattica.sources.endpoints import decoded, deliver, encoded, sink, source
-from lattica.sources.report import LISTED, ExportReport, Failure, Format, ImportReport, Phase, Severity
+from lattica.sources.report import ExportReport, Failure, Format, ImportReport, Phase, Severity
 from lattica.sources.staging import apply, as_map, before, position, selected
 
 
@@ -69,8 +69,7 @@ def import_ndjson(spark: SparkSession, path: str | BinaryIO, options: GraphImpor
         report.fail(Failure(Phase.READ_EDGE, Severity.ERROR, f"maxEdgeBufferSize {options.max_edge_buffer_size} exceeded"))
         n_edges, unsure = options.max_edge_buffer_size + 1, True
     if facts["strange"]:
-        unknown = records.where(strange).orderBy("pos").limit(LISTED).collect()
-        report.failures += [Failure(Phase.READ_VERTEX, Severity.WARN, f"Unknown type {r['type']}", r["id"]) for r in unknown]
+        report.reject(Phase.READ_VERTEX, records.where(strange), F.col("id"), F.concat(F.lit("Unknown type "), F.coalesce("type", F.lit("None"))))
     require(not facts["no_id"] or unsure and records.where(no_id).isEmpty(), "a vertex envelope has no id")
     label = lambda default: F.when(F.trim("label") != "", F.col("label")).otherwise(F.lit(default)).alias("label")
     vertices = records.where("type = 'vertex'").select("pos", F.col("id").alias("external_id"), label(options.default_vertex_label), "properties")

@@ -56,16 +56,15 @@ class ImportReport:
     skipped_edges: int = 0
     elapsed: float = 0.0
     failures: list[Failure] = field(default_factory=list)
-    #: (phase, record_id, message) of all records that a policy skipped, however many; None if none was.
+    #: (phase, record_id, message) of all records that were left out one by one, however many; None if none was.
     rejected: DataFrame | None = None
 
-    def reject(self, phase: Phase, frame: DataFrame, record_id: Column, message: Column, listed: bool = True) -> None:
-        """Skipped records: all in ``rejected``, the first by position listed as warnings."""
+    def reject(self, phase: Phase, frame: DataFrame, record_id: Column, message: Column, listed: bool = True, severity: Severity = Severity.WARN) -> None:
+        """Records left out: all in ``rejected``, the first by position listed as failures; the status stays as it is."""
         found = frame.select(F.lit(phase.value).alias("phase"), record_id.alias("record_id"), message.alias("message"), "pos")
         if listed:
-            self.failures += [Failure(phase, Severity.WARN, r["message"], r["record_id"]) for r in found.orderBy("pos").limit(LISTED).collect()]
+            self.failures += [Failure(phase, severity, r["message"], r["record_id"]) for r in found.orderBy("pos").limit(LISTED).collect()]
         self.rejected = found.drop("pos") if self.rejected is None else self.rejected.union(found.drop("pos"))
-        self.partly()
 
     def fail(self, failure: Failure) -> None:
         self.failures.append(failure)

@@ -63,6 +63,7 @@ def apply(graph: Graph, vertices: DataFrame, edges: DataFrame, options: GraphImp
             raise DuplicateVertexError(f"Duplicate vertex externalId={again.orderBy('pos').select('external_id').first()['external_id']}")
         report.skipped_vertices += facts["n"] - facts["ids"]
         report.reject(Phase.CREATE_VERTEX, again, F.col("external_id"), F.concat(F.lit("Duplicate vertex externalId="), "external_id"), warn_duplicates)
+        report.partly()
         kept = vertices.join(firsts.select("external_id", F.col("first").alias("pos")), ["external_id", "pos"], "left_semi")
     new_id = lambda c: F.concat(F.lit(prefix), F.col(c))
     keep = options.preserve_external_id_property
@@ -87,6 +88,7 @@ def apply(graph: Graph, vertices: DataFrame, edges: DataFrame, options: GraphImp
     elif facts["lost"]:
         report.skipped_edges += facts["lost"]
         report.reject(Phase.CREATE_EDGE, known.where("lost"), F.col("external_id"), message)
+        report.partly()
     report.edges_read += total
     report.edges_created += created
     new = good.select("id", "label", "src", "dst", "properties")

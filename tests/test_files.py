@@ -148,7 +148,7 @@ def test_ndjson_rules(spark, tmp_path):
     read = lambda *lines, **o: at.write_text("\n".join(lines)) and import_ndjson(spark, str(at), GraphImportOptions(**o) if o else SKIP)
     graph, report = read(e("a", "b"), v("a"), "", v("b"), '{"type":"what"}')
     check(report, vertices_created=2, edges_created=1)
-    assert [f.severity for f in report.failures] == [Severity.WARN]
+    assert [f.severity for f in report.failures] == [Severity.WARN] and [tuple(r) for r in report.rejected.collect()] == [("read_vertex", None, "Unknown type what")]
     assert Graph.vertices_of(graph.vertices)[0].properties["n"] == {"deep": [1, 2.5]}
     _, report = read(v("a"), e("a", "a"), "{oops", v("b"))
     check(report, Status.FAILED, vertices_created=1, edges_created=0, edges_read=1)
@@ -189,7 +189,7 @@ def test_graphml_rules(spark, tmp_path):
         <edge source="a" target="b"/><edge id="e2" target="b"/><hyperedge/></graph></graphml>""")
     graph, report = import_graphml(spark, str(at))
     check(report, vertices_created=2, edges_created=1)
-    assert len(report.failures) == 2
+    assert len(report.failures) == 2 and sorted((r["phase"], r["record_id"]) for r in report.rejected.collect()) == [("read_edge", "e2"), ("read_vertex", None)]
     got = {v.properties.pop("_graphIoExternalId"): (v.label, v.properties) for v in Graph.vertices_of(graph.vertices)}
     assert got == {"a": ("P", {"age": 7, "free": "x"}), "b": ("Vertex", {"age": "old"})}
     assert [(e.label, e.properties) for e in Graph.edges_of(graph.edges)] == [("EDGE", {})]
