@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, fingerprints, language, near_dedup, secrets, sql, substring_dedup, token_counts, token_records, warc, word_table
+from lattica.llm import decontaminate, fingerprints, language, licenses, near_dedup, runs, secrets, sql, substring_dedup, token_counts, token_records, vector_codes, warc, word_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), window=35)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
+def license_base_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op13 says about the base phrases, which SQL can say too."""
+    return op13_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op1 says about known shapes, which SQL can say too."""
     return op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
@@ -62,11 +79,12 @@ def fingerprint_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256", "near_edited", "near_next")
 
 
-_ALL = (op1_secret_scan, op2_decontaminate, op3_warc, op4_token_records, op5_token_counts, op6_language, op7_near_dedup, op8_fingerprints, op9_bpe_round_trip, op10_substring_dedup, secret_base_spans, fingerprint_likeness)
+_ALL = (op1_secret_scan, op2_decontaminate, op3_warc, op4_token_records, op5_token_counts, op6_language, op7_near_dedup, op8_fingerprints, op9_bpe_round_trip, op10_substring_dedup, op11_periodic_runs, op12_vector_codes, op13_license_scan, secret_base_spans, fingerprint_likeness, license_base_phrases)
 QUERIES = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": sql.WARC, "op7_near_dedup": sql.NEAR_DEDUP, "op10_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op11_periodic_runs": sql.PERIODIC_RUNS, "op12_vector_codes": sql.VECTOR_CODES, "license_base_phrases": sql.LICENSE_BASE,
     "secret_base_spans": sql.SECRET_BASE, "fingerprint_likeness": sql.FINGERPRINT_LIKENESS,
 }

@@ -15,6 +15,14 @@ def _runs(words: str, k: int) -> str:
     return f"CASE WHEN len({words}) >= {k} THEN {many} WHEN len({words}) > 0 THEN [array_to_string({words}, ' ')] ELSE [] END"
 
 
+def _crc_step(crc: str, byte: str) -> str:
+    """crc32 (reflected, 0xEDB88320) after one more byte, bit by bit."""
+    out = f"xor({crc}, {byte})"
+    for _ in range(8):
+        out = f"list_transform([{out}], lambda z: xor(z >> 1, CAST(3988292384 AS UBIGINT) * (z & 1)))[1]"
+    return out
+
+
 def _matches(kind: int, pattern: str, value: int = 0) -> str:
     """Texts of all matches, of a group of theirs, and of what is between matches."""
     p = "'" + pattern.replace("'", "''") + "'"
@@ -83,3 +91,66 @@ SUBSTRING_DEDUP = f"""
     SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
     FROM w LEFT JOIN k ON k.doc_id = w.doc_id
 """
+
+PERIODIC_RUNS = f"""
+    WITH d AS MATERIALIZED (
+        SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS words,
+            list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+                lambda crc, b: {_crc_step("crc", "b")}) AS crc
+        FROM documents
+    ), c AS (SELECT doc_id, words, CAST(len(words) AS BIGINT) AS n, CAST(xor(crc, CAST(4294967295 AS UBIGINT)) AS BIGINT) AS h FROM d),
+    g AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM c),
+    w AS MATERIALIZED (
+        SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(generate_series(0, n - 1),
+            lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE words END AS words
+        FROM g
+    ), p AS MATERIALIZED (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i, len(words) AS n FROM w),
+    e AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+    s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island),
+    r AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM s WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+    t AS (
+        SELECT doc_id, count(*) AS n_runs, first(struct_pack(start, length, period) ORDER BY length DESC, start, period) AS top,
+            string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+        FROM r GROUP BY doc_id
+    ), k AS (
+        SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM p
+        WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = p.doc_id AND p.i >= r.start + r.period AND p.i < r.start + r.length) GROUP BY doc_id
+    )
+    SELECT w.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(top.start AS BIGINT) AS start, CAST(top.length AS BIGINT) AS length, CAST(top.period AS BIGINT) AS period,
+        CAST(1000 * top.length // top.period AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+    FROM w LEFT JOIN t ON t.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+
+def _lloyd(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Lloyd's rounds, one after another: x are the components of all kept vectors' parts, c0, c1, ... those of the codebooks."""
+    steps = [
+        "k AS MATERIALIZED (SELECT vec_id, label, embedding AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)",
+        f"x AS MATERIALIZED (SELECT vec_id, (nr - 1) // (n // {parts}) AS part, (nr - 1) % (n // {parts}) AS pos, CAST(floor({scale} * CAST(e AS DOUBLE)) AS BIGINT) AS e FROM (SELECT vec_id, len(v) AS n, unnest(v) AS e, generate_subscripts(v, 1) AS nr FROM k))",
+        f"c0 AS MATERIALIZED (SELECT part, entry, pos, e AS c FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT {entries}) USING (vec_id))",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, part, min(struct_pack(d := d, entry := entry)) AS best FROM (SELECT vec_id, x.part, entry, CAST(sum((e - c) * (e - c)) AS BIGINT) AS d FROM x JOIN c{i} c ON c.part = x.part AND c.pos = x.pos GROUP BY ALL) GROUP BY ALL)")
+        if i < rounds:
+            steps.append(f"m{i} AS (SELECT x.part, best.entry AS entry, pos, CAST(floor_div(sum(e), count(*)) AS BIGINT) AS c FROM x JOIN a{i} a ON a.vec_id = x.vec_id AND a.part = x.part GROUP BY ALL)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m USING (part, entry, pos))")
+    # DuckDB's // cuts towards zero
+    told = "WITH " + ", ".join(steps).replace("floor_div(sum(e), count(*))", "(sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*)")
+    return f"""{told},
+    o AS (SELECT vec_id, string_agg(format('{{:02x}}', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+    b AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c{rounds})
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o JOIN k USING (vec_id), b
+    """
+
+
+VECTOR_CODES = _lloyd()
+
+LICENSE_BASE = """
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
+    f AS (
+        SELECT doc_id, i - 1 AS place, label FROM w, LATERAL (SELECT unnest(generate_series(1, len(words))) AS i), (VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')) p(phrase, label)
+        WHERE words[i:i + len(phrase) - 1] = phrase
+    ), t AS (SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM f GROUP BY doc_id)
+    SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(b AS BIGINT) AS last_word, coalesce(labels, '') AS base_labels
+    FROM w LEFT JOIN t ON t.doc_id = w.doc_id
+"""
