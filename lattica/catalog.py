@@ -224,7 +224,7 @@ class GraphSession:
         return self._visits(bfs(self.graph, start_id, options))
 
     def dfs(self, start_id, options=None) -> list[TraversalVisit]:
-        from lattica.operators.search import dfs
+        from lattica.operators.depth_first import dfs
 
         return self._visits(dfs(self.graph, start_id, options))
 

@@ -1,11 +1,10 @@
-"""Breadth-first and depth-first traversal with a defined order of visits.
+"""Breadth-first traversal with a defined order of visits.
 
 Edges of a vertex are taken in ascending edge id, numbers by value first.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lattica.errors import require_text
@@ -14,8 +13,8 @@ from lattica.options import UNBOUNDED, BfsDfsOptions
 from lattica.plans.numbering import numbered
 from lattica.plans.storage import Scratch
 
-#: Steps that one task of a depth-first walk may gather; steps that a walk on its own asks for at once.
-GATHERED, FETCHED = 5_000_000, 200_000
+#: Rows up to which a level that max_vertices cuts is numbered by one task.
+FEW = 100_000
 
 VISIT_DDL = "visit_order long, vertex_id string, depth int, parent_id string"
 
@@ -29,7 +28,7 @@ def bfs(graph: Graph, start_id: str, options: BfsDfsOptions | None = None) -> Da
 
     The start is visited even if the graph lacks it.  At most max_vertices
     rows: each level is cut by a distributed top-k before it is numbered.  A
-    level without such a bound is numbered by ranges, so no task sees all of it.
+    level that may have more than FEW rows is numbered by ranges, so no task sees all of it.
     """
     options = options or BfsDfsOptions()
     require_text(start_id, "start id")
@@ -43,7 +42,8 @@ def bfs(graph: Graph, start_id: str, options: BfsDfsOptions | None = None) -> Da
         ahead = steps.join(frontier.select(F.col("vertex_id").alias("a"), F.col("visit_order").alias("p")), "a")
         ahead = ahead.join(seen.select(F.col("vertex_id").alias("b")), "b", "left_anti")
         found = ahead.groupBy("b").agg(F.min(F.struct("p", edge_order().alias("e"), "a")).alias("m"))
-        if options.max_vertices >= UNBOUNDED:
+        if options.max_vertices - n > FEW:
+            found = found if options.max_vertices >= UNBOUNDED else found.orderBy("m.p", "m.e").limit(options.max_vertices - n)
             level = numbered(found, [F.col("m.p"), F.col("m.e")], "visit_order", n)
         else:
             level = found.orderBy("m.p", "m.e").limit(options.max_vertices - n)
@@ -56,127 +56,3 @@ def bfs(graph: Graph, start_id: str, options: BfsDfsOptions | None = None) -> Da
         seen = seen.union(frontier)
     keep.discard(steps)
     return seen
-
-
-def _walk(max_depth: int, max_vertices: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = pdf["start"].iloc[0]
-        ahead: dict[str, list[str]] = {}
-        for a, b in zip(pdf["a"], pdf["b"]):
-            if b is not None:
-                ahead.setdefault(a, []).append(b)
-        seen, rows, stack = set(), [], [(start, 0, None)]
-        while stack and len(rows) < max_vertices:
-            vertex, depth, parent = stack.pop()
-            if vertex in seen:
-                continue
-            seen.add(vertex)
-            rows.append((start, len(rows), vertex, depth, parent))
-            if depth < max_depth:
-                stack += [(b, depth + 1, vertex) for b in reversed(ahead.get(vertex, [])) if b not in seen]
-        return pd.DataFrame(rows, columns=["start", "visit_order", "vertex_id", "depth", "parent_id"])
-
-    return run
-
-
-def dfs(graph: Graph, start_id: str, options: BfsDfsOptions | None = None) -> DataFrame:
-    """(visit_order, vertex_id, depth, parent_id) in pre-order, the first edge first.
-
-    A depth-first order is sequential by nature.  What the walk can reach
-    within max_depth is found by joins first and, while it is no more than
-    GATHERED edges, walked in one task (see :func:`dfs_many`).  Beyond that the
-    walk itself asks for edges: those of the vertices on top of its stack, some
-    at a time, so that it never holds more than the visits and their next edges.
-    """
-    require_text(start_id, "start id")
-    options, keep = options or BfsDfsOptions(), Scratch()
-    steps = _ahead(graph, keep, options)
-    starts = graph.spark.createDataFrame([(start_id,)], "start string")
-    edges = _reachable(keep, steps, starts, options.max_depth, GATHERED)
-    if edges is not None:
-        return keep.result(_walked(edges, options), "visits").drop("start")
-    rows = _expand(steps, start_id, options)
-    out = graph.spark.createDataFrame(rows, VISIT_DDL)
-    keep.discard()
-    return out
-
-
-def _ahead(graph: Graph, keep: Scratch, options: BfsDfsOptions) -> DataFrame:
-    """(a, b, edge_id): the first step from each vertex to each end; of a vertex's ends no more than a walk can look at."""
-    steps = graph.steps(keep, options.direction, options.edge_label)
-    firsts = steps.groupBy("a", "b").agg(F.min(edge_order()).alias("e")).select("a", "b", "e", F.col("e.s").alias("edge_id"))
-    if options.max_vertices < UNBOUNDED:
-        # those visited already, and as many as visits are left
-        place = F.row_number().over(Window.partitionBy("a").orderBy("e"))
-        firsts = firsts.withColumn("place", place).where(F.col("place") <= 2 * options.max_vertices)
-    return keep.stored(firsts.select("a", "b", "edge_id"), "steps")
-
-
-def _reachable(keep: Scratch, steps: DataFrame, starts: DataFrame, max_depth: int, most: int | None) -> DataFrame | None:
-    """(start, a, b, edge_id) of all steps within reach of each start, which has a row without b; None if there are more than ``most``."""
-    frontier = starts.select("start", F.col("start").alias("a")).distinct()
-    edges = frontier.select("start", "a", F.lit(None).cast("string").alias("b"), F.lit(None).cast("string").alias("edge_id"))
-    seen, n = frontier, 0
-    for _ in range(max_depth):
-        level, facts = keep.stored_seeing(steps.join(frontier, "a").select("start", "a", "b", "edge_id"), "level", n=F.count("*"))
-        n += facts["n"]
-        if not facts["n"]:
-            break
-        if most is not None and n > most:
-            return None
-        edges = edges.union(level)
-        frontier = level.select("start", F.col("b").alias("a")).distinct().join(seen, ["start", "a"], "left_anti")
-        frontier = keep.stored(frontier, "frontier")
-        seen = seen.union(frontier)
-    return edges
-
-
-def _walked(edges: DataFrame, options: BfsDfsOptions) -> DataFrame:
-    ordered = edges.withColumn("e", edge_order()).select("start", "a", "b", F.col("e.n").alias("n"), "edge_id")
-    walk = _walk(options.max_depth, options.max_vertices)
-    return ordered.groupBy("start").applyInPandas(lambda pdf: walk(pdf.sort_values(["n", "edge_id"], na_position="first")), f"start string, {VISIT_DDL}")
-
-
-def _expand(steps: DataFrame, start: str, options: BfsDfsOptions) -> list[tuple]:
-    """Visits of a walk that looks up the next steps of the vertices on top of its stack, FETCHED steps at most at a time."""
-    spark = steps.sparkSession
-    at_once = max(1, FETCHED // (2 * options.max_vertices))
-    known: dict[str, list[str]] = {}
-    seen, rows, stack = set(), [], [(start, 0, None)]
-
-    def look_up() -> None:
-        wanted: dict[str, None] = {}
-        for vertex, depth, _ in reversed(stack):
-            if depth < options.max_depth and vertex not in seen and vertex not in known:
-                wanted[vertex] = None
-            if len(wanted) >= at_once:
-                break
-        asked = F.broadcast(spark.createDataFrame([(v,) for v in wanted], "a string"))
-        known.update({v: [] for v in wanted})
-        for r in steps.join(asked, "a", "left_semi").orderBy("a", edge_order()).toLocalIterator():
-            known[r["a"]].append(r["b"])
-
-    while stack and len(rows) < options.max_vertices:
-        vertex, depth, parent = stack[-1]
-        if vertex not in seen and depth < options.max_depth and vertex not in known:
-            look_up()
-        stack.pop()
-        if vertex in seen:
-            continue
-        seen.add(vertex)
-        rows.append((len(rows), vertex, depth, parent))
-        if depth < options.max_depth:
-            stack += [(b, depth + 1, vertex) for b in reversed(known.pop(vertex)) if b not in seen]
-    return rows
-
-
-def dfs_many(graph: Graph, starts: DataFrame, options: BfsDfsOptions | None = None) -> DataFrame:
-    """Depth-first from each of ``starts`` at once, each in a task of its own.
-
-    What a walk can reach within max_depth is found by joins first; only those
-    edges meet in its task.  A vertex is marked when it is
-    taken off the stack, so with a depth limit some that breadth-first finds may be missed.
-    """
-    options, keep = options or BfsDfsOptions(), Scratch()
-    edges = _reachable(keep, _ahead(graph, keep, options), starts, options.max_depth, None)
-    return keep.result(_walked(edges, options), "visits")

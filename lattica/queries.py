@@ -15,7 +15,8 @@ from lattica.operators.components import connected_components
 from lattica.operators.cycles import cycles_through, detect_cycles
 from lattica.operators.degree import degree_centrality, degrees
 from lattica.operators.pagerank import page_rank
-from lattica.operators.search import bfs, dfs
+from lattica.operators.depth_first import dfs
+from lattica.operators.search import bfs
 from lattica.operators.traversal import all_paths, neighbors, shortest_path, shortest_path_lengths
 from lattica.options import UNBOUNDED, BfsDfsOptions, ComponentOptions, CycleOptions, DegreeOptions, DuplicatePolicy, GraphExportOptions, GraphImportOptions, MissingEndpointPolicy, NeighborOptions, PageRankOptions, PathOptions
 from lattica.plans import views

@@ -7,12 +7,13 @@ import pytest
 from lattica.errors import GraphQueryError
 from lattica.graph import Graph
 from lattica.model import Direction
-from lattica.operators import cycles, pagerank, search
+from lattica.operators import cycles, depth_first, pagerank
 from lattica.operators.components import connected_components
 from lattica.operators.cycles import cycles_through, detect_cycles
 from lattica.operators.degree import degree_centrality, degrees
+from lattica.operators.depth_first import dfs
 from lattica.operators.pagerank import page_rank
-from lattica.operators.search import bfs, dfs
+from lattica.operators.search import bfs
 from lattica.operators.traversal import all_paths, neighbors, shortest_path
 from lattica.options import UNBOUNDED, BfsDfsOptions, ComponentOptions, CycleOptions, DegreeOptions, NeighborOptions, PageRankOptions, PathOptions
 from lattica.plans.components import star_contract
@@ -186,8 +187,8 @@ def test_search_on_random_graphs(spark):
             assert visits(dfs(graph, "0", options)) == model_dfs(pairs, "0", depth, cap)
 
 
-def test_dfs_expands_by_itself(spark, monkeypatch):
-    """Beyond GATHERED steps the walk looks up its steps; the order is the same."""
+def test_dfs_over_pages(spark, monkeypatch):
+    """Beyond GATHERED steps the walk reads its steps by pages and tells its visits in pieces; the order is the same."""
     rng = random.Random(5)
     ids = [f"v{i:02d}" for i in range(25)]
     edges = [(str(n), "E", rng.choice(ids), rng.choice(ids)) for n in range(70)]
@@ -195,12 +196,57 @@ def test_dfs_expands_by_itself(spark, monkeypatch):
     for options in (BfsDfsOptions(max_depth=4), BfsDfsOptions(max_depth=3, max_vertices=7, direction=Direction.BOTH), BfsDfsOptions(max_depth=6, max_vertices=UNBOUNDED)):
         want = [tuple(r) for r in dfs(graph, "v03", options).orderBy("visit_order").collect()]
         with monkeypatch.context() as m:
-            m.setattr(search, "GATHERED", 3)
-            m.setattr(search, "FETCHED", 40)
+            for name, value in (("GATHERED", 3), ("PAGE", 4), ("PAGES_HELD", 3), ("PAGES_AT_ONCE", 2), ("PIECE", 5), ("FEW_LEVELS", 1), ("MANY_LEVELS", 2)):
+                m.setattr(depth_first, name, value)
             assert [tuple(r) for r in dfs(graph, "v03", options).orderBy("visit_order").collect()] == want and len(want) > 5
             assert [tuple(r) for r in dfs(graph, "nowhere", options).collect()] == [(0, "nowhere", 0, None)]
 
 
+def test_dfs_pages_serve_many_visits(spark, monkeypatch):
+    rng = random.Random(7)
+    n = 6000
+    pairs = [(str(rng.randrange(n)), str(rng.randrange(n))) for _ in range(5 * n)]
+    graph = make(spark, [], pairs)
+    fetched = []
+    fetch = depth_first._Pages.fetch
+    monkeypatch.setattr(depth_first._Pages, "fetch", lambda self, wanted: (fetched.append(len(wanted)), fetch(self, wanted)))
+    monkeypatch.setattr(depth_first, "GATHERED", 1000)
+    monkeypatch.setattr(depth_first, "PAGE", 1500)
+    start = pairs[0][0]
+    got = visits(dfs(graph, start, BfsDfsOptions(max_depth=10**6, max_vertices=UNBOUNDED)))
+    assert got == model_dfs(pairs, start, 10**6, 10**9) and len(got) > 5000
+    assert 1 <= len(fetched) <= 25
+
+
+@pytest.mark.parametrize("few", [0, 8])
+def test_dfs_of_forests(spark, monkeypatch, few):
+    """A shallow tree is sorted by paths, a deep forest ranked along its Euler tour."""
+    monkeypatch.setattr(depth_first, "FEW_LEVELS", few)
+    monkeypatch.setattr(depth_first, "_walked", None), monkeypatch.setattr(depth_first, "_paged_walk", None)
+    rng = random.Random(few)
+    n, back = (40, 1) if few else (300, 30)
+    names = [str(i) for i in range(n)]
+    rng.shuffle(names)
+    pairs = [(names[max(0, i - 1 - rng.randrange(back))], names[i]) for i in range(1, n)]
+    pairs += [("x", "y"), ("y", "z"), ("p", "q"), ("q", "p"), (names[-1], names[0])]
+    rng.shuffle(pairs)
+    graph = make(spark, [], pairs)
+    for start, depth, cap in ((names[0], 10**6, 10**6), (names[0], 7, 25), (names[3], 12, UNBOUNDED), ("q", 10**6, UNBOUNDED)):
+        assert visits(dfs(graph, start, BfsDfsOptions(max_depth=depth, max_vertices=cap))) == model_dfs(pairs, start, depth, cap)
+
+
+def test_dfs_of_a_long_chain(spark):
+    """Jobs grow with the logarithm of the chain, not with its length."""
+    n = 20_000
+    edges = spark.range(n).selectExpr("cast(id as string) as id", "'E' as label", "concat('v', id) as src", "concat('v', id + 1) as dst")
+    graph = Graph(edges.selectExpr("src as id", "'V' as label"), edges)
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    rows = dfs(graph, "v0", BfsDfsOptions(max_depth=10**6, max_vertices=UNBOUNDED)).orderBy("visit_order").collect()
+    after = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert [(r["vertex_id"], r["depth"]) for r in rows] == [(f"v{i}", i) for i in range(n + 1)] and rows[5]["parent_id"] == "v4"
+    assert len(set(after) - set(before)) < 150
+
+
 def test_search_details(spark):
     diamond = make(spark, "abcde", split("a>b a>c b>d c>d d>e"))
     assert [v[0] for v in visits(bfs(diamond, "a", BfsDfsOptions(max_depth=3)))] == list("abcde")
