@@ -9,19 +9,20 @@ from typing import BinaryIO
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+from lattica.errors import require
 from lattica.graph import Graph
 from lattica.options import GraphExportOptions, GraphImportOptions, GraphMlExportOptions, GraphMlImportOptions, UnsupportedElementPolicy
-from lattica.plans.storage import stored, stored_seeing
+from lattica.plans.storage import Scratch, stored
 from lattica.sources.endpoints import deliver, encoded, sink, source
+from lattica.sources.graphml_events import read_events
 from lattica.sources.report import ExportReport, Failure, Format, ImportReport, Phase, Severity
-from lattica.sources.staging import apply, as_map, keys_of, kinds_of, position, selected, text_of
+from lattica.sources.staging import apply, as_map, keys_of, kinds_of, selected, text_of
 
 # Characters that XML text and attributes must escape; those it can't hold.
 ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;")]
 ILLEGAL = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]"
 #: attr.type of uniformly typed properties.
 TYPES = {"BIGINT": "long", "DOUBLE": "double", "FLOAT": "double", "BOOLEAN": "boolean", "STRING": "string"}
-_UNSUPPORTED = ("hyperedge", "port")
 
 
 def _escaped(column: Column) -> Column:
@@ -102,54 +103,68 @@ def export_graphml(graph: Graph, path: str | BinaryIO, options: GraphExportOptio
     return report
 
 
-#: A value as its key's type, or as text where it doesn't fit.
-_COERCED = """coalesce(
-    CASE WHEN kind IN ('int', 'long') THEN CAST(try_cast(value AS BIGINT) AS VARIANT)
-         WHEN kind IN ('float', 'double') THEN CAST(try_cast(value AS DOUBLE) AS VARIANT)
-         WHEN kind = 'boolean' AND lower(value) IN ('true', 'false') THEN CAST(try_cast(value AS BOOLEAN) AS VARIANT) END,
-    CAST(value AS VARIANT))"""
+def _coerced(value: Column, kind: Column) -> Column:
+    """A value as its key's type, or as text where it doesn't fit."""
+    truth = (kind == "boolean") & F.lower(value).isin("true", "false")
+    typed = F.when(kind.isin("int", "long"), value.try_cast("bigint").cast("variant")).when(kind.isin("float", "double"), value.try_cast("double").cast("variant")).when(truth, value.try_cast("boolean").cast("variant"))
+    return F.coalesce(typed, value.cast("variant"))
 
 
-def _properties(rows: DataFrame, keys: DataFrame, label_name: str) -> DataFrame:
-    """Rows (n, data) -> (n, label, properties as JSON text)."""
-    each = rows.select("n", F.explode("data").alias("d")).select("n", F.col("d._key").alias("key_id"), F.coalesce(F.col("d._VALUE"), F.lit("")).alias("value"))
-    named = each.join(F.broadcast(keys), "key_id", "left").withColumn("name", F.coalesce("name", "key_id"))
-    named = named.withColumn("typed", F.expr(_COERCED))
-    entry = F.struct("name", "typed")
-    out = named.groupBy("n").agg(F.first(F.when(F.col("name") == label_name, F.col("value")), ignorenulls=True).alias("label"), F.collect_list(F.when(F.col("name") != label_name, entry)).alias("entries"))
-    return out.select("n", "label", F.to_json(F.map_from_entries("entries")).alias("properties"))
+def _keys(events: DataFrame) -> dict[str, tuple[str, str]]:
+    """Names and types of properties by the ids of their keys."""
+    out: dict[str, tuple[str, str]] = {}
+    said = lambda name: F.col("attributes")[name]
+    told = events.where("kind = 'key'").select(said("id").alias("id"), F.coalesce(said("attr.name"), said("id")).alias("name"), F.coalesce(said("attr.type"), F.lit("string")).alias("kind"))
+    for r in told.where("id is not null").distinct().collect():
+        own = (r["name"], r["kind"])
+        require(out.setdefault(r["id"], own) == own, f"documents that are read together must agree on key {r['id']}")
+    return out
+
+
+def _label_and_properties(keys: dict[str, tuple[str, str]], label_name: str, default: str) -> list[Column]:
+    """Label and properties (JSON text) of elements; of data with one name the last counts."""
+    look_up = lambda known: lambda key: F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), key) if known else F.lit(None).cast("string")
+    name_of, kind_of = look_up({k: name for k, (name, _) in keys.items()}), look_up({k: kind for k, (_, kind) in keys.items() if kind != "string"})
+    named = F.transform("data", lambda d: F.struct(F.coalesce(name_of(d["key"]), d["key"]).alias("name"), d["value"].alias("value"), kind_of(d["key"]).alias("kind")))
+    last = lambda entries, name: F.try_element_at(F.filter(entries, lambda e: e["name"] == name), F.lit(-1))
+    label = last(named, F.lit(label_name))["value"]
+    entries = F.transform(F.array(named), lambda own: F.transform(
+        F.array_remove(F.array_distinct(F.transform(own, lambda e: e["name"])), label_name),
+        lambda n: F.transform(F.array(last(own, n)), lambda e: F.struct(n.alias("name"), _coerced(e["value"], e["kind"]).alias("typed")))[0],
+    ))[0]
+    return [F.when(F.trim(label) != "", label).otherwise(F.lit(default)).alias("label"), F.to_json(F.map_from_entries(entries)).alias("properties")]
 
 
 def import_graphml(spark: SparkSession, path: str | BinaryIO, options: GraphImportOptions = GraphImportOptions(), xml: GraphMlImportOptions = GraphMlImportOptions(), graph: Graph | None = None, charset: str = "UTF-8") -> tuple[Graph, ImportReport]:
     """Read a document, or a folder of documents with the same keys; values take their keys' types where they fit.
 
-    A node without id and an edge without an end are recorded and left out;
-    the status stays.  Unsupported elements are skipped, or fail the import.
+    Files are scanned once (:mod:`lattica.sources.graphml_events`).  A node without id and an edge without an end are recorded and
+    left out; the status stays.  Hyperedges, ports and graphs within nodes, edges or graphs are unsupported: the import
+    fails, or hyperedges and ports are skipped and what inner graphs hold is read as if it stood outside.
+    XML that isn't well nested raises MalformedXmlError.
     """
-    began, report = time.time(), ImportReport(Format.GRAPHML)
+    began, report, keep = time.time(), ImportReport(Format.GRAPHML), Scratch()
     graph = graph or Graph.empty(spark)
-    path = source(spark, path, ".graphml")
-    data = "data array<struct<_key string, _VALUE string>>"
-    read = lambda tag, ddl: spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").option("nullValue", "").option("charset", charset).schema(ddl).load(path)
+    events = read_events(spark, source(spark, path, ".graphml"), charset, keep)
     if xml.unsupported_element_policy is UnsupportedElementPolicy.FAIL:
-        text = spark.read.text(path)
-        for tag in _UNSUPPORTED:
-            if not text.where(F.col("value").rlike(f"<{tag}[\\s/>]")).isEmpty():
-                report.fail(Failure(Phase.READ_VERTEX, Severity.ERROR, f"Unsupported element {tag}"))
-                report.elapsed = time.time() - began
-                return graph, report
-    keys = read("key", "_id string, `_attr.name` string, `_attr.type` string").select(F.col("_id").alias("key_id"), F.coalesce(F.col("`_attr.name`"), F.col("_id")).alias("name"), F.coalesce(F.col("`_attr.type`"), F.lit("string")).alias("kind")).distinct()
-    number = F.monotonically_increasing_id().alias("n")
-    nodes, n_facts = stored_seeing(read("node", f"_id string, {data}").select(number, position().alias("pos"), F.col("_id").alias("external_id"), "data"), "nodes", bad=F.count_if(F.col("external_id").isNull()))
-    links, l_facts = stored_seeing(read("edge", f"_id string, _source string, _target string, {data}").select(number, position().alias("pos"), F.col("_id").alias("external_id"), F.col("_source").alias("from_ext"), F.col("_target").alias("to_ext"), "data"), "links", bad=F.count_if(F.col("from_ext").isNull() | F.col("to_ext").isNull()))
-    if n_facts["bad"]:
+        bad = events.where("kind = 'unsupported'").orderBy("file", "block", "n").first()
+        if bad is not None:
+            report.fail(Failure(Phase.READ_VERTEX, Severity.ERROR, f"Unsupported element {bad['attributes']['tag']}"))
+            report.elapsed = time.time() - began
+            keep.discard()
+            return graph, report
+    keys, said = _keys(events), lambda name: F.when(F.trim(F.col("attributes")[name]) != "", F.col("attributes")[name])
+    pos = F.struct("file", "block", "n").alias("pos")
+    nodes = events.where("kind = 'node'").select(pos, said("id").alias("external_id"), *_label_and_properties(keys, xml.label_attr_name, xml.default_vertex_label))
+    links = events.where("kind = 'edge'").select(pos, said("id").alias("external_id"), said("source").alias("from_ext"), said("target").alias("to_ext"), *_label_and_properties(keys, xml.label_attr_name, xml.default_edge_label))
+    endless = "from_ext is null or to_ext is null"
+    faults = events.where(F.col("kind").isin("node", "edge")).agg(F.count_if((F.col("kind") == "node") & said("id").isNull()).alias("nodes"), F.count_if((F.col("kind") == "edge") & (said("source").isNull() | said("target").isNull())).alias("edges")).first()
+    if faults["nodes"]:
         report.reject(Phase.READ_VERTEX, nodes.where("external_id is null"), F.col("external_id"), F.lit("Node has no id"), severity=Severity.ERROR)
-    if l_facts["bad"]:
-        report.reject(Phase.READ_EDGE, links.where("from_ext is null or to_ext is null"), F.col("external_id"), F.lit("Edge has no source or target"), severity=Severity.ERROR)
-    label = lambda default: F.when(F.trim("label") != "", F.col("label")).otherwise(F.lit(default)).alias("label")
-    props = F.coalesce("properties", F.lit("{}")).alias("properties")
-    vertices = nodes.where("external_id is not null").join(_properties(nodes, keys, xml.label_attr_name), "n", "left").select("pos", "external_id", label(xml.default_vertex_label), props)
-    edges = links.where("from_ext is not null and to_ext is not null").join(_properties(links, keys, xml.label_attr_name), "n", "left").select("pos", "external_id", label(xml.default_edge_label), "from_ext", "to_ext", props)
-    graph = apply(graph, vertices, edges, options, report, f"x{uuid.uuid4().hex[:8]}:", edges_read=lambda: 0)
+    if faults["edges"]:
+        report.reject(Phase.READ_EDGE, links.where(endless), F.col("external_id"), F.lit("Edge has no source or target"), severity=Severity.ERROR)
+    graph = apply(graph, nodes.where("external_id is not null"), links.where(f"not ({endless})"), options, report, f"x{uuid.uuid4().hex[:8]}:", edges_read=lambda: 0)
+    if report.rejected is None:
+        keep.discard()  # what was imported is stored by itself
     report.elapsed = time.time() - began
     return graph, report

@@ -7,6 +7,8 @@ import pytest
 
 from lattica.graph import Graph
 from lattica.options import CsvOptions, CsvPropertyMode, DuplicatePolicy, GraphExportOptions, GraphImportOptions, GraphMlExportOptions, GraphMlImportOptions, MissingEndpointPolicy, UnsupportedElementPolicy
+from lattica.plans.storage import Scratch
+from lattica.sources import graphml_events
 from lattica.sources.csv_io import export_csv, import_csv
 from lattica.sources.graphml_io import export_graphml, import_graphml
 from lattica.sources.ndjson_io import export_ndjson, import_ndjson
@@ -194,3 +196,90 @@ def test_graphml_rules(spark, tmp_path):
     assert got == {"a": ("P", {"age": 7, "free": "x"}), "b": ("Vertex", {"age": "old"})}
     assert [(e.label, e.properties) for e in Graph.edges_of(graph.edges)] == [("EDGE", {})]
     check(import_graphml(spark, str(at), xml=GraphMlImportOptions(unsupported_element_policy=UnsupportedElementPolicy.FAIL))[1], Status.FAILED, vertices_created=0)
+
+
+NESTED = """<?xml version="1.0" encoding="UTF-8"?>
+<!DOCTYPE graphml [ <!ELEMENT x (a|b)> ]>
+<g:graphml xmlns:g="http://graphml.graphdrawing.org/xmlns">
+  <!-- <hyperedge > and <node id="no"> don't count, <port/> neither -->
+  <g:key id="d0" for="node" attr.name="n" attr.type="int"/><key id='d1' for="all" attr.name="label"><default>D</default></key>
+  <?note <node id="no"/> ?><graph id="G" edgedefault="directed">
+    <node id="a&gt;&#x41;&quot;>"><data key="d0">1</data><data key="t"><![CDATA[<node id="no"/> ]] > &amp; ]]> &lt;x&gt;>&#233;</data>
+      <graph id="in"><node id="b"><data key="d1">Q</data><data key="d0">2</data><data key="d0">3</data></node>
+        <edge source="b" target="c"/><node id="c"/></graph>
+      <data key="last">after</data></node>
+    <edge id='e' source='a>A">' target='b'><data key="d0">x</data></edge>
+    <node id=" "/>
+  </graph></g:graphml>
+"""
+
+
+def nested(graph):
+    v = {x.properties.pop("_graphIoExternalId"): (x.label, x.properties) for x in Graph.vertices_of(graph.vertices)}
+    e = sorted((x.label, json.dumps(x.properties)) for x in Graph.edges_of(graph.edges))
+    assert v == {'a>A">': ("Vertex", {"n": 1, "t": '<node id="no"/> ]] > &amp;  <x>>é', "last": "after"}), "b": ("Q", {"n": 3}), "c": ("Vertex", {})}
+    assert e == [("EDGE", '{"_graphIoExternalId": "e", "n": "x"}'), ("EDGE", "{}")]
+
+
+def test_nested_graphml(spark, tmp_path):
+    at = tmp_path / "n.graphml"
+    at.write_text(NESTED)
+    graph, report = import_graphml(spark, str(at))
+    check(report, vertices_created=3, edges_created=2)
+    nested(graph)
+    assert len(report.failures) == 1
+    fail = GraphMlImportOptions(unsupported_element_policy=UnsupportedElementPolicy.FAIL)
+    _, report = import_graphml(spark, str(at), xml=fail)
+    check(report, Status.FAILED, vertices_created=0)
+    assert report.failures[0].message == "Unsupported element graph"
+    flat = NESTED.replace('<graph id="in">', "").replace('target="c"/><node id="c"/></graph>', 'target="c"/><node id="c"/>')
+    at.write_text(flat)
+    check(import_graphml(spark, str(at), xml=fail)[1], vertices_created=3)
+    for bad in (NESTED.replace("</graph></g:graphml>", "</g:graphml>"), NESTED.replace("</g:graphml>", ""), "<graphml><!-- </graphml>"):
+        at.write_text(bad)
+        with pytest.raises(Exception, match="closes|ends within"):
+            import_graphml(spark, str(at))
+
+
+def test_graphml_is_read_in_blocks(spark, tmp_path):
+    """Blocks may begin anywhere: within comments, CDATA, attributes, open elements and inner graphs."""
+    at = tmp_path / "n.graphml"
+    at.write_text(NESTED)
+    keep = Scratch()
+    want = sorted((r["kind"], sorted(r["attributes"].items()), r["data"]) for r in graphml_events.read_events(spark, str(at), "UTF-8", keep).collect())
+    assert len(want) == 9
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(len(NESTED.encode()) // 11))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        events = graphml_events.read_events(spark, str(at), "UTF-8", keep)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes"), spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r["kind"], sorted(r["attributes"].items()), r["data"]) for r in events.collect()) == want
+    assert events.select("block").distinct().count() > 3
+
+
+def test_events_of_every_cut():
+    """A document cut behind any > gives the same records, from the states in which the blocks before end."""
+    pieces = NESTED.split(">")
+    last = pieces.pop()
+    assert not last.strip()
+
+    def records(cuts):
+        state, rows = (graphml_events.TEXT, ""), []
+        for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(pieces)])):
+            reader = graphml_events.Reader(state)
+            for p in pieces[a:b]:
+                reader.feed(p)
+            state = (reader.mode, reader.held)
+            reader.end()
+            rows += [{"file": "f", "block": i, "n": n, "kind": k, "attributes": x, "data": [{"key": a, "value": b} for a, b in d]} for n, k, x, d in reader.rows]
+        whole = [r for r in rows if r["kind"] in (*graphml_events.RECORDS, "unsupported")]
+        made = graphml_events._put_together([r for r in rows if r not in whole])
+        return sorted((kind, sorted(a.items()), [tuple(x.values()) for x in d]) for kind, a, d in [*((r["kind"], r["attributes"], r["data"]) for r in whole), *((m[3], m[4], m[5]) for m in made)])
+
+    want = records([])
+    assert len(want) == 9
+    for i in range(1, len(pieces)):
+        assert records([i]) == want, i
+    for cut in ([3, 9, 20], list(range(1, len(pieces), 2)), list(range(1, len(pieces)))):
+        assert records(cut) == want
