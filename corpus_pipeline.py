@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lattica.llm import decontaminate, language, near_dedup, secrets, word_table
-from lattica.plans.storage import stored
+from lattica.plans.storage import discard, stored
 
 #: A document whose language has a smaller share of its letters is rejected.
 MIN_SHARE = 0.5
@@ -87,9 +87,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; of the tables between them only the last is kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name.replace(' ', '-')}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

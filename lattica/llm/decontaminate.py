@@ -15,13 +15,14 @@ moves, and the passages of a batch are served together.  For each passage
   block and their block maxima take the place of list maxima;
 * only the blocks that still reach it are scored, from their postings.
 
-Passages are pairs of neighbouring tiles, and a tile is as long as the longest
-item.  A retrieved pair counts only if enough of the item's question and of its
+Passages are pairs of neighbouring tiles.  How long the tiles are depends on the item alone: TILE words, doubled until the
+item fits.  A retrieved pair counts only if enough of the item's question and of its
 answer (its last sentence, or the last third of a single one) is in the
 passage, in runs of three words.  An item of fewer than five words must be
 there as a whole, in one run.
 
-The index is broadcast in shards of bounded size; passages meet every shard.
+The index is broadcast in shards of bounded size, of items with tiles of one length; passages meet every shard, as many shards
+in one pass over the documents as GROUP_BYTES allow.
 """
 
 from __future__ import annotations
@@ -34,12 +35,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from lattica.llm.words import BLOCK_BYTES, U, distinct, hash_words, shingle
 from lattica.llm.workers import map_batches, pieces
-from lattica.plans.storage import stored
+from lattica.plans.storage import discard, stored
 
 K1, B = 1.2, 0.75
-#: Items of a block, words of a tile at least, items and bytes of a shard.
+#: Items of a block, words of a tile at least, items and bytes of a shard, bytes of the shards of one pass.
 BLOCK, TILE = 4, 64
-SHARD_ITEMS, SHARD_BYTES = 16_384, 16 << 20
+SHARD_ITEMS, SHARD_BYTES, GROUP_BYTES = 16_384, 16 << 20, 64 << 20
 #: Words of a run that must be found; items of fewer words than SHORT must be found whole.
 _RUN, SHORT = 3, 5
 #: Share of the threshold that the lists up to the pivot stay below (up to 1): less means more walking and less seeking.
@@ -83,7 +84,8 @@ class BlockMaxIndex:
     numbered by the maxima of their lists, so that a passage's sorted terms are in the pivot's order.
     """
 
-    def __init__(self, items: list[tuple[object, np.ndarray, np.ndarray]], df: dict[int, int], n_items: int, mean_length: float):
+    def __init__(self, items: list[tuple[object, np.ndarray, np.ndarray]], df: dict[int, int], n_items: int, mean_length: float, tile: int):
+        self.tile = tile
         self.keys = [i for i, _, _ in items]
         self.parts, self.runs = [], []
         for _, q, a in items:
@@ -92,7 +94,6 @@ class BlockMaxIndex:
             run = _RUN if len(q) + len(a) >= SHORT else len(q)
             self.parts.append((_runs(q, run), _runs(a, run)))
             self.runs.append((min(run, len(q)), min(run, len(a))))
-        self.longest = max((len(q) + len(a) for _, q, a in items), default=0)
         terms, of, weights = [], [], []
         for k, (_, q, a) in enumerate(items):
             word, tf = np.unique(np.concatenate([q, a]), return_counts=True)
@@ -184,11 +185,11 @@ def _spread(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _searcher(threshold: float, question: float, answer: float):
-    """block_hits(texts, index): (text's number, item, score, question overlap, answer overlap, first word) of each hit."""
+    """block_hits(words, index): (text's number, item, score, question overlap, answer overlap, first word) of each hit; words: hashes, and how many each text has."""
 
-    def block_hits(texts, ix):
-        hashes, counts = hash_words(texts, "bare")
-        tile_words = max(TILE, ix.longest)
+    def block_hits(words, ix):
+        hashes, counts = words
+        tile_words, texts = ix.tile, counts
         tiles_of = np.maximum(1, -(-counts // tile_words))
         first_tile = np.cumsum(tiles_of) - tiles_of
         first_word = np.cumsum(counts) - counts
@@ -220,14 +221,15 @@ def _searcher(threshold: float, question: float, answer: float):
     return block_hits
 
 
-def _query(index, search):
+def _query(group, search):
     columns = [("doc_id", pa.int64()), ("key", pa.string()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())]
     schema = pa.schema(columns)
 
     def run(batches):
         for piece in pieces(batches, BLOCK_BYTES):
             ids = piece.column("doc_id").to_pylist()
-            rows = [(ids[d], index.value.keys[k], *row) for d, k, *row in search([t or b"" for t in piece.column("text").to_pylist()], index.value)]
+            words = hash_words([t or b"" for t in piece.column("text").to_pylist()], "bare")
+            rows = [(ids[d], index.value.keys[k], *row) for index in group for d, k, *row in search(words, index.value)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), columns)], schema=schema)
 
@@ -235,30 +237,44 @@ def _query(index, search):
 
 
 def _index(benchmark: DataFrame):
-    """(item_id, key) of all items with words, and the broadcast shards of the index of the different ones among them, made one by one.
+    """(item_id, key) of all items with words, and broadcast shards of the index of the different ones among them, in groups that are made one by one.
 
     Repeated items are one entry, so a shard's size is bounded by SHARD_ITEMS and
-    SHARD_BYTES (or by one item, if that is longer): entries are dealt evenly by a hash of their key.
+    SHARD_BYTES (or by one item, if that is longer): entries of a tile's length are dealt evenly by a hash of their key.
     """
     spark = benchmark.sparkSession
     parts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = map_batches(parts, _item_words, "item_id long, question array<long>, answer array<long>").withColumn("n", F.size("question") + F.size("answer")).where("n > 0")
-    items = stored(items.withColumn("key", F.sha2(F.concat_ws(" ", F.concat_ws(" ", "question"), F.lit("|"), F.concat_ws(" ", "answer")), 256)), "items")
-
-    def shards():
-        entries = items.dropDuplicates(["key"]).select("key", "question", "answer", "n")
-        total = entries.agg(F.count("*").alias("items"), F.avg("n").alias("mean"), F.sum("n").alias("words")).first()
-        count = max(1, -(-total["items"] // (SHARD_ITEMS // 2)), -(-32 * (total["words"] or 0) // (SHARD_BYTES // 2)))
-        dealt = entries.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(count)))
-        words = dealt.select("shard", F.explode(F.array_distinct(F.concat("question", "answer"))).alias("word"))
-        df = words.groupBy("word").agg(F.count("*").alias("df"))
-        for shard in range(count):
-            own = dealt.where(F.col("shard") == shard).orderBy("n", "key").collect()
-            seen = {r["word"]: r["df"] for r in df.join(words.where(F.col("shard") == shard).select("word").distinct(), "word", "left_semi").toLocalIterator()}
+    tile = F.when(F.col("n") <= TILE, TILE).otherwise(F.pow(F.lit(2.0), F.length(F.bin(F.col("n") - 1))).cast("int"))
+    items = stored(items.withColumn("key", F.sha2(F.concat_ws(" ", F.concat_ws(" ", "question"), F.lit("|"), F.concat_ws(" ", "answer")), 256)).withColumn("tile", tile), "items")
+
+    def groups():
+        entries = items.dropDuplicates(["key"]).select("key", "question", "answer", "n", "tile")
+        sizes = sorted(entries.groupBy("tile").agg(F.count("*").alias("items"), F.sum("n").alias("words")).collect())
+        total, words = sum(r["items"] for r in sizes), sum(r["words"] for r in sizes)
+        shards = {r["tile"]: max(1, -(-r["items"] // (SHARD_ITEMS // 2)), -(-32 * r["words"] // (SHARD_BYTES // 2))) for r in sizes}
+        count = F.coalesce(*[F.when(F.col("tile") == t, n) for t, n in shards.items()], F.lit(1))
+        dealt = entries.withColumn("shard", F.pmod(F.xxhash64("key"), count))
+        said = dealt.select("tile", "shard", F.explode(F.array_distinct(F.concat("question", "answer"))).alias("word"))
+        df = stored(said.groupBy("word").agg(F.count("*").alias("df")), "df") if sum(shards.values()) > 1 else said.groupBy("word").agg(F.count("*").alias("df"))
+        group, held = [], 0
+        for length, shard in [(t, i) for t, n in shards.items() for i in range(n)]:
+            mine = (F.col("tile") == length) & (F.col("shard") == shard)
+            own = dealt.where(mine).orderBy("n", "key").collect()
+            seen = {r["word"]: r["df"] for r in df.join(said.where(mine).select("word").distinct(), "word", "left_semi").toLocalIterator()}
             as_hashes = lambda xs: np.array(xs, np.int64).view(U)
-            yield spark.sparkContext.broadcast(BlockMaxIndex([(r["key"], as_hashes(r["question"]), as_hashes(r["answer"])) for r in own], seen, total["items"], total["mean"] or 1.0))
+            index = BlockMaxIndex([(r["key"], as_hashes(r["question"]), as_hashes(r["answer"])) for r in own], seen, total, words / total, length)
+            size = 32 * sum(r["n"] for r in own)
+            if group and held + size > GROUP_BYTES:
+                yield group
+                group, held = [], 0
+            group.append(spark.sparkContext.broadcast(index))
+            held += size
+        if group:
+            yield group
+        discard(df)
 
-    return items.select("item_id", "key"), shards()
+    return items.select("item_id", "key"), groups()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5) -> DataFrame:
@@ -273,12 +289,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     time; other columns are ignored; if a table is empty so is the result.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    items, shards = _index(benchmark)
+    items, groups = _index(benchmark)
     out = None
-    for index in shards:
-        run, schema = _query(index, _searcher(threshold, question, answer))
-        hits = map_batches(source, run, schema)
-        out = hits if out is None else out.union(hits)
+    for group in [*groups, []]:
+        run, schema = _query(group, _searcher(threshold, question, answer))
+        if group or out is None:
+            hits = map_batches(source, run, schema)
+            out = hits if out is None else out.union(hits)
     return out.join(items, "key").select("doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word")
 
 
@@ -290,14 +307,15 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     """
     search = _searcher(threshold, question, answer)
 
-    def without(index):
+    def without(group):
         def run(batches):
             for piece in pieces(batches, BLOCK_BYTES):
-                hit = {d for d, *_ in search([(t or "").encode() for t in piece.column("text").to_pylist()], index.value)}
+                words = hash_words([(t or "").encode() for t in piece.column("text").to_pylist()], "bare")
+                hit = {d for index in group for d, *_ in search(words, index.value)}
                 yield piece.filter(pa.array([i not in hit for i in range(piece.num_rows)], pa.bool_()))
 
         return run
 
-    for index in _index(benchmark)[1]:
-        docs = map_batches(docs, without(index), docs.schema)
+    for group in _index(benchmark)[1]:
+        docs = map_batches(docs, without(group), docs.schema)
     return docs

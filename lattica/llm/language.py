@@ -120,18 +120,19 @@ def _sum(batches):
 
 
 def learn(labelled: DataFrame, rows: int = ROWS) -> Model:
-    """Fit on (text, lang): at most about ``rows`` texts of each language, those whose text hashes low.
+    """Fit on (text, lang): about ``rows`` different texts of each language at most, those whose hashes are low, and the lowest in any case.
 
-    Rows without a language or a text teach nothing; repeated rows count each
-    time; other columns are ignored.  Every language is learned, and takes 128 KB
+    Rows without a language or a text teach nothing; a text that a language has many times counts once; other columns
+    are ignored.  So every language with a text is learned, however many copies it is made of, and takes 128 KB
     of the model, which is broadcast.  An empty table gives a model without languages.
     """
-    own = labelled.select("text", "lang").where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
+    own = labelled.select("text", "lang", F.xxhash64("text").alias("hash")).where("lang is not null and text is not null")
+    sizes = own.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n"), F.min("hash").alias("least")).collect()
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), np.float32))
-    shares = F.broadcast(labelled.sparkSession.createDataFrame([(lang, min(1.0, rows / n)) for lang, n in sorted(sizes.items())], "lang string, share double"))
-    sample = own.join(shares, "lang").where((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20)) < F.col("share")).select("text", "lang")
+    shares = F.broadcast(labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, rows / max(1, r["n"])), r["least"]) for r in sorted(sizes)], "lang string, share double, least long"))
+    drawn = ((F.pmod("hash", F.lit(1 << 20)) / (1 << 20)) < F.col("share")) | (F.col("hash") == F.col("least"))
+    sample = own.join(shares, "lang").where(drawn).select("text", "lang").distinct()
     counts = map_batches(sample, _sum, "lang string, kind int, at int, n long").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(counts["lang"]))
     grams, scripts = np.zeros((BUCKETS, len(languages))), np.zeros((len(SCRIPT_NAMES), len(languages)))
