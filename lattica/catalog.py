@@ -8,12 +8,14 @@ file exists, so readers never see half a graph.  Without a root graphs live in m
 from __future__ import annotations
 
 import itertools
+import threading
 import uuid
 from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lattica.delta import DeltaLog
 from lattica.errors import GraphAlreadyExistsError, GraphNotFoundError, require_text
 from lattica.graph import Graph
 from lattica.model import Component, Cycle, DegreeResult, Edge, PageRankScore, Path, TraversalVisit, Vertex
@@ -105,17 +107,28 @@ class GraphCatalog:
 
 
 class GraphSession:
-    """Blocking calls on one graph; each mutation replaces the snapshot ``graph``.
+    """Blocking calls on one graph.
 
-    Single mutations are for small corrections: bulk changes belong in frames
-    (:meth:`Graph.add_vertices` and its like).
+    Single mutations go into a log (:class:`lattica.delta.DeltaLog`) that ``graph`` is merged
+    with when it is read; bulk changes belong in frames (:meth:`Graph.add_vertices` and its like), by setting ``graph``.
     """
 
     def __init__(self, spark: SparkSession, graph: Graph | None = None, name: str = "g"):
-        self.spark, self.graph, self.name = spark, graph or Graph.empty(spark), name
+        self.spark, self.name = spark, name
+        self._log, self._turn = DeltaLog(graph or Graph.empty(spark)), threading.RLock()
         self._ids = itertools.count(1)
         self._taken: int | None = None if graph is not None else 0
 
+    @property
+    def graph(self) -> Graph:
+        with self._turn:
+            return self._log.graph()
+
+    @graph.setter
+    def graph(self, graph: Graph) -> None:
+        with self._turn:
+            self._log = DeltaLog(graph)
+
     def _next_id(self) -> str:
         if self._taken is None:
             ids = self.graph.vertices.select("id").union(self.graph.edges.select("id"))
@@ -123,45 +136,45 @@ class GraphSession:
         return str(self._taken + next(self._ids))
 
     def create_vertex(self, label: str, properties: Mapping[str, Any] | None = None) -> Vertex:
-        vertex = Vertex(self._next_id(), require_text(label, "label"), {k: v for k, v in (properties or {}).items() if v is not None})
-        self.graph = self.graph.with_vertex(vertex.id, label, properties)
+        require_text(label, "label")
+        with self._turn:
+            vertex = Vertex(self._next_id(), label, {k: v for k, v in (properties or {}).items() if v is not None})
+            self._log.create_vertex(vertex)
         return vertex
 
     def find_vertex_by_id(self, label: str, vertex_id: str) -> Vertex | None:
-        return next(iter(Graph.vertices_of(self.graph.find_vertex_by_id(label, vertex_id))), None)
+        require_text(label, "label"), require_text(vertex_id, "id")
+        return self._log.find_vertex(label, vertex_id)
 
     def find_vertices_by_label(self, label: str, filter: Mapping[str, Any] | None = None) -> list[Vertex]:
         return Graph.vertices_of(self.graph.find_vertices_by_label(label, filter))
 
     def update_vertex(self, label: str, vertex_id: str, properties: Mapping[str, Any]) -> Vertex | None:
-        if self.find_vertex_by_id(label, vertex_id) is None:
-            return None
-        self.graph = self.graph.update_vertices(label, properties, vertex_id=vertex_id)
-        return self.find_vertex_by_id(label, vertex_id)
+        require_text(label, "label"), require_text(vertex_id, "id")
+        with self._turn:
+            return self._log.update_vertex(label, vertex_id, properties)
 
     def delete_vertex(self, label: str, vertex_id: str) -> bool:
-        doomed = self.graph.find_vertex_by_id(label, vertex_id).select("id").collect()
-        if doomed:
-            self.graph = self.graph.delete_vertices(self.spark.createDataFrame(doomed, "id string"))
-        return bool(doomed)
+        require_text(label, "label"), require_text(vertex_id, "id")
+        with self._turn:
+            return self._log.delete_vertex(label, vertex_id)
 
     def count_vertices(self, label: str) -> int:
         return self.graph.count_vertices(label)
 
     def create_edge(self, from_id: str, to_id: str, label: str, properties: Mapping[str, Any] | None = None) -> Edge:
-        edge = Edge(self._next_id(), require_text(label, "label"), from_id, to_id, {k: v for k, v in (properties or {}).items() if v is not None})
-        self.graph = self.graph.with_edge(edge.id, from_id, to_id, label, properties)
+        require_text(label, "label"), require_text(from_id, "from id"), require_text(to_id, "to id")
+        with self._turn:
+            edge = Edge(self._next_id(), label, from_id, to_id, {k: v for k, v in (properties or {}).items() if v is not None})
+            self._log.create_edge(edge)
         return edge
 
     def find_edges_by_label(self, label: str, filter: Mapping[str, Any] | None = None) -> list[Edge]:
         return Graph.edges_of(self.graph.find_edges_by_label(label, filter))
 
     def delete_edge(self, label: str, edge_id: str) -> bool:
-        hit = self.graph.edges.where((F.col("label") == label) & (F.col("id") == edge_id))
-        if hit.isEmpty():
-            return False
-        self.graph = self.graph.delete_edges(self.spark.createDataFrame([(label, edge_id)], "label string, id string"))
-        return True
+        with self._turn:
+            return self._log.delete_edge(label, edge_id)
 
     # reads: the operators of lattica.operators ---------------------------------------------------------------------
 
@@ -242,7 +255,8 @@ class GraphSession:
         return self.graph.sql(text)
 
     def close(self) -> None:
-        """Nothing of the caller's is closed."""
+        """Nothing of the caller's is closed; snapshots of a log that has been folded since go."""
+        self._log.close()
         self.graph.vertices.unpersist(), self.graph.edges.unpersist()
 
 

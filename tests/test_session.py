@@ -2,6 +2,7 @@
 
 import asyncio
 import json
+import random
 from datetime import date, datetime
 
 import pytest
@@ -298,3 +299,74 @@ def test_age_text():
     for bad in (lambda: t.match_vertices("g", "P) DETACH DELETE (x"), lambda: t.match_vertex_by_id("g", "P", "1 OR 1"), lambda: t.cypher("g", "$$"), lambda: t.update_vertex("g", "P", "1", {})):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_many_mutations(spark, monkeypatch):
+    """Ten thousand creates leave a plan of constant size, and none of them is a job."""
+    from lattica import delta
+
+    monkeypatch.setattr(delta, "LOG_ROWS", 15_000)
+    s = GraphSession(spark)
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    shown = lambda: len(s.graph.vertices._jdf.queryExecution().toString().splitlines())
+    before = jobs()
+    ids = [s.create_vertex("P", {"n": i}).id for i in range(10)]
+    small = shown()
+    ids += [s.create_vertex("P", {"n": i}).id for i in range(10, 10_000)]
+    for a, b in zip(ids[:2000], ids[1:]):
+        s.create_edge(a, b, "NEXT", {"w": 1})
+    assert jobs() == before and shown() == small
+    assert s.count_vertices("P") == 10_000 and s.graph.edges.count() == 2000
+    assert s.find_vertex_by_id("P", ids[7]).properties == {"n": 7} and jobs() > before
+
+
+def test_mutations_against_a_model(spark, monkeypatch):
+    """Random mutations of a graph at rest, with and without folding the log."""
+    from lattica import delta
+    from lattica.errors import GraphQueryError
+
+    rng = random.Random(4)
+    start = Graph.from_rows(spark, [(str(i), "PQ"[i % 2], {"n": i, "gone": 1}) for i in range(1, 9)], [(str(100 + i), "E", str(i), str(i + 1), {"w": i}) for i in range(1, 8)])
+    monkeypatch.setattr(delta, "LOG_ROWS", 17)
+    s = GraphSession(spark, start)
+    v = {str(i): ("PQ"[i % 2], {"n": i, "gone": 1}) for i in range(1, 9)}
+    e = {str(100 + i): ("E", str(i), str(i + 1)) for i in range(1, 8)}
+    for _ in range(60):
+        i, label = rng.choice([*v, "77"]), rng.choice("PQ")
+        own = v.get(i)
+        kind = rng.randrange(6)
+        if kind == 0:
+            v[s.create_vertex(label, {"n": 5, "none": None}).id] = (label, {"n": 5})
+        elif kind == 1:
+            got = s.update_vertex(label, i, {"n": 9, "gone": None, "new": "x"})
+            assert (got is not None) == (own is not None and own[0] == label)
+            if got is not None:
+                v[i] = (label, {k: x for k, x in own[1].items() if k != "gone"} | {"n": 9, "new": "x"})
+                assert got.properties == v[i][1]
+        elif kind == 2 and rng.random() < 0.4:
+            assert s.delete_vertex(label, i) == (own is not None and own[0] == label)
+            if own is not None and own[0] == label:
+                del v[i]
+                e = {k: x for k, x in e.items() if i not in x[1:]}
+        elif kind == 3:
+            j = rng.choice(list(v))
+            if own is None:
+                with pytest.raises(GraphQueryError, match="no such vertex: 77"):
+                    s.create_edge(i, j, "F")
+            else:
+                e[s.create_edge(i, j, "F", {"w": 2}).id] = ("F", i, j)
+        elif kind == 4 and e:
+            k = rng.choice(list(e))
+            assert not s.delete_edge("Z", k) and s.delete_edge(e[k][0], k) and not s.delete_edge(e[k][0], k)
+            del e[k]
+        else:
+            found = s.find_vertex_by_id(label, i)
+            assert (found.properties if found else None) == (own[1] if own and own[0] == label else None)
+    assert {x.id: (x.label, x.properties) for x in Graph.vertices_of(s.graph.vertices)} == v
+    assert {x.id: (x.label, x.src, x.dst) for x in Graph.edges_of(s.graph.edges)} == e
+    native = GraphSession(spark, Graph(spark.createDataFrame([("a", "P", "x")], "id string, label string, name string"), spark.createDataFrame([], "id string, label string, src string, dst string")))
+    b = native.create_vertex("P", {"name": "y"})
+    assert native.update_vertex("P", "a", {"name": "z"}).properties == {"name": "z"} and native.create_edge("a", b.id, "E")
+    assert sorted((r["id"], r["name"]) for r in native.graph.vertices.collect()) == sorted([("a", "z"), (b.id, "y")]) and native.graph.edges.count() == 1
+    with pytest.raises(ValueError):
+        native.create_vertex("P", {"other": 1})
