@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lattica.graph import Graph
+from lattica.plans.numbering import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +97,32 @@ def handoff(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(vertices, edges)
 
 
+def _followed(rows: DataFrame, key: str, order: list) -> DataFrame:
+    """Rows with the columns of the next one of the same key, as next_...; numbered over all keys, so that no task has to hold a key's rows."""
+    placed = numbered(rows, [F.col(key), *map(F.col, order)], "_k")
+    after = placed.select((F.col("_k") - 1).alias("_k"), *[F.col(c).alias(f"next_{c}") for c in rows.columns])
+    return placed.join(after, "_k").where(F.col(key) == F.col(f"next_{key}")).drop("_k")
+
+
+def chains(spark: SparkSession, sf_dir: str) -> Graph:
+    """Orders; an edge to the same customer's next order: a chain for each customer."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    pairs = _followed(orders, "o_custkey", ["o_orderdate", "o_orderkey"]).select(_id("order", "o_orderkey").alias("src"), _id("order", "next_o_orderkey").alias("dst"))
+    edges = pairs.select(F.concat("src", F.lit(">"), "dst").alias("id"), F.lit("NEXT").alias("label"), "src", "dst")
+    return Graph(orders.select(_id("order", "o_orderkey").alias("id"), F.lit("Order").alias("label")), edges)
+
+
+def habits(spark: SparkSession, sf_dir: str) -> Graph:
+    """What each user does (a vertex for each type of event); an edge to what the user does next within two hours, if it is something else."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    name = lambda user, kind: F.concat_ws(":", F.lit("habit"), F.col(user).cast("string"), kind)
+    soon = F.unix_micros("next_ts") - F.unix_micros("ts") <= 2 * 3600 * 1_000_000
+    pairs = _followed(events.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", ["ts", "event_id"]).where(soon & (F.col("event_type") != F.col("next_event_type")))
+    pairs = pairs.select(name("user_id", "event_type").alias("src"), name("user_id", "next_event_type").alias("dst")).distinct()
+    edges = pairs.select(F.concat("src", F.lit(">"), "dst").alias("id"), F.lit("THEN").alias("label"), "src", "dst")
+    return Graph(events.select(name("user_id", "event_type").alias("id"), F.lit("Habit").alias("label")).distinct(), edges)
+
+
 def network(spark: SparkSession, sf_dir: str) -> Graph:
     """Customers as persons, nations as companies: c knows c + 1 and 2c (an edge each way), follows 3c and works at its nation."""
     customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")

@@ -14,15 +14,15 @@ from lattica.model import Direction
 from lattica.operators.components import connected_components
 from lattica.operators.cycles import cycles_through, detect_cycles
 from lattica.operators.degree import degree_centrality, degrees
-from lattica.operators.pagerank import page_rank
 from lattica.operators.depth_first import dfs
+from lattica.operators.pagerank import page_rank
 from lattica.operators.search import bfs
 from lattica.operators.traversal import all_paths, neighbors, shortest_path, shortest_path_lengths
 from lattica.options import UNBOUNDED, BfsDfsOptions, ComponentOptions, CycleOptions, DegreeOptions, DuplicatePolicy, GraphExportOptions, GraphImportOptions, MissingEndpointPolicy, NeighborOptions, PageRankOptions, PathOptions
 from lattica.plans import views
 from lattica.plans.storage import fresh_path
 from lattica.sources.csv_io import export_csv, import_csv
-from lattica.sources.graphml_io import export_graphml, import_graphml
+from lattica.sources.graphml_io import export_graphml, import_graphml, whole_documents
 from lattica.sources.ndjson_io import export_ndjson, import_ndjson
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,14 @@ HANDOFF = """he AS (
     ) WHERE dst <> src
 ), hv AS (SELECT DISTINCT 'user:' || user_id AS id FROM events WHERE event_type = 'purchase')"""
 
+CHAINS = """ce AS (SELECT src || '>' || dst AS id, src, dst FROM (
+        SELECT 'order:' || o_orderkey AS src, 'order:' || lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders
+    ) WHERE dst IS NOT NULL), cv AS (SELECT 'order:' || o_orderkey AS id FROM orders)"""
+HABITS = """ae AS (SELECT DISTINCT src, dst FROM (
+        SELECT concat_ws(':', 'habit', user_id, event_type) AS src, concat_ws(':', 'habit', user_id, lead(event_type) OVER w) AS dst, event_type AS a, lead(event_type) OVER w AS b,
+            epoch_us(lead(ts) OVER w) - epoch_us(ts) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+    ) WHERE gap <= 7200000000 AND a <> b), av AS (SELECT DISTINCT concat_ws(':', 'habit', user_id, event_type) AS id FROM events)"""
+
 
 def _query(sql: str | None = None, name: str | None = None):
     def keep(f):
@@ -445,6 +453,86 @@ def cycles_through_vertex(spark, sf_dir):
     return cycles_through(graph, _origin(graph), CycleOptions(max_depth=3, max_cycles=UNBOUNDED)).select(path_text().alias("cycle"), "length")
 
 
+# Many components and few edges ---------------------------------------------------------------------------------------
+
+_CHAIN_COMPONENTS = "WITH c AS (SELECT min('order:' || o_orderkey) OVER (PARTITION BY o_custkey) AS component_id, 'order:' || o_orderkey AS vertex_id FROM orders)"
+
+
+@_query(_CHAIN_COMPONENTS + " SELECT component_id, vertex_id FROM c")
+def chain_components(spark, sf_dir):
+    return connected_components(views.chains(spark, sf_dir)).select("component_id", "vertex_id")
+
+
+@_query(_CHAIN_COMPONENTS + " SELECT component_id, count(*) AS size FROM c GROUP BY component_id HAVING count(*) >= 10")
+def chain_sizes(spark, sf_dir):
+    return connected_components(views.chains(spark, sf_dir), ComponentOptions(min_size=10)).select("component_id", "size").distinct()
+
+
+def _first_order(graph: Graph) -> str:
+    """The smallest vertex that an edge leaves and none enters."""
+    return graph.edges.join(graph.edges.select(F.col("dst").alias("src")), "src", "left_anti").agg(F.min("src")).first()[0] or "order:0"
+
+
+_FIRST_ORDER = f"WITH RECURSIVE {CHAINS}, f AS (SELECT min(src) AS v FROM ce WHERE src NOT IN (SELECT dst FROM ce)), walk AS (SELECT v, 0 AS d, CAST(NULL AS VARCHAR) AS p FROM f UNION ALL SELECT dst, d + 1, src FROM walk JOIN ce ON src = v)"
+
+
+@_query(_FIRST_ORDER + " SELECT CAST(d AS BIGINT) AS visit_order, v AS vertex_id, CAST(d AS INTEGER) AS depth, p AS parent_id FROM walk")
+def chain_dfs(spark, sf_dir):
+    graph = views.chains(spark, sf_dir).stored()
+    return dfs(graph, _first_order(graph), BfsDfsOptions("NEXT", max_depth=UNBOUNDED, max_vertices=UNBOUNDED))
+
+
+@_query(_FIRST_ORDER + " SELECT v AS id FROM walk WHERE d BETWEEN 1 AND 3")
+def chain_neighbors(spark, sf_dir):
+    graph = views.chains(spark, sf_dir).stored()
+    return neighbors(graph, _first_order(graph), NeighborOptions("NEXT", max_depth=3)).select("id")
+
+
+@_query(f"""WITH RECURSIVE {HABITS}, steps AS (SELECT src AS a, dst AS b FROM ae UNION ALL SELECT dst, src FROM ae), reach AS (SELECT id AS v, id AS r FROM av UNION SELECT b, r FROM reach JOIN steps ON a = v)
+    SELECT min(r) AS component_id, v AS vertex_id FROM reach GROUP BY v""")
+def habit_components(spark, sf_dir):
+    return connected_components(views.habits(spark, sf_dir)).select("component_id", "vertex_id")
+
+
+_HABITS_STRONG = f"""WITH RECURSIVE {HABITS}, reach AS (SELECT id AS v, id AS r FROM av UNION SELECT dst, r FROM reach JOIN ae ON src = v),
+    c AS (SELECT min(x.r) AS component_id, x.v AS vertex_id FROM reach x JOIN reach y ON x.v = y.r AND x.r = y.v GROUP BY x.v)"""
+
+
+@_query(_HABITS_STRONG + " SELECT component_id, vertex_id FROM c")
+def habit_components_strong(spark, sf_dir):
+    return connected_components(views.habits(spark, sf_dir), ComponentOptions(weakly=False)).select("component_id", "vertex_id")
+
+
+@_query(_HABITS_STRONG + " SELECT component_id, vertex_id FROM c WHERE component_id IN (SELECT component_id FROM c GROUP BY component_id HAVING count(*) >= 4)")
+def habit_components_min_size(spark, sf_dir):
+    return connected_components(views.habits(spark, sf_dir), ComponentOptions(weakly=False, min_size=4)).select("component_id", "vertex_id")
+
+
+_HABIT_CYCLES = _CYCLES.replace(TRADE, HABITS).replace(" te ", " ae ")
+
+
+@_query(_HABIT_CYCLES.format(depth=5) + " SELECT cycle, length FROM done")
+def habit_cycles(spark, sf_dir):
+    return detect_cycles(views.habits(spark, sf_dir), CycleOptions(max_depth=5, max_cycles=UNBOUNDED)).select(path_text().alias("cycle"), "length")
+
+
+@_query(_HABIT_CYCLES.format(depth=4) + " SELECT cycle, length FROM done ORDER BY p LIMIT 40")
+def habit_cycles_capped(spark, sf_dir):
+    return detect_cycles(views.habits(spark, sf_dir), CycleOptions(max_depth=4, max_cycles=40)).select(path_text().alias("cycle"), "length")
+
+
+@_query(_rank_sql(HABITS, "av", "ae", 6, "SELECT id AS vertex_id, round(r * 1000, 6) AS score, row_number() OVER (ORDER BY round(r, 12) DESC, id) AS rank FROM {r} ORDER BY round(r, 12) DESC, id LIMIT 10"))
+def habit_ranks(spark, sf_dir):
+    return page_rank(views.habits(spark, sf_dir), PageRankOptions(iterations=6, tolerance=0.0, top_k=10)).select("vertex_id", F.round(F.col("score") * 1000, 6).alias("score"), "rank")
+
+
+@_query(f"""WITH {HABITS}, i AS (SELECT dst AS id, count(*) AS n FROM ae GROUP BY dst), o AS (SELECT src AS id, count(*) AS n FROM ae GROUP BY src)
+    SELECT av.id AS vertex_id, CAST(coalesce(i.n, 0) AS INTEGER) AS in_degree, CAST(coalesce(o.n, 0) AS INTEGER) AS out_degree, CAST(coalesce(i.n, 0) + coalesce(o.n, 0) AS INTEGER) AS total
+    FROM av LEFT JOIN i ON i.id = av.id LEFT JOIN o ON o.id = av.id""")
+def habit_degrees(spark, sf_dir):
+    return degrees(views.habits(spark, sf_dir))
+
+
 # Files ---------------------------------------------------------------------------------------------------------------
 
 _ALL_GEO = GraphExportOptions(frozenset({"Nation", "Supplier", "Region", "Customer"}), frozenset({"IN_REGION", "BASED_IN", "LIVES_IN"}))
@@ -494,6 +582,24 @@ def graphml_roundtrip(spark, sf_dir):
     return _graphml(spark, sf_dir, _ALL_GEO)
 
 
+@_query("SELECT 'nation:' || n_nationkey AS external, 'Nation' AS label, n_name AS name, NULL AS balance FROM nation UNION ALL SELECT 'customer:' || c_custkey, 'Customer', c_name, c_acctbal FROM customer")
+def graphml_nested(spark, sf_dir):
+    """Nations whose customers stand in a graph within the nation's node."""
+    nation, customer = views.table(spark, sf_dir, "nation"), views.table(spark, sf_dir, "customer")
+    data = lambda key, value: F.concat(F.lit(f'<data key="{key}">'), value.cast("string"), F.lit("</data>"))
+    key, line = F.col("key"), lambda n, *parts: F.struct(F.lit(n).alias("n"), F.concat(*parts).alias("line"))
+    opening = line(0, F.lit('<node id="nation:'), key.cast("string"), F.lit('">'), data("l", F.lit("Nation")), F.lit('<graph edgedefault="directed"><!-- <node> -->'))
+    closing = line(2, F.lit("</graph>"), data("n", F.col("name")), F.lit("</node>"))
+    inner = line(1, F.lit('<node id="customer:'), F.col("c_custkey").cast("string"), F.lit('">'), data("l", F.lit("Customer")), data("n", F.col("c_name")), data("b", F.col("c_acctbal")), F.lit("</node>"))
+    lines = nation.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")).select("key", F.explode(F.array(opening, closing)).alias("x")).union(customer.select(F.col("c_nationkey"), inner))
+    head = '<graphml><key id="l" attr.name="label"/><key id="n" attr.name="name"/><key id="b" attr.name="balance" attr.type="double"/><graph edgedefault="directed">'
+    at = fresh_path(spark, "nested")
+    placed = lines.select("key", "x.*").repartitionByRange("key").sortWithinPartitions("key", "n")
+    placed.select(F.col("line").alias("value")).mapInArrow(whole_documents(head, "</graph></graphml>", False), "value string").write.text(at)
+    get = lambda name, kind: F.try_variant_get("properties", f"$.{name}", kind)
+    return import_graphml(spark, at)[0].vertices.select(get("_graphIoExternalId", "string").alias("external"), "label", get("name", "string").alias("name"), get("balance", "double").alias("balance"))
+
+
 def _faulty(spark, sf_dir) -> str:
     """Envelopes with each nation twice and edges to nations that aren't there."""
     nation, customer = views.table(spark, sf_dir, "nation"), views.table(spark, sf_dir, "customer")

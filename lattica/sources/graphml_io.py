@@ -43,7 +43,7 @@ def _kinds(frame: DataFrame, legacy: bool) -> dict[str, str]:
     return {r["key"]: TYPES.get(r["lo"], "string") for r in rows}
 
 
-def _documents(head: str, tail: str, always: bool):
+def whole_documents(head: str, tail: str, always: bool):
     """Lines of each partition as a document; of one without lines only if ``always``."""
 
     def run(batches):
@@ -95,7 +95,7 @@ def export_graphml(graph: Graph, path: str | BinaryIO, options: GraphExportOptio
     told = nodes.union(links).observe(seen, F.count_if(F.col("part") == 1).alias("v"), F.count_if(F.col("part") == 2).alias("e"))
     at, one = sink(spark, path), xml.one_file or not isinstance(path, str)
     told = told.coalesce(1).sortWithinPartitions("part") if one else told
-    whole = told.select("value").mapInArrow(_documents("\n".join(head), "</graph>\n</graphml>", one), "value string")
+    whole = told.select("value").mapInArrow(whole_documents("\n".join(head), "</graph>\n</graphml>", one), "value string")
     whole.select(encoded(F.col("value"), xml.encoding).alias("value")).write.mode("overwrite").text(at)
     report.vertices_written, report.edges_written = seen.get["v"], seen.get["e"]
     deliver(spark, at, path)
