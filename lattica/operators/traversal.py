@@ -51,25 +51,46 @@ def _no_path(graph: Graph) -> DataFrame:
     return graph.spark.createDataFrame([], "vertex_ids array<string>, edge_ids array<string>, length int")
 
 
-def _levels(graph: Graph, keep: Scratch, steps: DataFrame, start: str, stop: str | None, max_depth: int, with_edges: bool = False) -> tuple[list[DataFrame], bool]:
-    """Level-synchronous search along ``steps``, which go both ways: [vertices (b) of level 0, level 1, ...], and whether ``stop`` was met (the search ends there).
+def _ahead(steps: DataFrame, levels: list[DataFrame], with_edges: bool = False) -> DataFrame:
+    """The level after the last: b of each vertex, or (a, b, edge_id) of each step into it.
 
     As every step also goes back, a step leads one level on, one back or to the
-    same level: only two levels are left out of the next.  With edges levels from 1 on have a row (a, b, edge_id) for each step into them.
+    same level: only two levels are left out of the next.
     """
+    ahead = steps.join(levels[-1].select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    ahead = ahead.select("a", "b", "edge_id") if with_edges else ahead.select("b").distinct()
+    return ahead.join(reduce(DataFrame.union, [level.select("b") for level in levels[-2:]]), "b", "left_anti")
+
+
+def _levels(graph: Graph, keep: Scratch, steps: DataFrame, start: str, max_depth: int) -> list[DataFrame]:
+    """Level-synchronous search along ``steps``, which go both ways: [vertices (b) of level 0, level 1, ...]."""
     levels = [graph.vertices.where(F.col("id") == start).select(F.col("id").alias("b"))]
     for _ in range(max_depth):
-        ahead = steps.join(levels[-1].select(F.col("b").alias("a")), "a", "left_semi")
-        ahead = ahead.select("a", "b", "edge_id") if with_edges else ahead.select("b").distinct()
-        ahead = ahead.join(reduce(DataFrame.union, [level.select("b") for level in levels[-2:]]), "b", "left_anti")
-        facts = {"n": F.count("*")} | ({} if stop is None else {"met": F.max(F.col("b") == stop)})
-        ahead, seen = keep.stored_seeing(ahead, "level", **facts)
+        ahead, seen = keep.stored_seeing(_ahead(steps, levels), "level", n=F.count("*"))
         if not seen["n"]:
             break
         levels.append(ahead)
-        if stop is not None and seen["met"]:
-            return levels, True
-    return levels, False
+    return levels
+
+
+def _meet(graph: Graph, keep: Scratch, steps: DataFrame, ends: tuple[str, str], max_depth: int) -> tuple[list[list[DataFrame]], list[list[int]]] | None:
+    """Levels of steps from both ends until the last ones share a vertex, and their sizes; None if they don't within max_depth.
+
+    The side whose last level has fewer steps grows, so a hub on the way is met by one side instead of being opened by both.
+    Before a side grows the sides share nothing: the first vertex that they share is on a shortest path.
+    """
+    sides = [[graph.vertices.where(F.col("id") == end).select(F.col("id").alias("b"))] for end in ends]
+    sizes = [[1], [1]]
+    for _ in range(max_depth):
+        k = int(sizes[1][-1] < sizes[0][-1])
+        marks = sides[1 - k][-1].select("b").distinct().withColumn("hit", F.lit(True))
+        ahead, facts = keep.stored_seeing(_ahead(steps, sides[k], with_edges=True).join(marks, "b", "left"), "level", n=F.count("*"), met=F.max("hit"))
+        if not facts["n"]:
+            return None
+        sides[k].append(ahead), sizes[k].append(facts["n"])
+        if facts["met"]:
+            return sides, sizes
+    return None
 
 
 def _distances(levels: list[DataFrame]) -> DataFrame:
@@ -79,7 +100,7 @@ def _distances(levels: list[DataFrame]) -> DataFrame:
 def shortest_path(graph: Graph, from_id: str, to_id: str, options: PathOptions | None = None) -> DataFrame:
     """The shortest path over edges of either direction: one row (vertex_ids, edge_ids, length) or none.
 
-    Among paths of least length the lexicographically smallest (vertex_ids,
+    The search grows from both ends.  Among paths of least length the lexicographically smallest (vertex_ids,
     edge_ids) is taken.  No path for from = to, nor beyond max_depth.
     """
     options = options or PathOptions()
@@ -88,16 +109,17 @@ def shortest_path(graph: Graph, from_id: str, to_id: str, options: PathOptions |
         return _no_path(graph)
     keep = Scratch()
     steps = graph.steps(keep, Direction.BOTH, options.edge_label).where("a <> b")
-    levels, met = _levels(graph, keep, steps, from_id, to_id, options.max_depth, with_edges=True)
-    if not met:
+    found = _meet(graph, keep, steps, (from_id, to_id), options.max_depth)
+    if found is None:
         keep.discard()
         return _no_path(graph)
-    # from the end back: the best rest of a path from each vertex that lies on one
+    (near, far), _ = found
+    # the best rest of a path from each vertex of a level: of the far side's levels outwards, then of the near side's back to the start
     best = graph.spark.createDataFrame([(to_id, [to_id], [])], "v string, vs array<string>, es array<string>")
-    for level in reversed(levels[1:]):
-        back = level.join(best.withColumnRenamed("v", "b"), "b")
-        rest = F.struct(F.concat(F.array("a"), "vs").alias("vs"), F.concat(F.array("edge_id"), "es").alias("es"))
-        best = back.groupBy(F.col("a").alias("v")).agg(F.min(rest).alias("m")).select("v", "m.vs", "m.es")
+    for level, last, first in [*((level, "a", "b") for level in far[1:]), *((level, "b", "a") for level in reversed(near[1:]))]:
+        back = level.select("a", "b", "edge_id").join(best.withColumnRenamed("v", last), last)
+        rest = F.struct(F.concat(F.array(first), "vs").alias("vs"), F.concat(F.array("edge_id"), "es").alias("es"))
+        best = back.groupBy(F.col(first).alias("v")).agg(F.min(rest).alias("m")).select("v", "m.vs", "m.es")
     path = best.where(F.col("v") == from_id).select(F.col("vs").alias("vertex_ids"), F.col("es").alias("edge_ids"), F.size("es").alias("length"))
     return keep.result(path, "path")
 
@@ -108,7 +130,7 @@ def shortest_path_lengths(graph: Graph, from_id: str, options: PathOptions | Non
     require_text(from_id, "from id")
     keep = Scratch()
     steps = graph.steps(keep, Direction.BOTH, options.edge_label)
-    levels, _ = _levels(graph, keep, steps.where("a <> b"), from_id, None, options.max_depth)
+    levels = _levels(graph, keep, steps.where("a <> b"), from_id, options.max_depth)
     keep.discard(steps)
     return _distances(levels)
 
@@ -126,7 +148,7 @@ def all_paths(graph: Graph, from_id: str, to_id: str, options: PathOptions | Non
         return _no_path(graph)
     keep = Scratch()
     steps = graph.steps(keep, Direction.BOTH, options.edge_label).where("a <> b")
-    near = _distances(_levels(graph, keep, steps, to_id, None, options.max_depth - 1)[0])
+    near = _distances(_levels(graph, keep, steps, to_id, options.max_depth - 1))
     # a step counts only if its end is near enough to the goal
     steps = keep.stored(steps.join(near.select(F.col("id").alias("b"), "distance"), "b"), "steps")
     held = graph.vertices.where(F.col("id") == from_id).select(F.array("id").alias("vertex_ids"), F.array().cast("array<string>").alias("edge_ids"))

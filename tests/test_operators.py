@@ -7,7 +7,7 @@ import pytest
 from lattica.errors import GraphQueryError
 from lattica.graph import Graph
 from lattica.model import Direction
-from lattica.operators import cycles, depth_first, pagerank
+from lattica.operators import cycles, depth_first, pagerank, traversal
 from lattica.operators.components import connected_components
 from lattica.operators.cycles import cycles_through, detect_cycles
 from lattica.operators.degree import degree_centrality, degrees
@@ -18,6 +18,7 @@ from lattica.operators.traversal import all_paths, neighbors, shortest_path
 from lattica.options import UNBOUNDED, BfsDfsOptions, ComponentOptions, CycleOptions, DegreeOptions, NeighborOptions, PageRankOptions, PathOptions
 from lattica.plans.components import star_contract
 from lattica.plans.numbering import numbered
+from lattica.plans.storage import Scratch
 
 
 def make(spark, vertices, pairs, label="E"):
@@ -168,6 +169,25 @@ def test_paths(spark):
             assert shortest == [(*p, len(p[1])) for p in want[:1]]
 
 
+def test_shortest_path_grows_from_both_ends(spark):
+    """A hub at one end isn't opened if the other end gets there first."""
+    rim = [("hub", f"h{i}") for i in range(200)] + [(f"h{i}", f"g{i}") for i in range(200)]
+    line = [("l0", "l1"), ("l1", "l2"), ("l2", "l3"), ("l3", "h7")]
+    graph = make(spark, [*{x for p in rim + line for x in p}], rim + line).stored()
+    keep = Scratch()
+    steps = graph.steps(keep, Direction.BOTH).where("a <> b")
+    (near, far), sizes = traversal._meet(graph, keep, steps, ("l0", "hub"), 10)
+    assert len(near) - 1 == 5 and len(far) == 1 and sizes[1] == [1] and max(sizes[0]) <= 2
+    brooms = make(spark, [], [("a", f"a{i}") for i in range(9)] + [("b", f"b{i}") for i in range(9)] + [("a0", "m"), ("m", "b0")])
+    brooms = Graph(brooms.edges.selectExpr("explode(array(src, dst)) as id", "'V' as label").distinct(), brooms.edges, at_rest=True)
+    (near, far), sizes = traversal._meet(brooms, keep, brooms.steps(keep, Direction.BOTH).where("a <> b"), ("a", "b"), 10)
+    assert sizes == [[1, 9, 1, 1], [1, 9]] and (len(near), len(far)) == (4, 2)
+    r = shortest_path(graph, "l0", "hub").first()
+    assert r["vertex_ids"] == ["l0", "l1", "l2", "l3", "h7", "hub"] and r["length"] == 5
+    assert shortest_path(graph, "l0", "hub", PathOptions(max_depth=4)).count() == 0
+    assert shortest_path(graph, "hub", "g9").first()["vertex_ids"] == ["hub", "h9", "g9"] and shortest_path(graph, "hub", "nowhere").count() == 0
+
+
 def test_paths_give_up(spark):
     graph = make(spark, "abcdef", [(a, b) for a in "abcdef" for b in "abcdef" if a < b])
     with pytest.raises(GraphQueryError):
