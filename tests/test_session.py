@@ -370,3 +370,29 @@ def test_mutations_against_a_model(spark, monkeypatch):
     assert sorted((r["id"], r["name"]) for r in native.graph.vertices.collect()) == sorted([("a", "z"), (b.id, "y")]) and native.graph.edges.count() == 1
     with pytest.raises(ValueError):
         native.create_vertex("P", {"other": 1})
+
+
+def test_components_of_a_growing_graph(spark, tmp_path):
+    """Labels after each batch equal a full run; a batch that is run again changes nothing."""
+    from lattica.operators.components import connected_components
+    from lattica.streaming.components import ComponentLabels
+
+    rng = random.Random(12)
+    labels = ComponentLabels(spark, str(tmp_path / "cc"))
+    assert labels.labels().count() == 0
+    seen_v, seen_e = [], []
+    shown = lambda: sorted(map(tuple, labels.labels().select("component_id", "vertex_id").collect()))
+    for number in range(4):
+        edges = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(14)]
+        alone = [(f"n{rng.randrange(70)}",) for _ in range(5)]
+        update = lambda n=number, v=alone, e=edges: labels.update(n, spark.createDataFrame(v, "id string"), spark.createDataFrame([*e, (None, "n1")], "src string, dst string"))
+        update()
+        seen_v += [i for i, in alone] + [i for pair in edges for i in pair]
+        seen_e += edges
+        whole = Graph.from_rows(spark, [(i, "V") for i in sorted(set(seen_v))], [(str(k), "E", a, b) for k, (a, b) in enumerate(seen_e)])
+        want = sorted(map(tuple, connected_components(whole).select("component_id", "vertex_id").collect()))
+        assert shown() == want
+        if number == 2:
+            update()
+            assert shown() == want
+    assert len({c for c, _ in want}) > 2
