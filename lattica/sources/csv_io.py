@@ -12,7 +12,7 @@ from lattica.errors import require
 from lattica.graph import Graph
 from lattica.options import CsvOptions, CsvPropertyMode, GraphExportOptions, GraphImportOptions
 from lattica.plans.storage import stored_seeing
-from lattica.sources.endpoints import deliver, sink, source
+from lattica.sources.endpoints import Staging, deliver, sink, source
 from lattica.sources.report import ExportReport, Failure, Format, ImportReport, Phase, Severity
 from lattica.sources.staging import apply, as_map, before, keys_of, position, selected, text_of
 
@@ -37,10 +37,13 @@ def export_csv(graph: Graph, vertices_path: str | BinaryIO, edges_path: str | Bi
     """Write the named labels to folders, or to streams; null and absent properties are empty cells, every value is text."""
     began, spark = time.time(), graph.spark
     report = ExportReport(Format.CSV)
-    for frame, fixed, given, count in zip(selected(graph, options), (VERTEX, EDGE), (vertices_path, edges_path), ("vertices_written", "edges_written")):
-        own, path, seen = _columns(as_map(frame, fixed, options.include_empty_properties), fixed, csv), sink(spark, given), Observation()
-        own.observe(seen, F.count("*").alias("n")).write.mode("append" if append else "overwrite").csv(path, header=True, quote='"', escape='"', emptyValue='""', nullValue="", encoding=charset)
-        setattr(report, count, seen.get["n"])
+    paths = [sink(spark, given) for given in (vertices_path, edges_path)]
+    with Staging(spark, append) as staged:
+        for frame, fixed, path, count in zip(selected(graph, options), (VERTEX, EDGE), paths, ("vertices_written", "edges_written")):
+            own, seen = _columns(as_map(frame, fixed, options.include_empty_properties), fixed, csv), Observation()
+            own.observe(seen, F.count("*").alias("n")).write.csv(staged.folder(path), header=True, quote='"', escape='"', emptyValue='""', nullValue="", encoding=charset)
+            setattr(report, count, seen.get["n"])
+    for path, given in zip(paths, (vertices_path, edges_path)):
         deliver(spark, path, given, header=True)
     report.elapsed = time.time() - began
     return report

@@ -6,6 +6,7 @@ folder, where the executors read it in parallel.  Streams are flushed, never clo
 
 from __future__ import annotations
 
+import uuid
 from typing import BinaryIO
 
 from pyspark.sql import Column, SparkSession, functions as F
@@ -61,6 +62,48 @@ def deliver(spark: SparkSession, path: str, given: str | BinaryIO, header: bool
     fs.delete(place, True)
 
 
+class Staging:
+    """Exports are written beside their targets and put in their places together, once all are whole.
+
+    ``with Staging(spark) as staged:`` write to ``staged.folder(target)``.  If anything fails within, the targets are as they were; what has
+    been written goes.  With ``append`` files are added to the target instead of taking its place.
+    """
+
+    def __init__(self, spark: SparkSession, append: bool = False):
+        self.spark, self.append, self.pending = spark, append, []
+
+    def folder(self, target: str) -> str:
+        parent, _, name = target.rstrip("/").rpartition("/")
+        beside = f"{parent}/_{name}-{uuid.uuid4().hex}" if parent else f"_{name}-{uuid.uuid4().hex}"
+        self.pending.append((beside, target.rstrip("/")))
+        return beside
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            for beside, target in self.pending:
+                self._place(beside, target)
+        for beside, _ in self.pending:
+            fs, place = _fs(self.spark, beside)
+            fs.delete(place, True)
+
+    def _place(self, beside: str, target: str) -> None:
+        fs, new = _fs(self.spark, beside)
+        there, old = _fs(self.spark, target)[1], _fs(self.spark, f"{beside}-old")[1]
+        if self.append and fs.exists(there):
+            for status in fs.listStatus(new):
+                name = status.getPath().getName()
+                if name[0] not in "_.":
+                    fs.rename(status.getPath(), _fs(self.spark, f"{target}/{name}")[1])
+            return
+        if fs.exists(there):
+            fs.rename(there, old)
+        require(fs.rename(new, there), f"{target} can't be put in its place; it is at {beside}")
+        fs.delete(old, True)
+
+
 def checked_charset(charset: str) -> str:
     """Of text files by lines: one that writes ASCII as ASCII does."""
     require("\n<{,".encode(charset) == b"\n<{,", f"{charset} doesn't hold ASCII as it is")

@@ -13,7 +13,7 @@ from lattica.errors import require
 from lattica.graph import Graph
 from lattica.options import GraphExportOptions, GraphImportOptions, GraphMlExportOptions, GraphMlImportOptions, UnsupportedElementPolicy
 from lattica.plans.storage import Scratch, stored
-from lattica.sources.endpoints import deliver, encoded, sink, source
+from lattica.sources.endpoints import Staging, deliver, encoded, sink, source
 from lattica.sources.graphml_events import read_events
 from lattica.sources.report import ExportReport, Failure, Format, ImportReport, Phase, Severity
 from lattica.sources.staging import apply, as_map, keys_of, kinds_of, selected, text_of
@@ -96,7 +96,8 @@ def export_graphml(graph: Graph, path: str | BinaryIO, options: GraphExportOptio
     at, one = sink(spark, path), xml.one_file or not isinstance(path, str)
     told = told.coalesce(1).sortWithinPartitions("part") if one else told
     whole = told.select("value").mapInArrow(whole_documents("\n".join(head), "</graph>\n</graphml>", one), "value string")
-    whole.select(encoded(F.col("value"), xml.encoding).alias("value")).write.mode("overwrite").text(at)
+    with Staging(spark) as staged:
+        whole.select(encoded(F.col("value"), xml.encoding).alias("value")).write.text(staged.folder(at))
     report.vertices_written, report.edges_written = seen.get["v"], seen.get["e"]
     deliver(spark, at, path)
     report.elapsed = time.time() - began

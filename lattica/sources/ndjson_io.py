@@ -12,7 +12,7 @@ from lattica.errors import require
 from lattica.graph import Graph
 from lattica.options import GraphExportOptions, GraphImportOptions
 from lattica.plans.storage import stored_seeing
-from lattica.sources.endpoints import decoded, deliver, encoded, sink, source
+from lattica.sources.endpoints import Staging, decoded, deliver, encoded, sink, source
 from lattica.sources.report import ExportReport, Failure, Format, ImportReport, Phase, Severity
 from lattica.sources.staging import apply, as_map, before, position, selected
 
@@ -27,7 +27,8 @@ def export_ndjson(graph: Graph, path: str | BinaryIO, options: GraphExportOption
     e = e.select(F.lit(False), F.to_json(F.struct(F.lit("edge").alias("type"), "id", "label", F.col("src").alias("from"), F.col("dst").alias("to"), F.col("props").alias("properties"))).alias("value"))
     told = v.union(e).observe(seen, F.count_if("is_vertex").alias("v"), F.count_if(~F.col("is_vertex")).alias("e"))
     at = sink(spark, path)
-    told.select(encoded(F.col("value"), charset).alias("value")).write.mode("append" if append else "overwrite").text(at)
+    with Staging(spark, append) as staged:
+        told.select(encoded(F.col("value"), charset).alias("value")).write.text(staged.folder(at))
     report.vertices_written, report.edges_written = seen.get["v"], seen.get["e"]
     deliver(spark, at, path)
     report.elapsed = time.time() - began

@@ -4,6 +4,7 @@ import glob
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.graph import Graph
 from lattica.options import CsvOptions, CsvPropertyMode, DuplicatePolicy, GraphExportOptions, GraphImportOptions, GraphMlExportOptions, GraphMlImportOptions, MissingEndpointPolicy, UnsupportedElementPolicy
@@ -283,3 +284,40 @@ def test_events_of_every_cut():
         assert records([i]) == want, i
     for cut in ([3, 9, 20], list(range(1, len(pieces), 2)), list(range(1, len(pieces)))):
         assert records(cut) == want
+
+
+def test_a_failed_export_changes_nothing(spark, graph, tmp_path):
+    """Targets are replaced as a whole, both folders of CSV together."""
+    v, e, n, x = (str(tmp_path / k) for k in "venx")
+    export_csv(graph, v, e, ALL), export_ndjson(graph, n, ALL), export_graphml(graph, x, ALL)
+    before = {k: lines_of(k) for k in (v, e, n, x)}
+    bad = Graph(graph.vertices, graph.edges.withColumn("dst", F.when(F.col("id") == "8", F.raise_error(F.lit("broken"))).otherwise(F.col("dst"))))
+    for export in (lambda: export_csv(bad, v, e, ALL), lambda: export_ndjson(bad, n, ALL), lambda: export_graphml(bad, x, ALL)):
+        with pytest.raises(Exception, match="broken"):
+            export()
+    assert {k: lines_of(k) for k in (v, e, n, x)} == before
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == sorted("venx")
+    export_ndjson(graph, n, ALL, append=True)
+    assert sorted(lines_of(n)) == sorted(before[n] * 2)
+    export_ndjson(import_ndjson(spark, n, SKIP)[0], n, ALL)
+    assert len(lines_of(n)) == len(before[n]) + len([x for x in before[n] if '"edge"' in x])
+
+
+def test_saved_graphs_are_laid_out_for_look_ups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from lattica.catalog import GraphCatalog
+    from lattica.options import EngineConfig
+
+    vertices = spark.range(5000).selectExpr("concat('v', lpad(id, 5, '0')) as id", "if(id % 2 = 0, 'P', 'Q') as label", "id as n")
+    edges = vertices.selectExpr("concat('e', n) as id", "'E' as label", "id as src", "'v00000' as dst")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        saved = GraphCatalog(spark, EngineConfig(str(tmp_path))).save("g", Graph(vertices, edges))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = saved.find_vertex_by_id("P", "v00042")
+    assert found.first()["n"] == 42 and "EqualTo(id,v00042)" in found._jdf.queryExecution().executedPlan().toString()
+    files = [pq.ParquetFile(f).metadata.row_group(0) for f in glob.glob(f"{tmp_path}/g/*/vertices/*.parquet")]
+    ranges = sorted((g.column(1).statistics.min, g.column(0).statistics.min, g.column(0).statistics.max, g.column(1).statistics.max) for g in files)
+    assert len(ranges) > 3 and sum(lo <= "v00042" <= hi and label == "P" for label, lo, hi, _ in ranges) <= 2
