@@ -1,11 +1,11 @@
 """Threshold-scaled sketches of documents, with DataFrame expressions only.
 
 A sketch keeps every hash of a five-word shingle below a fixed fraction of the
-hash range (if none is, the smallest hash).  The fraction is 1: with a smaller
-one short texts have no hash that a larger document's sketch is sure to hold.  Sketches of any two documents can
-be merged (union, then the same rule) and compared: the share of the smaller
-sketch that is in the other estimates containment, however unequal the
-documents are.
+hash range, a quarter.  So the sketch of two documents together is the union of theirs, and the share
+of the smaller sketch that is in the other estimates containment, however unequal the
+documents are: with k hashes in the smaller one the standard error is at most 1 / sqrt(4 k).  Few
+hashes say little: a text of fewer than ``EXACT`` shingles is compared on its full shingle set
+wherever the other's is at hand too.
 """
 
 from __future__ import annotations
@@ -13,49 +13,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: One of 2**SCALE hashes is kept; words of a shingle.
-SCALE, WORDS = 0, 5
+SCALE, WORDS = 2, 5
+#: Distinct shingles from which on a text is compared by its sketch, which then has some 64 hashes or more: a standard error of at most 0.06.
+EXACT = 256
 #: Rows of an id range, id ranges from percentiles at most, and ranges that one of these is cut into at most.
 RANGE_ROWS, RANGES, CUTS = 250, 2_048, 256
 #: Bits of a text's hash that place the rows of one id.
 _PLACE = 26
 
 
-def _low(hashes: Column, scale: int) -> Column:
-    return F.filter(hashes, lambda h: F.shiftrightunsigned(h, 64 - scale) == 0) if scale else hashes  # a shift by 64 is one by 0
+def shingles(text: Column, words: int = WORDS) -> Column:
+    """Array of the distinct 64-bit hashes (xxhash64) of lower-cased shingles; a shorter text is one shingle, no words (and null) give none.
 
-
-def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
-    """Sorted array of the kept 64-bit hashes (xxhash64) of lower-cased shingles; a shorter text is one shingle, no words give none."""
-    own = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    Lower-casing is Spark's ``lower``.
+    """
+    own = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
     def of(tokens):
         n = F.size(tokens)
         runs = F.when(n >= words, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (words - 1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(tokens, i, words)))))
-        return runs.when(n > 0, F.array(F.xxhash64(F.concat_ws(" ", tokens)))).otherwise(F.array().cast("array<bigint>"))
+        return F.array_distinct(runs.when(n > 0, F.array(F.xxhash64(F.concat_ws(" ", tokens)))).otherwise(F.array().cast("array<bigint>")))
 
-    # transform() over one-element arrays binds a value, so that it is made once
-    hashes = F.get(F.transform(F.array(own), of), 0)
+    # transform() over a one-element array binds a value, so that it is made once
+    return F.get(F.transform(F.array(own), of), 0)
 
-    def rule(all_hashes):
-        low = _low(all_hashes, scale)
-        return F.get(F.transform(F.array(low), lambda x: F.when(F.size(x) > 0, F.sort_array(F.array_distinct(x))).when(F.size(all_hashes) > 0, F.array(F.array_min(all_hashes))).otherwise(x)), 0)
 
-    return F.get(F.transform(F.array(hashes), rule), 0)
+def sketch(hashes: Column, scale: int = SCALE) -> Column:
+    """Sorted array of the hashes below the threshold, of those that :func:`shingles` gives."""
+    return F.sort_array(F.filter(hashes, lambda h: F.shiftrightunsigned(h, 64 - scale) == 0) if scale else hashes)  # a shift by 64 is one by 0
 
 
-def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """Sketch of two documents together, from their sketches."""
-    both = F.array_union(a, b)
-    low = _low(both, scale)
-    return F.when(F.size(low) > 0, F.sort_array(low)).when(F.size(both) > 0, F.array(F.array_min(both))).otherwise(both)
+def merged(a: Column, b: Column) -> Column:
+    """Sketch of two documents together, from their sketches of one scale."""
+    return F.sort_array(F.array_union(a, b))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Containment of the smaller sketch in the other; 1 for two empty ones, 0 if one is empty."""
+def _contained(a: Column, b: Column) -> Column:
     least = F.least(F.size(a), F.size(b))
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).when(F.size(a) == F.size(b), 1.0).otherwise(0.0)
 
 
+def compared_exactly(n_a: Column, n_b: Column) -> Column:
+    """Whether texts of so many distinct shingles are compared on their full sets."""
+    return F.least(n_a, n_b) < EXACT
+
+
+def likeness(a: Column, b: Column, all_a: Column | None = None, all_b: Column | None = None) -> Column:
+    """Share of the smaller of two sketches that is in the other; 1 for two empty ones, 0 if one is empty.
+
+    With the full shingle sets as well, those are compared if one has fewer than ``EXACT`` shingles.
+    """
+    if all_a is None or all_b is None:
+        return _contained(a, b)
+    return F.when(compared_exactly(F.size(all_a), F.size(all_b)), _contained(all_a, all_b)).otherwise(_contained(a, b))
+
+
 def as_text(a: Column) -> Column:
     """Hashes in 16 hex digits each, in unsigned order."""
     a = F.concat(F.filter(a, lambda h: h >= 0), F.filter(a, lambda h: h < 0))
@@ -123,15 +135,22 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text and of the next document's, and their likeness.
 
     Edited: the last floor(n_chars / 4) code points give way to the first as
-    many of the next document (all, if it has fewer).  Null texts count as
-    empty; rows without an id come first; repeated rows follow each other, and different rows
-    of one id are in an order of their texts' hashes.  A
-    row for each row of ``docs``; other columns are ignored; empty in, empty out.
+    many of the next document (all, if it has fewer).  A fingerprint is the text's sketch, so that of a short text
+    may be empty; texts of fewer than ``EXACT`` distinct shingles (counted in n_shingles, edited_shingles and next_shingles)
+    are compared on their full sets, which are in the row.
+
+    Null texts count as empty; rows without an id come first; repeated rows follow each other, and different rows
+    of one id are in an order of their texts' hashes.  A very long text is one row like others: its words and hashes are
+    arrays in memory, about a dozen times its size.  A row for each row of ``docs``; other columns are ignored; empty in, empty out.
     """
-    rows = with_next(docs, sketch(F.col("text")))
+    rows = with_next(docs, shingles(F.col("text")))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own")
-    made = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", sketch(F.col("edited")).alias("changed"), F.col("next_own").alias("following"))
-    return made.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", F.col("next_own").alias("following"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", shingles(F.col("edited")).alias("changed"), "following")
+    rows = rows.withColumns({f"low_{c}": sketch(F.col(c)) for c in ("own", "changed", "following")})
+    like = lambda other: likeness(F.col("low_own"), F.col(f"low_{other}"), F.col("own"), F.col(other))
+    counts = [F.size(c).cast("long").alias(name) for c, name in (("own", "n_shingles"), ("changed", "edited_shingles"), ("following", "next_shingles"))]
+    prints = [as_text(F.col("low_own")).alias("fingerprint"), as_text(F.col("low_changed")).alias("edited_fingerprint")]
+    return rows.select("doc_id", "n_chars", "edited_sha256", *prints, like("changed").alias("near_edited"), like("following").alias("near_next"), *counts)

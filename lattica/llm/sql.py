@@ -75,9 +75,9 @@ FINGERPRINT_LIKENESS = f"""
     x AS (SELECT doc_id, t, f, t[1:len(t) - cut] || f[1:cut] AS edited FROM n),
     w AS (SELECT *, {_WORDS.format(text="lower(t)")} AS wt, {_WORDS.format(text="lower(f)")} AS wf, {_WORDS.format(text="lower(edited)")} AS we FROM x),
     r AS (SELECT doc_id, len(t) AS n_chars, sha256(edited) AS edited_sha256, {_runs("wt", 5)} AS a, {_runs("we", 5)} AS b, {_runs("wf", 5)} AS c FROM w)
-    SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, edited_sha256,
-        CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b)) / least(len(a), len(b)) WHEN len(a) = len(b) THEN 1.0 ELSE 0.0 END AS near_edited,
-        CASE WHEN least(len(a), len(c)) > 0 THEN len(list_intersect(a, c)) / least(len(a), len(c)) WHEN len(a) = len(c) THEN 1.0 ELSE 0.0 END AS near_next
+    SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, edited_sha256, CAST(len(a) AS BIGINT) AS n_shingles, CAST(len(b) AS BIGINT) AS edited_shingles, CAST(len(c) AS BIGINT) AS next_shingles,
+        CASE WHEN least(len(a), len(b)) >= 256 THEN NULL WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b)) / least(len(a), len(b)) WHEN len(a) = len(b) THEN 1.0 ELSE 0.0 END AS near_edited,
+        CASE WHEN least(len(a), len(c)) >= 256 THEN NULL WHEN least(len(a), len(c)) > 0 THEN len(list_intersect(a, c)) / least(len(a), len(c)) WHEN len(a) = len(c) THEN 1.0 ELSE 0.0 END AS near_next
     FROM r
 """
 

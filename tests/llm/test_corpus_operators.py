@@ -695,15 +695,16 @@ def test_signatures_estimate_similarity():
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
-def brute_sketch(text):
+def brute_shingles(text):
     import xxhash
 
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", text.lower()) if x]
     runs = [" ".join(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else ([" ".join(w)] if w else [])
-    hashes = {xxhash.xxh64_intdigest(r.encode(), seed=42) for r in runs}
-    low = {h for h in hashes if h >> (64 - fingerprints.SCALE) == 0}
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
-    return low or ({min(hashes, key=signed)} if hashes else set())
+    return {xxhash.xxh64_intdigest(r.encode(), seed=42) for r in runs}
+
+
+def below(hashes):
+    return {h for h in hashes if h < 2**64 // 4}
 
 
 def brute_like(a, b):
@@ -725,18 +726,47 @@ def test_fingerprints(docs, empty):
     for (i, t), (_, following) in zip(rows, [*rows[1:], rows[0]]):
         cut = len(t) // 4
         edited = t[: len(t) - cut] + following[:cut]
-        a, b, c = brute_sketch(t), brute_sketch(edited), brute_sketch(following)
-        want.append((str(i), len(t), sha(edited), show(a), show(b), round(brute_like(a, b), 9), round(brute_like(a, c), 9)))
+        a, b, c = brute_shingles(t), brute_shingles(edited), brute_shingles(following)
+        near = [brute_like(a, o) if min(len(a), len(o)) < 256 else brute_like(below(a), below(o)) for o in (b, c)]
+        want.append((str(i), len(t), sha(edited), show(below(a)), show(below(b)), *(round(x, 9) for x in near)))
     assert got == sorted(want)
     assert fingerprints.fingerprint_report(empty).count() == 0
 
 
+def compared(df):
+    """Likeness of a to b by full sets where a text is short, and the numbers of kept hashes."""
+    df = df.select("*", fingerprints.shingles(F.col("a")).alias("x"), fingerprints.shingles(F.col("b")).alias("y"))
+    df = df.withColumns({"p": fingerprints.sketch(F.col("x")), "q": fingerprints.sketch(F.col("y"))})
+    return df.select("*", fingerprints.likeness(F.col("p"), F.col("q"), F.col("x"), F.col("y")).alias("l"), fingerprints.likeness(F.col("p"), F.col("q")).alias("sketches"))
+
+
 def test_short_text_within_long_one(spark):
     rng = random.Random(13)
     shorts = [prose(rng, n) for n in (5, 6, 8, 12, 20, 30) for _ in range(10)]
     df = spark.createDataFrame([(a, prose(rng, 300) + " " + a) for a in shorts], "a string, b string")
-    like = fingerprints.likeness(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b")))
-    assert {r["l"] for r in df.select(like.alias("l")).collect()} == {1.0}
+    assert {r["l"] for r in compared(df).collect()} == {1.0}
+
+
+def test_long_texts_are_compared_by_their_sketches(spark):
+    """Sketches are a quarter of the sets and shorter than their texts; likeness is within 4 standard errors of the true one, and right on average."""
+    rng = random.Random(14)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for n in (300, 1_000, 4_000):
+        for share in (0.0, 0.3, 0.8, 1.0):
+            for _ in range(6):
+                a = words(n)
+                cut = int(share * n)
+                rows.append((a, " ".join(a.split()[:cut]) + " " + words(3 * n)))
+    errors = []
+    for r in compared(spark.createDataFrame(rows, "a string, b string")).collect():
+        a, b = brute_shingles(r["a"]), brute_shingles(r["b"])
+        true = len(a & b) / min(len(a), len(b))
+        k = min(len(r["p"]), len(r["q"]))
+        assert 0.15 * len(a) < k < 0.35 * len(a) and 16 * len(r["q"]) < len(r["b"])
+        assert r["l"] == r["sketches"] and abs(r["l"] - true) <= 4 * (true * (1 - true) / k) ** 0.5 + 1e-9
+        errors.append(r["l"] - true)
+    assert abs(np.mean(errors)) < 0.01
 
 
 @pytest.mark.parametrize("shape", ["spread", "hot", "none", "clustered", "huge"])
@@ -766,11 +796,9 @@ def test_sketches_merge(spark):
     rng = random.Random(9)
     pairs = [(prose(rng, rng.randrange(1, 90)), prose(rng, rng.randrange(1, 90))) for _ in range(30)] + [("", "a"), ("", "")]
     df = spark.createDataFrame(pairs, "a string, b string")
-    for r in df.select("a", "b", fingerprints.merged(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))).alias("m")).collect():
-        both = brute_sketch(r["a"]) | brute_sketch(r["b"])
-        low = {h for h in both if h >> (64 - fingerprints.SCALE) == 0}
-        signed = lambda h: h - (1 << 64) if h >> 63 else h
-        assert set(r["m"]) == {signed(h) for h in (low or ({min(both, key=signed)} if both else set()))}
+    own = lambda c: fingerprints.sketch(fingerprints.shingles(F.col(c)))
+    for r in df.select("a", "b", fingerprints.merged(own("a"), own("b")).alias("m")).collect():
+        assert r["m"] == sorted(below(brute_shingles(r["a"]) | brute_shingles(r["b"])))
 
 
 # 9 ---------------------------------------------------------------------------------------------------------------
