@@ -17,7 +17,7 @@ from lattica.operators.degree import degree_centrality, degrees
 from lattica.operators.depth_first import dfs
 from lattica.operators.pagerank import page_rank
 from lattica.operators.search import bfs
-from lattica.operators.traversal import all_paths, neighbors, shortest_path, shortest_path_lengths
+from lattica.operators.traversal import all_paths, count_paths, neighbors, shortest_path, shortest_path_lengths
 from lattica.options import UNBOUNDED, BfsDfsOptions, ComponentOptions, CycleOptions, DegreeOptions, DuplicatePolicy, GraphExportOptions, GraphImportOptions, MissingEndpointPolicy, NeighborOptions, PageRankOptions, PathOptions
 from lattica.plans import views
 from lattica.plans.storage import fresh_path
@@ -253,15 +253,37 @@ def _walks_sql(head: str, depth: int) -> str:
 _TO_PART = _PAIR.replace("WHERE d > 0)", "WHERE d > 0 AND v LIKE 'part:%')")
 
 
+def _part_pair(spark, sf_dir) -> tuple[Graph, str, str]:
+    graph = views.bipartite(spark, sf_dir).stored()
+    start = _origin(graph)
+    return graph, start, shortest_path_lengths(graph, start, PathOptions("SUPPLIES", 6)).where("distance > 0 and id like 'part:%'").agg(F.max("id")).first()[0]
+
+
 # of up to 3 edges: those of 5 are many millions between a supplier and a part
 @_query(_walks_sql(_TO_PART, 3), "all_paths")
 def _all_paths(spark, sf_dir):
-    graph = views.bipartite(spark, sf_dir).stored()
-    start = _origin(graph)
-    end = shortest_path_lengths(graph, start, PathOptions("SUPPLIES", 6)).where("distance > 0 and id like 'part:%'").agg(F.max("id")).first()[0]
+    graph, start, end = _part_pair(spark, sf_dir)
     return all_paths(graph, start, end, PathOptions("SUPPLIES", 3)).select(path_text().alias("path"), "length")
 
 
+def _counted_sql(head: str, depth: int) -> str:
+    """How many simple paths of each length lead from s to t: all walks, step by step, with each vertex unlike those before."""
+    parts, counts = [f"{head}, w0 AS (SELECT v AS v0 FROM s)"], []
+    for n in range(1, depth + 1):
+        seen = ", ".join(f"v{k}" for k in range(n))
+        step = f"FROM w{n - 1} JOIN steps ON a = v{n - 1} WHERE b NOT IN ({seen})"
+        counts.append(f"SELECT CAST({n} AS INTEGER) AS length, (SELECT count(*) {step} AND b = (SELECT v FROM t)) AS paths")
+        parts.append(f"w{n} AS MATERIALIZED (SELECT {seen}, b AS v{n} {step} AND b <> (SELECT v FROM t))")
+    return f"{', '.join(parts[:-1])} SELECT length, paths FROM ({' UNION ALL '.join(counts)}) WHERE paths > 0"
+
+
+# between two suppliers, as halves of 2 edges are enough there; those of 3 from a supplier are millions themselves
+@_query(_counted_sql(_PAIR, 4))
+def path_counts(spark, sf_dir):
+    graph, start, end = _far_pair(spark, sf_dir)
+    return count_paths(graph, start, end, PathOptions("SUPPLIES", 4))
+
+
 # Algorithms ----------------------------------------------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ from lattica.operators.degree import degree_centrality, degrees
 from lattica.operators.depth_first import dfs
 from lattica.operators.pagerank import page_rank
 from lattica.operators.search import bfs
-from lattica.operators.traversal import all_paths, neighbors, shortest_path
+from lattica.operators.traversal import all_paths, count_paths, neighbors, shortest_path
 from lattica.options import UNBOUNDED, BfsDfsOptions, ComponentOptions, CycleOptions, DegreeOptions, NeighborOptions, PageRankOptions, PathOptions
 from lattica.plans.components import star_contract
 from lattica.plans.numbering import numbered
@@ -188,6 +188,20 @@ def test_shortest_path_grows_from_both_ends(spark):
     assert shortest_path(graph, "hub", "g9").first()["vertex_ids"] == ["hub", "h9", "g9"] and shortest_path(graph, "hub", "nowhere").count() == 0
 
 
+def test_paths_are_counted_and_listed_alike(spark):
+    """Dense graphs with parallel edges, loops and both directions, up to 6 edges: halves of 3 that share up to 2 vertices."""
+    for seed in (2, 7):
+        names, pairs = random_pairs(seed, 7, 16)
+        pairs += pairs[:3]
+        graph = make(spark, names, pairs).stored()
+        for a, b in (("0", "6"), ("3", "4")):
+            want = model_paths(pairs, a, b, 6)
+            assert sorted(((r["vertex_ids"], r["edge_ids"]) for r in all_paths(graph, a, b, PathOptions(max_depth=6)).collect()), key=lambda p: (len(p[0]), p)) == want
+            lengths = [len(p[1]) for p in want]
+            assert sorted(tuple(r) for r in count_paths(graph, a, b, PathOptions(max_depth=6)).collect()) == sorted({(n, lengths.count(n)) for n in lengths})
+    assert count_paths(graph, "1", "1").count() == 0 and count_paths(graph, "0", "x").count() == 0 and count_paths(graph, "0", "6", PathOptions("OTHER")).count() == 0
+
+
 def test_paths_give_up(spark):
     graph = make(spark, "abcdef", [(a, b) for a in "abcdef" for b in "abcdef" if a < b])
     with pytest.raises(GraphQueryError):

@@ -65,6 +65,8 @@ def test_paths(spark, sf_dir):
     want = walks("part:3", 3)
     assert len(want) == 2 and rows(spark, sf_dir, "all_paths") == want
     assert rows(spark, sf_dir, "shortest_path") == walks("supplier:3", 6)[:1]
+    lengths = [n for _, n in walks("supplier:3", 4)]
+    assert rows(spark, sf_dir, "path_counts") == sorted((n, lengths.count(n)) for n in set(lengths)) != []
 
 
 def test_trade(spark, sf_dir):
