@@ -26,7 +26,7 @@ class NeighborOptions:
 class PathOptions:
     edge_label: str | None = None
     max_depth: int = 10
-    #: Partial paths held at once before the search gives up with an error; none unless asked for.
+    #: Half paths of one length held at once before the search gives up with an error; no bound unless asked for.
     max_rows: int = 2**63 - 1
 
 
