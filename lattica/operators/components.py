@@ -21,7 +21,7 @@ def connected_components(graph: Graph, options: ComponentOptions | None = None)
     options = options or ComponentOptions()
     ids, edges = graph.restricted(options.vertex_label, options.edge_label)
     pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    roots = star_contract(pairs) if options.weakly else _strong(ids, pairs)
+    roots = star_contract(pairs) if options.weakly else strong_roots(ids, pairs)
     out = ids.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select(F.coalesce("root", "id").alias("component_id"), F.col("id").alias("vertex_id"))
     sizes = out.groupBy("component_id").agg(F.count("*").alias("size")).where(F.col("size") >= options.min_size)
     return out.join(sizes, "component_id")
@@ -61,7 +61,7 @@ def _trimmed(keep: Scratch, left: DataFrame, pairs: DataFrame) -> tuple[DataFram
         n = facts["n"]
 
 
-def _strong(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+def strong_roots(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, root) of strong components of two nodes and more; all others are left out.
 
     Nodes that no cycle can hold go first.  Then every node gets the smallest

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from lattica.errors import require_text
 from lattica.graph import Graph
+from lattica.operators.components import strong_roots
 from lattica.options import UNBOUNDED, CycleOptions
-from lattica.plans.storage import Scratch
+from lattica.plans.storage import Scratch, discard
 
 #: Starts that are searched first if only some cycles are wanted; each further turn takes so many times more.
 FIRST_STARTS, MORE = 64, 8
+#: More steps than this are first cut down to those within strong components; fewer are searched sooner than their components are found.
+STRONG_FROM = 100_000
 
 
 def _path_columns() -> list:
@@ -28,28 +31,54 @@ def _steps(graph: Graph, keep: Scratch, options: CycleOptions) -> DataFrame:
         steps, facts = keep.stored_seeing(kept.select("a", "b", "edge_id"), "steps", n=F.count("*"))
         if facts["n"] > 0.9 * n:
             break
+    if facts["n"] > STRONG_FROM:
+        ends = steps.select(F.col("a").alias("id")).union(steps.select(F.col("b").alias("id"))).distinct()
+        roots = strong_roots(ends, steps.select("a", "b"))
+        root_of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        within = steps.where("a <> b").join(root_of("a"), "a").join(root_of("b"), "b").where("root_a = root_b")
+        steps = keep.stored(within.select("a", "b", "edge_id").union(steps.where("a = b")), "steps")
+        discard(roots)
     return steps
 
 
+def _ways_back(keep: Scratch, steps: DataFrame, max_distance: int, starts) -> DataFrame:
+    """(start, last, distance) of vertices larger than a start from which it is 1 to max_distance steps back to it, over such vertices only."""
+    near = frontier = steps.select(F.col("b").alias("a"), F.col("a").alias("last")).where(starts & (F.col("last") > F.col("a"))).select(F.col("a").alias("start"), "last")
+    near = near.withColumn("distance", F.lit(1))
+    for distance in range(2, max_distance + 1):
+        behind = steps.join(frontier.select("start", F.col("last").alias("b")), "b").where("a > start").select("start", F.col("a").alias("last")).distinct()
+        frontier, facts = keep.stored_seeing(behind.join(near.select("start", "last"), ["start", "last"], "left_anti"), "back", n=F.count("*"))
+        if not facts["n"]:
+            break
+        near = near.union(frontier.withColumn("distance", F.lit(distance)))
+    return near
+
+
 def _from_starts(keep: Scratch, steps: DataFrame, max_depth: int, starts) -> DataFrame:
-    """(vertex_ids, edge_ids) of cycles of 1 to max_depth edges whose smallest vertex, where they begin, meets the condition ``starts``."""
+    """(vertex_ids, edge_ids) of cycles of 1 to max_depth edges whose smallest vertex, where they begin, meets the condition ``starts``.
+
+    A path is only made where the way back to its start is short enough for the edges that it has left.
+    """
     first = steps.where(starts).select(F.col("a").alias("start"), F.col("b").alias("last"), F.array("a", "b").alias("vertex_ids"), F.array("edge_id").alias("edge_ids"))
     closed = first.where("last = start").select(*_path_columns())
     held = first.where("last > start")
+    if max_depth > 2:
+        near = _ways_back(keep, steps, max_depth - 1, starts)
+        held = held.join(near, ["start", "last"]).drop("distance")
     closing = steps.select(F.col("a").alias("last"), F.col("b").alias("start"), "edge_id")
     longer = [F.concat("vertex_ids", F.array("b")).alias("vertex_ids"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids")]
     for length in range(2, max_depth + 1):
-        if length > 2:
+        if 2 < length < max_depth:
             held, facts = keep.stored_seeing(held, "cycles", n=F.count("*"))
             if not facts["n"]:
                 break
-        # the last edge is looked up, so paths that could only be closed later than allowed aren't made
         ends = held.join(closing, ["last", "start"])
         closed = closed.union(ends.select(F.concat("vertex_ids", F.array("start")), F.concat("edge_ids", F.array("edge_id"))))
         if length < max_depth:
             # the start stays the smallest vertex, so no rotation of a cycle comes up again
+            back = near.where(F.col("distance") <= max_depth - length).select("start", F.col("last").alias("b"))
             ahead = held.join(steps, held["last"] == steps["a"]).where((F.col("b") > F.col("start")) & ~F.array_contains("vertex_ids", F.col("b")))
-            held = ahead.select("start", F.col("b").alias("last"), *longer)
+            held = ahead.join(back, ["start", "b"]).select("start", F.col("b").alias("last"), *longer)
     return closed
 
 

@@ -351,6 +351,33 @@ def test_numbers_are_dense(spark):
     assert numbered(df.where("false"), [df["id"]], "number").count() == 0
 
 
+def test_cycles_within_strong_components(spark, monkeypatch):
+    monkeypatch.setattr(cycles, "STRONG_FROM", 0)
+    for seed in range(3):
+        names, pairs = random_pairs(seed, 8, 15)
+        found = detect_cycles(make(spark, names, pairs), CycleOptions(max_depth=5, max_cycles=UNBOUNDED)).collect()
+        assert sorted(tuple(r["vertex_ids"]) for r in found) == sorted(model_cycles(names, pairs, 5))
+
+
+def test_cycles_make_no_path_that_cannot_close(spark, monkeypatch):
+    """12 diamonds in a row and one edge back: 4,096 ways round of 25 edges, none of up to 10, so no path is held; a short ring on the side is found."""
+    held = []
+    seeing = Scratch.stored_seeing
+
+    def watched(self, df, name, **facts):
+        out, seen = seeing(self, df, name, **facts)
+        held.extend([seen["n"]] if name == "cycles" else [])
+        return out, seen
+
+    monkeypatch.setattr(Scratch, "stored_seeing", watched)
+    spine = [f"d{i:02}" for i in range(13)]
+    pairs = [p for i, (a, b) in enumerate(zip(spine, spine[1:])) for side in ("x", "y") for p in ((a, f"{side}{i:02}"), (f"{side}{i:02}", b))]
+    pairs += [(spine[-1], spine[0]), ("d03", "z1"), ("z1", "z2"), ("z2", "d03")]
+    graph = make(spark, sorted({v for p in pairs for v in p}), pairs)
+    found = [tuple(r["vertex_ids"]) for r in detect_cycles(graph, CycleOptions(max_depth=10, max_cycles=UNBOUNDED)).collect()]
+    assert found == [("d03", "z1", "z2", "d03")] and held and max(held) <= 1
+
+
 def test_cycles_by_turns(spark, monkeypatch):
     """The first cycles are the same however few starts are searched at first."""
     rng = random.Random(4)
