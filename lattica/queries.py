@@ -16,6 +16,7 @@ from lattica.operators.cycles import cycles_through, detect_cycles
 from lattica.operators.degree import degree_centrality, degrees
 from lattica.operators.depth_first import dfs
 from lattica.operators.pagerank import page_rank
+from lattica.operators.reach import distances_from, reached_by
 from lattica.operators.search import bfs
 from lattica.operators.traversal import all_paths, count_paths, neighbors, shortest_path, shortest_path_lengths
 from lattica.options import UNBOUNDED, BfsDfsOptions, ComponentOptions, CycleOptions, DegreeOptions, DuplicatePolicy, GraphExportOptions, GraphImportOptions, MissingEndpointPolicy, NeighborOptions, PageRankOptions, PathOptions
@@ -737,6 +738,36 @@ def code_circular_dependencies(spark, sf_dir):
     return cycles_through(views.code(spark, sf_dir), "part:10", CycleOptions("Module", "DEPENDS_ON", 5, UNBOUNDED)).select(path_text().alias("cycle"), "length")
 
 
+# Distances from many starts ----------------------------------------------------------------------------------------------
+
+
+def _distances_sql(view: str, edges: str, starts: str, depth: int, ending: str) -> str:
+    return f"""WITH RECURSIVE {view}, steps AS MATERIALIZED ({edges}), walk AS (SELECT v AS r, v, 0 AS d FROM ({starts}) UNION SELECT r, b, d + 1 FROM walk JOIN steps ON a = v WHERE d < {depth}),
+        near AS (SELECT r AS start, v AS id, CAST(min(d) AS INTEGER) AS distance FROM walk GROUP BY r, v) {ending}"""
+
+
+_PERSONS = "SELECT 'customer:' || c_custkey AS v FROM customer"
+
+
+@_query(_distances_sql(KNOWN, _KNOWS, _PERSONS, 3, "SELECT start, id, distance FROM near"))
+def network_distances_all(spark, sf_dir):
+    graph = views.network(spark, sf_dir)
+    return distances_from(graph, graph.find_vertices_by_label("Person"), NeighborOptions("KNOWS", max_depth=3))
+
+
+@_query(_distances_sql(KNOWN, _KNOWS, _PERSONS + " WHERE c_nationkey = 3", 4, "SELECT id, distance, count(*) AS starts FROM near GROUP BY id, distance"))
+def network_employee_reach(spark, sf_dir):
+    graph = views.network(spark, sf_dir)
+    employees = neighbors(graph, "nation:3", NeighborOptions("WORKS_AT", Direction.INCOMING))
+    return reached_by(graph, employees, NeighborOptions("KNOWS", max_depth=4))
+
+
+@_query(_distances_sql(HABITS, "SELECT src AS a, dst AS b FROM ae", "SELECT id AS v FROM av", 10, "SELECT start, id, distance FROM near WHERE distance > 0"))
+def habit_distances(spark, sf_dir):
+    graph = views.habits(spark, sf_dir)
+    return distances_from(graph, graph.vertices, NeighborOptions("THEN", max_depth=10, include_start=False))
+
+
 @_query(f"WITH {SALES} SELECT label, round(sum(amount), 2) AS amount FROM sv GROUP BY label")
 def sql_over_views(spark, sf_dir):
     return views.sales(spark, sf_dir).sql("SELECT label, round(sum(amount), 2) AS amount FROM vertices GROUP BY label")

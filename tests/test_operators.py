@@ -7,12 +7,13 @@ import pytest
 from lattica.errors import GraphQueryError
 from lattica.graph import Graph
 from lattica.model import Direction
-from lattica.operators import cycles, depth_first, pagerank, traversal
+from lattica.operators import cycles, depth_first, pagerank, reach, traversal
 from lattica.operators.components import connected_components
 from lattica.operators.cycles import cycles_through, detect_cycles
 from lattica.operators.degree import degree_centrality, degrees
 from lattica.operators.depth_first import dfs
 from lattica.operators.pagerank import page_rank
+from lattica.operators.reach import distances_from, reached_by
 from lattica.operators.search import bfs
 from lattica.operators.traversal import all_paths, count_paths, neighbors, shortest_path
 from lattica.options import UNBOUNDED, BfsDfsOptions, ComponentOptions, CycleOptions, DegreeOptions, NeighborOptions, PageRankOptions, PathOptions
@@ -351,6 +352,47 @@ def test_numbers_are_dense(spark):
     assert numbered(df.where("false"), [df["id"]], "number").count() == 0
 
 
+def model_distances(names, pairs, direction, depth):
+    ahead, out = ahead_of(pairs, direction), []
+    for start in names:
+        near, level = {start: 0}, [start]
+        for d in range(1, depth + 1):
+            level = [v for v in dict.fromkeys(b for a in level for b in ahead.get(a, [])) if v not in near]
+            near |= dict.fromkeys(level, d)
+        out += [(start, v, d) for v, d in near.items()]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("merged_from", [1, 8])
+def test_distances_from_many_starts(spark, monkeypatch, merged_from):
+    """150 starts fill more than two words; levels are merged or not."""
+    monkeypatch.setattr(reach, "MERGED_FROM", merged_from)
+    names, pairs = random_pairs(4, 150, 260)
+    graph = make(spark, names, pairs)
+    for direction in (Direction.OUTGOING, Direction.BOTH)[: 2 if merged_from == 8 else 1]:
+        told = model_distances(names, pairs, direction, 5)
+        options = NeighborOptions("E", direction, 5)
+        got = distances_from(graph, graph.vertices, options)
+        assert sorted(map(tuple, got.select("start", "id", "distance").collect())) == told
+    counts = {}
+    for _, v, d in told:
+        counts[v, d] = counts.get((v, d), 0) + 1
+    assert {(r["id"], r["distance"]): r["starts"] for r in reached_by(graph, graph.vertices, options).collect()} == counts
+
+
+def test_distances_from_odd_starts(spark):
+    """Repeated, null and unknown starts, no start, an empty graph, self loops, parallel edges and no depth."""
+    graph = make(spark, "abc", split("a>b a>b b>b b>c c>a"))
+    starts = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("nobody", 4)], "id string, distance int")
+    triples = lambda df: sorted(map(tuple, df.select("start", "id", "distance").collect()))
+    assert triples(distances_from(graph, starts, NeighborOptions(max_depth=9))) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2)]
+    assert triples(distances_from(graph, starts, NeighborOptions(max_depth=1, include_start=False))) == [("a", "b", 1)]
+    assert triples(distances_from(graph, starts, NeighborOptions(max_depth=0))) == [("a", "a", 0)]
+    assert triples(distances_from(graph, starts, NeighborOptions(max_depth=0, include_start=False))) == []
+    assert triples(distances_from(graph, starts.where("false"), NeighborOptions(max_depth=3))) == []
+    assert reached_by(Graph.empty(spark), starts, NeighborOptions(max_depth=3)).count() == 0
+
+
 def test_cycles_within_strong_components(spark, monkeypatch):
     monkeypatch.setattr(cycles, "STRONG_FROM", 0)
     for seed in range(3):
