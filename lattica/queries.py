@@ -19,7 +19,7 @@ from lattica.operators.pagerank import page_rank
 from lattica.operators.reach import distances_from, reached_by
 from lattica.operators.search import bfs
 from lattica.operators.traversal import all_paths, count_paths, neighbors, shortest_path, shortest_path_lengths
-from lattica.options import UNBOUNDED, BfsDfsOptions, ComponentOptions, CycleOptions, DegreeOptions, DuplicatePolicy, GraphExportOptions, GraphImportOptions, MissingEndpointPolicy, NeighborOptions, PageRankOptions, PathOptions
+from lattica.options import UNBOUNDED, BfsDfsOptions, ComponentOptions, CsvOptions, CsvPropertyMode, CycleOptions, DegreeOptions, DuplicatePolicy, GraphExportOptions, GraphImportOptions, MissingEndpointPolicy, NeighborOptions, PageRankOptions, PathOptions
 from lattica.plans import views
 from lattica.plans.storage import fresh_path
 from lattica.sources.csv_io import export_csv, import_csv
@@ -219,12 +219,13 @@ def shortest_path_lengths_all(spark, sf_dir):
 _PAIR = f"WITH {BIPARTITE}, {_BOTH}, s AS (SELECT min(src) AS v FROM be), {_levels_sql('steps', 6, 'SELECT v FROM s')}, t AS (SELECT max(v) AS v FROM ls6 WHERE d > 0)"
 
 
-def _shortest_sql(depth: int) -> str:
+def _shortest_sql(depth: int, head: str = _PAIR) -> str:
     """Of each vertex on a level, back from the end, the best rest of a path."""
-    parts = [f"{_PAIR}, n AS (SELECT d FROM ls6 WHERE v = (SELECT v FROM t)), r{depth} AS (SELECT v, [v] AS p, CAST([] AS VARCHAR[]) AS es FROM ls6 WHERE v = (SELECT v FROM t) AND d = {depth})"]
+    levels = f"ls{depth}"
+    parts = [f"{head}, r{depth} AS (SELECT v, [v] AS p, CAST([] AS VARCHAR[]) AS es FROM {levels} WHERE v = (SELECT v FROM t) AND d = {depth})"]
     for i in range(depth - 1, -1, -1):
         step = f"SELECT a AS v, list_prepend(a, p) AS p, list_prepend(e, es) AS es FROM steps JOIN l{i} ON a = l{i}.v JOIN r{i + 1} ON b = r{i + 1}.v"
-        end = f" UNION ALL SELECT v, [v], CAST([] AS VARCHAR[]) FROM ls6 WHERE v = (SELECT v FROM t) AND d = {i}"
+        end = f" UNION ALL SELECT v, [v], CAST([] AS VARCHAR[]) FROM {levels} WHERE v = (SELECT v FROM t) AND d = {i}"
         parts.append(f"r{i} AS MATERIALIZED (SELECT v, m.p AS p, m.es AS es FROM (SELECT v, min({{'p': p, 'es': es}}) AS m FROM ({step}{end}) GROUP BY v))")
     return ", ".join(parts) + " SELECT array_to_string(p, '>') AS path, CAST(len(es) AS INTEGER) AS length FROM r0 WHERE v = (SELECT v FROM s)"
 
@@ -563,19 +564,19 @@ _TRIP = f"""WITH {GEO} SELECT label, name AS text, balance AS number FROM gv
     UNION ALL SELECT e.label, a.name || '>' || b.name, NULL FROM ge e JOIN gv a ON a.id = e.src JOIN gv b ON b.id = e.dst"""
 
 
-def _trip(graph: Graph) -> DataFrame:
-    """What came back, told by names: ids are new."""
+def _trip(graph: Graph, text: str = "name") -> DataFrame:
+    """What came back, told by names or another property of vertices: ids are new."""
     get = lambda name, kind: F.try_variant_get("properties", f"$.{name}", kind)
-    v = graph.vertices.select("id", "label", get("name", "string").alias("text"), get("balance", "double").alias("number"))
+    v = graph.vertices.select("id", "label", get(text, "string").alias("text"), get("balance", "double").alias("number"))
     ends = v.select("id", "text")
     e = graph.edges.join(ends.select(F.col("id").alias("src"), F.col("text").alias("a")), "src").join(ends.select(F.col("id").alias("dst"), F.col("text").alias("b")), "dst")
     return v.drop("id").union(e.select("label", F.concat("a", F.lit(">"), "b"), F.lit(None).cast("double")))
 
 
-def _csv(spark, sf_dir, options: GraphExportOptions) -> DataFrame:
+def _csv(spark, sf_dir, options: GraphExportOptions, csv: CsvOptions = CsvOptions(), text: str = "name") -> DataFrame:
     at = fresh_path(spark, "csv")
-    export_csv(views.geo(spark, sf_dir), f"{at}/v", f"{at}/e", options)
-    return _trip(import_csv(spark, f"{at}/v", f"{at}/e")[0])
+    export_csv(views.geo(spark, sf_dir), f"{at}/v", f"{at}/e", options, csv)
+    return _trip(import_csv(spark, f"{at}/v", f"{at}/e", csv=csv)[0], text)
 
 
 @_query(_TRIP)
@@ -583,6 +584,17 @@ def csv_roundtrip(spark, sf_dir):
     return _csv(spark, sf_dir, _ALL_GEO)
 
 
+@_query(_TRIP)
+def csv_roundtrip_raw_json(spark, sf_dir):
+    return _csv(spark, sf_dir, _ALL_GEO, CsvOptions(CsvPropertyMode.RAW_JSON))
+
+
+# no property is written: what comes back are labels, ends and the ids that the files had
+@_query(f"WITH {GEO} SELECT label, id AS text, CAST(NULL AS DOUBLE) AS number FROM gv UNION ALL SELECT label, src || '>' || dst, NULL FROM ge")
+def csv_roundtrip_none(spark, sf_dir):
+    return _csv(spark, sf_dir, _ALL_GEO, CsvOptions(CsvPropertyMode.NONE), GraphImportOptions().preserve_external_id_property)
+
+
 def _ndjson(spark, sf_dir, options: GraphExportOptions) -> DataFrame:
     at = fresh_path(spark, "ndjson")
     export_ndjson(views.geo(spark, sf_dir), at, options)
@@ -670,6 +682,33 @@ def agtype_parse(spark, sf_dir):
     return v.select("id", "label", F.get_json_object("properties", "$.name").alias("name"), F.get_json_object("properties", "$.balance").cast("double").alias("balance"))
 
 
+def _ag_vertex(kind: str, key: str, label: str, name: str):
+    return F.struct(F.concat(F.lit(f"{kind}:"), F.col(key)).alias("id"), F.lit(label).alias("label"), F.struct(F.col(name).alias("name")).alias("properties"))
+
+
+def _placed_agtype(spark, sf_dir) -> tuple[DataFrame, object, object, object]:
+    """Orders with their customers, and a vertex, an edge and a vertex in JSON."""
+    rows = views.table(spark, sf_dir, "orders").join(views.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    edge = F.struct(F.concat(F.lit("placed:"), "o_orderkey").alias("id"), F.lit("PLACED").alias("label"), F.concat(F.lit("order:"), "o_orderkey").alias("end_id"), F.concat(F.lit("customer:"), "c_custkey").alias("start_id"), F.struct(F.col("o_totalprice").alias("total")).alias("properties"))
+    return rows, F.to_json(_ag_vertex("customer", "c_custkey", "Customer", "c_name")), F.to_json(edge), F.to_json(_ag_vertex("order", "o_orderkey", "Order", "o_orderstatus"))
+
+
+@_query("SELECT 'placed:' || o_orderkey AS id, 'PLACED' AS label, 'customer:' || o_custkey AS src, 'order:' || o_orderkey AS dst, o_totalprice AS total FROM orders JOIN customer ON c_custkey = o_custkey")
+def agtype_parse_edges(spark, sf_dir):
+    rows, _, edge, _ = _placed_agtype(spark, sf_dir)
+    e = rows.select(agtype.parse_edge(F.concat(edge, F.lit("::edge"))).alias("e")).select("e.*")
+    return e.select("id", "label", "src", "dst", F.get_json_object("properties", "$.total").cast("double").alias("total"))
+
+
+@_query("""SELECT o_orderkey AS path, unnest([0, 1, 2]) AS step, unnest(['vertex', 'edge', 'vertex']) AS kind, unnest(['customer:' || c_custkey, 'placed:' || o_orderkey, 'order:' || o_orderkey]) AS id,
+    unnest([NULL, 'customer:' || c_custkey, NULL]) AS src, unnest([c_name, NULL, o_orderstatus]) AS name FROM orders JOIN customer ON c_custkey = o_custkey""")
+def agtype_parse_paths(spark, sf_dir):
+    rows, customer, edge, order = _placed_agtype(spark, sf_dir)
+    text = F.concat(F.lit("["), customer, F.lit("::vertex, "), edge, F.lit("::edge, "), order, F.lit("::vertex]::path"))
+    steps = rows.select(F.col("o_orderkey").alias("path"), F.posexplode(agtype.parse_path(text)).alias("step", "s"))
+    return steps.select("path", "step", "s.kind", "s.id", "s.src", F.get_json_object("s.properties", "$.name").alias("name"))
+
+
 @_query(r"SELECT event_id, '''' || replace(replace(props, '\', '\\'), '''', '\''') || '''' AS literal FROM events WHERE props IS NOT NULL UNION ALL SELECT event_id, 'null' FROM events WHERE props IS NULL")
 def cypher_literal(spark, sf_dir):
     return views.table(spark, sf_dir, "events").select("event_id", cypher_string(F.col("props")).alias("literal"))
@@ -730,6 +769,43 @@ def network_all_connection_paths(spark, sf_dir):
     return all_paths(views.network(spark, sf_dir), "customer:9", "customer:20", PathOptions("KNOWS", 3)).select(path_text().alias("path"), "length")
 
 
+_FOLLOWED = "SELECT dst AS a, src AS b FROM ne WHERE label = 'FOLLOWS'"
+_reach_query("network_followers", views.network, _reach_sql(KNOWN, _FOLLOWED, "customer:12", 1), "customer:12", NeighborOptions("FOLLOWS", Direction.INCOMING))
+_reach_query("code_dependents", views.code, _reach_sql(CODE, _IMPACTS, "part:12", 1), "part:12", NeighborOptions("DEPENDS_ON", Direction.INCOMING))
+
+
+def _between_sql(view: str, steps: str, start: str, end: str, depth: int) -> str:
+    return _shortest_sql(depth, f"WITH {view}, {steps}, s AS (SELECT '{start}' AS v), t AS (SELECT '{end}' AS v), {_levels_sql('steps', depth, 'SELECT v FROM s')}")
+
+
+@_query(_between_sql(KNOWN, _KNOW_BOTH, "customer:9", "customer:50", 6))
+def network_connection_path(spark, sf_dir):
+    return shortest_path(views.network(spark, sf_dir), "customer:9", "customer:50", PathOptions("KNOWS", 6)).select(path_text().alias("path"), "length")
+
+
+_DEPEND_BOTH = """steps AS MATERIALIZED (SELECT src AS a, dst AS b, 'depends:' || split_part(src, ':', 2) || ':' || split_part(dst, ':', 2) AS e FROM ce
+    UNION ALL SELECT dst, src, 'depends:' || split_part(src, ':', 2) || ':' || split_part(dst, ':', 2) FROM ce)"""
+
+
+@_query(_between_sql(CODE, _DEPEND_BOTH, "part:90", "part:161", 10))
+def code_dependency_path(spark, sf_dir):
+    return shortest_path(views.code(spark, sf_dir), "part:90", "part:161", PathOptions("DEPENDS_ON", 10)).select(path_text().alias("path"), "length")
+
+
+@_query("SELECT 'customer:' || c_custkey AS id FROM customer WHERE c_name = (SELECT max(c_name) FROM customer)")
+def network_find_person(spark, sf_dir):
+    graph = views.network(spark, sf_dir)
+    name = graph.vertices.where("label = 'Person'").agg(F.max("name")).first()[0]
+    return graph.find_vertices_by_label("Person", {"name": name}).select("id")
+
+
+@_query("SELECT 'part:' || p_partkey AS id FROM part WHERE p_name = (SELECT max(p_name) FROM part)")
+def code_find_module(spark, sf_dir):
+    graph = views.code(spark, sf_dir)
+    name = graph.vertices.where("label = 'Module'").agg(F.max("name")).first()[0]
+    return graph.find_vertices_by_label("Module", {"name": name}).select("id")
+
+
 @_query(f"""WITH RECURSIVE {CODE}, walk AS (SELECT ['part:10'] AS p, 'part:10' AS v UNION ALL SELECT list_append(p, dst), dst FROM walk JOIN ce ON src = v WHERE len(p) <= 5 AND (len(p) = 1 OR v <> 'part:10') AND (dst = 'part:10' OR NOT list_contains(p, dst))),
     done AS (SELECT p[1:-2] AS r, CAST(len(p) - 1 AS INTEGER) AS length FROM walk WHERE len(p) > 1 AND v = 'part:10'),
     turned AS (SELECT r[list_position(r, list_min(r)):] || r[:list_position(r, list_min(r)) - 1] || [list_min(r)] AS p, length FROM done)
