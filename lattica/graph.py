@@ -208,6 +208,18 @@ class Graph:
             edges = edges.join(ids.withColumnRenamed("id", end), end, "left_semi")
         return ids, edges.select("src", "dst", "id")
 
+    def by_number(self, keep: Scratch, vertex_label: str | None, edge_label: str | None) -> tuple[DataFrame, DataFrame, int]:
+        """:meth:`restricted` with numbers for ids: ((n, id, times) of distinct ids, (a, b) of edges, rows of vertices).
+
+        Numbers are in no order.  The joins that find them leave out edges without an end; what follows moves 16 bytes an edge.
+        """
+        ids = (self.vertices if vertex_label is None else self.vertices.where(F.col("label") == vertex_label)).groupBy("id").agg(F.count("*").alias("times"))
+        nodes, facts = keep.stored_seeing(ids.select(F.monotonically_increasing_id().alias("n"), "id", "times"), "nodes", n=F.sum("times"))
+        edges = (self.edges if edge_label is None else self.edges.where(F.col("label") == edge_label)).select("src", "dst")
+        for end, number in (("src", "a"), ("dst", "b")):
+            edges = edges.join(nodes.select(F.col("id").alias(end), F.col("n").alias(number)), end)
+        return nodes, edges.select("a", "b"), facts["n"] or 0
+
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over the views ``vertices`` and ``edges``: the raw query hatch."""
         self.vertices.createOrReplaceTempView("vertices")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lattica.graph import Graph
 from lattica.options import ComponentOptions
-from lattica.plans.components import star_contract
+from lattica.plans.components import contract
 from lattica.plans.storage import Scratch
 
 
@@ -19,14 +19,24 @@ def connected_components(graph: Graph, options: ComponentOptions | None = None)
     vertices are together if each can be reached from the other.
     """
     options = options or ComponentOptions()
+    if options.weakly:
+        return _weak(graph, options)
     ids, edges = graph.restricted(options.vertex_label, options.edge_label)
-    pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    roots = star_contract(pairs) if options.weakly else strong_roots(ids, pairs)
+    roots = strong_roots(ids, edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     out = ids.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select(F.coalesce("root", "id").alias("component_id"), F.col("id").alias("vertex_id"))
     sizes = out.groupBy("component_id").agg(F.count("*").alias("size")).where(F.col("size") >= options.min_size)
     return out.join(sizes, "component_id")
 
 
+def _weak(graph: Graph, options: ComponentOptions) -> DataFrame:
+    nodes, links, _ = graph.by_number(Scratch(), options.vertex_label, options.edge_label)
+    roots = contract(links)
+    out = nodes.where("id is not null").join(roots.select(F.col("node").alias("n"), "root"), "n", "left").select(F.coalesce("root", "n").alias("root"), F.col("id").alias("vertex_id"), "times")
+    sizes = out.groupBy("root").agg(F.min("vertex_id").alias("component_id"), F.sum("times").alias("size")).where(F.col("size") >= options.min_size)
+    every = F.explode(F.array_repeat("vertex_id", F.col("times").cast("int"))).alias("vertex_id")
+    return out.join(sizes, "root").select("component_id", every, "size")
+
+
 def _least_reaching(keep: Scratch, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, root): the smallest id that reaches each node along ``pairs``.
 

@@ -47,13 +47,6 @@ def stored_seeing(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame,
     return out, seen.get
 
 
-def stored_with_checksum(df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
-    """As :func:`stored`, with (rows, order-insensitive checksum) taken while writing."""
-    total = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
-    out, facts = stored_seeing(df, name, n=F.count("*"), s=total)
-    return out, (facts["n"], facts["s"])
-
-
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables made by :func:`stored` that nothing reads any more."""
     for df in tables:
