@@ -62,6 +62,7 @@ class PageRankOptions:
     damping_factor: float = 0.85
     tolerance: float = 1e-4
     top_k: int = UNBOUNDED
+    tie_digits: int | None = None
 
     def __post_init__(self):
         require(self.iterations > 0, "iterations must be positive")

@@ -547,7 +547,7 @@ def habit_cycles_capped(spark, sf_dir):
 
 @_query(_rank_sql(HABITS, "av", "ae", 6, "SELECT id AS vertex_id, round(r * 1000, 6) AS score, row_number() OVER (ORDER BY round(r, 12) DESC, id) AS rank FROM {r} ORDER BY round(r, 12) DESC, id LIMIT 10"))
 def habit_ranks(spark, sf_dir):
-    return page_rank(views.habits(spark, sf_dir), PageRankOptions(iterations=6, tolerance=0.0, top_k=10)).select("vertex_id", F.round(F.col("score") * 1000, 6).alias("score"), "rank")
+    return page_rank(views.habits(spark, sf_dir), PageRankOptions(iterations=6, tolerance=0.0, top_k=10, tie_digits=12)).select("vertex_id", F.round(F.col("score") * 1000, 6).alias("score"), "rank")
 
 
 @_query(f"""WITH {HABITS}, i AS (SELECT dst AS id, count(*) AS n FROM ae GROUP BY dst), o AS (SELECT src AS id, count(*) AS n FROM ae GROUP BY src)

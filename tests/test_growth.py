@@ -6,6 +6,8 @@ import pytest
 
 from lattica.graph import Graph
 from lattica.operators.components import connected_components
+from lattica.operators.pagerank import page_rank
+from lattica.options import PageRankOptions
 from lattica.plans import storage
 
 
@@ -35,3 +37,12 @@ def test_components_move_fewer_edges_each_round(spark, monkeypatch, rows_stored)
     assert [r["size"] for r in rows if r["vertex_id"] == "alone"] == [2, 2]
     edges = [n for name, n in rows_stored if name == "cc"]
     assert edges == sorted(edges, reverse=True) and sum(edges) <= 5 * 89
+
+
+def test_ranks_alike_to_some_decimals_are_ties(spark):
+    """Shares added in another order differ in their last bits only; the smaller id goes first all the same."""
+    pairs = [("hub", "b"), ("hub", "a"), ("x", "b"), ("y", "a"), ("b", "hub"), ("a", "hub"), ("z", "a"), ("x", "x")]
+    graph = graph_of(spark, ["hub", "a", "b", "x", "y", "z"], pairs)
+    exact = [r["vertex_id"] for r in page_rank(graph, PageRankOptions(iterations=3, top_k=6)).collect()]
+    tied = [r["vertex_id"] for r in page_rank(graph, PageRankOptions(iterations=3, top_k=6, tie_digits=0)).collect()]
+    assert exact[0] == "hub" and tied == sorted(tied)
