@@ -20,11 +20,15 @@ def _path_columns() -> list:
     return ["vertex_ids", "edge_ids"]
 
 
-def _steps(graph: Graph, keep: Scratch, options: CycleOptions) -> DataFrame:
-    """(a, b, edge_id); parallel edges make one step, shown by the smallest edge id.  Steps that no cycle can hold are left out, again and again while many go."""
+def _all_steps(graph: Graph, options: CycleOptions) -> DataFrame:
+    """(a, b, edge_id); parallel edges make one step, shown by the smallest edge id."""
     _, edges = graph.restricted(options.vertex_label, options.edge_label)
-    steps = edges.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.min("id").alias("edge_id"))
-    steps, facts = keep.stored_seeing(steps, "steps", n=F.count("*"))
+    return edges.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.min("id").alias("edge_id"))
+
+
+def _steps(graph: Graph, keep: Scratch, options: CycleOptions) -> DataFrame:
+    """As :func:`_all_steps`; steps that no cycle can hold are left out, again and again while many go."""
+    steps, facts = keep.stored_seeing(_all_steps(graph, options), "steps", n=F.count("*"))
     while facts["n"]:
         n = facts["n"]
         kept = steps.join(steps.select(F.col("b").alias("a")), "a", "left_semi").join(steps.select(F.col("a").alias("b")), "b", "left_semi")
@@ -36,7 +40,7 @@ def _steps(graph: Graph, keep: Scratch, options: CycleOptions) -> DataFrame:
         roots = strong_roots(ends, steps.select("a", "b"))
         root_of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
         within = steps.where("a <> b").join(root_of("a"), "a").join(root_of("b"), "b").where("root_a = root_b")
-        steps = keep.stored(within.select("a", "b", "edge_id").union(steps.where("a = b")), "steps")
+        steps, _ = keep.stored_seeing(within.select("a", "b", "edge_id").union(steps.where("a = b")), "steps", n=F.count("*"))
         discard(roots)
     return steps
 
@@ -120,7 +124,8 @@ def detect_cycles(graph: Graph, options: CycleOptions | None = None, through: st
     if through is not None:
         require_text(through, "vertex id")
     keep = Scratch()
-    steps = _steps(graph, keep, options)
+    # a search through one vertex meets what is near it only: cutting down the whole graph would be the larger job
+    steps = _steps(graph, keep, options) if through is None else keep.stored_seeing(_all_steps(graph, options), "steps", n=F.count("*"))[0]
     bounded = options.max_cycles < UNBOUNDED
     if options.max_depth <= 0:
         closed = _from_starts(keep, steps.where("false"), 1, F.lit(True))

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from lattica.graph import Graph
+from lattica.llm import fingerprints
+from lattica.operators import cycles, depth_first
 from lattica.operators.components import connected_components
 from lattica.operators.pagerank import page_rank
-from lattica.options import PageRankOptions
+from lattica.options import UNBOUNDED, BfsDfsOptions, CycleOptions, PageRankOptions
 from lattica.plans import storage
 
 
@@ -46,3 +50,33 @@ def test_ranks_alike_to_some_decimals_are_ties(spark):
     exact = [r["vertex_id"] for r in page_rank(graph, PageRankOptions(iterations=3, top_k=6)).collect()]
     tied = [r["vertex_id"] for r in page_rank(graph, PageRankOptions(iterations=3, top_k=6, tie_digits=0)).collect()]
     assert exact[0] == "hub" and tied == sorted(tied)
+
+
+def test_cycles_through_a_vertex_leave_the_rest_of_the_graph_alone(spark, monkeypatch):
+    monkeypatch.setattr(cycles, "STRONG_FROM", 0), monkeypatch.setattr(cycles, "strong_roots", None)
+    pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("p", "q"), ("q", "p"), ("c", "c")]
+    got = cycles.cycles_through(graph_of(spark, "abcpq", pairs), "a", CycleOptions(max_depth=5)).collect()
+    assert [r["vertex_ids"] for r in got] == [["a", "b", "a"], ["a", "b", "c", "a"]]
+
+
+def test_depth_first_on_a_short_chain_leaves_the_rest_of_the_graph_alone(spark, monkeypatch):
+    monkeypatch.setattr(depth_first, "_one_way_in", None)
+    names = [f"v{i:02}" for i in range(15)]
+    rows = depth_first.dfs(graph_of(spark, [], [*zip(names, names[1:]), ("x", "y")]), "v00", BfsDfsOptions(max_depth=UNBOUNDED, max_vertices=UNBOUNDED)).collect()
+    assert sorted((r["visit_order"], r["vertex_id"], r["depth"]) for r in rows) == [(i, v, i) for i, v in enumerate(names)]
+
+
+def test_large_stored_tables_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(storage, "SENT", 5)
+    plan = lambda n: (lambda t: t.join(t.select("id", (t.id * 2).alias("x")), "id")._jdf.queryExecution().optimizedPlan().toString())(storage.stored_seeing(spark.range(n), "t", n=F.count("*"))[0])
+    assert "merge" in plan(6) and "merge" not in plan(5)
+
+
+def test_likeness_of_long_texts_is_taken_from_full_sets(spark):
+    a = " ".join(f"w{i}" for i in range(1000))
+    b = " ".join(f"w{i + 300}" for i in range(1000))
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_report(df, whole=True).collect()}
+    assert got[1]["near_next"] == got[2]["near_next"] == 696 / 996
+    shares = queries()["fingerprint_likeness"](spark, "/root/testdata/sf0.001")
+    assert shares.where("near_edited is null or near_next is null").isEmpty()
