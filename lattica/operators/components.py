@@ -43,13 +43,14 @@ def _least_reaching(keep: Scratch, nodes: DataFrame, pairs: DataFrame) -> DataFr
     A round goes one step along the pairs, and then from each root to the root that
     it had itself: what reaches the root reaches the node.  So rounds grow with the logarithm of a chain's length.
     """
-    table = labels = keep.stored(nodes.select("node", F.col("node").alias("root")), "labels")
+    table, _ = keep.stored_seeing(nodes.select("node", F.col("node").alias("root")), "labels", n=F.count("*"))
+    labels = table
     while True:
         sent = pairs.join(labels.select(F.col("node").alias("a"), "root"), "a").groupBy(F.col("b").alias("node")).agg(F.min("root").alias("got"))
         near = labels.join(sent, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "got").alias("root"))
         far = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
         jumped = near.join(far, "root").select("node", "old", F.least("root", "far").alias("root"))
-        fresh, facts = keep.stored_seeing(jumped, "labels", changed=F.count_if(F.col("root") != F.col("old")))
+        fresh, facts = keep.stored_seeing(jumped, "labels", n=F.count("*"), changed=F.count_if(F.col("root") != F.col("old")))
         keep.discard(table)
         table, labels = fresh, fresh.select("node", "root")
         if not facts["changed"]:
@@ -65,7 +66,7 @@ def _trimmed(keep: Scratch, left: DataFrame, pairs: DataFrame) -> tuple[DataFram
         left, facts = keep.stored_seeing(left, "left", n=F.count("*"))
         for end in ("a", "b"):
             pairs = pairs.join(left.withColumnRenamed("node", end), end, "left_semi")
-        pairs = keep.stored(pairs.select("a", "b"), "pairs")
+        pairs, _ = keep.stored_seeing(pairs.select("a", "b"), "pairs", n=F.count("*"))
         if not facts["n"] or n is not None and facts["n"] > 0.9 * n:
             return left, pairs, facts["n"]
         n = facts["n"]
@@ -79,17 +80,17 @@ def strong_roots(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     done again.
     """
     keep, done = Scratch(), []
-    left, pairs, n = _trimmed(keep, ids.select(F.col("id").alias("node")), keep.stored(pairs.where("a <> b").distinct(), "pairs"))
+    left, pairs, n = _trimmed(keep, ids.select(F.col("id").alias("node")), keep.stored_seeing(pairs.where("a <> b").distinct(), "pairs", n=F.count("*"))[0])
     while n:
         colors = _least_reaching(keep, left, pairs).withColumnRenamed("root", "color")
         own = pairs.join(colors.select(F.col("node").alias("a"), F.col("color").alias("ca")), "a").join(colors.select(F.col("node").alias("b"), F.col("color").alias("cb")), "b")
-        back = keep.stored(own.where("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b")), "back")
+        back, _ = keep.stored_seeing(own.where("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b")), "back", n=F.count("*"))
         # within a colour no id is smaller than the colour's own
         reach = _least_reaching(keep, left, back).join(colors, "node").where("root = color").select("node", "root")
-        done.append(keep.stored(reach, "strong"))
+        done.append(keep.stored_seeing(reach, "strong", n=F.count("*"))[0])
         left = left.join(done[-1], "node", "left_anti")
         for end in ("a", "b"):
             pairs = pairs.join(left.withColumnRenamed("node", end), end, "left_semi")
-        left, pairs, n = _trimmed(keep, keep.stored(left, "left"), keep.stored(pairs.select("a", "b"), "pairs"))
+        left, pairs, n = _trimmed(keep, *(keep.stored_seeing(t, name, n=F.count("*"))[0] for t, name in ((left, "left"), (pairs.select("a", "b"), "pairs"))))
     found = reduce(DataFrame.union, done) if done else ids.where("false").select(F.col("id").alias("node"), F.col("id").alias("root"))
     return keep.result(found, "strong")

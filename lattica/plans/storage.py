@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 _KEY = "spark.checkpoint.dir"
+#: Rows of a stored table up to which Spark may broadcast it; packed files say too little about what it would take on the driver.
+SENT = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,9 +43,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def stored_seeing(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
-    """As :func:`stored`, with aggregates taken while writing: no job of their own."""
+    """As :func:`stored`, with aggregates taken while writing: no job of their own.  A table whose rows, the fact ``n``, are more than SENT is not broadcast."""
     seen = Observation()
     out = stored(df.observe(seen, *[fact.alias(k) for k, fact in facts.items()]), name)
+    if (seen.get.get("n") or 0) > SENT:
+        path, out = out._stored_at, out.hint("merge")
+        out._stored_at = path
     return out, seen.get
 
 
