@@ -70,6 +70,10 @@ class Graph:
         """The same graph with its frames written once: for several operators on a view that joins have to make."""
         return self if self.at_rest else Graph(stored(self.vertices, "vertices"), stored(self.edges, "edges"), at_rest=True)
 
+    def bare(self) -> Graph:
+        """The same graph without properties, for operators that don't look at them: a view need not make them."""
+        return Graph(self.vertices.select(*_VERTEX), self.edges.select(*_EDGE), self.at_rest)
+
     @classmethod
     def empty(cls, spark: SparkSession) -> Graph:
         return cls(spark.createDataFrame([], VERTEX_DDL), spark.createDataFrame([], EDGE_DDL))

@@ -407,7 +407,7 @@ _SALES_LEVELS = f"WITH {SALES}, steps AS MATERIALIZED (SELECT DISTINCT src AS a,
 
 @_query(_SALES_LEVELS + " SELECT v AS vertex_id, CAST(d AS INTEGER) AS depth FROM ls3")
 def bfs_sales(spark, sf_dir):
-    graph = views.sales(spark, sf_dir).stored()
+    graph = views.sales(spark, sf_dir).bare().stored()
     return bfs(graph, _origin(graph), BfsDfsOptions(direction=Direction.BOTH, max_depth=3, max_vertices=UNBOUNDED)).select("vertex_id", "depth")
 
 
