@@ -58,13 +58,15 @@ def compared_exactly(n_a: Column, n_b: Column) -> Column:
     return F.least(n_a, n_b) < EXACT
 
 
-def likeness(a: Column, b: Column, all_a: Column | None = None, all_b: Column | None = None) -> Column:
+def likeness(a: Column, b: Column, all_a: Column | None = None, all_b: Column | None = None, whole: bool = False) -> Column:
     """Share of the smaller of two sketches that is in the other; 1 for two empty ones, 0 if one is empty.
 
-    With the full shingle sets as well, those are compared if one has fewer than ``EXACT`` shingles.
+    With the full shingle sets as well, those are compared if one has fewer than ``EXACT`` shingles, or with ``whole`` in any case.
     """
     if all_a is None or all_b is None:
         return _contained(a, b)
+    if whole:
+        return _contained(all_a, all_b)
     return F.when(compared_exactly(F.size(all_a), F.size(all_b)), _contained(all_a, all_b)).otherwise(_contained(a, b))
 
 
@@ -131,13 +133,13 @@ def with_next(docs: DataFrame, made: Column | None = None) -> DataFrame:
     return rows.where("extra = 0").select("doc_id", "text", "own", "next_text", "next_own")
 
 
-def fingerprint_report(docs: DataFrame) -> DataFrame:
+def fingerprint_report(docs: DataFrame, whole: bool = False) -> DataFrame:
     """Fingerprints of every text, of its edited text and of the next document's, and their likeness.
 
     Edited: the last floor(n_chars / 4) code points give way to the first as
     many of the next document (all, if it has fewer).  A fingerprint is the text's sketch, so that of a short text
     may be empty; texts of fewer than ``EXACT`` distinct shingles (counted in n_shingles, edited_shingles and next_shingles)
-    are compared on their full sets, which are in the row.
+    are compared on their full sets, which are in the row; with ``whole`` all are.
 
     Null texts count as empty; rows without an id come first; repeated rows follow each other, and different rows
     of one id are in an order of their texts' hashes.  A very long text is one row like others: its words and hashes are
@@ -150,7 +152,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", F.col("next_own").alias("following"))
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", shingles(F.col("edited")).alias("changed"), "following")
     rows = rows.withColumns({f"low_{c}": sketch(F.col(c)) for c in ("own", "changed", "following")})
-    like = lambda other: likeness(F.col("low_own"), F.col(f"low_{other}"), F.col("own"), F.col(other))
+    like = lambda other: likeness(F.col("low_own"), F.col(f"low_{other}"), F.col("own"), F.col(other), whole)
     counts = [F.size(c).cast("long").alias(name) for c, name in (("own", "n_shingles"), ("changed", "edited_shingles"), ("following", "next_shingles"))]
     prints = [as_text(F.col("low_own")).alias("fingerprint"), as_text(F.col("low_changed")).alias("edited_fingerprint")]
     return rows.select("doc_id", "n_chars", "edited_sha256", *prints, like("changed").alias("near_edited"), like("following").alias("near_next"), *counts)
