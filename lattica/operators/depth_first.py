@@ -29,8 +29,8 @@ from lattica.operators.search import VISIT_DDL, edge_order
 from lattica.plans.numbering import numbered
 from lattica.plans.storage import Scratch
 
-#: Levels searched before a whole graph is looked at for a deep forest, and before a search by levels is given up.
-FEW_LEVELS, MANY_LEVELS = 8, 64
+#: Levels searched before a whole graph is looked at for a deep forest (SOME_LEVELS while no more than FEW steps were met), and before a search by levels is given up.
+FEW_LEVELS, SOME_LEVELS, MANY_LEVELS, FEW = 8, 16, 64, 10_000
 #: Steps that one task may walk; steps of a page; pages that are fetched at once and held; visits of a piece.
 GATHERED, PAGE, PAGES_AT_ONCE, PAGES_HELD, PIECE = 5_000_000, 200_000, 8, 100, 1_000_000
 #: Frames from the top of the stack, and steps of each, that are asked for the pages they need next.
@@ -48,6 +48,8 @@ def dfs(graph: Graph, start_id: str, options: BfsDfsOptions | None = None) -> Da
     steps = _ahead(graph, keep, options)
     found = _Levels(keep, steps, start_id)
     found.search(options.max_depth, FEW_LEVELS)
+    # what lies within reach may be little of a large graph: a level reads its steps once, a tour moves them round after round
+    found.search(options.max_depth, SOME_LEVELS, FEW)
     if not found.closed and _one_way_in(steps, start_id):
         return keep.result(_deep_forest(keep, steps, start_id, options), "visits")
     found.search(options.max_depth, MANY_LEVELS)
@@ -80,12 +82,12 @@ class _Levels:
         self.taken: list[DataFrame] = []
         self.n, self.closed, self.tree = 0, False, True
 
-    def search(self, max_depth: int, levels: int) -> None:
+    def search(self, max_depth: int, levels: int, few: int | None = None) -> None:
         while not self.closed:
             depth = len(self.levels)
             if depth > max_depth:
                 self.closed = True
-            elif depth > levels or self.n > GATHERED and not self.tree:
+            elif depth > levels or self.n > GATHERED and not self.tree or few is not None and self.n > few:
                 return
             else:
                 self._next(depth)
