@@ -80,3 +80,12 @@ def test_likeness_of_long_texts_is_taken_from_full_sets(spark):
     assert got[1]["near_next"] == got[2]["near_next"] == 696 / 996
     shares = queries()["fingerprint_likeness"](spark, "/root/testdata/sf0.001")
     assert shares.where("near_edited is null or near_next is null").isEmpty()
+
+
+def test_shingles_are_made_behind_the_sort_and_not_from_slices(spark):
+    """Only texts are moved and sorted; a run of words is not cut out as an array first, which took most of the time."""
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "b c d e f")], "doc_id long, text string")
+    out = fingerprints.fingerprint_report(df, whole=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "slice(" not in plan and "transform(" in plan and "transform(" not in plan.split("Sort [bucket")[1]
+    assert [(r["n_shingles"], r["near_next"]) for r in out.orderBy("doc_id").collect()] == [(2, 1.0), (1, 1.0)]
