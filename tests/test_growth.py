@@ -89,3 +89,13 @@ def test_shingles_are_made_behind_the_sort_and_not_from_slices(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "slice(" not in plan and "transform(" in plan and "transform(" not in plan.split("Sort [bucket")[1]
     assert [(r["n_shingles"], r["near_next"]) for r in out.orderBy("doc_id").collect()] == [(2, 1.0), (1, 1.0)]
+
+
+def test_rows_of_large_tables_are_dealt_before_they_are_grouped(spark, monkeypatch):
+    """Tasks that put rows into hash tables get so many bytes of a table, not a split of its files; the degrees are the same."""
+    degree_all = queries()["degree_all"]
+    whole = sorted(map(tuple, degree_all(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr("lattica.plans.views.PIECE", 1_000)
+    dealt = degree_all(spark, "/root/testdata/sf0.001")
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+    assert sorted(map(tuple, dealt.collect())) == whole
